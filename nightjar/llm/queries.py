@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, linededup, sharding
+from . import decontaminate, linededup, packing, quality, sharding, tokens
 from .shared import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", *quality.BASE, "base_failed", "kept", "score")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = tokens.token_table(table(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"))
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -23,7 +38,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op5_packing": op5_packing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_tokens": op8_tokens,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
