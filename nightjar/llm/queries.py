@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, linededup, packing, quality, sharding, tokens
+from . import decontaminate, linededup, neardup, packing, quality, sharding, tokens
 from .shared import table
 
 
@@ -14,6 +14,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", *quality.BASE, "base_failed", "kept", "score")
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"))
 
@@ -39,6 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op4_neardup": op4_neardup,
     "op5_packing": op5_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_tokens": op8_tokens,
