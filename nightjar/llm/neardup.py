@@ -89,7 +89,7 @@ def _keys(sig: np.ndarray, chunks: int) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, words: int, chunks: int) -> DataFrame:
-    """(uid, id, n, s1, s2, sig) of every row."""
+    """(uid, id, text_hash, n, s1, s2, sig) of every row."""
     symbols = chunks * PARTS * WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +103,10 @@ def _describe(docs: DataFrame, words: int, chunks: int) -> DataFrame:
                 sig[n > 0] = _signatures(h, at, symbols)
                 width = symbols * 2
                 packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * width).astype(np.int32)), pa.py_buffer(sig.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(part) << 36) + made + np.arange(len(n))), rows.column(0), pa.array(n), pa.array(s1), pa.array(s2), packed], ["uid", "id", "n", "s1", "s2", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(part) << 36) + made + np.arange(len(n))), rows.column(0), rows.column(2), pa.array(n), pa.array(s1), pa.array(s2), packed], ["uid", "id", "text_hash", "n", "s1", "s2", "sig"])
                 made += len(n)
 
-    schema = T.StructType([T.StructField("uid", T.LongType()), docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n", "s1", "s2")), T.StructField("sig", T.BinaryType())])
+    schema = T.StructType([T.StructField("uid", T.LongType()), docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "n", "s1", "s2")), T.StructField("sig", T.BinaryType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -209,7 +209,7 @@ def _near_in_blocks(rest: DataFrame, nodes: DataFrame, chunks: int, percent: int
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: id, ``n_shingles``, ``component_id`` (the group's least id) and ``first``.
+    """Per row: id, ``uid``, ``n_shingles``, ``component_id`` (the group's least id), ``first`` and ``text_hash``.
 
     Sets are distinct ``words``-word shingles of the text with A-Z in lower case; rows
     with ``100 * intersection >= percent * union`` are linked.  Null, empty and wordless
@@ -221,7 +221,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """
     chunks = n_chunks(percent)
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = materialise(_describe(narrow, words, chunks), "signatures")
+    rows = materialise(_describe(narrow.withColumn("text_hash", F.xxhash64("text")), words, chunks), "signatures")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
     equal = materialise(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(order)["uid"].alias("rep")), "sets")
     member = materialise(rows.drop("sig").join(equal, ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid"))), "members")
@@ -246,4 +246,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     top = materialise(member.join(roots.select(F.col("v").alias("rep"), "m"), "rep", "left").withColumn("root", F.coalesce("m", "rep")).drop("m"), "roots")
     least = materialise(top.groupBy("root").agg(F.min(order).alias("least")), "least")
-    return top.join(least, "root").select(F.col("id").alias(id_col), F.col("uid"), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("uid") == F.col("least.uid")).alias("first"), "s1", "s2")
+    return top.join(least, "root").select(F.col("id").alias(id_col), F.col("uid"), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("uid") == F.col("least.uid")).alias("first"), "text_hash")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, all columns as they are.
+
+    That is the row with the least id (nulls last); rows without shingles all stay,
+    as they are linked with nothing.  Of rows equal in id and text one stays.
+    """
+    found = materialise(groups(docs, id_col, text_col, words, percent).select(F.struct(F.col(id_col).alias("v")).alias("__nj_key"), F.col("text_hash").alias("__nj_hash"), "n_shingles", "first"), "groups")
+    stay = found.filter("first OR n_shingles = 0").select("__nj_key", "__nj_hash").distinct()
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumns({"__nj_key": F.struct(F.col(id_col).alias("v")), "__nj_hash": F.xxhash64(body)}).join(stay, ["__nj_key", "__nj_hash"], "left_semi")
+    repeats = found.filter("n_shingles > 0").groupBy("__nj_key", "__nj_hash").count().filter("count > 1")
+    if not repeats.isEmpty():  # of rows equal in id and text one stays
+        worded = body.rlike(r"[^\x20\x09-\x0D]")
+        rows = rows.filter(worded).dropDuplicates(["__nj_key", "__nj_hash"]).unionByName(rows.filter(~worded))
+    return rows.select(*docs.columns)

@@ -34,4 +34,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLES = {"op7_decontaminate": OP7, "op9_line_dedup": OP9}
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS dig FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY dig) AS first FROM p)
+SELECT page_id, n AS payload_bytes, dig AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLES = {"op3_warc": OP3, "op7_decontaminate": OP7, "op9_line_dedup": OP9}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, linededup, neardup, packing, quality, sharding, tokens
+from . import decontaminate, langid, linededup, neardup, packing, quality, sharding, tokens, warc
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", *quality.BASE, "base_failed", "kept", "score")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.groups(table(spark, sf_dir, "documents"), words=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -23,6 +27,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs.select("doc_id", "text"), langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -44,8 +53,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_warc": op3_warc,
     "op4_neardup": op4_neardup,
     "op5_packing": op5_packing,
+    "op6_langid": op6_langid,
     "op7_decontaminate": op7_decontaminate,
     "op8_tokens": op8_tokens,
     "op9_line_dedup": op9_line_dedup,
