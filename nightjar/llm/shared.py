@@ -34,6 +34,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # the write's shuffle files are done with: let Spark clean them
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
