@@ -1 +1,197 @@
-ORACLES = {}
+"""DuckDB SQL that states each query's result independently."""
+
+from __future__ import annotations
+
+_ORDERS = """
+WITH e AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS start_date, CASE o_orderstatus WHEN 'F' THEN 'scheduled' WHEN 'P' THEN 'cancelled' END AS status,
+  n_name AS country, n_regionkey, c_mktsegment AS city, o_orderpriority AS title
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+"""
+_FOLD = r"trim(regexp_replace(regexp_replace(replace(replace(lower(replace(replace({x}, '`', ''''), '´', '''')), '&', ' and '), '+', ' and '), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def _fold(x: str) -> str:
+    x = f"strip_accents({x})"
+    for a, b in (("ø", "o"), ("Ø", "o"), ("æ", "ae"), ("Æ", "ae"), ("ß", "ss")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return _FOLD.format(x=x)
+
+
+def _nordic(x: str) -> str:
+    for a, b in (("ø", "oe"), ("Ø", "Oe"), ("æ", "ae"), ("Æ", "Ae"), ("å", "aa"), ("Å", "Aa")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return _fold(x)
+
+
+_BODY = "html"
+for _tag in ("script", "style", "nav", "footer"):
+    _BODY = f"regexp_replace({_BODY}, '<{_tag}.*?</{_tag}>', ' ', 'gis')"
+_BODY = f"regexp_replace({_BODY}, '<[^>]+>', ' ', 'g')"
+
+
+def _entities(x: str) -> str:
+    x = f"replace(replace({x}, '&nbsp;', ' '), '&amp;', '&')"
+    x = f"regexp_replace(regexp_replace({x}, '&(quot|apos|#39);', '''', 'gi'), '&[a-z]+;', ' ', 'gi')"
+    return f"trim(regexp_replace(replace({x}, chr(160), ' '), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
+
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '')"
+_ARTIST = "p_name || ' ' || p_brand"
+_PLAYS = "SELECT user_id, event_type AS name, value * 10000 AS ms, CASE WHEN event_id % 7 <> 0 THEN ts END AS t FROM events WHERE NOT (value * 10000 > 0 AND value * 10000 < 30000)"
+_BEST_LAST = "arg_max({c}, (CAST(l_shipdate AS DATE), l_orderkey, l_linenumber))"
+_ROUND = "floor({x} * 100 + 0.5) / 100"
+
+ORACLES = {
+    "filter_cascade_counts": _ORDERS + """
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN start_date < DATE '1996-01-01' THEN 'past' WHEN start_date > DATE '1998-12-31' THEN 'beyond_window'
+  WHEN status IS NOT NULL AND status <> 'scheduled' THEN 'cancelled' WHEN n_regionkey NOT IN (1, 2, 3) THEN 'country'
+  WHEN city NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 'city' WHEN starts_with(title, '5') THEN 'tribute' ELSE 'kept' END AS reason FROM e) GROUP BY 1""",
+    "corpus_filter_counts": _ORDERS + """
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN start_date < DATE '1996-01-01' THEN 'past' WHEN start_date > DATE '1998-12-31' THEN 'beyond_horizon'
+  WHEN title = '1-URGENT' THEN 'postponed' WHEN status = 'cancelled' THEN 'cancelled' ELSE 'kept' END AS reason FROM e) GROUP BY 1""",
+    "reason_samples": _ORDERS + """
+, r AS (SELECT o_orderkey, CASE WHEN start_date < DATE '1996-01-01' THEN 'past' WHEN start_date > DATE '1998-12-31' THEN 'beyond_window' WHEN status <> 'scheduled' THEN 'cancelled' END AS reason FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY o_orderkey) AS p FROM r WHERE reason IS NOT NULL)
+SELECT reason, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY p) FILTER (p <= 5) AS samples FROM k GROUP BY 1""",
+    "listening_decay_agg": f"""
+WITH p AS ({_PLAYS}), w AS (SELECT *, CASE WHEN t IS NULL THEN 0.55 WHEN t > TIMESTAMP '2024-02-01' THEN 1 ELSE pow(0.5, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(t)) / 86400e6 / 548) END AS d FROM p),
+a AS (SELECT user_id, name, sum(CASE WHEN ms = 0 THEN 180000 ELSE ms END * d) / 60000 AS plays, count(*) AS raw_plays, CAST(floor(sum(ms) / 60000 + 0.5) AS BIGINT) AS minutes, max(t) AS last_at FROM w GROUP BY 1, 2)
+SELECT user_id, name, round(plays, 6) AS plays, raw_plays, minutes, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at, row_number() OVER (PARTITION BY user_id ORDER BY plays DESC, name) - 1 AS rank FROM a QUALIFY rank < 600""",
+    "noisy_or_score": """
+WITH s AS (SELECT user_id, 1 - product(1 - least(0.999, value / 2000)) AS score, sum(value / 2000) AS depth FROM events GROUP BY 1)
+SELECT user_id, round(score, 6) AS score, round(depth, 6) AS depth, round(score * (1 + 0.12 * ln(1 + depth)), 6) AS rank FROM s""",
+    "taste_weights": """
+WITH p AS (SELECT l_suppkey AS user_id, CAST(l_partkey AS VARCHAR) AS name, sum(l_quantity) AS plays FROM lineitem GROUP BY 1, 2)
+SELECT *, round(greatest(0.05, sqrt(plays / max(plays) OVER (PARTITION BY user_id))), 6) AS weight FROM p""",
+    "dedupe_first_wins_coalesce": """
+SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS l_orderkey, arg_min(l_linenumber, (l_orderkey, l_linenumber)) AS l_linenumber,
+  first(l_partkey ORDER BY l_orderkey, l_linenumber) FILTER (l_returnflag = 'R') AS ticket, first(l_orderkey ORDER BY l_orderkey, l_linenumber) FILTER (l_linestatus = 'O') AS image, count(*) - 1 AS duplicates
+FROM lineitem GROUP BY 1, 2""",
+    "recurring_filter": "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_suppkey, l_partkey) < 5",
+    "size_class_join": """
+SELECT o_orderkey, CAST(floor(c_acctbal) AS BIGINT) AS capacity, CASE WHEN coalesce(floor(c_acctbal), 0) = 0 THEN NULL WHEN floor(c_acctbal) >= 8000 THEN 'arena' WHEN floor(c_acctbal) >= 2000 THEN 'large'
+  WHEN floor(c_acctbal) >= 700 THEN 'mid' ELSE 'club' END AS size_class FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+    "billing_frequency": """
+SELECT name, count(*) AS n FROM (SELECT unnest([p_name || ' + ' || p_brand, p_name, p_brand]) AS name FROM part WHERE p_type <> 'ECONOMY') GROUP BY 1""",
+    "source_summary": _ORDERS + """
+SELECT country AS source, count(*) AS raw, count(*) FILTER (start_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND coalesce(status, '') <> 'cancelled') AS kept,
+  count(DISTINCT city) AS venues, count(*) FILTER (start_date < DATE '1996-01-01') AS past FROM e GROUP BY 1""",
+    "keyed_upsert": f"""
+WITH o AS (SELECT l_partkey AS k, max(CAST(l_shipdate AS DATE)) AS v, {_BEST_LAST.format(c='l_orderkey')} AS a, {_BEST_LAST.format(c='l_linenumber')} AS b, 0 AS fresh FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
+n AS (SELECT l_partkey AS k, max(CAST(l_shipdate AS DATE)) AS v, {_BEST_LAST.format(c='l_orderkey')} AS a, {_BEST_LAST.format(c='l_linenumber')} AS b, 1 AS fresh FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT k, v, a, b FROM (SELECT * FROM o UNION ALL SELECT * FROM n) QUALIFY row_number() OVER (PARTITION BY k ORDER BY v DESC, fresh DESC) = 1""",
+    "artist_index_last_wins": "SELECT lower(p_name) AS key, arg_max(p_name, p_partkey) AS name, arg_max(p_brand, p_partkey) AS country FROM part GROUP BY 1",
+    "stale_names": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate > TIMESTAMP '2001-08-02' - INTERVAL 90 DAY)",
+    "top_k_per_group": "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem QUALIFY rank <= 3",
+    "corpus_sort": f"SELECT p_partkey, {_ARTIST} AS title, p_size, row_number() OVER (PARTITION BY p_size ORDER BY lower({_ARTIST}), p_partkey) AS place FROM part",
+    "month_spine": """
+SELECT CAST(m AS DATE) AS month, (SELECT count(*) FROM orders WHERE date_trunc('month', o_orderdate) = m) AS n FROM generate_series(TIMESTAMP '2000-06-01', TIMESTAMP '2002-06-01', INTERVAL 1 MONTH) g(m)""",
+    "validate_rows": """
+WITH e AS (SELECT o_orderkey - CASE WHEN o_orderkey % 97 = 1 THEN 1 ELSE 0 END AS id, CASE WHEN o_orderpriority = '5-LOW' THEN ' ' ELSE o_orderpriority END AS title, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus, c_mktsegment AS seg, c_acctbal
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+b AS (SELECT unnest([CASE WHEN trim(title) = '' THEN 'missing title' END, CASE WHEN day < '1996-01-01' THEN 'starts in the past' END, CASE WHEN day > '2000-12-31' THEN 'starts beyond the horizon' END,
+  CASE WHEN o_orderstatus = 'P' THEN 'status isn''t scheduled' END, CASE WHEN seg = 'MACHINERY' THEN 'unknown adapter' END, CASE WHEN seg = 'BUILDING' THEN 'host isn''t registered' END,
+  CASE WHEN c_acctbal <= 0 THEN 'no link back' END, CASE WHEN row_number() OVER (PARTITION BY id) > 1 THEN 'duplicate id' END]) AS message FROM e)
+SELECT message, count(*) AS n FROM b WHERE message IS NOT NULL GROUP BY 1""",
+    "tag_vector_cosine": """
+WITH u AS (SELECT user_id, event_type AS t, sum(value) AS w FROM events GROUP BY 1, 2), h AS (SELECT hour(ts) AS hour, event_type AS t, sum(value) AS w FROM events GROUP BY 1, 2),
+un AS (SELECT user_id, sqrt(sum(w * w)) AS n FROM u GROUP BY 1), hn AS (SELECT hour, sqrt(sum(w * w)) AS n FROM h GROUP BY 1)
+SELECT u.user_id, h.hour, round(sum(u.w * h.w) / any_value(un.n) / any_value(hn.n), 6) AS cosine FROM u JOIN h USING (t) JOIN un ON un.user_id = u.user_id JOIN hn ON hn.hour = h.hour GROUP BY 1, 2""",
+    "dense_cosine_topk": """
+WITH x AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
+m AS (SELECT label, list(m ORDER BY i) AS mean FROM x GROUP BY 1),
+c AS (SELECT vec_id, m.label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), mean), 6) AS cosine FROM embeddings, m)
+SELECT vec_id, label, cosine, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, label) AS rank FROM c QUALIFY rank <= 3""",
+    "priority_key_lookup": """
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'The ' ELSE '' END || p_name AS probe_name, (SELECT min(q.p_partkey) FROM part q WHERE lower(q.p_name) = lower(p.p_name)) AS hit FROM part p""",
+    "fuzzy_name_join": f"""
+WITH n AS (SELECT DISTINCT replace({_ARTIST}, '#', '') AS name FROM part), w AS (SELECT DISTINCT name[1:3] || 'q' || name[5:] AS wrong FROM n)
+SELECT wrong, (SELECT first(name ORDER BY lower(name)) FROM n WHERE levenshtein(lower(name), trim(regexp_replace(lower(wrong), ' +', ' ', 'g'))) <= 1) AS hit FROM w
+WHERE EXISTS (SELECT 1 FROM n WHERE levenshtein(lower(name), trim(regexp_replace(lower(wrong), ' +', ' ', 'g'))) <= 1)""",
+    "similar_one_hop": """
+WITH q AS (SELECT p_brand AS brand, s_nationkey AS nk, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY q DESC, nk) AS pos FROM q QUALIFY pos <= 5),
+o AS (SELECT c_mktsegment AS user_id, c_nationkey AS nk, sum(c_acctbal) AS plays FROM customer GROUP BY 1, 2 HAVING sum(c_acctbal) > 0),
+w AS (SELECT *, greatest(0.05, sqrt(plays / max(plays) OVER (PARTITION BY user_id))) AS weight FROM o)
+SELECT user_id, brand, 'Nation ' || arg_max(nk, (s, -pos)) AS via, round(max(s), 6) AS strength FROM (SELECT user_id, brand, t.nk, pos, weight * least(1, t.q / 10000) * 0.62 AS s FROM t JOIN w ON t.nk = w.nk) GROUP BY 1, 2""",
+    "artist_fold_sequential": """
+WITH o AS (SELECT o_custkey AS user_id, o_orderkey AS event_id, o_totalprice / 1000 AS r, CAST(o_orderpriority[1] AS INT) AS c FROM orders),
+l AS (SELECT user_id, list({'e': event_id, 'r': r, 'c': CASE WHEN c = 5 THEN 9 ELSE c - 1 END} ORDER BY r DESC, event_id) AS xs FROM o GROUP BY 1),
+h AS (SELECT user_id, list_reduce(xs, lambda a, b: CASE WHEN b.r > a.r OR (b.r >= a.r * 0.9 AND b.c < a.c) THEN b ELSE a END) AS x FROM l)
+SELECT user_id, x.e AS event_id, CASE x.c WHEN 0 THEN 'club' WHEN 1 THEN 'mid' WHEN 2 THEN 'large' WHEN 3 THEN 'arena' END AS size_class FROM h""",
+    "persona_overlap": """
+WITH q AS (SELECT s_nationkey AS u, p_brand AS i, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+t AS (SELECT u, i FROM q QUALIFY row_number() OVER (PARTITION BY u ORDER BY q DESC, i) <= 12), n AS (SELECT u, count(*) AS n FROM t GROUP BY 1)
+SELECT x.u AS a, y.u AS b, round(count(*) / least(any_value(m.n), any_value(k.n)), 6) AS overlap FROM t x JOIN t y ON x.i = y.i AND x.u < y.u JOIN n m ON m.u = x.u JOIN n k ON k.u = y.u GROUP BY 1, 2""",
+    "fold_name_docs": f"SELECT doc_id, sha256({_fold('text')}) AS folded, length({_nordic('text')}) AS nordic FROM documents",
+    "name_keys": f"SELECT p_partkey, 'the ' || {_fold(_ARTIST)} || '|' || {_fold(_ARTIST)} AS keys FROM part",
+    "split_credits_bills": """
+WITH s AS (SELECT p_partkey, p_name, p_brand, [' + ', ' feat. ', ' & ', ' x ', ' / ', ' med '][p_partkey % 6 + 1] AS sep FROM part)
+SELECT p_partkey, p_name || sep || p_brand || '|' || p_name || '|' || p_brand AS names, p_name AS "primary" FROM s""",
+    "tribute_flag": """
+SELECT p_partkey, p_partkey % 7 IN (0, 2, 3, 5) AS is_tribute, CASE WHEN p_size > 25 THEN p_name END AS stem FROM part""",
+    "edit_distance": """
+WITH n AS (SELECT lower(n_name) AS x FROM nation), s AS (SELECT DISTINCT lower(p_name) AS y FROM part)
+SELECT x, y, least(levenshtein(x, y), 7) AS d, x = y OR (length(x) >= 7 AND length(y) >= 7 AND levenshtein(x, y) <= 1) AS near FROM n, s""",
+    "html_links": f"""
+WITH h AS (SELECT page_id, 'https://' || {_HOST} AS base, regexp_extract_all(html, 'href=["'']([^"''#]+)["'']', 1, 'i') AS hs FROM pages),
+f AS (SELECT page_id, base, list_transform(hs, lambda u: CASE WHEN starts_with(u, '//') THEN 'https:' || u WHEN starts_with(u, '/') THEN base || u WHEN regexp_matches(u, '^https?:', 'i') THEN u END) AS us FROM h),
+g AS (SELECT page_id, list_transform(list_filter(us, lambda u: u IS NOT NULL AND starts_with(u, base)), lambda u: split_part(u, '?', 1)) AS us FROM f),
+k AS (SELECT page_id, list_filter(us, lambda u, i: list_position(us, u) = i) AS us FROM g)
+SELECT page_id, len(us) AS n, sha256(coalesce(array_to_string(us, ','), '')) AS links FROM k""",
+    "html_title": f"""
+SELECT page_id, nullif({_entities("regexp_replace(regexp_extract(regexp_replace(html, '<h1.*?</h1>', '', 'gis'), '<title[^>]*>(.{1,200}?)</title>', 1, 'is'), '<[^>]+>', ' ', 'g')")}, '') AS title FROM pages""",
+    "strip_tags": f"SELECT page_id, sha256({_entities(_BODY)}) AS body FROM pages",
+    "url_host": f"SELECT page_id, {_HOST} AS host FROM pages",
+    "meta_tags": "SELECT page_id, nullif(trim(url), '') AS title, 'img ' || page_id AS image FROM pages",
+    "ticket_links": "SELECT page_id, 'https://www.BILLETTO.dk/e/' || page_id AS ticket FROM pages",
+    "title_rules": """
+SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN 'musikquiz' ELSE ' live' END AS title, CASE p_partkey % 5 WHEN 1 THEN 'cancelled' WHEN 2 THEN 'postponed' ELSE 'scheduled' END AS status, p_partkey % 3 = 0 AS non_musical FROM part""",
+    "deep_key_roundtrip": "SELECT p_partkey, CAST(DATE '2026-01-01' + p_size AS DATE) AS date, 'https://t/' || p_brand AS ticket_url FROM part",
+    "hydration_roundtrip": "SELECT p_partkey, p_name AS title, DATE '2026-03-01' + p_size % 28 AS start_date, CASE WHEN p_type = 'ECONOMY' THEN 'cancelled' ELSE 'scheduled' END AS status FROM part",
+    "wordpress_roundtrip": "SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN DATE '2026-11-01' + p_size % 28 END AS start_date, CASE WHEN p_partkey % 2 = 1 THEN 'no-event-date' END AS reason FROM part",
+    "html_event_reasons": """
+WITH p AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'Program ' WHEN 1 THEN 'Musikquiz ' ELSE 'Band ' END || page_id AS title, page_id % 4 AS k, page_id % 9 AS m FROM pages)
+SELECT page_id, title, CASE k WHEN 1 THEN DATE '2026-08-27' WHEN 2 THEN NULL ELSE DATE '2026-11-11' END AS start_date,
+  CASE WHEN m = 0 THEN 'section-page' WHEN m = 1 THEN 'non-musical' WHEN k = 2 THEN 'no-date' WHEN k = 1 THEN 'date-not-confident' ELSE 'kept' END AS reason FROM p""",
+    "danish_date_roundtrip": """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS found, CASE o_orderkey % 3 WHEN 0 THEN '20:30' WHEN 2 THEN '19:05' END AS time, CASE o_orderkey % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.85 ELSE 1.0 END AS confidence
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 AND year(o_orderdate) < 2000 THEN o_orderdate + to_years(100) ELSE o_orderdate END AS o_orderdate FROM orders)""",
+    "csv_roundtrip": """SELECT p_partkey AS user_id, p_name || ' "live", ' || p_brand AS artist, p_type AS track, CAST(p_size * 1000 AS DOUBLE) AS ms, '2024-01-02' AS "at" FROM part""",
+    "json_shapes_roundtrip": """
+SELECT p_partkey AS user_id, p_name AS artist, p_type AS track, CAST(p_size * 1000 AS DOUBLE) AS ms, CASE WHEN p_partkey % 2 = 0 THEN '2024-01-01T00:00:00Z' ELSE '2020-01-09T15:15:00Z' END AS "at",
+  CASE WHEN p_partkey % 2 = 0 THEN 'spotify-extended' ELSE 'spotify-classic' END AS "from" FROM part""",
+    "typed_list_roundtrip": "SELECT s_nationkey AS user_id, s_name AS artist, round(3e6 / (1 + log2(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) + 1)), 6) AS ms FROM supplier",
+    "zip_roundtrip": "SELECT s_nationkey AS nation, s_name AS artist, CASE WHEN s_suppkey > 0 THEN CAST(s_suppkey AS DOUBLE) END AS plays, CAST(greatest(s_suppkey, 1) * 210000 AS DOUBLE) AS ms FROM supplier",
+    "robots_longest_match": """
+WITH p AS (SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, CASE WHEN starts_with(path, '/en/1') THEN true WHEN path LIKE '/%7' THEN false WHEN starts_with(path, '/en') THEN false ELSE true END AS allowed, 10.0 AS delay FROM p""",
+    "sitemap_roundtrip": "SELECT DISTINCT trim(url) AS page FROM pages WHERE url LIKE '%example%'",
+    "month_partitions": """
+SELECT n_name AS country, CAST(m AS DATE) AS from_date, CAST(m + INTERVAL 1 MONTH AS DATE) AS to_date FROM nation, generate_series(TIMESTAMP '2026-08-01', TIMESTAMP '2027-09-01', INTERVAL 1 MONTH) g(m)""",
+    "discovery_roundtrip": """
+SELECT p_partkey, p_name AS title, p_brand AS venue_name, 'DK' AS country, '20:30' AS start_time, CASE WHEN p_size > 1 THEN p_brand ELSE 'a' END AS image, DATE '2026-09-01' AS start_date FROM part WHERE p_size % 3 <> 1""",
+    "tag_lookup_roundtrip": """
+SELECT p_name, p_brand AS mbid, count(*) AS n, CAST(sum(CASE WHEN p_size > 0 THEN 2 ELSE 1 END) AS BIGINT) AS tags, count(*) FILTER (p_size < 20) AS rock_first FROM part GROUP BY 1, 2""",
+    "similar_scores": """
+WITH r AS (SELECT l_suppkey, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS p FROM lineitem),
+m AS (SELECT *, greatest(max(q) FILTER (p <= 80) OVER (PARTITION BY l_suppkey), 1) AS top FROM r)
+SELECT l_suppkey, count(*) AS n, round(sum(least(1, greatest(0.25, q / top))), 6) AS total FROM m WHERE p <= 60 GROUP BY 1""",
+    "explain_text": """
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'You listen to ' || p_name WHEN 1 THEN 'Because you listen to ' || p_name ELSE 'Matches your taste for ' || p_type || ' and ' || p_brand END || '.' AS en,
+  CASE p_partkey % 3 WHEN 0 THEN 'Du lytter til ' || p_name WHEN 1 THEN 'Fordi du lytter til ' || p_name ELSE 'Rammer din smag for ' || p_type || ' og ' || p_brand END || '.' AS da FROM part""",
+    "list_size_rule": """
+WITH k AS (SELECT p_partkey, p_retailprice, CAST(least(least(greatest(p_size, 5), 20), greatest(5, 2 * (p_partkey % 11))) AS INT) AS k FROM part)
+SELECT p_partkey, k, CAST(least(2, k // 3) AS INT) AS quota, floor(p_retailprice / 7 * 100 + 0.5) / 100 AS rounded FROM k""",
+    "windowed_event_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS from_ts, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
+}
+for _name in ("jsonld_roundtrip", "jsonld_repair_roundtrip"):
+    ORACLES[_name] = "SELECT p_partkey, p_name AS name, '2026-01-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') AS start, p_brand AS url, p_type AS location FROM part"
+
+#: dates come out as ISO text
+_DATES = {
+    "dedupe_first_wins_coalesce": ["day"], "keyed_upsert": ["v"], "month_spine": ["month"], "deep_key_roundtrip": ["date"], "hydration_roundtrip": ["start_date"], "wordpress_roundtrip": ["start_date"],
+    "html_event_reasons": ["start_date"], "danish_date_roundtrip": ["found"], "month_partitions": ["from_date", "to_date"], "discovery_roundtrip": ["start_date"],
+}
+for _name, _columns in _DATES.items():
+    ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _columns)}) FROM ({ORACLES[_name]})"

@@ -1 +1,553 @@
-QUERIES = {}
+"""Named queries: each operator over whole driver tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+import functools
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from nightjar.functions import dates, html, scalars, text
+from nightjar.operators import corpus, match, rules, taste, vectors
+from nightjar.plans import recommend as rec
+from nightjar.sources import listening, structured
+
+NOW = "2024-02-01 00:00:00"
+TODAY = dt.date(1998, 1, 1)
+LOW, HIGH = "1996-01-01", "1998-12-31"
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# --- filters, merging, aggregates -------------------------------------------------
+
+
+def _orders_as_events(spark, d):
+    o, c, n = t(spark, d, "orders"), t(spark, d, "customer"), t(spark, d, "nation")
+    place = c.join(corpus.small(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country"), "c_mktsegment")
+    status = F.when(F.col("o_orderstatus") == "F", "scheduled").when(F.col("o_orderstatus") == "P", "cancelled")
+    return o.join(place, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.to_date("o_orderdate").alias("start_date"), status.alias("status"), "country", F.col("c_mktsegment").alias("city"), F.col("o_orderpriority").alias("title"))
+
+
+def filter_cascade_counts(spark, d):
+    e = _orders_as_events(spark, d)
+    nations = [r["n_name"] for r in t(spark, d, "nation").filter("n_regionkey IN (1, 2, 3)").select("n_name").collect()]  # 25 rows at most
+    ruled = rules.cascade(e, rules.engine_rules(F.to_date(F.lit(LOW)), F.to_date(F.lit(HIGH)), nations, ["BUILDING", "MACHINERY", "HOUSEHOLD"], F.col("title").startswith("5")))
+    return rules.reason_counts(ruled)
+
+
+def corpus_filter_counts(spark, d):
+    e = _orders_as_events(spark, d).withColumn("status", F.when(F.col("title") == "1-URGENT", "postponed").otherwise(F.coalesce("status", F.lit("scheduled"))))
+    return rules.reason_counts(rules.cascade(e, rules.corpus_rules(F.to_date(F.lit(LOW)), F.to_date(F.lit(HIGH)))))
+
+
+def reason_samples(spark, d):
+    e = _orders_as_events(spark, d)
+    ruled = rules.cascade(e, rules.engine_rules(F.to_date(F.lit(LOW)), F.to_date(F.lit(HIGH))))
+    out = rules.reason_samples(ruled, F.col("o_orderkey").cast("string"), [F.col("o_orderkey")])
+    return out.select("reason", "n", F.concat_ws(",", "samples").alias("samples"))
+
+
+def _plays(spark, d):
+    e = t(spark, d, "events")
+    return e.select(F.col("user_id"), F.col("event_type").alias("artist"), (F.col("value") * 10_000).alias("ms"), F.when(F.col("event_id") % 7 != 0, F.col("ts").cast("timestamp")).alias("at"), F.lit(None).cast("double").alias("plays"), F.lit("csv").alias("from"))
+
+
+def listening_decay_agg(spark, d):
+    out = taste.listening(taste.valid_plays(_plays(spark, d)), F.lit(NOW).cast("timestamp"))
+    return out.select("user_id", "name", r6("plays").alias("plays"), F.col("raw_plays").cast("long").alias("raw_plays"), F.col("minutes").cast("long").alias("minutes"), F.date_format("last_at", "yyyy-MM-dd HH:mm:ss").alias("last_at"), "rank")
+
+
+def noisy_or_score(spark, d):
+    e = t(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.col("value") / 2000).alias("s"), F.sum(F.col("value") / 2000).alias("depth"))
+    score = scalars.noisy_or(F.col("s"))
+    return e.select("user_id", r6(score).alias("score"), r6("depth").alias("depth"), r6(scalars.rank_score(score, F.col("depth"))).alias("rank"))
+
+
+def taste_weights(spark, d):
+    p = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").cast("string").alias("name")).agg(F.sum("l_quantity").alias("plays"))
+    p = p.withColumn("rank", F.lit(0))
+    return taste.weights(p).select("user_id", "name", "plays", r6("weight").alias("weight"))
+
+
+def dedupe_first_wins_coalesce(spark, d):
+    li = t(spark, d, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).alias("ticket"), F.when(F.col("l_linestatus") == "O", F.col("l_orderkey")).alias("image"))
+    return corpus.first_wins(li, ["l_suppkey", "day"], [F.col("l_orderkey"), F.col("l_linenumber")], ["ticket", "image"])
+
+
+def recurring_filter(spark, d):
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    return corpus.drop_recurring(li, [F.col("l_suppkey"), F.col("l_partkey")])
+
+
+def size_class_join(spark, d):
+    o, c = t(spark, d, "orders"), t(spark, d, "customer")
+    cap = F.floor(F.col("c_acctbal")).cast("long")
+    return o.select("o_orderkey", "o_custkey").join(c.select("c_custkey", cap.alias("capacity")), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "capacity", scalars.size_class(F.col("capacity")).alias("size_class"))
+
+
+def billing_frequency(spark, d):
+    p = t(spark, d, "part").select(text.split_credits(F.concat("p_name", F.lit(" + "), "p_brand")).alias("artists"), (F.col("p_type") == "ECONOMY").alias("is_tribute"))
+    return corpus.billing_counts(p)
+
+
+def source_summary(spark, d):
+    e = _orders_as_events(spark, d)
+    ruled = rules.cascade(e, rules.corpus_rules(F.to_date(F.lit(LOW)), F.to_date(F.lit(HIGH))))
+    return ruled.groupBy(F.col("country").alias("source")).agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("reason").isNull()).alias("kept"), F.countDistinct("city").alias("venues"), F.count_if(F.coalesce(F.col("reason") == "past", F.lit(False))).alias("past"))
+
+
+def keyed_upsert(spark, d):
+    li = t(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.to_date("l_shipdate").alias("v"), F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), "l_returnflag")
+    pick = lambda flag: corpus.first_wins(li.filter(flag).drop("l_returnflag"), ["k"], [-F.unix_date("v"), -F.col("a"), -F.col("b")], []).select("k", "v", "a", "b")
+    return corpus.upsert(pick("l_returnflag != 'R'"), pick("l_returnflag = 'R'"), ["k"], "v")
+
+
+def artist_index_last_wins(spark, d):
+    p = t(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("country"), "p_partkey")
+    return corpus.artist_index(p, "p_partkey").select("key", "name", "country")
+
+
+def stale_names(spark, d):
+    o = t(spark, d, "orders")
+    names = t(spark, d, "customer").select("c_custkey")
+    cache = o.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("timestamp").alias("checked"))
+    return corpus.stale(names, cache, "c_custkey", "checked", F.lit("2001-08-02").cast("timestamp"))
+
+
+def top_k_per_group(spark, d):
+    li = t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return corpus.top_k(li, ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], 3)
+
+
+def corpus_sort(spark, d):
+    e = t(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("title"), "p_size")
+    return e.withColumn("place", F.row_number().over(W.partitionBy("p_size").orderBy(F.collate("title", "UNICODE"), "p_partkey"))).select("p_partkey", F.col("title").cast("string").alias("title"), "p_size", "place")
+
+
+def month_spine(spark, d):
+    o = t(spark, d, "orders").select(F.to_date("o_orderdate").alias("start_date"))
+    return rec.calendar(o, F.to_date(F.lit("2000-06-15")), F.to_date(F.lit("2002-06-15")), spark)
+
+
+def validate_rows(spark, d):
+    o, c = t(spark, d, "orders"), t(spark, d, "customer")
+    n = t(spark, d, "nation")
+    host = F.concat(F.lit("www.seg-"), F.lower("c_mktsegment"), F.lit(".dk"))
+    e = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(corpus.small(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    e = e.select(
+        F.lpad((F.col("o_orderkey") - F.when(F.col("o_orderkey") % 97 == 1, 1).otherwise(0)).cast("string"), 8, "0").alias("id"), F.when(F.col("o_orderpriority") == "5-LOW", " ").otherwise(F.col("o_orderpriority")).alias("title"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("start_date"), F.when(F.col("o_orderstatus") == "P", "cancelled").otherwise("scheduled").alias("status"), F.col("c_name").alias("venue_name"), F.upper(F.substring("n_name", 1, 2)).alias("country"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", "other").otherwise("wp-rest").alias("adapter"), F.concat(F.lit("https://"), host, F.lit("/x")).alias("source_url"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("fetched_at"),
+        F.when(F.col("c_acctbal") > 0, F.lit("https://t")).alias("ticket_url"), F.lit(None).cast("string").alias("url"),
+    )
+    hosts = c.select(F.concat(F.lit("seg-"), F.lower("c_mktsegment"), F.lit(".dk")).alias("host"), "c_mktsegment").filter("c_mktsegment != 'BUILDING'").select("host").distinct()
+    out = rules.validate_events(e, hosts, F.lit("1996-01-01"), F.lit("2000-12-31"))
+    return out.select(F.explode("bad").alias("message")).groupBy("message").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- vectors, joins ------------------------------------------------------------
+
+
+def tag_vector_cosine(spark, d):
+    """Users against hours of the day, over event types."""
+    e = t(spark, d, "events").select("user_id", F.hour("ts").alias("hour"), F.col("event_type").alias("tag"), F.col("value").alias("w"))
+    users = vectors.tag_vector(e, ["user_id"])
+    hours = vectors.tag_vector(e, ["hour"])
+    return vectors.cosine_pairs(users, corpus.small(hours), "user_id", "hour").select(F.col("l").alias("user_id"), F.col("r").alias("hour"), r6("cosine").alias("cosine"))
+
+
+def dense_cosine_topk(spark, d):
+    """The three labels whose mean vector is nearest to each vector."""
+    e = t(spark, d, "embeddings")
+    parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    table = means.agg(F.collect_list(F.struct("label", "mean")).alias("all"))  # one row, a mean per label
+    near = e.crossJoin(F.broadcast(table)).select("vec_id", F.explode(F.transform("all", lambda m: F.struct(m["label"].alias("label"), vectors.dense_cosine(F.col("embedding"), m["mean"]).alias("c")))).alias("x"))
+    near = near.select("vec_id", F.col("x.label").alias("label"), r6("x.c").alias("cosine"))
+    return corpus.top_k(near, ["vec_id"], [F.desc("cosine"), F.col("label")], 3)
+
+
+def _artist(name="p_name", brand="p_brand"):
+    return F.concat_ws(" ", name, brand)
+
+
+def priority_key_lookup(spark, d):
+    """Part names with an article probe an index of loose keys."""
+    p = t(spark, d, "part").select("p_partkey", F.concat(F.when(F.col("p_size") % 2 == 0, "The ").otherwise(""), "p_name").alias("probe_name"))
+    idx = t(spark, d, "part").groupBy(F.lower("p_name").alias("key")).agg(F.min("p_partkey").alias("hit"))
+    return match.probe(p, idx, "probe_name").select("p_partkey", "probe_name", "hit")
+
+
+def fuzzy_name_join(spark, d):
+    """Artist names with one letter changed find the name they come from."""
+    p = t(spark, d, "part").select(F.regexp_replace(_artist(), "#", "").alias("name")).distinct()
+    wrong = p.select(F.concat(F.substring("name", 1, 3), F.lit("q"), F.expr("substring(name, 5)")).alias("wrong"))
+    idx = p.select(F.lower("name").alias("key"), F.col("name").alias("hit"), F.lower("name").alias("ord"))
+    return match.fuzzy(wrong.distinct(), idx, "wrong").select("wrong", "hit")
+
+
+def similar_one_hop(spark, d):
+    """Brands sold by the same suppliers as similar artists; users are customers' market segments."""
+    li, p, s = t(spark, d, "lineitem"), t(spark, d, "part"), t(spark, d, "supplier")
+    brand = p.select("p_partkey", F.col("p_brand").alias("brand"))
+    sold = li.join(brand, F.col("l_partkey") == F.col("p_partkey")).groupBy("brand", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    by_nation = sold.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("brand", "s_nationkey").agg(F.sum("q").alias("q"))
+    top = corpus.top_k(by_nation, ["brand"], [F.desc("q"), F.col("s_nationkey")], 5)
+    sims = top.groupBy("brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string")).alias("name"), (F.col("q") / 10_000).alias("score")))), lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score"))).alias("similar"))
+    index = sims.select(text.fold_name(F.col("brand")).alias("key"), "similar")
+    own = t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("user_id"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("name")).agg(F.sum("c_acctbal").alias("plays")).filter("plays > 0").withColumn("rank", F.lit(0))
+    keys = taste.taste_keys(taste.weights(own))
+    return match.one_hop(sims.select("brand"), index, keys, "brand").select("user_id", "brand", "via", r6("strength").alias("strength"))
+
+
+def artist_fold_sequential(spark, d):
+    """One order per customer: in price order, a later one replaces the holder if nearly as dear and for a smaller priority class."""
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("event_id"), (F.col("o_totalprice") / 1000).alias("rank"), F.col("o_orderkey").alias("ord"), F.element_at(F.array(*map(F.lit, ("club", "mid", "large", "arena", None))), F.substring("o_orderpriority", 1, 1).cast("int")).alias("size_class"), F.struct(F.lit("one").alias("artist")).alias("best"))
+    return rec.one_date_per_artist(o).select("user_id", "event_id", "size_class")
+
+
+def persona_overlap(spark, d):
+    e = t(spark, d, "lineitem").join(t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    n = e.join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("user_id"), F.col("p_brand").alias("event_id")).agg(F.sum("l_quantity").alias("q"))
+    return rec.pair_overlap(corpus.top_k(n, ["user_id"], [F.desc("q"), F.col("event_id")], 12)).select("a", "b", r6("overlap").alias("overlap"))
+
+
+# --- text ----------------------------------------------------------------------
+
+
+def fold_name_docs(spark, d):
+    doc = t(spark, d, "documents").select("doc_id", F.col("text"))
+    return doc.select("doc_id", F.sha2(text.fold_name(F.col("text")), 256).alias("folded"), F.length(text.fold_name_nordic(F.col("text"))).alias("nordic"))
+
+
+def name_keys(spark, d):
+    return t(spark, d, "part").select("p_partkey", F.concat_ws("|", text.keys_for(F.concat(F.lit("The "), _artist()))).alias("keys"))
+
+
+def split_credits_bills(spark, d):
+    p = t(spark, d, "part")
+    sep = F.element_at(F.array(*map(F.lit, (" + ", " feat. ", " & ", " x ", " / ", " med "))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    bill = F.concat(F.lit("Support: "), F.col("p_name"), sep, F.col("p_brand"), F.lit(" (UK)"))
+    return p.select("p_partkey", F.concat_ws("|", text.split_credits(bill)).alias("names"), text.primary_artist(bill).alias("primary"))
+
+
+def tribute_flag(spark, d):
+    p = t(spark, d, "part")
+    tail = F.element_at(F.array(*map(F.lit, (" Tribute", " Experience Hendrix", " experience", " coverband", " discover", " jukebox hits", ""))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    title = F.concat("p_name", tail)
+    return p.select("p_partkey", text.looks_like_tribute(title).alias("is_tribute"), text.tribute_stem(F.concat("p_name", F.when(F.col("p_size") > 25, " Mania").otherwise(" Band"))).alias("stem"))
+
+
+def edit_distance(spark, d):
+    n = t(spark, d, "nation").select(F.lower("n_name").alias("x"))
+    s = t(spark, d, "part").select(F.lower("p_name").alias("y")).distinct()
+    return s.crossJoin(F.broadcast(n)).select("x", "y", text.edit_distance(F.col("x"), F.col("y"), 6).alias("d"), text.nearly_equal(F.col("x"), F.col("y")).alias("near"))  # 25 nations
+
+
+def html_links(spark, d):
+    p = t(spark, d, "pages")
+    base = F.concat(F.lit("https://"), html.host_of(F.col("url")))
+    links = html.links_from(F.col("html"), base)
+    return p.select("page_id", F.size(links).alias("n"), F.sha2(F.concat_ws(",", links), 256).alias("links"))
+
+
+def html_title(spark, d):
+    p = t(spark, d, "pages")
+    return p.select("page_id", html.title_of(F.regexp_replace("html", "(?is)<h1.*?</h1>", ""), numeric=False).alias("title"))
+
+
+def strip_tags(spark, d):
+    p = t(spark, d, "pages")
+    return p.select("page_id", F.sha2(html.strip_tags(F.col("html"), numeric=False), 256).alias("body"))
+
+
+def url_host(spark, d):
+    return t(spark, d, "pages").select("page_id", html.host_of(F.col("url")).alias("host"))
+
+
+def meta_tags(spark, d):
+    p = t(spark, d, "pages")
+    wrapped = F.concat(F.lit('<meta content="'), F.col("url"), F.lit('" property="og:title"><meta name=\'twitter:image\' content=\'img '), F.col("page_id").cast("string"), F.lit("'>"), F.col("html"))
+    return p.select("page_id", html.meta_of(wrapped, ["og:title"]).alias("title"), html.meta_of(wrapped, ["og:image", "twitter:image"]).alias("image"))
+
+
+def page_surfaces(spark, d):
+    s = html.surfaces(F.col("html"))
+    return t(spark, d, "pages").select("page_id", s["json_ld"].alias("json_ld"), s["next_data"].alias("next_data"), F.size(s["iso_dates"]).alias("dates"), F.concat_ws(",", html.platforms(F.col("html"))).alias("platforms"))
+
+
+def ticket_links(spark, d):
+    p = t(spark, d, "pages")
+    page = F.concat(F.col("html"), F.lit("<a href='https://x.example/1'>a</a><a href='https://www.BILLETTO.dk/e/"), F.col("page_id").cast("string"), F.lit("'>b</a><a href='https://ticketmaster.dk/z'>"))
+    return p.select("page_id", html.ticket_of(page).alias("ticket"))
+
+
+def title_rules(spark, d):
+    p = t(spark, d, "part")
+    head = F.element_at(F.array(*map(F.lit, ("UDSOLGT: ", "AFLYST - ", "Flyttet: ", "EKSTRAKONCERT - ", ""))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    tail = F.when(F.col("p_partkey") % 3 == 0, "musikquiz").otherwise(" live")
+    title = F.concat(head, "p_name", tail)
+    return p.select("p_partkey", html.clean_title(title).alias("title"), html.detect_status(title).alias("status"), html.looks_non_musical(title).alias("non_musical"))
+
+
+# --- sources: round trips ----------------------------------------------------------
+
+
+def _ld(raw):
+    return F.concat(F.lit("<html><script type=\"application/ld+json\">"), raw, F.lit("</script><p>x</p></html>"))
+
+
+def _ld_rows(spark, d, repair):
+    p = t(spark, d, "part")
+    node = F.to_json(F.struct(F.lit("MusicEvent").alias("@type"), F.col("p_name").alias("name"), F.concat(F.lit("2026-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0")).alias("startDate"), F.col("p_brand").alias("url"), F.struct(F.col("p_type").alias("name")).alias("location")))
+    raw = F.concat(F.lit('{"@graph":[{"@type":"Thing","name":"no"},'), node, F.lit(",]}" if repair else "]}"))
+    ev = structured.json_ld_events(p.select("p_partkey", _ld(raw).alias("html")), "p_partkey")
+    return ev.select("p_partkey", "name", "start", "url", "location")
+
+
+def jsonld_roundtrip(spark, d):
+    return _ld_rows(spark, d, False)
+
+
+def jsonld_repair_roundtrip(spark, d):
+    return _ld_rows(spark, d, True)
+
+
+def deep_key_roundtrip(spark, d):
+    p = t(spark, d, "part")
+    day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), F.col("p_size")), "yyyy-MM-dd")
+    raw = F.to_json(F.struct(F.col("p_name").alias("title"), F.struct(F.struct(F.lit("1999").alias("dato"), day.alias("start"), F.concat(F.lit("https://t/"), F.col("p_brand")).alias("link_til_billetter")).alias("inner"), F.lit("2031-01-01").alias("start")).alias("acf")))
+    rows = p.select("p_partkey", F.replace(raw, F.lit(',"start":"2031-01-01"'), F.lit("")).alias("json"))
+    return structured.dig_date(rows, "p_partkey", "json").join(structured.dig_ticket(rows, "p_partkey", "json"), "p_partkey")
+
+
+def hydration_roundtrip(spark, d):
+    p = t(spark, d, "part")
+    node = F.to_json(F.struct(F.col("p_name").alias("title"), F.concat(F.lit("2026-03-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"), F.lit("T20:00:00")).alias("startDate"), F.struct(F.col("p_brand").alias("name")).alias("venue"), F.col("p_retailprice").alias("price"), F.when(F.col("p_type") == "ECONOMY", "Aflyst").alias("status")))
+    page = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"nav":[{"title":"Cookie policy","date":"2026-01-01"}],"events":['), node, F.lit("]}}</script>"))
+    return structured.hydration_events(p.select("p_partkey", page.alias("html")), "p_partkey").select("p_partkey", "title", "start_date", "status")
+
+
+def wordpress_roundtrip(spark, d):
+    p = t(spark, d, "part")
+    body = F.concat(F.lit("<p>Onsdag "), (F.col("p_size") % 28 + 1).cast("string"), F.lit(". november 2026 kl. 20.00</p>"))
+    raw = F.to_json(F.struct(F.struct(F.concat(F.lit("UDSOLGT: "), F.col("p_name")).alias("rendered")).alias("title"), F.struct(F.when(F.col("p_partkey") % 2 == 0, body).otherwise("<p>snart</p>").alias("rendered")).alias("content"), F.lit("https://x/y").alias("link"), F.lit("2026-01-05").alias("publ")))
+    return structured.wordpress_events(p.select("p_partkey", raw.alias("json")), "p_partkey", "json", dt.date(2026, 8, 12)).select("p_partkey", "title", "start_date", "reason")
+
+
+def html_event_reasons(spark, d):
+    p = t(spark, d, "pages")
+    day = F.element_at(F.array(*map(F.lit, ("Onsdag 11. november 2026", "Den 27. august", "ingen dato", "11.11.26"))), (F.col("page_id") % 4 + 1).cast("int"))
+    title = F.concat(F.when(F.col("page_id") % 9 == 0, "Program ").when(F.col("page_id") % 9 == 1, "Musikquiz ").otherwise("Band "), F.col("page_id").cast("string"))
+    page = F.concat(F.lit("<html><h1>"), title, F.lit("</h1><p>"), day, F.lit("</p></html>"))
+    return structured.html_events(p.select("page_id", "url", page.alias("html")), "page_id", dt.date(2026, 8, 12)).select("page_id", "title", "start_date", F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
+def danish_date_roundtrip(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    months = F.array(*map(F.lit, ("januar", "februar", "marts", "april", "maj", "juni", "juli", "august", "september", "oktober", "november", "december")))
+    a = F.concat(F.lit("Onsdag den "), F.dayofmonth("day").cast("string"), F.lit(". "), F.element_at(months, F.month("day")), F.lit(" "), F.year("day").cast("string"), F.lit(" kl. 20.30"))
+    b = F.concat(F.lit("(ons.) "), F.date_format("day", "dd.MM.yyyy"))
+    c = F.concat(F.lit("x 20"), F.date_format("day", "yy-MM-dd"), F.lit("T19:05"))
+    said = F.when(F.col("o_orderkey") % 3 == 0, a).when(F.col("o_orderkey") % 3 == 1, b).otherwise(c)
+    best = dates.best_event_date(said, TODAY)
+    return o.select("o_orderkey", F.year("day").alias("y"), best.alias("b")).select("o_orderkey", F.to_date("b.date").alias("found"), F.col("b.time").alias("time"), F.col("b.confidence").alias("confidence"))
+
+
+def csv_roundtrip(spark, d):
+    p = t(spark, d, "part")
+    q = F.lit('"')
+    line = F.concat(q, F.col("p_name"), F.lit(' ""live"", '), F.col("p_brand"), q, F.lit(";"), F.col("p_type"), F.lit(";"), (F.col("p_size") * 1000).cast("string"), F.lit(";2024-01-02"))
+    body = F.concat(F.lit("Artist Name;Track;ms_played;ts\r\n"), line, F.lit("\r\n"))
+    plays, _ = listening.plays_of(p.select(F.col("p_partkey").alias("user_id"), body.alias("text")))
+    return plays.select("user_id", "artist", "track", "ms", "at")
+
+
+def json_shapes_roundtrip(spark, d):
+    p = t(spark, d, "part")
+    a = F.to_json(F.array(F.struct(F.lit("2024-01-01T00:00:00Z").alias("ts"), (F.col("p_size") * 1000).alias("ms_played"), F.col("p_name").alias("master_metadata_album_artist_name"), F.col("p_type").alias("master_metadata_track_name"))))
+    b = F.to_json(F.array(F.struct(F.lit("2020-01-09 15:15").alias("endTime"), (F.col("p_size") * 1000).alias("msPlayed"), F.col("p_name").alias("artistName"), F.col("p_type").alias("trackName"))))
+    body = F.when(F.col("p_partkey") % 2 == 0, a).otherwise(b)
+    plays, _ = listening.plays_of(p.select(F.col("p_partkey").alias("user_id"), body.alias("text")))
+    return plays.select("user_id", "artist", "track", "ms", "at", "from")
+
+
+def typed_list_roundtrip(spark, d):
+    s = t(spark, d, "supplier")
+    body = s.groupBy(F.col("s_nationkey").alias("user_id")).agg(F.array_join(F.array_sort(F.collect_list("s_name")), "\n").alias("text"))
+    plays, _ = listening.plays_of(body)
+    return plays.select("user_id", "artist", r6("ms").alias("ms"))
+
+
+def zip_roundtrip(spark, d):
+    """Suppliers of each nation as a CSV inside a zip built in Spark, unzipped and read again."""
+    @F.pandas_udf("binary")
+    def pack(s: pd.Series) -> pd.Series:
+        def one(body):
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("history/plays.csv", body)
+                z.writestr("Technical/log.json", "{}")
+                z.writestr("README.md", "no")
+            return raw.getvalue()
+
+        return s.map(one)
+
+    s = t(spark, d, "supplier")
+    line = F.concat(F.col("s_name"), F.lit(","), F.col("s_suppkey").cast("string"))
+    body = s.groupBy(F.col("s_nationkey").cast("string").alias("path")).agg(F.concat(F.lit("artist,plays\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("b"))
+    files = listening.unzip(body.select("path", pack("b").alias("content")))
+    plays, _ = listening.plays_of(files.select(F.col("archive").alias("user_id"), "text"))
+    return plays.select(F.col("user_id").cast("int").alias("nation"), "artist", "plays", "ms")
+
+
+def robots_longest_match(spark, d):
+    robots = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en # no\nAllow: /en/1\nDisallow: /*7$\nCrawl-delay: 30\n"
+    p = t(spark, d, "pages").select("page_id", F.lit("h").alias("host"), F.try_parse_url("url", F.lit("PATH")).alias("path"))
+    files = spark.createDataFrame([("h", robots)], "host string, text string")
+    out = rules.robots_allowed(p, rules.robots_groups(files), "page_id")
+    return out.select("page_id", "allowed", rules.crawl_delay(F.lit(robots)).alias("delay"))
+
+
+def sitemap_roundtrip(spark, d):
+    p = t(spark, d, "pages")
+    leaf = p.groupBy((F.col("page_id") % 4).alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), "\n").alias("body"))
+    leaf = leaf.select(F.concat(F.lit("https://x/map-"), F.col("g").cast("string")).alias("url"), "body").select("url", F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")).alias("xml"))
+    root = leaf.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml")).select(F.lit("https://x/root").alias("url"), "xml")
+    return structured.sitemap_urls(leaf.unionByName(root), ["example"], most=10**9).select("page")
+
+
+def month_partitions(spark, d):
+    nations = [r["n_name"] for r in t(spark, d, "nation").select("n_name").collect()]  # 25 rows
+    return structured.month_windows(spark, nations, dt.date(2026, 8, 12), 14)
+
+
+def discovery_roundtrip(spark, d):
+    p = t(spark, d, "part")
+    raw = F.to_json(
+        F.struct(
+            F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"),
+            F.struct(F.struct(F.lit("2026-09-01").alias("localDate"), F.lit("20:30:00").alias("localTime")).alias("start"), F.struct(F.when(F.col("p_size") % 3 == 0, "offsale").when(F.col("p_size") % 3 == 1, "cancelled").alias("code")).alias("status")).alias("dates"),
+            F.array(F.struct(F.lit("a").alias("url"), F.lit(1).alias("width")), F.struct(F.col("p_brand").alias("url"), F.col("p_size").alias("width"))).alias("images"),
+            F.struct(F.array(F.struct(F.col("p_brand").alias("name"), F.struct(F.lit("DK").alias("countryCode")).alias("country"))).alias("venues")).alias("_embedded"),
+        )
+    )
+    e = structured.discovery_events(p.select("p_partkey", raw.alias("j")), "p_partkey", "j")
+    return e.select("p_partkey", "title", "venue_name", "country", "start_time", "image", "start_date")
+
+
+def tag_lookup_roundtrip(spark, d):
+    p = t(spark, d, "part")
+    raw = F.format_string('{"artists":[{"id":"0","name":"Nobody","score":99},{"id":"%s","name":"%s","score":50,"tags":[{"name":"Low","count":0},{"name":"%s","count":%d},{"name":"ROCK","count":20}]}]}', "p_brand", F.upper("p_name"), "p_type", "p_size")
+    out = structured.tag_lookup(p.select("p_partkey", "p_name", raw.alias("j")), "p_name", "j")
+    return out.groupBy("p_name", "mbid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tags")).cast("long").alias("tags"), F.count_if(F.get("tags", 0)["name"] == "rock").alias("rock_first"))
+
+
+def similar_scores(spark, d):
+    li = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.to_json(F.slice(F.array_sort(F.collect_list(F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").cast("string").alias("name"), F.col("l_quantity").alias("score")))), 1, 80)).alias("j"))
+    s = structured.similar_lookup(li, "l_suppkey", "j")
+    return s.select("l_suppkey", F.size("similar").alias("n"), r6(F.aggregate("similar", F.lit(0.0), lambda a, x: a + x["score"])).alias("total"))
+
+
+def explain_text(spark, d):
+    p = t(spark, d, "part")
+    kind = F.element_at(F.array(*map(F.lit, ("direct", "similar", "tag"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    best = F.struct(kind.alias("kind"), F.col("p_name").alias("via"), F.array("p_type", "p_brand", F.lit("z")).alias("tags"))
+    return p.select("p_partkey", rec.explain(best).alias("en"), rec.explain(best, "da").alias("da"))
+
+
+def list_size_rule(spark, d):
+    p = t(spark, d, "part")
+    k = scalars.effective_count(F.col("p_size"), F.col("p_partkey").cast("int") % 11)
+    return p.select("p_partkey", k.alias("k"), scalars.discovery_quota(k).alias("quota"), scalars.js_round(F.col("p_retailprice") / 7, 2).alias("rounded"))
+
+
+# --- flagship -------------------------------------------------------------------
+
+
+def _flagship_tables(spark, d):
+    """A listener is a nation's market segment and hears the brands its customers ordered; suppliers are rooms that play them next year."""
+    li, p, o, c, s, n = (t(spark, d, x) for x in ("lineitem", "part", "orders", "customer", "supplier", "nation"))
+    listener = F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment")
+    owner = o.select("o_orderkey", "o_custkey").join(c.select("c_custkey", listener.alias("user_id")), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "user_id")
+    act = p.select("p_partkey", _artist().alias("artist"), "p_type", "p_size")
+    bought = li.select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate").join(act, F.col("l_partkey") == F.col("p_partkey")).join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
+    plays = bought.select("user_id", "artist", (F.col("l_quantity") * 100_000).alias("ms"), F.col("l_shipdate").cast("timestamp").alias("at"), F.lit(None).cast("double").alias("plays"), F.lit("csv").alias("from"))
+    liked = taste.weights(taste.listening(taste.valid_plays(plays), F.lit("2001-12-01").cast("timestamp")))
+    show = F.date_add(F.lit("2001-12-01").cast("date"), (F.pmod(F.xxhash64("s_suppkey", "artist"), F.lit(420))).cast("int"))
+    room = s.join(corpus.small(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name", scalars.size_class(F.floor("s_acctbal")).alias("size_class"))
+    sold = li.select("l_suppkey", "l_partkey").join(act, F.col("l_partkey") == F.col("p_partkey")).groupBy("artist").agg(F.min("l_suppkey").alias("a"), F.max("l_suppkey").alias("b"))
+    shows = sold.select("artist", F.explode(F.array_distinct(F.array("a", "b"))).alias("s_suppkey")).join(room, "s_suppkey")
+    events = shows.select(
+        F.concat_ws("/", "artist", F.col("s_suppkey").cast("string")).alias("event_id"), F.col("artist").alias("title"), F.array("artist").alias("artists"), show.alias("start_date"), F.lit("scheduled").alias("status"),
+        F.col("s_suppkey").cast("string").alias("venue_id"), F.col("s_name").alias("venue_name"), F.col("n_name").alias("country"), F.lit(None).cast("string").alias("city"), "size_class", F.lit(False).alias("is_tribute"),
+    ).withColumn("ord", F.concat_ws("|", F.col("start_date").cast("string"), "title", "venue_id"))
+    tags = act.groupBy("artist", "p_type").agg(F.count(F.lit(1)).cast("int").alias("count")).groupBy("artist").agg(F.array_sort(F.collect_list(F.struct(F.lower("p_type").alias("name"), "count"))).alias("tags"))
+    similar = act.groupBy("artist").agg(F.array(F.struct(F.concat_ws(" ", F.split(F.first("artist"), " Brand")[0], F.lit("Brand#1")).alias("name"), F.lit(0.8).alias("score"))).alias("similar"))
+    index = tags.join(similar, "artist").select(text.fold_name(F.col("artist")).alias("key"), "tags", "similar")
+    return liked.select("user_id", "name", "rank", "weight"), events, index
+
+
+OPTIONS = rec.RecommendOptions(from_date="2001-12-01")
+
+
+def recommend_flagship(spark, d):
+    picks, _ = rec.recommend(*_flagship_tables(spark, d), OPTIONS)
+    return picks.select("user_id", "event_id", "title", "start_date", "venue_name", r6("score").alias("score"), r6("rank").alias("rank"), "kind", "via", "pick_order", "why", "discovery")
+
+
+def recommend_diagnostics(spark, d):
+    _, diag = rec.recommend(*_flagship_tables(spark, d), OPTIONS)
+    return diag
+
+
+def direct_evidence_score(spark, d):
+    """Noisy-or of direct evidence, thresholded and ranked: the smallest end-to-end slice."""
+    liked, events, _ = _flagship_tables(spark, d)
+    keys = taste.taste_keys(liked)
+    e = events.select("event_id", "venue_id", F.posexplode(text.keys_for(F.col("title"))).alias("pos", "key"))
+    hit = e.join(keys.select("user_id", "key", "weight"), "key").groupBy("user_id", "event_id").agg(F.min_by("weight", "pos").alias("s"))
+    return hit.filter(F.col("s") >= 0.18).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), r6(F.max("s")).alias("best"), r6(scalars.noisy_or(F.array_sort(F.collect_list("s")))).alias("any"))
+
+
+def windowed_event_counts(spark, d):
+    """Extension: the streaming aggregate, run as a batch."""
+    from nightjar.streaming.decay import windowed_counts
+
+    out = windowed_counts(t(spark, d, "events"))
+    return out.select(F.date_format("from_ts", "yyyy-MM-dd HH:mm:ss").alias("from_ts"), "event_type", "n", r6("total").alias("total"))
+
+
+
+def _plain(f):
+    """Dates as ISO text, so that engines agree on their rendering."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = f(spark, d)
+        return df.select(*(F.col(c).cast("string").alias(c) if kind == "date" else F.col(c) for c, kind in df.dtypes))
+
+    return run
+
+
+QUERIES = {
+    f.__name__: _plain(f)
+    for f in (
+        recommend_flagship, recommend_diagnostics, direct_evidence_score, filter_cascade_counts, corpus_filter_counts, reason_samples, listening_decay_agg, noisy_or_score, taste_weights,
+        dedupe_first_wins_coalesce, recurring_filter, size_class_join, billing_frequency, source_summary, keyed_upsert, artist_index_last_wins, stale_names, top_k_per_group, corpus_sort, month_spine, validate_rows,
+        tag_vector_cosine, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, fold_name_docs, name_keys, split_credits_bills, tribute_flag, edit_distance,
+        html_links, html_title, strip_tags, url_host, meta_tags, page_surfaces, ticket_links, title_rules, jsonld_roundtrip, jsonld_repair_roundtrip, deep_key_roundtrip, hydration_roundtrip, wordpress_roundtrip,
+        html_event_reasons, danish_date_roundtrip, csv_roundtrip, json_shapes_roundtrip, typed_list_roundtrip, zip_roundtrip, robots_longest_match, sitemap_roundtrip, month_partitions, discovery_roundtrip,
+        tag_lookup_roundtrip, similar_scores, explain_text, list_size_rule, windowed_event_counts,
+    )
+}
