@@ -10,9 +10,11 @@ at the similarity threshold fails to with a probability below ``MISS``.
 Equal sets are one node.  In each bucket of a key every node is first compared
 with the bucket's least node only, on full shingle sets.  After the components
 of these links, buckets whose other nodes still lie in several components are
-compared block by block on signatures, and what is near enough is confirmed on
-full sets.  So no link between different components is lost, and no bucket is
-ever expanded into all its pairs.
+compared block by block on odd sketches, bitmaps that hold the parity of the
+shingles hashed to each bit.  Two sketches differ in no more bits than the sets in
+shingles, so a pair that is too far apart is dismissed for certain, and the few that
+are left are confirmed on full sets.  So no link between different components is
+lost, and no bucket is ever expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from .shared import materialise
 PARTS, WIDTH = 6, 3
 MISS = 2e-6
 BLOCK = 512
+SKETCH_BITS, SKETCHED = 2048, 1024
 SALT_ROWS = 256
 
 
@@ -76,6 +79,27 @@ def _signatures(h: np.ndarray, at: np.ndarray, symbols: int) -> np.ndarray:
     return out
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """How often a set is halved before it is sketched: until SKETCHED shingles or fewer are expected."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / SKETCHED))).astype(np.int64)
+
+
+def _sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(documents, bytes): parity of the sampled shingles at each bit."""
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
+    stay = (h >> K.U64(40)) & ((K.U64(1) << _level(n).astype(K.U64))[doc] - K.U64(1)) == 0
+    spot = doc[stay] * SKETCH_BITS + (h[stay] & K.U64(SKETCH_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(spot, minlength=len(n) * SKETCH_BITS) & 1).astype(np.uint8).reshape(len(n), SKETCH_BITS), axis=1)
+
+
+def _most_apart(n: np.ndarray, m: int, level: int, percent: int) -> np.ndarray:
+    """Sketch bits in which linked sets of ``n`` and ``m`` shingles may differ; six deviations for sampled ones."""
+    apart = (n + m) * (100 - percent) / (100 + percent)
+    share = 0.5**level
+    return np.floor(apart + 1e-9) if level == 0 else apart * share + 6 * np.sqrt(apart * share) + 1
+
+
 def _keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     """(rows, keys): one key for each chunk and choice of two of its parts."""
     parts = sig.reshape(len(sig), chunks * PARTS, WIDTH).astype(K.U64)
@@ -89,7 +113,7 @@ def _keys(sig: np.ndarray, chunks: int) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, words: int, chunks: int) -> DataFrame:
-    """(uid, id, text_hash, n, s1, s2, sig) of every row."""
+    """(uid, id, text_hash, n, s1, s2, sig, sketch) of every row."""
     symbols = chunks * PARTS * WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,12 +125,11 @@ def _describe(docs: DataFrame, words: int, chunks: int) -> DataFrame:
                 s1, s2 = _fingerprints(h, at)
                 sig = np.zeros((len(n), symbols), np.uint16)
                 sig[n > 0] = _signatures(h, at, symbols)
-                width = symbols * 2
-                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * width).astype(np.int32)), pa.py_buffer(sig.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(part) << 36) + made + np.arange(len(n))), rows.column(0), rows.column(2), pa.array(n), pa.array(s1), pa.array(s2), packed], ["uid", "id", "text_hash", "n", "s1", "s2", "sig"])
+                fixed = lambda x: pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * (x.shape[1] * x.itemsize)).astype(np.int32)), pa.py_buffer(x.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(part) << 36) + made + np.arange(len(n))), rows.column(0), rows.column(2), pa.array(n), pa.array(s1), pa.array(s2), fixed(sig), fixed(_sketches(h, at))], ["uid", "id", "text_hash", "n", "s1", "s2", "sig", "sketch"])
                 made += len(n)
 
-    schema = T.StructType([T.StructField("uid", T.LongType()), docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "n", "s1", "s2")), T.StructField("sig", T.BinaryType())])
+    schema = T.StructType([T.StructField("uid", T.LongType()), docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "n", "s1", "s2")), T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -180,26 +203,27 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
     return dealt.mapInArrow(compare, "u long, v long").distinct()
 
 
-def _near_in_blocks(rest: DataFrame, nodes: DataFrame, chunks: int, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components whose signatures are near, by blocks of the bucket."""
-    symbols = chunks * PARTS * WIDTH
-    p = 1 - percent / 100
-    limit = math.ceil(symbols * p + 6.5 * math.sqrt(symbols * p * (1 - p)))
+def _near_in_blocks(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components whose sketches are near, by blocks of the bucket."""
+    ones = np.array([bin(x).count("1") for x in range(256)], np.uint8)
     sizes = rest.groupBy("key").agg(F.ceil(F.count("uid") / BLOCK).cast("int").alias("blocks"))
-    rows = rest.join(sizes, "key").join(nodes.select("uid", "sig"), "uid").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    rows = rest.join(sizes, "key").join(nodes.select("uid", "n", "sketch"), "uid").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     # block pair (i, j), i <= j: a row goes to all pairs with its block
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "label", "sig")
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "label", "n", "sketch")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        uid, label, own = (table.column(c).to_numpy() for c in ("uid", "label", "own"))
-        sig = _unpack(table.column("sig"), symbols)
+        uid, label, own, n = (table.column(c).to_numpy() for c in ("uid", "label", "own", "n"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(uid), SKETCH_BITS // 8)
+        level = _level(n)
         u, v = [], []
         i, j = key[1].as_py(), key[2].as_py()
         a = np.flatnonzero(own == i)
         b = np.flatnonzero(own == j)
         for x in a.tolist():
             y = b[(label[b] != label[x]) & ((uid[b] < uid[x]) | (i != j))]
-            y = y[(sig[y] != sig[x]).sum(1) <= limit]
+            y = y[(100 * n[y] >= percent * n[x]) & (100 * n[x] >= percent * n[y])]  # sizes alone rule a link out
+            apart = ones[sketch[y] ^ sketch[x]].sum(1, dtype=np.int64)
+            y = y[(level[y] != level[x]) | (apart <= _most_apart(n[y], int(n[x]), int(level[x]), percent))]
             u += uid[y].tolist()
             v += [int(uid[x])] * len(y)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -224,7 +248,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     rows = materialise(_describe(narrow.withColumn("text_hash", F.xxhash64("text")), words, chunks), "signatures")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
     equal = materialise(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(order)["uid"].alias("rep")), "sets")
-    member = materialise(rows.drop("sig").join(equal, ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid"))), "members")
+    member = materialise(rows.drop("sig", "sketch").join(equal, ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid"))), "members")
     nodes = rows.join(equal.select(F.col("rep").alias("uid")), "uid", "left_semi")
 
     keyed = _buckets(nodes, chunks)
@@ -238,7 +262,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("key")
     rest = materialise(labelled.join(materialise(mixed, "mixed"), "key", "left_semi"), "rest")
     if not rest.isEmpty():
-        near = materialise(_near_in_blocks(rest, nodes, chunks, percent), "near")
+        near = materialise(_near_in_blocks(rest, nodes, percent), "near")
         done = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         more = materialise(_confirm(near.join(done, ["u", "v"], "left_anti"), nodes, narrow, words, percent), "more")
         if not more.isEmpty():
