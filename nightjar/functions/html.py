@@ -7,7 +7,7 @@ import json
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import udtf
 
 from .text import squeeze
@@ -21,7 +21,7 @@ TICKET_HOSTS = (
 SECTIONS = ("program", "kalender", "calendar", "events?", "koncerter", r"alle\s", "forside", "home", "nyheder", "news", "billetter", "tickets", r"om\s", "about", "kontakt", "contact", "praktisk", "faq", "privatliv", "cookie")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _numeric_entities(s):
     """Decode numeric character references; nothing else needs Python."""
     one = re.compile(r"&#(?:[xX]([0-9A-Fa-f]+)|(\d+));")
