@@ -65,25 +65,31 @@ class KernelModel:
         return ((x @ self.landmarks) / size[:, None]) @ self.weights
 
 
-def fit(x: np.ndarray, y: list[str], landmarks: int = 256, ridge: float = 1e-2) -> KernelModel | None:
-    """Kernel ridge regression on ``x`` (presence rows); landmarks are dealt evenly over the languages."""
+def fit(bits: np.ndarray, y: list[str], landmarks: int = 256, ridge: float = 1e-2) -> KernelModel | None:
+    """Kernel ridge regression on packed presence rows; landmarks are dealt evenly over the languages.
+
+    Rows are unpacked ROWS at a time, so the driver holds the packed sample and the landmarks.
+    """
     languages = sorted(set(y))
     if not languages:
         return None
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(rows, axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
     names = np.array(y)
-    by = [np.flatnonzero(names == lang) for lang in languages]
-    chosen = np.concatenate([rows[: max(1, landmarks // len(languages))] for rows in by])
-    unit = x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    z = unit[chosen]
+    chosen = np.concatenate([np.flatnonzero(names == lang)[: max(1, landmarks // len(languages))] for lang in languages])
+    z = unit(bits[chosen])
     value, vector = np.linalg.eigh((z @ z.T).astype(float))
     good = value > 1e-6 * max(value.max(), 1e-12)
     white = vector[:, good] / np.sqrt(value[good])
-    phi = (unit @ z.T) @ white
+    phi = np.concatenate([(unit(bits[k : k + ROWS]) @ z.T) @ white for k in range(0, len(bits), ROWS)])
     target = (names[:, None] == np.array(languages)[None, :]).astype(float)
     balance = (1 / np.maximum(target.sum(0), 1))[target.argmax(1)] * len(names) / len(languages)
     gram = phi.T @ (phi * balance[:, None]) + ridge * len(names) / 100 * np.eye(phi.shape[1])
     weights = white @ np.linalg.solve(gram, phi.T @ (target * balance[:, None]))
-    return KernelModel(languages, np.ascontiguousarray(z.T.astype(np.float32)), weights.astype(np.float32))
+    return KernelModel(languages, np.ascontiguousarray(z.T), weights.astype(np.float32))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_language: int = 1_000, max_rows: int = 20_000) -> KernelModel | None:
@@ -112,8 +118,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in bits], pa.binary()), part.column(1), part.column(2)], ["bits", "own", "h"])
 
     rows = texts.mapInArrow(run, "bits binary, own string, h long").limit(max_rows).toPandas().sort_values(["h", "own", "bits"])
-    x = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), DIMS // 8), axis=1).astype(np.float32)
-    return fit(x, rows["own"].tolist())
+    return fit(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), DIMS // 8), rows["own"].tolist())
 
 
 def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
