@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import kernels as K
 from .graph import components
-from .shared import materialise
+from .shared import materialise, release
 
 PARTS, WIDTH = 6, 3
 MISS = 2e-6
@@ -167,7 +167,8 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
     wanted = jobs.groupBy("uid").agg(F.collect_list(F.struct("c", "salt", "role")).alias("jobs"))
     named = wanted.join(nodes.select("uid", "id", "s1", "s2"), "uid").select(F.struct("id").alias("key"), "uid", "s1", "s2", "jobs")
     named = materialise(named, "jobs")
-    texts = docs.select(F.struct("id").alias("key"), "text").join(named, "key").select("text", "uid", "s1", "s2", "jobs")
+    # the wanted nodes grow with the input: never broadcast
+    texts = docs.select(F.struct("id").alias("key"), "text").join(named.hint("merge"), "key").select("text", "uid", "s1", "s2", "jobs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +255,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     keyed = _buckets(nodes, chunks)
     shared = keyed.groupBy("key").agg(F.min("uid").alias("centre"), F.max("uid").alias("last")).filter("centre != last").select("key", "centre")
     active = materialise(keyed.join(materialise(shared, "shared"), "key").filter("uid != centre"), "buckets")
+    release(docs.sparkSession)
     links = materialise(_confirm(active.select(F.col("uid").alias("u"), F.col("centre").alias("v")).distinct(), nodes, narrow, words, percent), "links")
+    release(docs.sparkSession)
     roots = components(links)
 
     # other nodes of a bucket in several components
@@ -263,6 +266,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     rest = materialise(labelled.join(materialise(mixed, "mixed"), "key", "left_semi"), "rest")
     if not rest.isEmpty():
         near = materialise(_near_in_blocks(rest, nodes, percent), "near")
+        release(docs.sparkSession)
         done = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         more = materialise(_confirm(near.join(done, ["u", "v"], "left_anti"), nodes, narrow, words, percent), "more")
         if not more.isEmpty():

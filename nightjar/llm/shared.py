@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +35,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # the write's shuffle files are done with: let Spark clean them
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now.
+
+    They go once the driver's garbage collector finds their plans unreachable, which
+    on a quiet driver may be long after; the pauses let end-of-query events pass.
+    """
+    for _ in range(3):
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder through Hadoop's file system API."""
     jvm = spark.sparkContext._jvm

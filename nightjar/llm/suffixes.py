@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import kernels as K
-from .shared import materialise
+from .shared import materialise, release
 
 WINDOW, SEED = 50, 24
 REACH = WINDOW - SEED  # largest offset of a minimiser in its window
@@ -334,7 +334,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = max(0, min(28, (-(-total // PART_BYTES) - 1).bit_length())) if total else 0
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("low", "tie"), F.lit(n_blocks)).cast("long"))
     twice = materialise(_held_twice(blocks, bits), "seeds")
+    release(docs.sparkSession)
     marks = materialise(_marks(_runs(blocks, twice, bits)), "marks")
+    release(docs.sparkSession)
 
     def apply(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
