@@ -188,7 +188,8 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
         centre, held = None, np.zeros(0, K.U64)
         for b in batches:
             u, v = [], []
-            for c, salt, role, uid, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            parts = (b.slice(at, 500) for at in range(0, b.num_rows, 500))
+            for c, salt, role, uid, raw in (row for part in parts for row in zip(*(x.to_pylist() for x in part.columns), strict=True)):
                 own = np.frombuffer(raw, K.U64)
                 if role == 0:
                     centre, held = (c, salt), own

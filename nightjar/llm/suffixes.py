@@ -91,7 +91,8 @@ def _entries(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _code(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part of a seed, and 32 further bits of it."""
+    """Part of a seed, and 32 further bits of it; minimisers have small hashes, so they are mixed anew."""
+    seed = K.mix(seed ^ K.U64(0xA0761D6478BD642F))
     return (seed >> K.U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seed), np.int64), ((seed >> K.U64(32 - bits)) & K.U64(0xFFFFFFFF)).astype(np.uint32)
 
 

@@ -21,7 +21,7 @@ from . import kernels as K
 from .shared import scratch_path
 
 END_ID = 2
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _encoders: dict[str, K.CachedEncoder] = {}
 
 
