@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BROADCAST_BYTES = 32 << 20
@@ -13,6 +15,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the session names; one of our own only where it names none."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nightjar-"))
+    return df.checkpoint()
+
+
 def merge_key(venue: str = "venue_id", day: str = "start_date", title: str = "title") -> Column:
     """Same room, same night, same bill."""
     return F.concat_ws("|", venue, F.col(day).cast("string"), F.regexp_replace(F.lower(title), r"\s+", " "))

@@ -6,18 +6,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nightjar.functions.scalars import discovery_quota, effective_count, noisy_or, rank_score, tag_weight, usable_tag
 from nightjar.functions.text import fold_name, looks_like_tribute
 from nightjar.operators import match, rules, vectors
+from nightjar.operators.corpus import cut
 from nightjar.operators.taste import taste_keys
 
 # fixed values: weights of the kinds of evidence, the tag gate, the pair similarity
 DIRECT, SIMILAR, TAG, TAG_GATE = 1.0, 0.62, 0.34, 0.12
 OVERLAP, TAGS, SAME_VENUE, SAME_MONTH = 0.55, 0.25, 0.12, 0.08
-KEEP = StorageLevel.MEMORY_AND_DISK
 ROOM_ORDER = {"club": 0, "mid": 1, "large": 2, "arena": 3}
 UNKNOWN_ROOM, CLOSE_ENOUGH, BILLED = 9, 0.9, 8
 
@@ -61,8 +60,8 @@ def evidence(events: DataFrame, taste: DataFrame, index: DataFrame) -> DataFrame
     similar artists, tag vectors.
     """
     billed = events.select("event_id", F.posexplode(F.slice(F.when(F.size("artists") > 0, F.col("artists")).otherwise(F.array("title")), 1, BILLED)).alias("pos", "artist"))
-    keys = taste_keys(taste).persist(KEEP)
-    billed = billed.withColumn("keys", match.keys_for(F.col("artist"))).persist(KEEP)
+    keys = cut(taste_keys(taste))
+    billed = cut(billed.withColumn("keys", match.keys_for(F.col("artist"))))
     none = F.lit(None)
     # one lookup per user: the first key that this user's taste has
     keyed = billed.select("event_id", "pos", "artist", F.posexplode("keys").alias("k", "key")).join(keys.select("user_id", "key", F.col("name").alias("via"), "weight"), "key")
@@ -228,11 +227,11 @@ def recommend(taste: DataFrame, events: DataFrame, index: DataFrame, o: Recommen
     start_date, status, venue_id, venue_name, country, city, size_class, is_tribute, ord
     (corpus order).  ``index``: key, tags, similar.
     """
-    # read by several branches below: kept, and recomputed from their lineage if an executor goes
-    taste, index = taste.persist(KEEP), index.persist(KEEP)
-    ruled = filtered_events(events, o).persist(KEEP)
+    # read by several branches below: written once to the shared folder, which also keeps the plans short
+    taste, index = cut(taste), cut(index)
+    ruled = cut(filtered_events(events, o))
     considered = ruled.filter(F.col("reason").isNull())
-    scored = score(considered, evidence(considered, taste, index).persist(KEEP), o).persist(KEEP)
+    scored = cut(score(considered, cut(evidence(considered, taste, index)), o))
     sizes = list_sizes(scored, o)
     deduped = one_date_per_artist(scored)
     chosen = select(deduped, sizes, index, o)
