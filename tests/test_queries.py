@@ -1,6 +1,7 @@
 """Every query with an oracle agrees with it at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ def duck():
 
 
 def rows(df):
-    cell = lambda v: None if v is None or v != v else (round(v, 6) + 0.0 if isinstance(v, float) else str(v))
+    cell = lambda v: None if pd.isna(v) else (round(v, 6) + 0.0 if isinstance(v, float) else str(v))
     df = df[sorted(df.columns)].astype(object)
     return sorted([tuple(str(cell(v)).removesuffix(".0") for v in r) for r in df.itertuples(index=False)])
 
