@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from . import kernels as K
+from .shared import materialise
 
 DIMS = 1 << 14
 ROWS = 256
+SPARE = 4
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -96,10 +98,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on training documents (see ``held_out``), at most ``max_per_language`` and ``max_rows`` of them.
 
     Only text and language are learned from; the sample is the documents with the
-    smallest hashes of their ids.
+    smallest hashes of their ids.  Languages are counted first, and of a large one only
+    ids that hash into its ``SPARE``-fold share of the bound are ranked, so that the
+    window reads no more than about ``SPARE * max_per_language`` rows of a language at
+    any size of the input.
     """
     order = F.xxhash64(F.col("key"))
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = materialise(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages")
+    if sizes.count() <= max_rows:  # else joined by a shuffle
+        sizes = F.broadcast(sizes)
+    share = F.least(F.lit(1.0), F.lit(float(SPARE * max_per_language)) / F.col("size"))
+    # a hash is below -2^63 + share * 2^64 with probability ``share``
+    known = known.join(sizes, "lang").filter((share >= 1) | (order.cast("double") < share * 2.0**64 - 2.0**63)).select("key", "lang")
     sample = (
         known.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(order, "key")))
         .filter(F.col("r") <= max_per_language)
