@@ -46,13 +46,23 @@ def fuzzy(names: DataFrame, index: DataFrame, name: str, on: list[str] | None =
     return near.groupBy("__row", *own).agg(F.min_by("__hit", "ord").alias("__hit")).select(*own, "__hit.*")
 
 
+def taste_hits(names: DataFrame, taste: DataFrame, name: str) -> DataFrame:
+    """(user_id, name, via, weight): per user and distinct name the first of its keys that the taste holds, else the first taste key one edit away."""
+    held = F.struct(F.col("name").alias("via"), "weight").alias("__held")
+    keyed = names.select(name, F.posexplode(keys_for(F.col(name))).alias("__pos", "key")).join(taste.select("user_id", "key", held), "key")
+    exact = keyed.groupBy("user_id", name).agg(F.min_by("__held", "__pos").alias("h"))
+    near = names.withColumn("__fold", fold_name(F.col(name))).filter(F.length("__fold") >= FUZZY_PROBE).withColumn("__d", F.explode(deletions(F.col("__fold"))))
+    typo = taste.filter(F.length("key") >= FUZZY_KEY).select("user_id", "key", "ord", held, F.explode(deletions(F.col("key"))).alias("__d"))
+    close = near.join(typo, "__d").filter(nearly_equal(F.col("__fold"), F.col("key"))).groupBy("user_id", name).agg(F.min_by("__held", "ord").alias("h"))
+    return exact.unionByName(close.join(exact, ["user_id", name], "left_anti")).select("user_id", name, "h.via", "h.weight")
+
+
 def one_hop(names: DataFrame, index: DataFrame, taste: DataFrame, name: str, default: float = 0.6, weight: float = 0.62) -> DataFrame:
     """Per user and name the strongest similar artist of the index that the taste holds, the first of equals."""
     own = names.columns
     known = probe(names, index.select("key", "similar"), name)
     sims = known.select(*own, F.posexplode("similar").alias("__place", "s")).select(*own, "__place", F.col("s.name").alias("sim_name"), F.least(F.lit(1.0), F.coalesce("s.score", F.lit(default))).alias("similarity"))
-    keyed = sims.select(*own, "__place", "similarity", F.posexplode(keys_for(F.col("sim_name"))).alias("__pos", "key"))
-    hit = keyed.join(taste.select("user_id", "key", F.col("name").alias("via"), "weight"), "key")
-    first = hit.groupBy("user_id", *own, "__place", "similarity").agg(F.min_by(F.struct("via", "weight"), "__pos").alias("h")).withColumn("strength", F.col("h.weight") * F.col("similarity") * weight)
-    best = first.groupBy("user_id", *own).agg(F.max_by(F.struct("h.via", "h.weight", "similarity", "strength"), F.struct("strength", (-F.col("__place")).alias("p"))).alias("b"))
+    hit = sims.join(taste_hits(sims.select("sim_name").distinct(), taste, "sim_name"), "sim_name")
+    first = hit.withColumn("strength", F.col("weight") * F.col("similarity") * weight)
+    best = first.groupBy("user_id", *own).agg(F.max_by(F.struct("via", "weight", "similarity", "strength"), F.struct("strength", (-F.col("__place")).alias("p"))).alias("b"))
     return best.select("user_id", *own, "b.via", "b.weight", "b.similarity", "b.strength")
