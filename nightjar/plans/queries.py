@@ -454,7 +454,7 @@ def tag_lookup_roundtrip(spark, d):
 
 
 def similar_scores(spark, d):
-    li = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.to_json(F.slice(F.array_sort(F.collect_list(F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").cast("string").alias("name"), F.col("l_quantity").alias("score")))), 1, 80)).alias("j"))
+    li = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").cast("string").alias("name"), F.col("l_quantity").alias("score"))))).alias("j"))
     s = structured.similar_lookup(li, "l_suppkey", "j")
     return s.select("l_suppkey", F.size("similar").alias("n"), r6(F.aggregate("similar", F.lit(0.0), lambda a, x: a + x["score"])).alias("total"))
 

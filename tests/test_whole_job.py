@@ -2,9 +2,14 @@
 
 import datetime as dt
 
+import duckdb
+
+import __spark_entry__ as entry
 from nightjar.operators import match, taste
 from tests.test_recommend import INDEX, event, run
 
+D = "/root/testdata/sf0.001"
+
 
 def test_misspelt_similar_name(spark):
     index = [("communions", [], [("Iceage", 0.5), ("Trentemollerr", 0.9)])]
@@ -19,3 +24,11 @@ def test_one_hop_order(spark):
     index = spark.createDataFrame([("lower", [], [("Trentemollerr", 0.9), ("Choir of Young", 0.9), ("Iceage", 1.0)])], INDEX)
     got = match.one_hop(spark.createDataFrame([("Lower",)], "artist string"), index, keys, "artist")
     assert {r["user_id"]: (r["via"], r["similarity"], round(r["strength"], 6)) for r in got.collect()} == {"a": ("Trentemoller", 0.9, 0.558), "b": ("Trentemollerr", 0.9, 0.558), "d": ("Trentemoller", 0.9, 0.558)}
+
+
+def test_similar_scores_over_all_rows(spark):
+    """The largest quantity counts wherever it lies; the first 60 rows are kept."""
+    rows = duckdb.sql(f"SELECT l_suppkey, list(l_quantity ORDER BY l_orderkey, l_linenumber) FROM '{D}/lineitem.parquet' GROUP BY 1").fetchall()
+    want = {k: (len(q[:60]), round(sum(min(1, max(0.25, x / max(1, *q))) for x in q[:60]), 6)) for k, q in rows}
+    got = {r["l_suppkey"]: (r["n"], r["total"]) for r in entry.queries()["similar_scores"](spark, D).collect()}
+    assert got == want
