@@ -23,11 +23,13 @@ from .shared import materialise, scratch_path
 
 MAGIC = b"WARC/1.1\r\n"
 SEGMENT_BYTES = 8 << 20
-HEADER_BYTES = 64 << 10
+HEADER_BYTES = 64 << 10  # read beyond a range at first; a longer header is read on to its end
 RECORDS_PER_FILE = 50_000
 BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
-_HEADER = re.compile(rb"WARC/1\.1\r\n(?:[^\r\n]+\r\n)+\r\n")
+_LINES = re.compile(rb"(?:[^\r\n]++\r\n)*+")  # whole lines with a text
+_OPEN = re.compile(rb"[^\r\n]*+\r?")  # a line that may go on beyond the buffer
+_DIGITS = re.compile(r"[0-9]{1,18}")
 
 
 def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -81,12 +83,63 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
 
 
-def _record(buffer: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
-    """(fields, where the block begins, its length) if a record may begin at ``at``."""
-    m = _HEADER.match(buffer, at, min(len(buffer), at + HEADER_BYTES))
-    fields = _fields(m[0]) if m else {}
-    length = fields.get("content-length", "")
-    return (fields, m.end(), int(length)) if length.isdigit() and "warc-type" in fields else None
+class _Bytes:
+    """Bytes of a file from ``base`` on; the buffer is doubled while a header has no end yet."""
+
+    def __init__(self, f, base: int, upto: int, size: int) -> None:
+        self.f, self.base, self.size = f, base, size
+        self.buffer = f.read_at(upto - base, base)
+
+    def _grow(self) -> bool:
+        at = self.base + len(self.buffer)
+        more = self.f.read_at(min(self.size - at, max(HEADER_BYTES, len(self.buffer))), at) if at < self.size else b""
+        self.buffer += more
+        return bool(more)
+
+    def lines_end(self, at: int) -> tuple[int, bool]:
+        """Where the lines that begin at ``at`` end, and if a blank line ends them."""
+        while True:
+            at = _LINES.match(self.buffer, at).end()
+            if self.buffer.startswith(b"\r\n", at):
+                return at, True
+            if _OPEN.match(self.buffer, at).end() < len(self.buffer) or not self._grow():
+                return at, False
+
+    def record(self, at: int) -> tuple[dict[str, str], int, int] | None:
+        """(fields, where the block begins, its length) if a record begins at ``at``."""
+        if self.buffer[at : at + len(MAGIC)] != MAGIC:
+            return None
+        end, blank = self.lines_end(at)
+        fields = _fields(self.buffer[at:end]) if blank else {}
+        length = fields.get("content-length", "")
+        return (fields, end + 2, int(length)) if _DIGITS.fullmatch(length) and "warc-type" in fields else None
+
+    def records(self, upto: int) -> Iterator[tuple[int, int]]:
+        """(at, where the record would end) of all places before ``upto`` that look like a record.
+
+        Magic bytes within the lines of another place end where that one ends, so each
+        run of lines is read once.
+        """
+        at = self.buffer.find(MAGIC)
+        while 0 <= at < upto:
+            end, blank = self.lines_end(at)
+            length, last = "", -1  # the last length counts; ``last`` is where a magic must end before
+            if blank:
+                spots: dict[bytes, tuple[int, bytes]] = {}
+                spot = at
+                for line in self.buffer[at:end].split(b"\r\n"):
+                    key, _, value = line.partition(b":")
+                    if (key := key.strip().lower()) in (b"content-length", b"warc-type"):
+                        spots[key] = spot, value
+                    spot += len(line) + 2
+                if len(spots) == 2:
+                    length = spots[b"content-length"][1].strip().decode("utf-8", "replace")
+                    last = min(spot for spot, _ in spots.values())
+            fits, stop = _DIGITS.fullmatch(length) is not None, min(upto, max(end, at + 1))
+            while 0 <= at < stop:
+                if fits and at + len(MAGIC) <= last:
+                    yield at, end + 2 + int(length) + 4
+                at = self.buffer.find(MAGIC, at + 1)
 
 
 def candidates(segments: DataFrame) -> DataFrame:
@@ -96,13 +149,7 @@ def candidates(segments: DataFrame) -> DataFrame:
         for frame in frames:
             for path, seg, low, high, size in frame[["path", "seg", "low", "high", "size"]].itertuples(index=False):
                 with _open(path) as f:
-                    buffer = f.read_at(min(size, high + HEADER_BYTES) - low, low)
-                ends: dict[int, int] = {}
-                at = buffer.find(MAGIC)
-                while 0 <= at < high - low:
-                    if (r := _record(buffer, at)) is not None:
-                        ends[low + at] = low + r[1] + r[2] + 4
-                    at = buffer.find(MAGIC, at + 1)
+                    ends = {low + at: low + end for at, end in _Bytes(f, low, min(size, high + HEADER_BYTES), size).records(high - low)}
                 for off in sorted(ends, reverse=True):  # a later link is already followed to its end
                     if ends[off] < high:
                         ends[off] = ends.get(ends[off], -1)
@@ -129,7 +176,8 @@ def chain(found: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
 def read_warc(spark: SparkSession, path: str, segment_bytes: int = SEGMENT_BYTES, with_payload: bool = True) -> DataFrame:
     """Records on each file's chain: path, off, type, record_id, refers_to, uri, digest, length, sha256 and payload.
 
-    A chain ends at the file's end or at the first place that isn't a record.
+    Headers may have any length.  A chain ends at the file's end; a place before it that
+    isn't a whole record raises ``ValueError``.
     Empty files and folders without records give no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", F.col("length").alias("size")).filter("size > 0")
@@ -147,15 +195,20 @@ def read_warc(spark: SparkSession, path: str, segment_bytes: int = SEGMENT_BYTES
         for frame in frames:
             for path, off, high, size in frame[["path", "off", "high", "size"]].itertuples(index=False):
                 with _open(path) as f:
-                    buffer, begin = f.read_at(min(size, high + HEADER_BYTES) - off, off), off
+                    data, begin = _Bytes(f, off, min(size, high + HEADER_BYTES), size), off
                     rows, held = [], 0
-                    while off < high and (r := _record(buffer, off - begin)) is not None:
+                    while off < high:
+                        if (r := data.record(off - begin)) is None:
+                            raise ValueError(f"{path}: no record at byte {off} of {size}")
                         fields, at, length = r
-                        payload = buffer[at : at + length]
+                        payload = data.buffer[at : at + length]
+                        if len(payload) < length:  # the block may begin beyond the buffer's end
+                            there = begin + at + len(payload)
+                            payload += f.read_at(min(length - len(payload), size - there), there) if there < size else b""
                         if len(payload) < length:
-                            payload += f.read_at(length - len(payload), begin + len(buffer))
+                            raise ValueError(f"{path}: the record at byte {off} of {size} is cut off")
                         rows.append((path, off, fields["warc-type"], fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), fields.get("warc-payload-digest"), length, hashlib.sha256(payload).hexdigest(), payload if with_payload else None))
-                        held += length * with_payload
+                        held += at - (off - begin) + length * with_payload
                         off = begin + at + length + 4
                         if held > 4 << 20 or len(rows) >= 5_000:
                             yield pd.DataFrame(rows, columns=names)
