@@ -2,10 +2,11 @@
 
 import hashlib
 import io
+from collections import Counter
 
 import pytest
 
-from nightjar.llm import warc
+from nightjar.llm import packing, warc
 
 
 @pytest.mark.parametrize("segment", [50_000, 1 << 20])
@@ -46,3 +47,16 @@ def test_warc_magic_in_lines():
     first = text.index(b"record") + 6
     inner = text.index(b"WARC/1.1", first + 1)
     assert list(data.records(len(text))) == [(first, first + len(head)), (inner, first + len(head))]
+
+
+def test_pack_dominant_lengths():
+    """One of 500 and two of 262 fill a sequence; pairs of 500 would cost a sixth more."""
+    counts = {500: 3_000, 262: 6_000}
+    held = Counter()
+    runs = packing.pack_histogram(counts, 1024)
+    for n, own in runs:
+        assert sum(own) <= 1024
+        for s in own:
+            held[s] += n
+    assert held == counts
+    assert sum(n for n, _ in runs) <= 1.01 * 3_000
