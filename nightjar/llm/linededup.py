@@ -4,8 +4,10 @@ A run is a table of line keys, sorted by a 128-bit hash, with the number of
 documents that hold the line and the largest of their ids.  Each new batch of
 documents becomes a level-0 run; once a level holds ``fanout`` runs they are
 merged into one run of the next level, as in a log-structured merge tree.
-Documents are then merge-anti-joined with the live runs: a line is dropped when
-the runs say that enough documents hold it and a larger id does.
+Batches are not anti-joined with the earlier runs: how many documents hold a line, and
+the largest of their ids, are known only after the last batch.  In place of that, all
+documents are joined once with the live runs: a line is dropped when the runs say
+that enough documents hold it and a larger id does.
 """
 
 from __future__ import annotations
