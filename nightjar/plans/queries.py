@@ -202,7 +202,7 @@ def similar_one_hop(spark, d):
     brand = p.select("p_partkey", F.col("p_brand").alias("brand"))
     sold = li.join(brand, F.col("l_partkey") == F.col("p_partkey")).groupBy("brand", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
     by_nation = sold.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("brand", "s_nationkey").agg(F.sum("q").alias("q"))
-    top = corpus.top_k(by_nation, ["brand"], [F.desc("q"), F.col("s_nationkey")], 5)
+    top = corpus.top_k(by_nation, ["brand"], [F.desc("q"), F.col("s_nationkey")], structured.KEEP_SIMILAR)  # there are 25 nations
     sims = top.groupBy("brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string")).alias("name"), (F.col("q") / 10_000).alias("score")))), lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score"))).alias("similar"))
     index = sims.select(text.fold_name(F.col("brand")).alias("key"), "similar")
     own = t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("user_id"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("name")).agg(F.sum("c_acctbal").alias("plays")).filter("plays > 0").withColumn("rank", F.lit(0))
@@ -486,8 +486,8 @@ def _flagship_tables(spark, d):
     liked = taste.weights(taste.listening(taste.valid_plays(plays), F.lit("2001-12-01").cast("timestamp")))
     show = F.date_add(F.lit("2001-12-01").cast("date"), (F.pmod(F.xxhash64("s_suppkey", "artist"), F.lit(420))).cast("int"))
     room = s.join(corpus.small(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name", scalars.size_class(F.floor("s_acctbal")).alias("size_class"))
-    sold = li.select("l_suppkey", "l_partkey").join(act, F.col("l_partkey") == F.col("p_partkey")).groupBy("artist").agg(F.min("l_suppkey").alias("a"), F.max("l_suppkey").alias("b"))
-    shows = sold.select("artist", F.explode(F.array_distinct(F.array("a", "b"))).alias("s_suppkey")).join(room, "s_suppkey")
+    sold = li.select("l_suppkey", "l_partkey").join(act, F.col("l_partkey") == F.col("p_partkey")).select("artist", F.col("l_suppkey").alias("s_suppkey")).distinct()
+    shows = sold.join(room, "s_suppkey")
     events = shows.select(
         F.concat_ws("/", "artist", F.col("s_suppkey").cast("string")).alias("event_id"), F.col("artist").alias("title"), F.array("artist").alias("artists"), show.alias("start_date"), F.lit("scheduled").alias("status"),
         F.col("s_suppkey").cast("string").alias("venue_id"), F.col("s_name").alias("venue_name"), F.col("n_name").alias("country"), F.lit(None).cast("string").alias("city"), "size_class", F.lit(False).alias("is_tribute"),

@@ -6,6 +6,7 @@ import duckdb
 
 import __spark_entry__ as entry
 from nightjar.operators import match, taste
+from nightjar.plans import queries
 from tests.test_recommend import INDEX, event, run
 
 D = "/root/testdata/sf0.001"
@@ -32,3 +33,31 @@ def test_similar_scores_over_all_rows(spark):
     want = {k: (len(q[:60]), round(sum(min(1, max(0.25, x / max(1, *q))) for x in q[:60]), 6)) for k, q in rows}
     got = {r["l_suppkey"]: (r["n"], r["total"]) for r in entry.queries()["similar_scores"](spark, D).collect()}
     assert got == want
+
+
+def test_similar_one_hop_all_nations(spark):
+    """All nations of a brand are its similar artists (at this size every listener holds all of them, so no name needs the fallback)."""
+    d = D.replace("sf0.001", "sf0.1")
+    con = duckdb.connect()
+    for t in ("lineitem", "part", "supplier", "customer"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    sold = con.sql("SELECT p_brand, s_nationkey, sum(l_quantity) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2 ORDER BY 1, 3 DESC, 2").fetchall()
+    held = {(u, n): plays for u, n, plays in con.sql("SELECT c_mktsegment, c_nationkey, sum(c_acctbal) FROM customer GROUP BY 1, 2 HAVING sum(c_acctbal) > 0").fetchall()}
+    users = {u for u, _ in held}
+    assert len(held) == 25 * len(users)
+    top = {u: max(p for (x, _), p in held.items() if x == u) for u in users}
+    want = {}
+    for brand, n, q in sold:
+        for u in users:
+            strength = max(0.05, (held[u, n] / top[u]) ** 0.5) * min(1, q / 10_000) * 0.62
+            want[u, brand] = max(want.get((u, brand), 0), strength)
+    got = {(r["user_id"], r["brand"]): r["strength"] for r in entry.queries()["similar_one_hop"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 2e-6 for k, v in want.items())
+
+
+def test_flagship_all_pairs(spark):
+    """Every supplier that sells an artist is a room with a show of it."""
+    _, events, _ = queries._flagship_tables(spark, D)
+    ((want,),) = duckdb.sql(f"SELECT count(DISTINCT (p_name || ' ' || p_brand, l_suppkey)) FROM '{D}/lineitem.parquet' JOIN '{D}/part.parquet' ON l_partkey = p_partkey").fetchall()
+    got = events.select("title", "venue_id").collect()
+    assert len(got) == len(set(got)) == want
