@@ -25,7 +25,11 @@ def _columns(docs: DataFrame) -> list[str]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is undetermined (null text, no letter) go."""
+    """Documents whose language is undetermined (null text, no letter; all if no language is learned) go.
+
+    Otherwise the predicted language and its score decide nothing: op6 defines ``und`` by
+    letters alone, so the kernel model has no effect on the rows that stay.
+    """
     tagged = docs.withColumnsRenamed({c: f"__nj_own_{c}" for c in ("held_out", "lang_pred", "score") if c in docs.columns})
     kept = langid.predict(tagged, langid.train(docs)).filter("lang_pred != 'und'").drop("held_out", "lang_pred", "score")
     return kept.withColumnsRenamed({c: c[9:] for c in kept.columns if c.startswith("__nj_own_")}).select(*docs.columns)
