@@ -7,6 +7,8 @@ an odd multiplier modulo 2^64, so all windows of a batch cost a few numpy passes
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,18 +200,34 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+#: fixed values: the normalisers and pre-tokenisers whose chunks ``cut_points`` knows
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN = ((None, _BYTES), (_LOWERED, {"type": "Sequence", "pretokenizers": [_WORDS, _BYTES | {"use_regex": False}]}))
+
+
 class CachedEncoder:
     """A ``tokenizers`` model that encodes each distinct chunk of text once.
 
     Known chunks are kept by a 64-bit hash and their length, at most ``capacity`` of
     them; beyond that the memory is emptied and filled anew, results stay the same.
+    Strings of added tokens in a text become those tokens, as the model itself does.
+    Files whose pre-tokeniser isn't one of ``KNOWN`` are refused, as their chunks may
+    not be cut where ``cut_points`` does.
     """
 
     def __init__(self, path: str, capacity: int = 1_500_000) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        told = json.loads(self.model.to_str())
+        if (told["normalizer"], told["pre_tokenizer"]) not in KNOWN or told["post_processor"] not in (None, _BYTES):
+            raise ValueError(f"{path}: the tokenizer's normaliser or pre-tokeniser isn't known")
+        if any(t[flag] for t in told["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: added tokens must be plain strings of the raw text")
+        self.added = {t["content"].encode(): t["id"] for t in told["added_tokens"]}
+        self.find_added = re.compile(b"|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) or b"(?!)")
         self.capacity = capacity
         self._clear()
 
@@ -261,6 +279,24 @@ class CachedEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after the other, and the documents' offsets in them."""
+        raw = data.tobytes()
+        if not self.find_added.search(raw):
+            return self._encode(data, offsets)
+        # added tokens are documents of one id, and so is the text between them
+        spots = [(m.start(), m.end(), self.added[m[0]]) for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.find_added.finditer(raw, lo, hi)]
+        at, ends, token = np.array(spots, np.int64).reshape(-1, 3).T
+        parts = np.unique(np.concatenate((offsets, at, ends)))
+        which = np.searchsorted(parts, at)
+        ids, first = self._encode(data, parts)
+        n = np.diff(first)
+        stay = np.ones(len(n), bool)
+        stay[which] = False
+        n[which] = 0
+        ids = np.insert(ids[np.repeat(stay, np.diff(first))], (np.cumsum(n) - n)[which], token.astype(np.uint32))
+        n[which] = 1
+        return ids, np.concatenate(([0], np.cumsum(n)))[np.searchsorted(parts, offsets)]
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = cut_points(data, offsets)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

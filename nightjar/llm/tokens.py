@@ -18,7 +18,7 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from . import kernels as K
-from .shared import scratch_path
+from .shared import Scratch
 
 END_ID = 2
 SLICE_BYTES = 4 << 20
@@ -128,6 +128,6 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 def token_table(docs: DataFrame, path: str, **named) -> DataFrame:
     """Write token files to a scratch folder and read their digests back."""
-    out = scratch_path(docs.sparkSession, "tokens")
+    out = Scratch(docs.sparkSession, "tokens").path("ids", keep=True)
     write_tokens(docs, out, path, **named)
     return digests(docs.sparkSession, out)
