@@ -1,13 +1,17 @@
 """Line dedup over levelled sorted runs (operator 9).
 
-A run is a table of line keys, sorted by a 128-bit hash, with the number of
-documents that hold the line and the largest of their ids.  Each new batch of
-documents becomes a level-0 run; once a level holds ``fanout`` runs they are
-merged into one run of the next level, as in a log-structured merge tree.
-Batches are not anti-joined with the earlier runs: how many documents hold a line, and
-the largest of their ids, are known only after the last batch.  In place of that, all
-documents are joined once with the live runs: a line is dropped when the runs say
-that enough documents hold it and a larger id does.
+Every text is split and hashed once, into a narrow table of lines.  Batches of documents
+come in descending order of id.  A run is a table of 128-bit line keys, bucketed and sorted by
+them.  Each batch's distinct keys are merge-anti-joined with the runs: what is left are
+lines that no larger batch has, and it becomes a run of level 0 together with the
+largest id of the batch that holds it.  Once a level holds ``fanout`` runs they are
+merged into one run of the next level, as in a log-structured merge tree; runs never
+share a key, so merging them is a union.
+
+Because larger ids come first, a new key's holder is the largest document that has the
+line.  All its other lines are repeats, found by an anti join on key and id, which no
+frequent line can skew.  Only repeats are counted at the end: they go if enough
+documents hold the line.
 """
 
 from __future__ import annotations
@@ -16,10 +20,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import delete, scratch_path
+from .shared import Scratch, require_integral
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+KEY = ["h1", "h2"]
+HOT_SHARE = 1_024  # a key with more than this part of all repeats is hot: there can be no more than HOT_SHARE of them
+LEAST_ID = -(2**63)
 
 
 def line_key(line: Column) -> Column:
@@ -27,56 +34,71 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
-def _keys(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), line_key)
-
-
-def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2")]
+def line_table(docs: DataFrame, min_chars: int, batch: Column) -> DataFrame:
+    """(batch, id, tid, at, h1, h2): the lines of ``min_chars`` code points or more of (id, text)."""
+    keys = F.transform(F.split("text", "\n"), line_key)
+    lines = docs.select(batch.alias("batch"), "id", F.xxhash64("text").alias("tid"), F.posexplode(keys).alias("at", "k"))
+    return lines.filter(F.char_length("k") >= min_chars).select("batch", "id", "tid", "at", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2"))
 
 
 @dataclass
 class LineRuns:
-    """Levelled runs of (h1, h2, n_docs, max_id); one document must not come in two batches."""
+    """Levelled runs of (h1, h2, id): each key once, with the id that held it first."""
 
-    spark: object
+    scratch: Scratch
     fanout: int = 4
     levels: list[list[tuple[str, DataFrame]]] = field(default_factory=list)
 
-    def _write(self, run: DataFrame, level: int) -> None:
+    def _write(self, run: DataFrame, level: int, dealt: bool) -> DataFrame:
         while len(self.levels) <= level:
             self.levels.append([])
-        path = scratch_path(self.spark, f"lines-l{level}")
-        # the aggregate has dealt the rows by hash: sorting each partition makes sorted runs
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
-        self.levels[level].append((path, self.spark.read.schema(run.schema).parquet(path)))
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"))
-
-    def add(self, docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> None:
-        """Add a batch of whole documents as a run, and compact full levels."""
-        lines = (
-            docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.filter(_keys(F.col(text_col)), lambda k: F.char_length(k) >= min_chars))).alias("k"))
-            .select("id", *_hashes(F.col("k")))
-            .distinct()
-        )
-        self._write(lines.groupBy("h1", "h2").agg(F.count("id").alias("n_docs"), F.max("id").alias("max_id")), 0)
+        self.levels[level].append(self.scratch.buckets(run, f"lines-l{level}", KEY, dealt))
+        return self.levels[level][-1][1]
+
+    def live(self) -> list[DataFrame]:
+        return [run for level in self.levels for _, run in level]
+
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Merge-anti-join a batch's keys with all runs and add the rest as a run; returns that run."""
+        new = lines.groupBy(*KEY).agg(F.max("id").alias("id"))
+        for run in self.live():  # few: at most ``fanout`` - 1 of each level
+            new = new.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+        return self._write(new, 0, True)  # the aggregate has dealt the rows by key
+
+    def compact(self) -> None:
+        """Merge the runs of full levels; no run of them may be in use."""
         level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+        while level < len(self.levels):
             full = self.levels[level]
-            self._write(self._merged([r for _, r in full]), level + 1)
-            self.levels[level] = []
-            for path, _ in full:
-                delete(self.spark, path)
+            if len(full) >= self.fanout:
+                merged = full[0][1]
+                for _, run in full[1:]:
+                    merged = merged.unionByName(run)
+                self._write(merged, level + 1, False)
+                self.levels[level] = []
+                self.scratch.drop(*(path for path, _ in full))
             level += 1
 
-    def live(self) -> DataFrame:
-        return self._merged([r for level in self.levels for _, r in level])
+
+def repeated_lines(scratch: Scratch, docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """(id, tid, gone): the places of the lines to drop from each (id, text hash)."""
+    cuts = docs.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
+    batch = sum((F.when(F.col("id") <= c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0))  # 0 has the largest ids
+    lines = scratch.write(line_table(docs, min_chars, batch), "lines", partition=("batch",))
+    runs, repeats = LineRuns(scratch, fanout), None
+    for b in range(batches):
+        own = lines.filter(F.col("batch") == b).drop("batch")
+        fresh = runs.add(own)
+        again = scratch.write(own.join(fresh, [*KEY, "id"], "left_anti"), "repeats")
+        runs.compact()
+        repeats = again if repeats is None else repeats.unionByName(again)
+    # the holder is one document more
+    often = repeats.select(*KEY, "id").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs - 1)
+    often = scratch.write(often, "often")
+    bound = repeats.count() / HOT_SHARE
+    hot, cold = F.broadcast(often.filter(F.col("n") > bound).select(*KEY)), often.filter(F.col("n") <= bound).select(*KEY)
+    lost = repeats.join(hot, KEY, "left_semi").unionByName(repeats.join(hot, KEY, "left_anti").join(cold, KEY, "left_semi"))
+    return scratch.write(lost.groupBy("id", "tid").agg(F.collect_set("at").alias("gone")), "lost", keep=True)  # at most the lines of one document
 
 
 def dedup_lines(
@@ -86,7 +108,7 @@ def dedup_lines(
     min_chars: int = 20,
     min_docs: int = 3,
     batches: int = 4,
-    fanout: int = 4,
+    fanout: int = 3,
 ) -> DataFrame:
     """Drop lines that ``min_docs`` documents or more hold, but in the largest id.
 
@@ -96,36 +118,25 @@ def dedup_lines(
     Null or empty text is one empty line and stays as an empty string.  Lines
     with fewer than ``min_chars`` code points stay.  Rows that share an id count
     as one document and keep or lose their lines alike; a null id is one
-    document, below all others.  An empty table gives an empty result.
+    document, below all others.  Ids must be integers (``TypeError`` otherwise).
+    An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    require_integral(docs, id_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    low = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    narrow = docs.select(low.alias("id"), text.alias("text"))
-    runs = LineRuns(spark, fanout)
-    for b in range(batches):
-        runs.add(narrow.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b), "id", "text", min_chars)
-    repeated = runs.live().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_id")
-
-    # the row's id and a hash of its text name it: equal rows share their verdict
-    row = [F.col("id").alias("__nj_id"), F.xxhash64("text").alias("__nj_text")]
-    lost = (
-        narrow.select("id", *row, F.posexplode(_keys(F.col("text"))).alias("at", "k"))
-        .filter(F.char_length("k") >= min_chars)
-        .select("id", "__nj_id", "__nj_text", "at", *_hashes(F.col("k")))
-        .join(repeated, ["h1", "h2"])
-        .filter(F.col("id") < F.col("max_id"))
-        .groupBy("__nj_id", "__nj_text")
-        .agg(F.collect_set("at").alias("__nj_lost"))  # at most the lines of one document
-    )
+    low = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID))
+    with Scratch(docs.sparkSession, "lines") as scratch:
+        lost = repeated_lines(scratch, docs.select(low.alias("id"), text.alias("text")), min_chars, min_docs, batches, fanout)
+    # a row's id and a hash of its text name it: equal rows share their verdict
+    lost = lost.select(F.col("id").alias("__nj_id"), F.col("tid").alias("__nj_text"), F.col("gone").alias("__nj_gone"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     split = F.split(F.col("__nj_body"), "\n")
-    kept_at = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__nj_lost"))
+    stay = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.col("__nj_gone"))
+    # the lines are bound once, so that picking them by place doesn't split the text again
+    left = F.get(F.transform(F.array(split), lambda lines: F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")), 0)
     out = (
         docs.withColumns({"__nj_body": text, "__nj_id": low, "__nj_text": F.xxhash64(text)})
         .join(lost, ["__nj_id", "__nj_text"], "left")
-        .withColumn("n_lines", F.size(split).cast("long"))
-        .withColumn("n_dropped", F.when(F.col("__nj_lost").isNull(), 0).otherwise(F.size("__nj_lost")).cast("long"))
+        .withColumn("n_lines", (F.regexp_count("__nj_body", F.lit("\n")) + 1).cast("long"))
+        .withColumn("n_dropped", F.when(F.col("__nj_gone").isNull(), 0).otherwise(F.size("__nj_gone")).cast("long"))
     )
-    kept = F.when(F.col("__nj_lost").isNull(), F.col("__nj_body")).otherwise(F.array_join(F.transform(kept_at, lambda i: F.get(split, i)), "\n"))
-    return out.withColumn(text_col, kept).select(*keep, "n_lines", "n_dropped")
+    return out.withColumn(text_col, F.when(F.col("__nj_gone").isNull(), F.col("__nj_body")).otherwise(left)).select(*keep, "n_lines", "n_dropped")
