@@ -1,11 +1,12 @@
 """Uniform shuffle into shards of exact size (operator 10).
 
-Every input chunk gets a row of a communication matrix: how many of its rows go
-to each shard.  Rows of the matrix are drawn from the multivariate
-hypergeometric law, so that permuting each chunk locally, sending the drawn
-counts and permuting every shard again is a uniform random permutation whose
-shard sizes are exact.  Only the per-chunk counts (at most ``MAX_CHUNKS`` of
-them) reach the driver; the rows move once to their chunk and once to their
+Every chunk of the input gets a row of a communication matrix: how many of its rows
+go to each shard.  The matrix is drawn from the multivariate hypergeometric law, so
+that permuting each chunk locally, sending the drawn counts and permuting every shard
+again is a uniform random permutation whose shard sizes are exact.  A chunk is the
+runs of RUN_ROWS rows of input partitions that hash to it; there are at most
+MAX_CHUNKS chunks and MAX_CELLS cells however many partitions and shards there are,
+and nothing else reaches the driver.  Rows move once to their chunk and once to their
 shard, as narrow digests.
 """
 
@@ -16,11 +17,10 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import materialise
+from .shared import Scratch
 
-MAX_CHUNKS = 20_000
-MIN_CHUNK_ROWS = 2_048
-BUCKET_ROWS = 2_048
+MAX_CHUNKS, MAX_CELLS = 20_000, 2_000_000
+CHUNK_ROWS, RUN_ROWS, BUCKET_ROWS = 2_048, 256, 2_048
 _NUMPY_LIMIT = 10**9 - 1
 
 
@@ -58,6 +58,11 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
     return mode
 
 
+def chunk_count(rows: int, n_shards: int) -> int:
+    """Chunks of about CHUNK_ROWS rows, but never more than MAX_CHUNKS or a matrix of MAX_CELLS."""
+    return max(1, min(MAX_CHUNKS, MAX_CELLS // n_shards, -(-rows // CHUNK_ROWS)))
+
+
 def communication_matrix(rows: list[int], shards: list[int], seed: int) -> np.ndarray:
     """A random matrix with row sums ``rows`` and column sums ``shards``."""
     if sum(rows) != sum(shards):
@@ -88,35 +93,27 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    spot = F.monotonically_increasing_id()
-    base = materialise(
-        docs.select(
-            F.col(id_col).alias("id"),
-            (F.octet_length(text).cast("long") + 1).alias("size"),
-            F.crc32(text.cast("binary")).alias("crc"),
-            spot.alias("spot"),
-        ),
-        "sharding",
-    )
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.monotonically_increasing_id().alias("spot"))
+    with Scratch(spark, "sharding") as scratch:
+        # kept, as the result is read from it: spots must not be numbered anew
+        base = scratch.write(rows, "rows", keep=True)
     total = base.count()
-    chunk_rows = max(MIN_CHUNK_ROWS, -(-total // MAX_CHUNKS))
-    part, row = F.shiftright("spot", 33), F.col("spot").bitwiseAND(F.lit((1 << 33) - 1))
-    base = base.withColumn("chunk", F.struct(part.alias("part"), F.floor(row / chunk_rows).alias("run")))
+    chunks = chunk_count(total, n_shards)
+    run = F.struct(F.shiftright("spot", 33), F.floor(F.col("spot").bitwiseAND(F.lit((1 << 33) - 1)) / RUN_ROWS))
+    base = base.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), run), F.lit(chunks)))
 
-    counts = base.groupBy("chunk").count().orderBy("chunk").collect()  # one row for each chunk: bounded
+    counts = dict(base.groupBy("chunk").count().collect())  # one row for each chunk: MAX_CHUNKS at most
     sizes = [total // n_shards + (i < total % n_shards) for i in range(n_shards)]
-    matrix = communication_matrix([c["count"] for c in counts], sizes, seed)
-    bounds = spark.createDataFrame(
-        [(c["chunk"]["part"], c["chunk"]["run"], [int(x) for x in np.cumsum(m)]) for c, m in zip(counts, matrix, strict=True)],
-        "part long, run long, upto array<long>",
-    ).select(F.struct("part", "run").alias("chunk"), "upto")
+    order = sorted(counts)
+    matrix = communication_matrix([counts[c] for c in order], sizes, seed)
+    bounds = spark.createDataFrame([(c, [int(x) for x in np.cumsum(m)]) for c, m in zip(order, matrix, strict=True)], "chunk long, upto array<long>")
 
     # first permutation, within a chunk; the matrix row turns ranks into shards
     local = W.partitionBy("chunk").orderBy(F.xxhash64(F.lit(seed), "spot"), "spot")
     dealt = (
         base.withColumn("rank", F.row_number().over(local).cast("long"))
-        .join(F.broadcast(bounds), "chunk")  # at most MAX_CHUNKS rows
-        .withColumn("shard", F.expr("cast(size(filter(upto, x -> x < rank)) as int)"))
+        .join(F.broadcast(bounds), "chunk")  # at most MAX_CELLS numbers
+        .withColumn("shard", F.size(F.filter("upto", lambda x: x < F.col("rank"))))
     )
     # second permutation: a random bucket of the shard, then a random order in it
     buckets = max(1, -(-total // (n_shards * BUCKET_ROWS)))
