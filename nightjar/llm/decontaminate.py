@@ -1,10 +1,11 @@
 """Benchmark decontamination by a broadcast hash set of n-grams (operator 7).
 
-Items become windows of ``n`` normalised words.  Every word position of a
-document is hashed with the words after it inside one code-generated stage and
-probed against the windows' hashes; hits are verified word by word.  The window
-table is broadcast only if its counted size is below ``BROADCAST_ROWS``; beyond
-that the same probe is a shuffled join.
+Items become windows of ``n`` normalised words.  One pass over the documents hashes
+each word once, and at every word position the words from there on, for each length
+that a window has.  The hashes are probed against the set of the windows' hashes, which
+is broadcast if its counted size is at most ``BROADCAST_ROWS``; beyond that
+only (document, place, hash) is shuffled to meet it.  What is left is verified
+by a SHA-256 of the words themselves.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .linededup import LOWER, UPPER
-from .shared import materialise
+from .shared import Scratch
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -24,51 +25,51 @@ def words(text: Column) -> Column:
     return F.filter(split, lambda w: w != "")
 
 
-def _gram(array: Column, start: Column, n: int) -> Column:
-    """Hash of ``n`` words from the 0-based ``start``."""
-    return F.xxhash64(*[F.get(array, start + i) for i in range(n)])
+def _hash(hashes: Column, start: Column, n: int) -> Column:
+    """Hash of ``n`` words from the 0-based ``start``, given the words' hashes."""
+    return F.xxhash64(F.lit(n), *[F.get(hashes, start + i) for i in range(n)])
+
+
+def _gram(array: Column, start: Column, n: Column | int) -> Column:
+    """Words hold no blanks, so the joined words name a window."""
+    return F.sha2(F.array_join(F.slice(array, start + 1, n), " "), 256)
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(item_id, len, hash, gram): all windows of ``n`` words; a shorter item is one window."""
+    """(item_id, len, hash, gram_id): all windows of ``n`` words; a shorter item is one window."""
     w = items.select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
-    long = w.filter(F.size("w") >= n).select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("at")).select("item_id", F.lit(n).alias("len"), _gram(F.col("w"), F.col("at"), n).alias("hash"), F.slice("w", F.col("at") + 1, n).alias("gram"))
-    short = w.filter(F.size("w") < n)
-    for k in range(1, n):
-        long = long.unionByName(short.filter(F.size("w") == k).select("item_id", F.lit(k).alias("len"), _gram(F.col("w"), F.lit(0), k).alias("hash"), F.col("w").alias("gram")))
-    return long.distinct()
-
-
-def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
-    """Verified occurrences: (id, text_hash, at, len, gram_id) and, second, the windows' items (gram_id, item_id)."""
-    owners = materialise(
-        item_windows(items, item_id_col, item_text_col, n).withColumn("gram_id", F.sha2(F.concat_ws(" ", "gram"), 256)),
-        "windows",
-    )
-    grams = owners.select("gram_id", "len", "hash", "gram").distinct()
-    lengths = [r["len"] for r in grams.select("len").distinct().collect()]  # n values at most
-    small = grams.count() <= BROADCAST_ROWS
-    base = docs.select(
-        F.struct(F.col(id_col).alias("v")).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"), words(F.col(text_col)).alias("w")
-    )
-    out = None
-    for k in sorted(lengths):
-        scan = (
-            base.filter(F.size("w") >= k)
-            .select("id", "text_hash", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("at"))
-            .withColumn("hash", _gram(F.col("w"), F.col("at"), k))
-        )
-        probe = grams.filter(F.col("len") == k).select("gram_id", "hash", "gram")
-        if small:
-            found = scan.join(F.broadcast(probe), "hash").filter(F.slice("w", F.col("at") + 1, k) == F.col("gram"))
-        else:
-            narrow = scan.select("id", "text_hash", "at", "hash", F.slice("w", F.col("at") + 1, k).alias("own"))
-            found = narrow.join(probe, "hash").filter(F.col("own") == F.col("gram"))
-        found = found.select("id", "text_hash", "at", F.lit(k).alias("len"), "gram_id")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], T.StructType([T.StructField("id", base.schema["id"].dataType), *T.StructType.fromDDL("text_hash long, at int, len int, gram_id string").fields]))
-    return out.distinct(), owners.select("gram_id", "item_id").distinct()
+    w = w.select("item_id", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"), F.least(F.size("w"), F.lit(n)).alias("len"))
+    at = w.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("at"))
+    hashes = F.coalesce(*[F.when(F.col("len") == k, _hash(F.col("wh"), F.col("at"), k)) for k in range(1, n + 1)])
+    return at.select("item_id", "len", hashes.alias("hash"), _gram(F.col("w"), F.col("at"), F.col("len")).alias("gram_id")).distinct()
+
+
+def hits(scratch: Scratch, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Verified occurrences (id, text_hash, at, len, gram_id), and whose the windows are (gram_id, item_id)."""
+    owners = scratch.write(item_windows(items, item_id_col, item_text_col, n), "windows")
+    hashes, known = owners.select("hash").distinct(), owners.select(F.col("gram_id").alias("known")).distinct()
+    lengths = sorted(r["len"] for r in owners.select("len").distinct().collect())  # n values at most
+    small = hashes.count() <= BROADCAST_ROWS
+    base = docs.select(F.struct(F.col(id_col).alias("v")).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"), words(F.col(text_col)).alias("w"))
+    if not lengths:
+        return base.select("id", "text_hash", F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit("").alias("gram_id")).limit(0), owners.select("gram_id", "item_id")
+    spots = base.filter(F.size("w") >= lengths[0]).select("id", "text_hash", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
+    spots = spots.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - lengths[0])).alias("at"))
+    tries = [F.struct(F.lit(k).alias("len"), _hash(F.col("wh"), F.col("at"), k).alias("hash")) for k in lengths]
+    if len(tries) == 1:
+        spots = spots.select("id", "text_hash", "w", "at", F.lit(lengths[0]).alias("len"), tries[0]["hash"].alias("hash"))
+    else:
+        spots = spots.select("id", "text_hash", "w", "at", F.inline(F.array(*tries)))
+    if small:
+        likely = spots.join(F.broadcast(hashes), "hash").select("id", "text_hash", "w", "at", "len")
+    else:
+        narrow = spots.select("id", "text_hash", "at", "len", "hash").join(hashes, "hash", "left_semi")
+        places = narrow.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "len")).alias("places"))  # within one document
+        likely = base.join(places, ["id", "text_hash"]).select("id", "text_hash", "w", F.inline("places"))
+    # a window that runs over the document's end is cut short, and its hash is of nulls
+    likely = likely.filter(F.col("at") + F.col("len") <= F.size("w")).select("id", "text_hash", "at", "len", _gram(F.col("w"), F.col("at"), F.col("len")).alias("gram_id"))
+    found = likely.join(F.broadcast(known) if small else known, F.col("gram_id") == F.col("known"), "left_semi").distinct()
+    return found, owners.select("gram_id", "item_id").distinct()
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
@@ -79,8 +80,9 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     wordless texts have no words and no hits; wordless items have no windows.
     Repeated rows get equal reports.  An empty benchmark hits nothing.
     """
-    found, owners = hits(docs, items, id_col, text_col, item_id_col, item_text_col, n)
-    found = materialise(found, "hits")
+    with Scratch(docs.sparkSession, "windows") as scratch:
+        found, owners = hits(scratch, docs, items, id_col, text_col, item_id_col, item_text_col, n)
+        found, owners = scratch.write(found, "hits", keep=True), scratch.write(owners, "owners", keep=True)
     key = ["id", "text_hash"]
     end = F.col("at") + F.col("len")
     order = W.partitionBy(*key).orderBy("at", "len")
@@ -114,8 +116,9 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; all columns stay as they are."""
-    found, _ = hits(docs, items, id_col, text_col, **named)
-    bad = found.select(F.col("id").alias("__nj_id"), F.col("text_hash").alias("__nj_hash")).distinct()
+    with Scratch(docs.sparkSession, "windows") as scratch:
+        found, _ = hits(scratch, docs, items, id_col, text_col, **named)
+        bad = scratch.write(found.select(F.col("id").alias("__nj_id"), F.col("text_hash").alias("__nj_hash")).distinct(), "bad", keep=True)
     own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return docs.join(bad, (F.struct(F.col(id_col).alias("v")) == F.col("__nj_id")) & (own == F.col("__nj_hash")), "left_anti")
 
