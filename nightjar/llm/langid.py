@@ -10,21 +10,21 @@ products: presence times landmarks, times weights.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from . import kernels as K
-from .shared import materialise
+from .shared import Scratch
 
 DIMS = 1 << 14
 ROWS = 256
 SPARE = 4
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(id_col: str) -> Column:
@@ -105,7 +105,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     order = F.xxhash64(F.col("key"))
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = materialise(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages")
+    with Scratch(docs.sparkSession, "languages") as scratch:
+        return _train(scratch, docs, known, order, id_col, text_col, max_per_language, max_rows)
+
+
+def _train(scratch: Scratch, docs: DataFrame, known: DataFrame, order: Column, id_col: str, text_col: str, max_per_language: int, max_rows: int) -> KernelModel | None:
+    sizes = scratch.write(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages")
     if sizes.count() <= max_rows:  # else joined by a shuffle
         sizes = F.broadcast(sizes)
     share = F.least(F.lit(1.0), F.lit(float(SPARE * max_per_language)) / F.col("size"))
