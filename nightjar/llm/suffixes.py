@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import kernels as K
-from .shared import materialise, release
+from .shared import Scratch, require_integral
 
 WINDOW, SEED = 50, 24
 REACH = WINDOW - SEED  # largest offset of a minimiser in its window
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 4 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 16
 _LARGEST = np.iinfo(np.int64).max
 
 
@@ -78,14 +79,18 @@ def _block(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarra
 
 
 def _entries(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Minimisers of a block, found in slices of about a megabyte of documents."""
+    """Minimisers of a block, found a megabyte at a time; a longer document is cut into slices that share WINDOW - 1 bytes."""
     found, at = [], 0
     while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), "right")) - 1)
-        part = minimisers(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
-        part["anchor"] = part["anchor"] + offsets[at]
-        part["doc"] = part["doc"] + at
-        found.append(part)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        low, high = int(offsets[at]), int(offsets[to])
+        step = SLICE_BYTES if to == at + 1 else high - low
+        for s in range(low, max(high - WINDOW + 1, low + 1), max(1, step)):
+            e = min(high, s + step + WINDOW - 1)
+            part = minimisers(data[s:e], np.clip(offsets[at : to + 1], s, e) - s)
+            part["anchor"] = part["anchor"] + s
+            part["doc"] = part["doc"] + at
+            found.append(part)
         at = to
     return {c: np.concatenate([f[c] for f in found]) for c in found[0]} if found else minimisers(data, offsets)
 
@@ -142,10 +147,14 @@ def _held_twice(blocks: DataFrame, bits: int) -> DataFrame:
 
 def _sides(data: np.ndarray, anchor: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Right sides (WINDOW bytes, cut at WINDOW - lo) and reversed left sides (REACH bytes, cut at hi), zero-padded."""
-    right = np.arange(WINDOW)
-    r = np.where(right < (WINDOW - lo)[:, None], data[np.minimum(anchor[:, None] + right, len(data) - 1)], 0).astype(np.uint8)
-    left = np.arange(1, REACH + 1)
-    return r, np.where(left <= hi[:, None], data[np.maximum(anchor[:, None] - left, 0)], 0).astype(np.uint8)
+    right, left = np.zeros((len(anchor), WINDOW), np.uint8), np.zeros((len(anchor), REACH), np.uint8)
+    after, before = np.arange(WINDOW), np.arange(1, REACH + 1)
+    for k in range(0, len(anchor), SLICE_ROWS):
+        own = slice(k, k + SLICE_ROWS)
+        a = anchor[own, None]
+        right[own] = np.where(after < (WINDOW - lo[own])[:, None], data[np.minimum(a + after, len(data) - 1)], 0)
+        left[own] = np.where(before <= hi[own, None], data[np.maximum(a - before, 0)], 0)
+    return right, left
 
 
 def _runs(blocks: DataFrame, twice: DataFrame, bits: int) -> DataFrame:
@@ -326,18 +335,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row with a smaller id, judged on the input.  Null text counts as empty; texts under
     WINDOW bytes are never touched; a null id counts as larger than any other.
     Rows that share an id don't take from each other.  Repeated rows get equal results; an
-    empty table gives none; other columns are ignored.
+    empty table gives none; other columns are ignored.  Ids must be integers (``TypeError``
+    otherwise).  A text is worked on in one task, which takes about ten times its size.
     """
+    require_integral(docs, id_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LARGEST)).alias("low"), F.xxhash64(text).alias("tie"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     bits = max(0, min(28, (-(-total // PART_BYTES) - 1).bit_length())) if total else 0
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("low", "tie"), F.lit(n_blocks)).cast("long"))
-    twice = materialise(_held_twice(blocks, bits), "seeds")
-    release(docs.sparkSession)
-    marks = materialise(_marks(_runs(blocks, twice, bits)), "marks")
-    release(docs.sparkSession)
+    with Scratch(docs.sparkSession, "suffixes") as scratch:
+        # the texts are dealt to their blocks once; all steps read them where they are
+        _, blocks = scratch.buckets(rows.withColumn("block", F.pmod(F.xxhash64("low", "tie"), F.lit(n_blocks)).cast("long")), "blocks", ["block"])
+        twice = scratch.write(_held_twice(blocks, bits), "seeds")
+        marks = scratch.write(_marks(_runs(blocks, twice, bits)), "marks")
+        return scratch.write(_cut(blocks, marks, id_col, docs.schema[id_col].dataType, with_text), "result", keep=True)
+
+
+def _cut(blocks: DataFrame, marks: DataFrame, id_col: str, kind: T.DataType, with_text: bool) -> DataFrame:
+    """The rows of all blocks without the marked bytes."""
 
     def apply(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -370,6 +386,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if with_text else [])])
+    schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if with_text else [])])
     out_arrow, out_names = to_arrow_schema(schema), schema.names
     return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(apply, schema)
