@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import kernels as K
 from .graph import components
-from .shared import materialise, release
+from .shared import Scratch
 
 PARTS, WIDTH = 6, 3
 MISS = 2e-6
@@ -152,13 +152,13 @@ def _buckets(nodes: DataFrame, chunks: int) -> DataFrame:
     return nodes.select("uid", "sig").mapInArrow(run, "key long, uid long")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirm(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough.
 
     ``v`` is the centre: its set goes to every salt of its pairs, ``u``'s set to one.
     """
     uses = pairs.groupBy(F.col("v").alias("c")).agg(F.ceil(F.count("u") / SALT_ROWS).cast("int").alias("salts"))
-    uses = materialise(uses, "centres")
+    uses = scratch.write(uses, "centres")
     jobs = (
         pairs.join(uses, F.col("v") == F.col("c"))
         .select(F.col("u").alias("uid"), "c", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
@@ -166,7 +166,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
     )
     wanted = jobs.groupBy("uid").agg(F.collect_list(F.struct("c", "salt", "role")).alias("jobs"))
     named = wanted.join(nodes.select("uid", "id", "s1", "s2"), "uid").select(F.struct("id").alias("key"), "uid", "s1", "s2", "jobs")
-    named = materialise(named, "jobs")
+    named = scratch.write(named, "jobs")
     # the wanted nodes grow with the input: never broadcast
     texts = docs.select(F.struct("id").alias("key"), "text").join(named.hint("merge"), "key").select("text", "uid", "s1", "s2", "jobs")
 
@@ -245,37 +245,41 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     component only if all ids of its group are null.  An empty table gives an
     empty result; other columns are ignored.
     """
+    with Scratch(docs.sparkSession, "neardup") as scratch:
+        found = scratch.write(_groups(scratch, docs, id_col, text_col, words, percent), "groups", keep=True)
+    return found.withColumnRenamed("id", id_col)
+
+
+def _groups(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     chunks = n_chunks(percent)
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = materialise(_describe(narrow.withColumn("text_hash", F.xxhash64("text")), words, chunks), "signatures")
+    rows = scratch.write(_describe(narrow.withColumn("text_hash", F.xxhash64("text")), words, chunks), "signatures")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
-    equal = materialise(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(order)["uid"].alias("rep")), "sets")
-    member = materialise(rows.drop("sig", "sketch").join(equal, ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid"))), "members")
+    equal = scratch.write(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(order)["uid"].alias("rep")), "sets")
+    member = scratch.write(rows.drop("sig", "sketch").join(equal, ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid"))), "members")
     nodes = rows.join(equal.select(F.col("rep").alias("uid")), "uid", "left_semi")
 
+    # sort-merge joins on keys: both sides grow with the input, and skewed partitions of such joins are split at run time
     keyed = _buckets(nodes, chunks)
     shared = keyed.groupBy("key").agg(F.min("uid").alias("centre"), F.max("uid").alias("last")).filter("centre != last").select("key", "centre")
-    active = materialise(keyed.join(materialise(shared, "shared"), "key").filter("uid != centre"), "buckets")
-    release(docs.sparkSession)
-    links = materialise(_confirm(active.select(F.col("uid").alias("u"), F.col("centre").alias("v")).distinct(), nodes, narrow, words, percent), "links")
-    release(docs.sparkSession)
-    roots = components(links)
+    active = scratch.write(keyed.join(scratch.write(shared, "shared").hint("merge"), "key").filter("uid != centre"), "buckets")
+    links = scratch.write(_confirm(scratch, active.select(F.col("uid").alias("u"), F.col("centre").alias("v")).distinct(), nodes, narrow, words, percent), "links")
+    roots = components(scratch, links)
 
     # other nodes of a bucket in several components
     labelled = active.join(roots.select(F.col("v").alias("uid"), F.col("m")), "uid", "left").select("key", "uid", F.coalesce("m", "uid").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("key")
-    rest = materialise(labelled.join(materialise(mixed, "mixed"), "key", "left_semi"), "rest")
+    rest = scratch.write(labelled.join(scratch.write(mixed, "mixed").hint("merge"), "key", "left_semi"), "rest")
     if not rest.isEmpty():
-        near = materialise(_near_in_blocks(rest, nodes, percent), "near")
-        release(docs.sparkSession)
+        near = scratch.write(_near_in_blocks(rest, nodes, percent), "near")
         done = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        more = materialise(_confirm(near.join(done, ["u", "v"], "left_anti"), nodes, narrow, words, percent), "more")
+        more = scratch.write(_confirm(scratch, near.join(done, ["u", "v"], "left_anti"), nodes, narrow, words, percent), "more")
         if not more.isEmpty():
-            roots = components(links.unionByName(more))
+            roots = components(scratch, links.unionByName(more))
 
-    top = materialise(member.join(roots.select(F.col("v").alias("rep"), "m"), "rep", "left").withColumn("root", F.coalesce("m", "rep")).drop("m"), "roots")
-    least = materialise(top.groupBy("root").agg(F.min(order).alias("least")), "least")
-    return top.join(least, "root").select(F.col("id").alias(id_col), F.col("uid"), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("uid") == F.col("least.uid")).alias("first"), "text_hash")
+    top = scratch.write(member.join(roots.select(F.col("v").alias("rep"), "m"), "rep", "left").withColumn("root", F.coalesce("m", "rep")).drop("m"), "roots")
+    least = scratch.write(top.groupBy("root").agg(F.min(order).alias("least")), "least")
+    return top.join(least, "root").select("id", "uid", F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("uid") == F.col("least.uid")).alias("first"), "text_hash")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -284,7 +288,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     That is the row with the least id (nulls last); rows without shingles all stay,
     as they are linked with nothing.  Of rows equal in id and text one stays.
     """
-    found = materialise(groups(docs, id_col, text_col, words, percent).select(F.struct(F.col(id_col).alias("v")).alias("__nj_key"), F.col("text_hash").alias("__nj_hash"), "n_shingles", "first"), "groups")
+    found = groups(docs, id_col, text_col, words, percent).select(F.struct(F.col(id_col).alias("v")).alias("__nj_key"), F.col("text_hash").alias("__nj_hash"), "n_shingles", "first")
     stay = found.filter("first OR n_shingles = 0").select("__nj_key", "__nj_hash").distinct()
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.withColumns({"__nj_key": F.struct(F.col(id_col).alias("v")), "__nj_hash": F.xxhash64(body)}).join(stay, ["__nj_key", "__nj_hash"], "left_semi")
