@@ -19,10 +19,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .shared import materialise, scratch_path
+from .shared import Scratch
 
 MAGIC = b"WARC/1.1\r\n"
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES, TASK_BYTES = 8 << 20, 128 << 20
 HEADER_BYTES = 64 << 10  # read beyond a range at first; a longer header is read on to its end
 RECORDS_PER_FILE = 50_000
 BROADCAST_ROWS = 200_000
@@ -38,20 +38,26 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     Null html is an empty payload, a null url an empty target.  Of equal payloads
     with ``least_bytes`` or more, rows with the least id are responses and the others
     revisits of it, with an empty block; rows that repeat the least id are all
-    responses, and a null id counts as larger than any other.  An empty table
-    writes no record.
+    responses, and a null id counts as larger than any other.  Ids are written
+    url-encoded, and a null id as ``<urn:none>``; line breaks in a url become blanks.
+    An empty table writes no record.
     """
+    with Scratch(pages.sparkSession, "payloads") as scratch:
+        _write_warc(scratch, pages, out, id_col, url_col, html_col, least_bytes, records_per_file)
+
+
+def _write_warc(scratch: Scratch, pages: DataFrame, out: str, id_col: str, url_col: str, html_col: str, least_bytes: int, records_per_file: int) -> None:
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     base = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), html.alias("html"))
     digest = F.sha2(F.col("html"), 256).alias("digest")
-    first = materialise(
+    first = scratch.write(
         base.filter(F.octet_length("html") >= least_bytes).select("id", digest).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("twin"), "first"), "payloads"
     )
     if first.count() <= BROADCAST_ROWS:
         first = F.broadcast(first)
     typed = base.withColumn("digest", digest).join(first, F.col("digest") == F.col("twin"), "left").withColumn("revisit", F.col("twin").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
     block = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    name = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(F.col(c).cast("string")), F.lit(">")), F.lit("<urn:none>"))
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
@@ -158,18 +164,18 @@ def candidates(segments: DataFrame) -> DataFrame:
     return segments.mapInPandas(run, "path string, seg long, off long, leaves long")
 
 
-def chain(found: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
+def chain(scratch: Scratch, found: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
     """(path, off): the entries of ranges that are reachable from offset 0, by pointer jumping."""
     reached = starts.select("path", F.lit(0).cast("long").alias("off"))
     entry = found.select("path", F.col("leaves").alias("off")).distinct().unionByName(reached).distinct()
-    jump = materialise(found.join(entry, ["path", "off"]).select("path", "off", F.col("leaves").alias("to")), "jumps")
+    jump = scratch.write(found.join(entry, ["path", "off"]).select("path", "off", F.col("leaves").alias("to")), "jumps")
     span = 1
     while span <= longest:
-        reached = materialise(reached.join(jump, ["path", "off"]).select("path", F.col("to").alias("off")).unionByName(reached).distinct(), "reached")
+        reached = scratch.write(reached.join(jump, ["path", "off"]).select("path", F.col("to").alias("off")).unionByName(reached).distinct(), "reached")
         span *= 2
         if span <= longest:
             after = jump.select("path", F.col("off").alias("to"), F.col("to").alias("next"))
-            jump = materialise(jump.join(after, ["path", "to"]).select("path", "off", F.col("next").alias("to")), "jumps")
+            jump = scratch.write(jump.join(after, ["path", "to"]).select("path", "off", F.col("next").alias("to")), "jumps")
     return reached
 
 
@@ -180,17 +186,33 @@ def read_warc(spark: SparkSession, path: str, segment_bytes: int = SEGMENT_BYTES
     isn't a whole record raises ``ValueError``.
     Empty files and folders without records give no rows.
     """
+    with Scratch(spark, "chain") as scratch:
+        todo = scratch.write(_entries(scratch, spark, path, segment_bytes), "entries", keep=True)
+    todo = todo.repartition(tasks(todo.agg(F.count(F.lit(1)), F.sum(F.col("high") - F.col("off"))).first(), spark), "path", "off")
+    return _records(todo, with_payload)
+
+
+def tasks(sized: tuple[int, int], spark: SparkSession) -> int:
+    """Tasks for so many ranges and bytes: about TASK_BYTES each, but the usual parallelism at least."""
+    ranges, total = sized[0], sized[1] or 0
+    return max(1, min(ranges, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))))
+
+
+def _entries(scratch: Scratch, spark: SparkSession, path: str, segment_bytes: int) -> DataFrame:
+    """(path, off, high, size): where the records of each byte range begin."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", F.col("length").alias("size")).filter("size > 0")
     segments = files.select("path", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / segment_bytes) - 1)).alias("seg")).select(
         "path", "size", F.col("seg").cast("long").alias("seg"), (F.col("seg") * segment_bytes).cast("long").alias("low"), F.least(F.col("size"), (F.col("seg") + 1) * segment_bytes).cast("long").alias("high")
     )
-    segments = materialise(segments, "segments")
-    longest = segments.agg(F.max("seg")).first()[0]
-    spread = segments.repartition(segments.count() or 1, "path", "seg")
-    found = materialise(candidates(spread), "candidates")
-    entries = chain(found, segments.filter("seg = 0").select("path"), longest or 0)
-    todo = entries.withColumn("seg", F.floor(F.col("off") / segment_bytes)).join(segments, ["path", "seg"]).filter(F.col("off") < F.col("size"))
+    segments = scratch.write(segments, "segments")
+    longest, *sized = segments.agg(F.max("seg"), F.count(F.lit(1)), F.sum(F.col("high") - F.col("low"))).first()
+    spread = segments.repartition(tasks(sized, spark), "path", "seg")
+    found = scratch.write(candidates(spread), "candidates")
+    entries = chain(scratch, found, segments.filter("seg = 0").select("path"), longest or 0)
+    return entries.withColumn("seg", F.floor(F.col("off") / segment_bytes)).join(segments, ["path", "seg"]).filter(F.col("off") < F.col("size")).select("path", "off", "high", "size")
+
 
+def _records(todo: DataFrame, with_payload: bool) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for path, off, high, size in frame[["path", "off", "high", "size"]].itertuples(index=False):
@@ -217,13 +239,14 @@ def read_warc(spark: SparkSession, path: str, segment_bytes: int = SEGMENT_BYTES
                         yield pd.DataFrame(rows, columns=names)
 
     names = ["path", "off", "type", "record_id", "refers_to", "uri", "digest", "length", "sha256", "payload"]
-    return todo.select("path", "off", "high", "size").mapInPandas(run, "path string, off long, type string, record_id string, refers_to string, uri string, digest string, length long, sha256 string, payload binary")
+    return todo.mapInPandas(run, "path string, off long, type string, record_id string, refers_to string, uri string, digest string, length long, sha256 string, payload binary")
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Records with revisits resolved: page id, full payload bytes and digest, type and refers_to."""
-    page = lambda c: F.regexp_extract(F.col(c), r"^<urn:page:(.*)>$", 1)
-    rows = materialise(records.select("type", page("record_id").alias("page"), page("refers_to").alias("of"), "digest", "length", "sha256"), "records")
+    """Records with revisits resolved: page id (null for a null id), full payload bytes and digest, type and refers_to."""
+    page = lambda c: F.when(F.col(c).startswith("<urn:page:"), F.url_decode(F.regexp_extract(F.col(c), r"^<urn:page:(.*)>$", 1)))
+    rows = records.select("type", page("record_id").alias("page"), page("refers_to").alias("of"), "digest", "length", "sha256")
+    rows = Scratch(records.sparkSession, "records").write(rows, "records", keep=True)
     own = rows.filter("type != 'revisit'").select("page", F.col("length").alias("payload_bytes"), F.col("sha256").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
     again = rows.filter("type = 'revisit'").select("page", "of", F.regexp_replace("digest", "^sha256:", "").alias("payload_digest"))
     whole = own.select(F.col("page").alias("of"), "payload_bytes", "payload_digest").distinct()
@@ -234,8 +257,8 @@ def resolved(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, id_col: str = "page_id", **named) -> DataFrame:
     """Write ``pages`` to a scratch folder and read the archives back, per page."""
     spark, kind = pages.sparkSession, pages.schema[id_col].dataType
-    out = scratch_path(spark, "warc")
-    write_warc(pages, out, id_col, **named)
-    back = resolved(read_warc(spark, out, with_payload=False))
-    typed = lambda c: F.nullif(F.col(c), F.lit("")).cast(kind)
-    return back.select(typed("page").alias(id_col), "payload_bytes", "payload_digest", "record_type", typed("refers_to").alias("refers_to"))
+    with Scratch(spark, "warc") as scratch:
+        out = scratch.path("archives")
+        write_warc(pages, out, id_col, **named)
+        back = resolved(read_warc(spark, out, with_payload=False))
+    return back.withColumns({id_col: F.col("page").cast(kind), "refers_to": F.col("refers_to").cast(kind)}).select(id_col, "payload_bytes", "payload_digest", "record_type", "refers_to")
