@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from nightjar.llm import decontaminate, kernels, langid, linededup, neardup, packing, quality, sharding, suffixes, tokens, warc
+from nightjar.llm import decontaminate, kernels, langid, linededup, neardup, packing, quality, sharding, shared, suffixes, tokens, warc
 
 D = "/root/testdata/sf0.001"
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -132,7 +132,7 @@ def test_warc(spark, tmp_path, segment):
     for i, _, h in PAGES:
         raw = (h or "").encode()
         again = i in (2, None)
-        assert got["" if i is None else str(i)] == ("revisit" if again else "response", "1" if again else None, len(raw), hashlib.sha256(raw).hexdigest())
+        assert got[None if i is None else str(i)] == ("revisit" if again else "response", "1" if again else None, len(raw), hashlib.sha256(raw).hexdigest())
 
 
 def test_warc_empty(spark):
@@ -306,11 +306,18 @@ def test_lines(spark):
 
 
 def test_line_runs(spark):
-    runs = linededup.LineRuns(spark, fanout=2)
-    for b in range(4):
-        runs.add(spark.createDataFrame([(b, "the same line in all of them")], "id long, text string"), "id", "text", 20)
-    assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert [(r["n_docs"], r["max_id"]) for r in runs.live().collect()] == [(4, 3)]
+    """A batch's keys are anti-joined with the runs; runs share no key and full levels are merged."""
+    batches = [[(1, 1, 9), (1, 1, 8), (2, 2, 8)], [(1, 1, 7), (3, 3, 6)], [(3, 3, 5), (4, 4, 5)], [(2, 2, 1)]]
+    with shared.Scratch(spark, "test") as scratch:
+        runs = linededup.LineRuns(scratch, fanout=2)
+        fresh = []
+        for rows in batches:
+            own = runs.add(spark.createDataFrame(rows, "h1 long, h2 long, id long"))
+            fresh.append(sorted((r["h1"], r["id"]) for r in own.collect()))
+            runs.compact()
+        assert fresh == [[(1, 9), (2, 8)], [(3, 6)], [(4, 5)], []]
+        assert [len(x) for x in runs.levels] == [0, 0, 1]
+        assert sorted((r["h1"], r["id"]) for run in runs.live() for r in run.collect()) == [(1, 9), (2, 8), (3, 6), (4, 5)]
 
 
 def test_sharding(spark):
