@@ -13,17 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nightjar.llm import decontaminate, langid, linededup, neardup, packing, tokens
-from nightjar.llm.shared import materialise
+from nightjar.llm.shared import Scratch
 
 #: near-duplicates: words in a shingle, and the similarity in percent
 SHINGLE_WORDS, SIMILARITY = 5, 80
 CAPACITY = 1024
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if not c.startswith("__nj_")]
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is undetermined (null text, no letter; all if no language is learned) go.
 
@@ -74,6 +70,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark, "pipeline") as scratch:  # packing reads its documents at once
+        for name, stage in STAGES[:-1]:
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)
