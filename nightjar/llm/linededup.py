@@ -89,7 +89,7 @@ def repeated_lines(scratch: Scratch, docs: DataFrame, min_chars: int, min_docs:
     for b in range(batches):
         own = lines.filter(F.col("batch") == b).drop("batch")
         fresh = runs.add(own)
-        again = scratch.write(own.join(fresh, [*KEY, "id"], "left_anti"), "repeats")
+        again = scratch.write(own.join(fresh.hint("merge"), [*KEY, "id"], "left_anti"), "repeats")
         runs.compact()
         repeats = again if repeats is None else repeats.unionByName(again)
     # the holder is one document more
@@ -97,7 +97,7 @@ def repeated_lines(scratch: Scratch, docs: DataFrame, min_chars: int, min_docs:
     often = scratch.write(often, "often")
     bound = repeats.count() / HOT_SHARE
     hot, cold = F.broadcast(often.filter(F.col("n") > bound).select(*KEY)), often.filter(F.col("n") <= bound).select(*KEY)
-    lost = repeats.join(hot, KEY, "left_semi").unionByName(repeats.join(hot, KEY, "left_anti").join(cold, KEY, "left_semi"))
+    lost = repeats.join(hot, KEY, "left_semi").unionByName(repeats.join(hot, KEY, "left_anti").join(cold.hint("merge"), KEY, "left_semi"))
     return scratch.write(lost.groupBy("id", "tid").agg(F.collect_set("at").alias("gone")), "lost", keep=True)  # at most the lines of one document
 
 
@@ -135,7 +135,7 @@ def dedup_lines(
     left = F.get(F.transform(F.array(split), lambda lines: F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")), 0)
     out = (
         docs.withColumns({"__nj_body": text, "__nj_id": low, "__nj_text": F.xxhash64(text)})
-        .join(lost, ["__nj_id", "__nj_text"], "left")
+        .join(lost.hint("merge"), ["__nj_id", "__nj_text"], "left")  # grows with the input: never broadcast
         .withColumn("n_lines", (F.regexp_count("__nj_body", F.lit("\n")) + 1).cast("long"))
         .withColumn("n_dropped", F.when(F.col("__nj_gone").isNull(), 0).otherwise(F.size("__nj_gone")).cast("long"))
     )
