@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -16,11 +18,21 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; one of our own only where it names none."""
+    """``df`` written as Parquet to the folder that driver and executors share, and read back.
+
+    Cuts the plan's lineage, and readers take only the columns they need.  Only a session in
+    one process that names no folder gets one of our own.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nightjar-"))
-    return df.checkpoint()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nightjar-"))
+        root = spark.sparkContext.getCheckpointDir()
+    path = f"{root.rstrip('/')}/nightjar-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def merge_key(venue: str = "venue_id", day: str = "start_date", title: str = "title") -> Column:

@@ -42,6 +42,20 @@ _BEST_LAST = "arg_max({c}, (CAST(l_shipdate AS DATE), l_orderkey, l_linenumber))
 _ROUND = "floor({x} * 100 + 0.5) / 100"
 
 ORACLES = {
+    "direct_evidence_score": """
+WITH p AS (SELECT c_nationkey || '/' || c_mktsegment AS user_id, p_name || ' ' || p_brand AS name, l_quantity * 100000 * CASE WHEN l_shipdate > TIMESTAMP '2001-12-01' THEN 1 ELSE pow(0.5, (epoch_us(TIMESTAMP '2001-12-01') - epoch_us(l_shipdate)) / 86400e6 / 548) END AS ms
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+a AS (SELECT user_id, name, sum(ms) / 60000 AS plays FROM p GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY plays DESC, name) <= 600),
+w AS (SELECT user_id, name, greatest(0.05, sqrt(plays / max(plays) OVER (PARTITION BY user_id))) AS s FROM a),
+e AS (SELECT p_name || ' ' || p_brand AS name, count(DISTINCT l_suppkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT user_id, CAST(sum(n) AS BIGINT) AS events, round(max(s), 6) AS best, round(1 - exp(sum(n * ln(1 - least(0.999, s)))), 6) AS "any" FROM w JOIN e USING (name) WHERE s >= 0.18 GROUP BY 1""",
+    "page_surfaces": r"""
+SELECT page_id, len(regexp_extract_all(html, '<script[^>]+type=["'']application/ld\+json["''][^>]*>', 0, 'i')) AS json_ld, contains(html, '__NEXT_DATA__') AS next_data,
+  least(10, len(list_distinct(regexp_extract_all(html, '20\d\d-\d\d-\d\d')))) AS dates,
+  array_to_string(list_filter([CASE WHEN regexp_matches(html, p.rx, 'i') THEN p.name END FOR p IN [
+    {'name': 'wordpress', 'rx': 'wp-content|wp-json'}, {'name': 'drupal', 'rx': 'drupal-settings|/sites/default/'}, {'name': 'next', 'rx': '__NEXT_DATA__|/_next/'}, {'name': 'nuxt', 'rx': '__NUXT__|/_nuxt/'}, {'name': 'gatsby', 'rx': '___gatsby'},
+    {'name': 'squarespace', 'rx': 'squarespace'}, {'name': 'wix', 'rx': 'wixstatic|wix\.com'}, {'name': 'shopify', 'rx': 'cdn\.shopify'}, {'name': 'umbraco', 'rx': 'umbraco'}, {'name': 'sitecore', 'rx': 'sitecore'}, {'name': 'json-ld', 'rx': 'application/ld\+json'},
+    {'name': 'microdata', 'rx': 'schema\.org/[A-Za-z]*Event'}, {'name': 'ical', 'rx': '\.ics["''?]'}, {'name': 'rss', 'rx': 'application/rss\+xml'}, {'name': 'graphql', 'rx': 'graphql'}]], lambda x: x IS NOT NULL), ',') AS platforms FROM pages""",
     "filter_cascade_counts": _ORDERS + """
 SELECT reason, count(*) AS n FROM (SELECT CASE WHEN start_date < DATE '1996-01-01' THEN 'past' WHEN start_date > DATE '1998-12-31' THEN 'beyond_window'
   WHEN status IS NOT NULL AND status <> 'scheduled' THEN 'cancelled' WHEN n_regionkey NOT IN (1, 2, 3) THEN 'country'
@@ -110,10 +124,15 @@ SELECT wrong, (SELECT first(name ORDER BY lower(name)) FROM n WHERE levenshtein(
 WHERE EXISTS (SELECT 1 FROM n WHERE levenshtein(lower(name), trim(regexp_replace(lower(wrong), ' +', ' ', 'g'))) <= 1)""",
     "similar_one_hop": """
 WITH q AS (SELECT p_brand AS brand, s_nationkey AS nk, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
-t AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY q DESC, nk) AS pos FROM q QUALIFY pos <= 5),
+t AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY q DESC, nk) AS pos FROM q),
 o AS (SELECT c_mktsegment AS user_id, c_nationkey AS nk, sum(c_acctbal) AS plays FROM customer GROUP BY 1, 2 HAVING sum(c_acctbal) > 0),
-w AS (SELECT *, greatest(0.05, sqrt(plays / max(plays) OVER (PARTITION BY user_id))) AS weight FROM o)
-SELECT user_id, brand, 'Nation ' || arg_max(nk, (s, -pos)) AS via, round(max(s), 6) AS strength FROM (SELECT user_id, brand, t.nk, pos, weight * least(1, t.q / 10000) * 0.62 AS s FROM t JOIN w ON t.nk = w.nk) GROUP BY 1, 2""",
+w AS (SELECT user_id, 'nation ' || nk AS name, plays, greatest(0.05, sqrt(plays / max(plays) OVER (PARTITION BY user_id))) AS weight FROM o),
+n AS (SELECT DISTINCT 'nation ' || nk AS sim FROM q), u AS (SELECT DISTINCT user_id FROM w),
+x AS (SELECT n.sim, w.user_id, w.name, w.weight FROM n JOIN w ON w.name = n.sim),
+f AS (SELECT n.sim, w.user_id, first(w.name ORDER BY w.plays DESC, w.name) AS name, first(w.weight ORDER BY w.plays DESC, w.name) AS weight FROM n JOIN w ON length(n.sim) >= 8 AND length(w.name) >= 7 AND levenshtein(n.sim, w.name) <= 1
+  WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.sim = n.sim AND x.user_id = w.user_id) GROUP BY 1, 2),
+h AS (SELECT * FROM x UNION ALL SELECT * FROM f)
+SELECT user_id, brand, replace(arg_max(h.name, (s, -pos)), 'n', 'N')[1:1] || arg_max(h.name, (s, -pos))[2:] AS via, round(max(s), 6) AS strength FROM (SELECT h.user_id, brand, h.name, pos, weight * least(1, t.q / 10000) * 0.62 AS s FROM t JOIN h ON h.sim = 'nation ' || t.nk) h GROUP BY 1, 2""",
     "artist_fold_sequential": """
 WITH o AS (SELECT o_custkey AS user_id, o_orderkey AS event_id, o_totalprice / 1000 AS r, CAST(o_orderpriority[1] AS INT) AS c FROM orders),
 l AS (SELECT user_id, list({'e': event_id, 'r': r, 'c': CASE WHEN c = 5 THEN 9 ELSE c - 1 END} ORDER BY r DESC, event_id) AS xs FROM o GROUP BY 1),
@@ -175,7 +194,7 @@ SELECT p_partkey, p_name AS title, p_brand AS venue_name, 'DK' AS country, '20:3
 SELECT p_name, p_brand AS mbid, count(*) AS n, CAST(sum(CASE WHEN p_size > 0 THEN 2 ELSE 1 END) AS BIGINT) AS tags, count(*) FILTER (p_size < 20) AS rock_first FROM part GROUP BY 1, 2""",
     "similar_scores": """
 WITH r AS (SELECT l_suppkey, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS p FROM lineitem),
-m AS (SELECT *, greatest(max(q) FILTER (p <= 80) OVER (PARTITION BY l_suppkey), 1) AS top FROM r)
+m AS (SELECT *, greatest(max(q) OVER (PARTITION BY l_suppkey), 1) AS top FROM r)
 SELECT l_suppkey, count(*) AS n, round(sum(least(1, greatest(0.25, q / top))), 6) AS total FROM m WHERE p <= 60 GROUP BY 1""",
     "explain_text": """
 SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'You listen to ' || p_name WHEN 1 THEN 'Because you listen to ' || p_name ELSE 'Matches your taste for ' || p_type || ' and ' || p_brand END || '.' AS en,

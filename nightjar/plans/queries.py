@@ -172,7 +172,7 @@ def dense_cosine_topk(spark, d):
     parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
     table = means.agg(F.collect_list(F.struct("label", "mean")).alias("all"))  # one row, a mean per label
-    near = e.crossJoin(F.broadcast(table)).select("vec_id", F.explode(F.transform("all", lambda m: F.struct(m["label"].alias("label"), vectors.dense_cosine(F.col("embedding"), m["mean"]).alias("c")))).alias("x"))
+    near = e.crossJoin(corpus.small(table)).select("vec_id", F.explode(F.transform("all", lambda m: F.struct(m["label"].alias("label"), vectors.dense_cosine(F.col("embedding"), m["mean"]).alias("c")))).alias("x"))
     near = near.select("vec_id", F.col("x.label").alias("label"), r6("x.c").alias("cosine"))
     return corpus.top_k(near, ["vec_id"], [F.desc("cosine"), F.col("label")], 3)
 
@@ -205,7 +205,8 @@ def similar_one_hop(spark, d):
     top = corpus.top_k(by_nation, ["brand"], [F.desc("q"), F.col("s_nationkey")], structured.KEEP_SIMILAR)  # there are 25 nations
     sims = top.groupBy("brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string")).alias("name"), (F.col("q") / 10_000).alias("score")))), lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score"))).alias("similar"))
     index = sims.select(text.fold_name(F.col("brand")).alias("key"), "similar")
-    own = t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("user_id"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("name")).agg(F.sum("c_acctbal").alias("plays")).filter("plays > 0").withColumn("rank", F.lit(0))
+    own = t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("user_id"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("name")).agg(F.sum("c_acctbal").alias("plays")).filter("plays > 0")
+    own = own.withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("plays"), "name")) - 1)
     keys = taste.taste_keys(taste.weights(own))
     return match.one_hop(sims.select("brand"), index, keys, "brand").select("user_id", "brand", "via", r6("strength").alias("strength"))
 
@@ -251,7 +252,7 @@ def tribute_flag(spark, d):
 def edit_distance(spark, d):
     n = t(spark, d, "nation").select(F.lower("n_name").alias("x"))
     s = t(spark, d, "part").select(F.lower("p_name").alias("y")).distinct()
-    return s.crossJoin(F.broadcast(n)).select("x", "y", text.edit_distance(F.col("x"), F.col("y"), 6).alias("d"), text.nearly_equal(F.col("x"), F.col("y")).alias("near"))  # 25 nations
+    return s.crossJoin(corpus.small(n)).select("x", "y", text.edit_distance(F.col("x"), F.col("y"), 6).alias("d"), text.nearly_equal(F.col("x"), F.col("y")).alias("near"))  # 25 nations
 
 
 def html_links(spark, d):
@@ -484,7 +485,7 @@ def _flagship_tables(spark, d):
     bought = li.select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate").join(act, F.col("l_partkey") == F.col("p_partkey")).join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
     plays = bought.select("user_id", "artist", (F.col("l_quantity") * 100_000).alias("ms"), F.col("l_shipdate").cast("timestamp").alias("at"), F.lit(None).cast("double").alias("plays"), F.lit("csv").alias("from"))
     liked = taste.weights(taste.listening(taste.valid_plays(plays), F.lit("2001-12-01").cast("timestamp")))
-    show = F.date_add(F.lit("2001-12-01").cast("date"), (F.pmod(F.xxhash64("s_suppkey", "artist"), F.lit(420))).cast("int"))
+    show = F.date_add(F.lit("2001-12-01").cast("date"), ((F.col("s_suppkey") * 131 + F.length("artist") * 17 + F.ascii("artist") * 7) % 420).cast("int"))
     room = s.join(corpus.small(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name", scalars.size_class(F.floor("s_acctbal")).alias("size_class"))
     sold = li.select("l_suppkey", "l_partkey").join(act, F.col("l_partkey") == F.col("p_partkey")).select("artist", F.col("l_suppkey").alias("s_suppkey")).distinct()
     shows = sold.join(room, "s_suppkey")
@@ -512,12 +513,13 @@ def recommend_diagnostics(spark, d):
 
 
 def direct_evidence_score(spark, d):
-    """Noisy-or of direct evidence, thresholded and ranked: the smallest end-to-end slice."""
+    """Noisy-or of direct evidence over all events above the threshold: the smallest end-to-end slice."""
     liked, events, _ = _flagship_tables(spark, d)
-    keys = taste.taste_keys(liked)
-    e = events.select("event_id", "venue_id", F.posexplode(text.keys_for(F.col("title"))).alias("pos", "key"))
-    hit = e.join(keys.select("user_id", "key", "weight"), "key").groupBy("user_id", "event_id").agg(F.min_by("weight", "pos").alias("s"))
-    return hit.filter(F.col("s") >= 0.18).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), r6(F.max("s")).alias("best"), r6(scalars.noisy_or(F.array_sort(F.collect_list("s")))).alias("any"))
+    shows = events.groupBy("title").agg(F.count(F.lit(1)).alias("n"))  # a title's shows share their evidence
+    keyed = shows.select("title", "n", F.posexplode(text.keys_for(F.col("title"))).alias("pos", "key"))
+    hit = keyed.join(taste.taste_keys(liked).select("user_id", "key", "weight"), "key").groupBy("user_id", "title", "n").agg(F.min_by("weight", "pos").alias("s"))
+    missed = F.sum(F.col("n") * F.log(1 - F.least(F.lit(scalars.NOISY_CAP), F.col("s"))))
+    return hit.filter(F.col("s") >= OPTIONS.min_score).groupBy("user_id").agg(F.sum("n").alias("events"), r6(F.max("s")).alias("best"), r6(1 - F.exp(missed)).alias("any"))
 
 
 def windowed_event_counts(spark, d):

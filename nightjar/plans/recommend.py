@@ -53,6 +53,21 @@ def filtered_events(events: DataFrame, o: RecommendOptions) -> DataFrame:
     return rules.cascade(events, rules.engine_rules(low, high, list(o.countries), list(o.cities), tribute))
 
 
+def bills(events: DataFrame) -> DataFrame:
+    """(bill, artists, title, size_class, n, ord, event_id, venue_id, venue_name, start_date): events by who plays and in what room.
+
+    Events with one bill get the same evidence, so it is gathered once for all of a bill's
+    dates.  Rank depends on the bill and the room's size only; of equal ranks the corpus order
+    decides, and a room of the same size never replaces an earlier one.  So the first
+    event of each bill and room size stands for the ``n`` that there are.
+    """
+    artists = F.coalesce("artists", F.array().cast("array<string>"))
+    alone = F.when(F.size(artists) == 0, F.col("title"))  # a title stands for the act it doesn't name
+    first = F.min(F.struct("ord", "event_id", "title", "venue_id", "venue_name", "start_date")).alias("first")
+    rooms = events.groupBy(artists.alias("artists"), alone.alias("alone"), "size_class").agg(first, F.count(F.lit(1)).alias("n"))
+    return rooms.select(F.sha2(F.to_json(F.struct("artists", "alone")), 256).alias("bill"), "artists", "size_class", "n", "first.*")
+
+
 def evidence(events: DataFrame, taste: DataFrame, index: DataFrame) -> DataFrame:
     """(user_id, event_id, pos, kind, artist, via, tags, similarity, strength): one row per billed artist that matters.
 
@@ -96,16 +111,21 @@ def user_vectors(taste: DataFrame, index: DataFrame) -> DataFrame:
     return vectors.tag_vector(votes.filter("tag IS NOT NULL AND w > 0"), ["user_id"])
 
 
-def score(events: DataFrame, found: DataFrame, o: RecommendOptions) -> DataFrame:
-    """(user_id, event_id, score, depth, rank, evidence, best) of events above the threshold."""
+def score(found: DataFrame, o: RecommendOptions) -> DataFrame:
+    """(user_id, event_id, evidence, score, depth, best) of what is above the threshold; here events are bills."""
     # strongest first; the sort is stable over the bill
     item = F.struct((-F.col("strength")).alias("less"), "pos", "kind", "artist", "via", "tags", "similarity", "strength")
     agg = found.groupBy("user_id", "event_id").agg(F.array_sort(F.collect_list(item)).alias("evidence"))  # at most BILLED items
     strengths = F.transform("evidence", lambda e: e["strength"])
-    scored = agg.withColumn("score", noisy_or(strengths)).withColumn("depth", F.aggregate(strengths, F.lit(0.0), lambda a, s: a + s)).filter(F.col("score") >= o.min_score)
-    scored = scored.join(events.select("event_id", "title", "artists", "venue_id", "venue_name", "start_date", "size_class", "ord"), "event_id")
+    scored = agg.withColumn("score", noisy_or(strengths)).withColumn("depth", F.aggregate(strengths, F.lit(0.0), lambda a, s: a + s))
+    return scored.filter(F.col("score") >= o.min_score).withColumn("best", F.get("evidence", 0))
+
+
+def dated(scored: DataFrame, dates: DataFrame, o: RecommendOptions) -> DataFrame:
+    """Scored bills with their dates (see ``bills``) and ``rank``."""
     room = F.col("size_class") if o.room_preference == "intimate" else None
-    return scored.withColumn("rank", rank_score(F.col("score"), F.col("depth"), room)).withColumn("best", F.get("evidence", 0))
+    rows = scored.select("user_id", F.col("event_id").alias("bill"), "score", "depth", "best").join(dates, "bill")
+    return rows.withColumn("rank", rank_score(F.col("score"), F.col("depth"), room))
 
 
 def one_date_per_artist(scored: DataFrame) -> DataFrame:
@@ -192,11 +212,11 @@ def select(candidates: DataFrame, sizes: DataFrame, index: DataFrame, o: Recomme
     A group holds a user's candidates: one per act playing in the window, so it is
     bounded by the corpus, not by the number of users.
     """
-    billed = candidates.select("event_id", "artists").dropDuplicates(["event_id"]).select("event_id", F.explode("artists").alias("artist"))
-    tags = match.probe(billed, index.select("key", "tags"), "artist").select("event_id", F.explode("tags").alias("t")).select("event_id", usable_tag(F.col("t.name")).alias("tag")).filter("tag IS NOT NULL")
-    vec = vectors.unit(tags.groupBy("event_id", "tag").agg(F.count(F.lit(1)).cast("double").alias("w")), ["event_id"]).groupBy("event_id").agg(F.collect_list(F.struct("tag", "w")).alias("vec"))
+    billed = candidates.select("bill", "artists").dropDuplicates(["bill"]).select("bill", F.explode("artists").alias("artist"))
+    tags = match.probe(billed, index.select("key", "tags"), "artist").select("bill", F.explode("tags").alias("t")).select("bill", usable_tag(F.col("t.name")).alias("tag")).filter("tag IS NOT NULL")
+    vec = vectors.unit(tags.groupBy("bill", "tag").agg(F.count(F.lit(1)).cast("double").alias("w")), ["bill"]).groupBy("bill").agg(F.collect_list(F.struct("tag", "w")).alias("vec"))
     bill = F.transform("artists", lambda a: fold_name(a))
-    rows = candidates.join(vec, "event_id", "left").join(sizes, "user_id").select(
+    rows = candidates.join(vec, "bill", "left").join(sizes, "user_id").select(
         "user_id", "event_id", "rank", "ord", "k", "quota", "venue_id", F.date_format("start_date", "yyyy-MM").alias("month"), F.col("best.kind").alias("kind"), bill.alias("bill"), F.array_distinct(bill).alias("folds"),
         F.coalesce(F.transform("vec", lambda v: v["tag"]), F.array().cast("array<string>")).alias("tags"), F.coalesce(F.transform("vec", lambda v: v["w"]), F.array().cast("array<double>")).alias("ws"),
     )
@@ -221,7 +241,7 @@ def explain(best: Column, lang: str = "en") -> Column:
 
 
 def recommend(taste: DataFrame, events: DataFrame, index: DataFrame, o: RecommendOptions) -> tuple[DataFrame, DataFrame]:
-    """Picks (one row each, by date) and diagnostics (one row per user).
+    """Picks (one row each; ``start_date`` orders them) and diagnostics (one row per user).
 
     ``taste``: user_id, name, rank, weight.  ``events``: event_id, title, artists,
     start_date, status, venue_id, venue_name, country, city, size_class, is_tribute, ord
@@ -231,21 +251,23 @@ def recommend(taste: DataFrame, events: DataFrame, index: DataFrame, o: Recommen
     taste, index = cut(taste), cut(index)
     ruled = cut(filtered_events(events, o))
     considered = ruled.filter(F.col("reason").isNull())
-    scored = cut(score(considered, cut(evidence(considered, taste, index)), o))
+    dates = cut(bills(considered))
+    shown = dates.groupBy(F.col("bill").alias("event_id")).agg(F.any_value("artists").alias("artists"), F.any_value("title").alias("title"))
+    scored = cut(score(evidence(shown, taste, index), o))
     sizes = list_sizes(scored, o)
-    deduped = one_date_per_artist(scored)
-    chosen = select(deduped, sizes, index, o)
-    picks = scored.join(chosen, ["user_id", "event_id"]).select(
+    rows = cut(dated(scored, dates, o))
+    chosen = select(one_date_per_artist(rows), sizes, index, o)
+    picks = rows.join(chosen, ["user_id", "event_id"]).select(
         "user_id", "event_id", "title", "start_date", "venue_name", "score", "rank", F.col("best.kind").alias("kind"), F.col("best.via").alias("via"), "pick_order",
         explain(F.col("best"), o.lang).alias("why"), explain(F.col("best"), "da").alias("why_da"), (F.col("best.kind") != "direct").alias("discovery"),
     )
-    return picks, diagnostics(taste, ruled, scored, sizes, picks, o)
+    return picks, diagnostics(taste, ruled, scored, rows, sizes, picks, o)
 
 
-def diagnostics(taste: DataFrame, ruled: DataFrame, scored: DataFrame, sizes: DataFrame, picks: DataFrame, o: RecommendOptions) -> DataFrame:
+def diagnostics(taste: DataFrame, ruled: DataFrame, scored: DataFrame, rows: DataFrame, sizes: DataFrame, picks: DataFrame, o: RecommendOptions) -> DataFrame:
     per_user = taste.groupBy("user_id").agg(F.countDistinct("name").alias("taste_size"))
     matched = scored.select("user_id", F.explode("evidence").alias("e")).filter("e.via IS NOT NULL").groupBy("user_id").agg(F.countDistinct("e.via").alias("taste_artists_matched"))
-    best = scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("events_scored"), F.min_by("score", F.struct((-F.col("rank")).alias("less"), "ord")).alias("top_score"))
+    best = rows.groupBy("user_id").agg(F.sum("n").alias("events_scored"), F.min_by("score", F.struct((-F.col("rank")).alias("less"), "ord")).alias("top_score"))
     got = picks.groupBy("user_id").agg(F.count(F.lit(1)).alias("returned"), F.count_if("discovery").alias("discovery_picks"))
     reasons = ruled.agg(F.count(F.lit(1)).alias("corpus_size"), F.count_if(F.col("reason").isNull()).alias("events_considered"), *(F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(f"filtered_{r}") for r in ("past", "beyond_window", "cancelled", "country", "city", "tribute")))
     out = per_user.join(matched, "user_id", "left").join(best, "user_id", "left").join(got, "user_id", "left").join(sizes, "user_id", "left").crossJoin(F.broadcast(reasons))  # one row
