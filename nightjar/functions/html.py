@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html as htmllib
 import json
 import re
 from collections.abc import Iterator
@@ -21,12 +20,24 @@ TICKET_HOSTS = (
 SECTIONS = ("program", "kalender", "calendar", "events?", "koncerter", r"alle\s", "forside", "home", "nyheder", "news", "billetter", "tickets", r"om\s", "about", "kontakt", "contact", "praktisk", "faq", "privatliv", "cookie")
 
 
+_REFERENCES = re.compile(r"(?:&#(?:[xX][0-9A-Fa-f]{1,8}|[0-9]{1,10});)+")
+
+
+def decode_references(text: str) -> str:
+    """Decode runs of numeric references: pairs of surrogates join, lone ones and what is no character become U+FFFD."""
+
+    def run(m: re.Match) -> str:
+        codes = [int(x[1:], 16) if x[0] in "xX" else int(x) for x in m[0][2:-1].split(";&#")]
+        units = "".join(chr(c) if c <= 0x10FFFF else "\ufffd" for c in codes)
+        return units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+    return _REFERENCES.sub(run, text)
+
+
 @F.pandas_udf(T.StringType())
 def _numeric_entities(s):
-    """Decode numeric character references; nothing else needs Python."""
-    one = re.compile(r"&#(?:[xX]([0-9A-Fa-f]+)|(\d+));")
-    char = lambda m: chr((int(m[1], 16) if m[1] else int(m[2])) & 0xFFFF)
-    return s.map(lambda t: one.sub(char, t), na_action="ignore")
+    """Numeric character references; nothing else needs Python."""
+    return s.map(decode_references, na_action="ignore")
 
 
 def strip_tags(c: Column, chrome: bool = True, numeric: bool = True) -> Column:
@@ -178,25 +189,25 @@ def platforms(c: Column) -> Column:
     return F.array_compact(F.array(*(F.when(c.rlike(f"(?i){rx}"), F.lit(name)) for name, rx in PLATFORMS.items())))
 
 
-@udtf(returnType="visit int, depth int, path string, key string, value string, node string")
+@udtf(returnType="visit int, node string")
 class WalkJson:
-    """Rows of a JSON text in document order: scalars have ``value``, objects and arrays ``node``."""
+    """Objects of a JSON text in document order that have a member of each group of keys.
+
+    ``node`` is the object, or only its plain members of those keys if not ``whole``.  Text that
+    isn't JSON, or is nested deeper than Python reads, gives no rows.
+    """
 
-    def eval(self, text: str, most: int) -> Iterator[tuple]:
+    def eval(self, text: str, most: int, groups: list[list[str]], whole: bool) -> Iterator[tuple]:
         try:
             root = json.loads(text) if text is not None else None
-        except ValueError:
+        except (ValueError, RecursionError):
             return
-        stack, visit = [(root, 0, "$", "")], 0
+        wanted = {k for g in groups for k in g}
+        stack, visit = [(root, 0)], 0
         while stack:
-            v, depth, path, key = stack.pop()
-            nested = isinstance(v, (dict, list))
-            yield visit, depth, path, key, None if nested or v is None else (v if isinstance(v, str) else json.dumps(v)), json.dumps(v, ensure_ascii=False) if nested else None
+            v, depth = stack.pop()
             visit += 1
-            if nested and depth < most:
-                items = list(v.items()) if isinstance(v, dict) else list(enumerate(v))
-                stack += [(x, depth + 1, f"{path}.{k}" if isinstance(v, dict) else f"{path}[{k}]", str(k)) for k, x in reversed(items)]
-
-
-def unescape(text: str) -> str:
-    return htmllib.unescape(text)
+            if isinstance(v, dict) and all(any(k in v for k in g) for g in groups):
+                yield visit, json.dumps(v if whole else {k: x for k, x in v.items() if k in wanted and not isinstance(x, (dict, list))}, ensure_ascii=False)
+            if isinstance(v, (dict, list)) and depth < most:
+                stack += [(x, depth + 1) for x in reversed(list(v.values()) if isinstance(v, dict) else v)]

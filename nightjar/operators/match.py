@@ -51,9 +51,11 @@ def taste_hits(names: DataFrame, taste: DataFrame, name: str) -> DataFrame:
     held = F.struct(F.col("name").alias("via"), "weight").alias("__held")
     keyed = names.select(name, F.posexplode(keys_for(F.col(name))).alias("__pos", "key")).join(taste.select("user_id", "key", held), "key")
     exact = keyed.groupBy("user_id", name).agg(F.min_by("__held", "__pos").alias("h"))
-    near = names.withColumn("__fold", fold_name(F.col(name))).filter(F.length("__fold") >= FUZZY_PROBE).withColumn("__d", F.explode(deletions(F.col("__fold"))))
-    typo = taste.filter(F.length("key") >= FUZZY_KEY).select("user_id", "key", "ord", held, F.explode(deletions(F.col("key"))).alias("__d"))
-    close = near.join(typo, "__d").filter(nearly_equal(F.col("__fold"), F.col("key"))).groupBy("user_id", name).agg(F.min_by("__held", "ord").alias("h"))
+    # which names are one edit apart is found once for all users
+    near = names.withColumn("__fold", fold_name(F.col(name))).filter(F.length("__fold") >= FUZZY_PROBE).select(name, "__fold", F.explode(deletions(F.col("__fold"))).alias("__d"))
+    known = taste.filter(F.length("key") >= FUZZY_KEY).select("key").distinct().select("key", F.explode(deletions(F.col("key"))).alias("__d"))
+    pairs = near.join(known, "__d").filter(nearly_equal(F.col("__fold"), F.col("key"))).select(name, "key").distinct()
+    close = pairs.join(taste.select("user_id", "key", "ord", held), "key").groupBy("user_id", name).agg(F.min_by("__held", "ord").alias("h"))
     return exact.unionByName(close.join(exact, ["user_id", name], "left_anti")).select("user_id", name, "h.via", "h.weight")
 
 

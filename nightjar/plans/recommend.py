@@ -75,18 +75,10 @@ def evidence(events: DataFrame, taste: DataFrame, index: DataFrame) -> DataFrame
     similar artists, tag vectors.
     """
     billed = events.select("event_id", F.posexplode(F.slice(F.when(F.size("artists") > 0, F.col("artists")).otherwise(F.array("title")), 1, BILLED)).alias("pos", "artist"))
-    keys = cut(taste_keys(taste))
-    billed = cut(billed.withColumn("keys", match.keys_for(F.col("artist"))))
+    keys, billed = cut(taste_keys(taste)), cut(billed)
     none = F.lit(None)
-    # one lookup per user: the first key that this user's taste has
-    keyed = billed.select("event_id", "pos", "artist", F.posexplode("keys").alias("k", "key")).join(keys.select("user_id", "key", F.col("name").alias("via"), "weight"), "key")
-    exact = keyed.groupBy("user_id", "event_id", "pos", "artist").agg(F.min_by(F.struct("via", "weight"), "k").alias("h")).select("user_id", "event_id", "pos", "artist", "h.via", "h.weight")
-    billed = billed.drop("keys")
-    near = billed.withColumn("__fold", fold_name(F.col("artist"))).filter(F.length("__fold") >= match.FUZZY_PROBE).withColumn("__d", F.explode(match.deletions(F.col("__fold"))))
-    typo = keys.filter(F.length("key") >= match.FUZZY_KEY).withColumn("__d", F.explode(match.deletions(F.col("key"))))
-    fuzzy = near.join(typo, "__d").filter(match.nearly_equal(F.col("__fold"), F.col("key"))).groupBy("user_id", "event_id", "pos", "artist").agg(F.min_by(F.struct(F.col("name").alias("via"), "weight"), "ord").alias("h")).select("user_id", "event_id", "pos", "artist", "h.via", "h.weight")
     place = ["user_id", "event_id", "pos"]
-    direct = exact.unionByName(fuzzy.join(exact.select(*place), place, "left_anti"))
+    direct = billed.join(match.taste_hits(billed.select("artist").distinct(), keys, "artist"), "artist")
     direct = direct.select(*place, F.lit("direct").alias("kind"), "artist", "via", none.cast("array<string>").alias("tags"), none.cast("double").alias("similarity"), (F.col("weight") * DIRECT).alias("strength"))
 
     hop = match.one_hop(billed, index, keys, "artist", weight=SIMILAR).join(direct.select(*place), place, "left_anti")

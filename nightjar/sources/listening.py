@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import math
 import zipfile
@@ -46,11 +47,15 @@ def _classic(end):
 
 
 def _epoch(v):
-    return pd.Timestamp(v, unit="s", tz="UTC").isoformat() if isinstance(v, (int, float)) and v else None
+    try:
+        return pd.Timestamp(v, unit="s", tz="UTC").isoformat() if isinstance(v, (int, float)) and v else None
+    except (ValueError, OverflowError):  # no time that there is
+        return None
 
 
 def _meta(o: dict) -> dict:
-    return o.get("track_metadata") or {}
+    meta = o.get("track_metadata")
+    return meta if isinstance(meta, dict) else {}
 
 
 #: shape, what an object of it has, how it is read; the first that fits the first object holds for all
@@ -77,9 +82,10 @@ def read_json(data, out: list[dict]) -> None:
         for kind in ("tracks", "albums"):
             out += [_play(t["artist"], f"library-{kind[:-1]}", LIBRARY_MS[kind], t.get("track") if kind == "tracks" else None) for t in lists.get(kind, ()) if isinstance(t, dict) and t.get("artist")]
         for p in lists.get("playlists", ()):
-            for item in (isinstance(p, dict) and p.get("items")) or ():
-                track = isinstance(item, dict) and item.get("track") or {}
-                if track.get("artistName"):
+            items = p.get("items") if isinstance(p, dict) else None
+            for item in items if isinstance(items, list) else ():
+                track = item.get("track") if isinstance(item, dict) else None
+                if isinstance(track, dict) and track.get("artistName"):
                     out.append(_play(track["artistName"], "playlist", LIBRARY_MS["playlists"], track.get("trackName"), item.get("addedDate")))
         for v in lists.values():
             if v and isinstance(v[0], (dict, list)):
@@ -106,13 +112,15 @@ def column(header: list[str], names: tuple[str, ...]) -> int | None:
     return next((i for i, h in enumerate(low) if any(f" {n} " in f" {h.replace('_', ' ')} " for n in names)), None)
 
 
-def read_csv(text: str, out: list[dict]) -> bool:
-    """Plays of a table; False if it has no artist column."""
-    rows = list(csv.reader(io.StringIO(text.lstrip("﻿"), newline=""), delimiter=sniff(text)))[: CSV_ROWS + 1]
-    at = {k: column(rows[0], names) for k, names in HEADERS.items()} if rows else {}
+def read_csv(text: str, out: list[dict], most: int = CSV_ROWS) -> tuple[bool, str | None]:
+    """Plays of a table's first ``most`` rows: if it has an artist column, and what went wrong."""
+    csv.field_size_limit(1 << 30)
+    table = csv.reader(io.StringIO(text.lstrip("\ufeff"), newline=""), delimiter=sniff(text))
+    header = next(table, None)
+    at = {k: column(header, names) for k, names in HEADERS.items()} if header else {}
     if at.get("artist") is None and at.get("both") is None:
-        return False
-    for row in rows[1:]:
+        return False, None
+    for row in itertools.islice(table, most):
         get = lambda k: row[at[k]] if at[k] is not None and at[k] < len(row) else None  # noqa: E731, B023
         artist, track = get("artist"), get("track")
         if not artist and (get("both") or "").find(" - ") > 0:
@@ -121,21 +129,30 @@ def read_csv(text: str, out: list[dict]) -> bool:
         if len(row) >= 2 and artist and artist.strip():
             plays = _number(get("plays")) or None
             out.append(_play(artist.strip(), "csv", _number(get("ms")) if at["ms"] is not None else (plays or 1) * CSV_MS, track, get("at"), plays))
-    return True
+    return True, f"only the first {most} rows were read" if next(table, None) is not None else None
 
 
-def read_text(text: str, zipped: bool = False) -> tuple[list[dict], str | None]:
-    """(plays, problem) of one file; never raises on malformed input."""
+def read_text(text: str, zipped: bool = False, most_rows: int = CSV_ROWS) -> tuple[list[dict], str | None]:
+    """(plays, problem) of one file; malformed input is a problem of that file and never raises."""
     out: list[dict] = []
-    body = (text or "").lstrip("﻿").strip()
+    body = (text or "").lstrip("\ufeff").strip()
     if body[:1] in ("{", "["):
         try:
             read_json(json.loads(body), out)
         except ValueError:
             return [], "not valid JSON"
+        except RecursionError:
+            return [], "nested too deeply"
+        except (TypeError, AttributeError, KeyError):
+            return [], "not a listening export"
         return out, None
-    if "\n" in body and any(d in body[:500] for d in ",;\t") and read_csv(body, out):
-        return out, None
+    if "\n" in body and any(d in body[:500] for d in ",;\t"):
+        try:
+            found, problem = read_csv(body, out, most_rows)
+        except csv.Error:
+            return [], "not a valid table"
+        if found:
+            return out, problem
     if not zipped:  # a typed list, the dearest first
         names = [x.strip() for x in body.split("\n")]
         out = [_play(n, "manual", LIST_MS / (1 + math.log2(i + 2))) for i, n in enumerate(n for n in names if n and len(n) < 120)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -25,10 +26,10 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("walk_json", WalkJson)
 
 
-def walk(df: DataFrame, text: str, depth: int) -> DataFrame:
-    """``df`` with the rows of ``walk_json`` of a column, in document order."""
+def walk(df: DataFrame, text: str, depth: int, *groups: tuple[str, ...], whole: bool = True) -> DataFrame:
+    """``df`` with (visit, node): the objects of a JSON column that have a key of each group, in document order."""
     df.sparkSession.udtf.register("walk_json", WalkJson)
-    return df.lateralJoin(WalkJson(F.col(text).outer(), F.lit(depth)))
+    return df.lateralJoin(WalkJson(F.col(text).outer(), F.lit(depth), F.lit([list(g) for g in groups]), F.lit(whole)))
 
 
 def _string(node: Column, key: str) -> Column:
@@ -46,7 +47,7 @@ def json_ld_events(pages: DataFrame, key: str, text: str = "html") -> DataFrame:
     good = lambda c: F.try_parse_json(c).isNotNull()
     whole = F.when(good(F.col("raw")), F.col("raw")).when(good(html.repair_json(F.col("raw"))), html.repair_json(F.col("raw")))
     blocks = blocks.withColumn("json", whole).filter("json IS NOT NULL")
-    nodes = walk(blocks.select(key, "block", "json"), "json", LD_DEPTH).filter("node IS NOT NULL")
+    nodes = walk(blocks.select(key, "block", "json"), "json", LD_DEPTH, ("@type",))
     kind = F.coalesce(F.get_json_object("node", "$['@type']"), F.lit(""))
     types = F.when(kind.startswith("["), F.from_json(kind, "array<string>")).otherwise(F.array(kind))
     found = nodes.filter(F.exists(types, lambda t: t.rlike("(^|/)[A-Za-z]*Event$")))
@@ -66,30 +67,25 @@ def json_ld_stats(c: Column) -> Column:
     )
 
 
-def dig(df: DataFrame, key: str, text: str, keys: tuple[str, ...], usable: Column, depth: int = DIG_DEPTH) -> DataFrame:
+def dig(df: DataFrame, key: str, text: str, keys: tuple[str, ...], usable: Callable[[Column], Column], depth: int = DIG_DEPTH) -> DataFrame:
     """(key, value): the first usable member of the objects in document order, by the keys' order within one."""
-    rows = walk(df.select(key, text), text, depth + 1).filter(F.col("key").isin(*keys) & (F.col("depth") <= depth + 1))
-    order = F.array_position(F.array(*map(F.lit, keys)), F.col("key"))
-    parent = F.regexp_replace("path", r"\.[^.\[]*$", "")
-    rows = rows.withColumn("parent", parent).filter(usable)
-    # an object is visited before its members: its first member's visit places it
-    first = rows.withColumn("spot", F.min("visit").over(W.partitionBy(key, "parent")))
-    place = walk(df.select(key, text), text, depth + 1).filter("node IS NOT NULL").select(F.col(key).alias("__k"), F.col("path").alias("parent"), F.col("visit").alias("at"))
-    seen = first.join(place, (F.col(key) == F.col("__k")) & (first["parent"] == place["parent"]))
-    return seen.groupBy(key).agg(F.min_by("value", F.struct("at", order.alias("o"))).alias("value"))
+    rows = walk(df.select(key, text), text, depth, keys, whole=False)
+    members = F.array(*(F.get_json_object("node", f"$.{k}") for k in keys))
+    rows = rows.select(key, "visit", F.get(F.filter(members, usable), 0).alias("value")).filter("value IS NOT NULL")
+    return rows.groupBy(key).agg(F.min_by("value", "visit").alias("value"))
 
 
 def dig_date(df: DataFrame, key: str, text: str) -> DataFrame:
-    n = F.expr("try_cast(value AS double)")
-    plausible = F.when(n.isNotNull() & (n > 1e9), True).otherwise((F.length("value") >= 8) & F.coalesce(F.try_to_timestamp("value"), F.try_to_timestamp("value", F.lit("yyyyMMdd"))).isNotNull())
-    found = dig(df, key, text, DATE_KEYS, plausible)
+    stamp = lambda v: F.coalesce(F.try_to_timestamp(v), F.try_to_timestamp(v, F.lit("yyyyMMdd")))
+    found = dig(df, key, text, DATE_KEYS, lambda v: F.coalesce(v.try_cast("double") > 1e9, F.lit(False)) | ((F.length(v) >= 8) & stamp(v).isNotNull()))
+    n = F.col("value").try_cast("double")
     epoch = F.timestamp_seconds(F.when(n > 1e12, n / 1000).otherwise(n))
-    at = F.when(n > 1e9, epoch).otherwise(F.coalesce(F.try_to_timestamp("value"), F.try_to_timestamp("value", F.lit("yyyyMMdd"))))
+    at = F.when(n > 1e9, epoch).otherwise(stamp(F.col("value")))
     return found.select(key, F.to_date(at).alias("date"))
 
 
 def dig_ticket(df: DataFrame, key: str, text: str) -> DataFrame:
-    return dig(df, key, text, TICKET_KEYS, F.col("value").rlike("^https?://")).withColumnRenamed("value", "ticket_url")
+    return dig(df, key, text, TICKET_KEYS, lambda v: v.rlike("^https?://")).withColumnRenamed("value", "ticket_url")
 
 
 def _first(node: Column, keys: tuple[str, ...], rx: str | None = None) -> Column:
@@ -107,7 +103,7 @@ def hydration_events(pages: DataFrame, key: str, text: str = "html", zone: str =
 
     Dates with a zone are turned into the room's local day.
     """
-    rows = walk(pages.select(key, html.hydration_payload(F.col(text)).alias("json")).filter("json IS NOT NULL"), "json", PAYLOAD_DEPTH).filter("node IS NOT NULL AND node LIKE '{%'")
+    rows = walk(pages.select(key, html.hydration_payload(F.col(text)).alias("json")).filter("json IS NOT NULL"), "json", PAYLOAD_DEPTH, PAYLOAD_TITLES, (*PAYLOAD_DATES, "dates"))
     n = F.col("node")
     listed = F.get_json_object(n, "$.dates")
     day = F.coalesce(F.filter(F.transform(F.from_json(listed, "array<string>"), lambda d: _first(d, PAYLOAD_DATES, r"^\d{4}-\d{2}-\d{2}")), lambda d: d.isNotNull())[0], _first(n, PAYLOAD_DATES, r"^\d{4}-\d{2}-\d{2}"))
