@@ -31,8 +31,12 @@ def _hash(hashes: Column, start: Column, n: int) -> Column:
 
 
 def _gram(array: Column, start: Column, n: Column | int) -> Column:
-    """Words hold no blanks, so the joined words name a window."""
-    return F.sha2(F.array_join(F.slice(array, start + 1, n), " "), 256)
+    """Words hold no blanks, so the joined words name a window.
+
+    It is never null by its form, else a test for nulls would be pushed below the probe and
+    take the digest of every place.
+    """
+    return F.coalesce(F.sha2(F.array_join(F.slice(array, start + 1, n), " "), 256), F.lit(""))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -53,8 +57,9 @@ def hits(scratch: Scratch, docs: DataFrame, items: DataFrame, id_col: str = "doc
     base = docs.select(F.struct(F.col(id_col).alias("v")).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"), words(F.col(text_col)).alias("w"))
     if not lengths:
         return base.select("id", "text_hash", F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit("").alias("gram_id")).limit(0), owners.select("gram_id", "item_id")
-    spots = base.filter(F.size("w") >= lengths[0]).select("id", "text_hash", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
-    spots = spots.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - lengths[0])).alias("at"))
+    spots = base.select("id", "text_hash", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
+    # no filter on the number of words: it would split every text once more
+    spots = spots.select("*", F.explode(F.when(F.size("w") >= lengths[0], F.sequence(F.lit(0), F.size("w") - lengths[0]))).alias("at"))
     tries = [F.struct(F.lit(k).alias("len"), _hash(F.col("wh"), F.col("at"), k).alias("hash")) for k in lengths]
     if len(tries) == 1:
         spots = spots.select("id", "text_hash", "w", "at", F.lit(lengths[0]).alias("len"), tries[0]["hash"].alias("hash"))
