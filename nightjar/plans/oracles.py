@@ -167,7 +167,11 @@ SELECT page_id, nullif({_entities("regexp_replace(regexp_extract(regexp_replace(
     "title_rules": """
 SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN 'musikquiz' ELSE ' live' END AS title, CASE p_partkey % 5 WHEN 1 THEN 'cancelled' WHEN 2 THEN 'postponed' ELSE 'scheduled' END AS status, p_partkey % 3 = 0 AS non_musical FROM part""",
     "deep_key_roundtrip": "SELECT p_partkey, CAST(DATE '2026-01-01' + p_size AS DATE) AS date, 'https://t/' || p_brand AS ticket_url FROM part",
-    "hydration_roundtrip": "SELECT p_partkey, p_name AS title, DATE '2026-03-01' + p_size % 28 AS start_date, CASE WHEN p_type = 'ECONOMY' THEN 'cancelled' ELSE 'scheduled' END AS status FROM part",
+    "hydration_roundtrip": """
+WITH p AS (SELECT *, p_partkey % 2 = 1 AS listed FROM part), d AS (SELECT *, unnest(CASE WHEN listed THEN [0, 1] ELSE [0] END) AS k FROM p)
+SELECT p_partkey, p_name AS title, CASE k WHEN 0 THEN DATE '2026-03-01' + p_size % 28 ELSE DATE '2026-04-01' END AS start_date, CASE k WHEN 0 THEN '20:00' END AS start_time,
+  CASE WHEN p_type = 'ECONOMY' THEN 'cancelled' WHEN p_partkey % 5 = 0 THEN 'postponed' ELSE 'scheduled' END AS status, p_brand AS venue_name, CASE WHEN listed AND k = 0 THEN 'https://t/' || p_partkey END AS ticket_url,
+  round(p_retailprice, 6) AS price, p_type AS tags, p_name || '|Extra Act' AS artists FROM d""",
     "wordpress_roundtrip": "SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN DATE '2026-11-01' + p_size % 28 END AS start_date, CASE WHEN p_partkey % 2 = 1 THEN 'no-event-date' END AS reason FROM part",
     "html_event_reasons": """
 WITH p AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'Program ' WHEN 1 THEN 'Musikquiz ' ELSE 'Band ' END || page_id AS title, page_id % 4 AS k, page_id % 9 AS m FROM pages)

@@ -333,10 +333,17 @@ def deep_key_roundtrip(spark, d):
 
 
 def hydration_roundtrip(spark, d):
+    """Payloads with an article, a show with a date of its own or two listed ones, and a repeated show."""
     p = t(spark, d, "part")
-    node = F.to_json(F.struct(F.col("p_name").alias("title"), F.concat(F.lit("2026-03-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"), F.lit("T20:00:00")).alias("startDate"), F.struct(F.col("p_brand").alias("name")).alias("venue"), F.col("p_retailprice").alias("price"), F.when(F.col("p_type") == "ECONOMY", "Aflyst").alias("status")))
-    page = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"nav":[{"title":"Cookie policy","date":"2026-01-01"}],"events":['), node, F.lit("]}}</script>"))
-    return structured.hydration_events(p.select("p_partkey", page.alias("html")), "p_partkey").select("p_partkey", "title", "start_date", "status")
+    day = F.concat(F.lit("2026-03-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"), F.lit("T20:00:00"))
+    state = F.struct(F.when(F.col("p_type") == "ECONOMY", "Aflyst").when(F.col("p_partkey") % 5 == 0, "Flyttet").alias("name"))
+    shared = (F.struct(F.col("p_brand").alias("name")).alias("venue"), F.col("p_retailprice").alias("price"), F.struct(F.col("p_type").alias("title")).alias("genre"), F.lit("Extra Act").alias("support"), state.alias("state"))
+    alone = F.to_json(F.struct(F.col("p_name").alias("title"), day.alias("startDate"), *shared))
+    listed = F.to_json(F.struct(F.col("p_name").alias("title"), F.array(F.struct(day.alias("date"), F.concat(F.lit("https://t/"), F.col("p_partkey").cast("string")).alias("ticketUrl")), F.struct(F.lit("2026-04-01").alias("date"), F.lit(None).cast("string").alias("ticketUrl"))).alias("dates"), *shared))
+    node = F.when(F.col("p_partkey") % 2 == 0, alone).otherwise(listed)
+    page = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"nav":[{"title":"Cookie policy","date":"2026-01-01"}],"events":['), node, F.lit(","), node, F.lit("]}}</script>"))
+    e = structured.hydration_events(p.select("p_partkey", page.alias("html")), "p_partkey")
+    return e.select("p_partkey", "title", "start_date", "start_time", "status", "venue_name", "ticket_url", r6("price").alias("price"), F.concat_ws(",", "tags").alias("tags"), F.concat_ws("|", "artists").alias("artists"))
 
 
 def wordpress_roundtrip(spark, d):

@@ -98,24 +98,39 @@ def _first(node: Column, keys: tuple[str, ...], rx: str | None = None) -> Column
     return F.coalesce(*tries)
 
 
-def hydration_events(pages: DataFrame, key: str, text: str = "html", zone: str = "Europe/Copenhagen") -> DataFrame:
-    """Event-shaped objects of a page's hydration payload: a title, a date and two further fields.
+def hydration_events(pages: DataFrame, key: str, text: str = "html", venue: Column | None = None) -> DataFrame:
+    """Events of a page's hydration payload: one row for each date of an object that has a title and two signs of a show.
 
-    Dates with a zone are turned into the room's local day.
+    Dates are days as written; a list of ``dates`` with its own states and tickets goes before the
+    object's own.  Of equal room, day and title the first in document order stays.
+    ``venue`` names the room where the payload doesn't.
     """
-    rows = walk(pages.select(key, html.hydration_payload(F.col(text)).alias("json")).filter("json IS NOT NULL"), "json", PAYLOAD_DEPTH, PAYLOAD_TITLES, (*PAYLOAD_DATES, "dates"))
-    n = F.col("node")
-    listed = F.get_json_object(n, "$.dates")
-    day = F.coalesce(F.filter(F.transform(F.from_json(listed, "array<string>"), lambda d: _first(d, PAYLOAD_DATES, r"^\d{4}-\d{2}-\d{2}")), lambda d: d.isNotNull())[0], _first(n, PAYLOAD_DATES, r"^\d{4}-\d{2}-\d{2}"))
-    has = lambda *ks: F.coalesce(*(F.get_json_object(n, f"$.{k}") for k in ks)).isNotNull().cast("int")
-    ticket = _first(n, PAYLOAD_TICKETS, "^https?://")
-    support = has("venue", "location", "room", "stage") + has("price", "prices") + has("genre", "genres") + has("slug") + (ticket.isNotNull() & listed.isNotNull()).cast("int")
-    title = _first(n, PAYLOAD_TITLES)
-    said = F.lower(F.coalesce(_first(n, ("status", "statusText", "label")), F.lit("")))
-    status = F.when(said.rlike("aflyst|cancel"), "cancelled").when(said.rlike("flyttet|moved|udskudt"), "postponed").otherwise("scheduled")
-    local = F.when(day.rlike("(Z|[+-]\\d\\d:?\\d\\d)$"), F.date_format(F.from_utc_timestamp(F.try_to_timestamp(day), zone), "yyyy-MM-dd")).otherwise(F.substring(day, 1, 10))
-    fits = rows.withColumns({"title": title, "day": day, "support": support, "status": status, "ticket_url": ticket, "start_date": local}).filter(F.length("title").between(2, 160) & F.col("day").isNotNull() & (F.col("support") >= 2))
-    return fits.select(key, "visit", "title", F.to_date("start_date").alias("start_date"), "status", "ticket_url").dropDuplicates([key, "title", "start_date"])
+    rows = walk(pages.select("*", html.hydration_payload(F.col(text)).alias("__json")).filter("__json IS NOT NULL"), "__json", PAYLOAD_DEPTH, PAYLOAD_TITLES, (*PAYLOAD_DATES, "dates"))
+    n, iso = F.col("node"), r"^\d{4}-\d{2}-\d{2}"
+    at = lambda node, path: F.get_json_object(node, f"$.{path}")
+    true = lambda k: F.coalesce(~at(n, k).isin("", "0", "false"), F.lit(False))
+    listed = F.filter(F.transform(F.from_json(at(n, "dates"), "array<string>"), lambda d: F.struct(_first(d, PAYLOAD_DATES, iso).alias("day"), d.alias("own"))), lambda d: d["day"].isNotNull())
+    alone = F.array(F.struct(_first(n, PAYLOAD_DATES, iso).alias("day"), n.alias("own")))
+    rows = rows.withColumn("days", F.when(F.size(listed) > 0, listed).otherwise(F.filter(alone, lambda d: d["day"].isNotNull())))
+    ticketed = F.exists("days", lambda d: _first(d["own"], PAYLOAD_TICKETS, "^https?://").isNotNull())
+    signs = true("venue").cast("int") + at(n, "price").isNotNull().cast("int") + (true("genre") | true("genres")).cast("int") + true("slug").cast("int") + F.coalesce(ticketed, F.lit(False)).cast("int")
+    raw = _first(n, PAYLOAD_TITLES)
+    rows = rows.withColumns({"raw": raw, "title": html.clean_title(raw), "signs": signs}).filter(F.length("raw").between(2, 160) & (F.col("signs") >= 2) & (F.col("title") != "") & ~html.looks_non_musical(F.col("title")))
+    d = rows.select("*", F.posexplode("days").alias("turn", "d"))
+    state = F.coalesce(at(F.col("d.own"), "state.name"), at(n, "state.name"), F.lit(""))
+    status = F.when(state.rlike("(?i)aflyst|cancel"), "cancelled").when(state.rlike("(?i)flyttet|moved|udskudt"), "postponed").otherwise(html.detect_status(F.concat_ws(" ", "raw", state)))
+    support = F.coalesce(at(n, "contributor.contributor"), at(n, "support"))
+    bill = F.concat(split_credits(F.col("title")), F.coalesce(split_credits(support), F.array().cast("array<string>")))
+    genres = F.array_compact(F.array(*(F.nullif(F.coalesce(at(n, f"{g}.name"), at(n, f"{g}.title"), at(n, g)), F.lit("")) for g in ("genre", "secondaryGenre"))))
+    out = d.select(
+        key, "visit", "turn", "title", F.array_distinct(F.filter(bill, lambda a: F.length(a) >= 2)).alias("artists"), F.to_date(F.substring("d.day", 1, 10)).alias("start_date"),
+        F.when(F.col("d.day").rlike(r"T\d{2}:\d{2}"), F.substring("d.day", 12, 5)).alias("start_time"), status.alias("status"), F.coalesce(at(n, "venue.name"), *([venue] if venue is not None else [])).alias("venue_name"),
+        at(n, "slug").alias("slug"), F.coalesce(_first(F.col("d.own"), PAYLOAD_TICKETS, "^https?://"), _first(n, PAYLOAD_TICKETS, "^https?://")).alias("ticket_url"),
+        at(n, "price").try_cast("double").alias("price"), genres.alias("tags"), looks_like_tribute(F.col("title")).alias("is_tribute"),
+    )
+    rest = [c for c in out.columns if c not in (key, "visit", "turn")]
+    same = F.concat_ws("|", F.coalesce("venue_name", F.lit("")), F.col("start_date").cast("string"), F.lower("title"))
+    return out.groupBy(key, same.alias("__same")).agg(F.min_by(F.struct(*rest), F.struct("visit", "turn")).alias("__e")).select(key, "__e.*")
 
 
 def wordpress_events(posts: DataFrame, key: str, text: str, today: dt.date, linked: DataFrame | None = None) -> DataFrame:
