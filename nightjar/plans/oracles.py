@@ -203,6 +203,10 @@ SELECT l_suppkey, count(*) AS n, round(sum(least(1, greatest(0.25, q / top))), 6
     "explain_text": """
 SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'You listen to ' || p_name WHEN 1 THEN 'Because you listen to ' || p_name ELSE 'Matches your taste for ' || p_type || ' and ' || p_brand END || '.' AS en,
   CASE p_partkey % 3 WHEN 0 THEN 'Du lytter til ' || p_name WHEN 1 THEN 'Fordi du lytter til ' || p_name ELSE 'Rammer din smag for ' || p_type || ' og ' || p_brand END || '.' AS da FROM part""",
+    "event_labels": """
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS p, floor(o_totalprice / 100000) AS a, date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-10') AS n FROM orders)
+SELECT o_orderkey, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n < 14 THEN n || ' days ago' ELSE (n // 7) || ' weeks ago' END AS age, strftime(day, '%Y-%m') AS month, day + 45 AS later,
+  CASE WHEN a = 0 THEN 'free' ELSE CAST(a AS BIGINT) || ' DKK' END AS price, regexp_replace(p, '[^A-Za-z0-9]+', '-', 'g') AS slug, '&lt;' || p || '&#39;s &amp; &quot;x&quot;&gt;' AS escaped, sha256('shop|' || day || '|' || lower(p))[1:16] AS id FROM o""",
     "list_size_rule": """
 WITH k AS (SELECT p_partkey, p_retailprice, CAST(least(least(greatest(p_size, 5), 20), greatest(5, 2 * (p_partkey % 11))) AS INT) AS k FROM part)
 SELECT p_partkey, k, CAST(least(2, k // 3) AS INT) AS quota, floor(p_retailprice / 7 * 100 + 0.5) / 100 AS rounded FROM k""",
@@ -214,7 +218,7 @@ for _name in ("jsonld_roundtrip", "jsonld_repair_roundtrip"):
 #: dates come out as ISO text
 _DATES = {
     "dedupe_first_wins_coalesce": ["day"], "keyed_upsert": ["v"], "month_spine": ["month"], "deep_key_roundtrip": ["date"], "hydration_roundtrip": ["start_date"], "wordpress_roundtrip": ["start_date"],
-    "html_event_reasons": ["start_date"], "danish_date_roundtrip": ["found"], "month_partitions": ["from_date", "to_date"], "discovery_roundtrip": ["start_date"],
+    "html_event_reasons": ["start_date"], "danish_date_roundtrip": ["found"], "month_partitions": ["from_date", "to_date"], "discovery_roundtrip": ["start_date"], "event_labels": ["later"],
 }
 for _name, _columns in _DATES.items():
     ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _columns)}) FROM ({ORACLES[_name]})"

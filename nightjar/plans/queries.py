@@ -474,6 +474,16 @@ def explain_text(spark, d):
     return p.select("p_partkey", rec.explain(best).alias("en"), rec.explain(best, "da").alias("da"))
 
 
+def event_labels(spark, d):
+    """What a served page says about an event: age, month, price, address, escaped title and stable id."""
+    o = t(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("title"), F.floor(F.col("o_totalprice") / 100_000).cast("double").alias("amount"))
+    title = F.concat(F.lit("<"), "title", F.lit("'s & \"x\">"))
+    return o.select(
+        "o_orderkey", dates.relative_age(F.col("day"), F.to_date(F.lit("2000-01-10"))).alias("age"), dates.month_key(F.col("day")).alias("month"), dates.add_days(F.col("day"), 45).alias("later"),
+        scalars.price_label(F.col("amount"), F.lit("DKK")).alias("price"), html.slug(F.col("title")).alias("slug"), html.escape_html(title).alias("escaped"), structured.stable_id(F.lit("shop"), F.col("day").cast("string"), F.lower("title")).alias("id"),
+    )
+
+
 def list_size_rule(spark, d):
     p = t(spark, d, "part")
     k = scalars.effective_count(F.col("p_size"), F.col("p_partkey").cast("int") % 11)
@@ -557,6 +567,6 @@ QUERIES = {
         tag_vector_cosine, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, fold_name_docs, name_keys, split_credits_bills, tribute_flag, edit_distance,
         html_links, html_title, strip_tags, url_host, meta_tags, page_surfaces, ticket_links, title_rules, jsonld_roundtrip, jsonld_repair_roundtrip, deep_key_roundtrip, hydration_roundtrip, wordpress_roundtrip,
         html_event_reasons, danish_date_roundtrip, csv_roundtrip, json_shapes_roundtrip, typed_list_roundtrip, zip_roundtrip, robots_longest_match, sitemap_roundtrip, month_partitions, discovery_roundtrip,
-        tag_lookup_roundtrip, similar_scores, explain_text, list_size_rule, windowed_event_counts,
+        tag_lookup_roundtrip, similar_scores, explain_text, event_labels, list_size_rule, windowed_event_counts,
     )
 }

@@ -82,3 +82,47 @@ def test_robots(spark):
     paths = spark.createDataFrame([("h", p) for p in ("/x", "/x/y", "/x/y/z", "/q")], "host string, path string")
     got = {r["path"]: r["allowed"] for r in rules.robots_allowed(paths, rules.robots_groups(files), "path").collect()}
     assert got == {"/x": False, "/x/y": True, "/x/y/z": False, "/q": True}
+
+
+def test_references(spark):
+    """Pairs of surrogates join; lone ones and what is no character become U+FFFD."""
+    df = spark.createDataFrame([("<p>&#55357;&#56832; &#128512; &#xD83D; &#x110000; &#233;</p>",)], "h string")
+    assert df.select(html.strip_tags(F.col("h")).alias("x")).first()["x"] == "\U0001f600 \U0001f600 � � é"
+
+
+@pytest.mark.parametrize(
+    ("text", "problem"),
+    [
+        ('artist,track\nMew,"' + "x" * 200_000 + '"\n', None), ("[" * 100_000 + "]" * 100_000, "nested too deeply"), ('{"playlists":[{"items":[{"track":"x"}]}]}', None),
+        ('[{"track_metadata":"x"}]', None), ('{"playlists":[{"items":3}]}', None), ('[{"track_metadata":{"artist_name":"A"},"listened_at":1e300}]', None), ("{bad", "not valid JSON"),
+    ],
+)
+def test_listening_never_raises(text, problem):
+    assert listening.read_text(text)[1] == problem
+
+
+def test_listening_row_bound():
+    plays, problem = listening.read_text("artist,track\n" + "Mew,x\n" * 5, most_rows=3)
+    assert len(plays) == 3 and problem == "only the first 3 rows were read"
+    assert listening.read_text("artist,track\n" + "Mew,x\n" * 3, most_rows=3)[1] is None
+
+
+def test_deep_json(spark):
+    """Text that is nested too deeply, or isn't JSON, has no members; others of the table do."""
+    rows = [(1, "[" * 100_000 + "]" * 100_000), (2, '{"a":[{"start":"no"},{"dato":"2026-03-04","start":"2026-05-06"}]}'), (3, "{"), (4, None)]
+    df = spark.createDataFrame(rows, "k int, j string")
+    assert [(r["k"], str(r["date"])) for r in structured.dig_date(df, "k", "j").collect()] == [(2, "2026-03-04")]  # of one object's members, in the keys' order
+
+
+def test_hydration_ties(spark):
+    """Of equal room, day and title the first in document order stays."""
+    node = lambda s: json.dumps({"title": "Mew", "startDate": "2026-09-01", "venue": {"name": "V"}, "slug": "m", "state": {"name": s}})
+    page = f'<script id="__NEXT_DATA__">[{node("Aflyst")},{node("")}]</script>'
+    got = structured.hydration_events(spark.createDataFrame([(1, page)], "k int, html string"), "k").collect()
+    assert [(r["title"], r["status"], r["venue_name"], r["artists"]) for r in got] == [("Mew", "cancelled", "V", ["Mew"])]
+
+
+def test_dates_overlap():
+    """Each way of writing a date is read on its own: a label in reach decides, and the time beside it is found."""
+    assert [d.date for d in dates.find("1.2.26 maj 2027-03-04", TODAY)] == ["2027-03-04", "2027-05-26", "2026-02-01"]
+    assert dates.best("12. september 2026. Dato: 3. oktober 2026 kl. 19.30", TODAY)[:2] == ("2026-10-03", "19:30")
