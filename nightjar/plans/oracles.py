@@ -41,7 +41,30 @@ _PLAYS = "SELECT user_id, event_type AS name, value * 10000 AS ms, CASE WHEN eve
 _BEST_LAST = "arg_max({c}, (CAST(l_shipdate AS DATE), l_orderkey, l_linenumber))"
 _ROUND = "floor({x} * 100 + 0.5) / 100"
 
+_BUILD = """
+WITH r AS (SELECT s_suppkey AS s, s_name, n_name, s_acctbal, s_suppkey % 4 AS k, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS page, 'https://t/' || l_orderkey AS link, l_linestatus, l_returnflag AS flag, l_linenumber AS line,
+    p_name || CASE WHEN p_size % 10 = 0 THEN ' quiz' ELSE '' END AS title, p_size % 10 AS z, CAST(date_trunc('week', l_shipdate) AS DATE) AS day
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 <> 6),
+q AS (SELECT *, CASE WHEN k <> 0 AND flag = 'R' THEN 'cancelled' WHEN k <> 0 AND line = 7 THEN 'postponed' ELSE 'scheduled' END AS status,
+    CASE WHEN k IN (1, 3) AND z = 1 THEN true WHEN z = 0 THEN k <> 3 ELSE k = 0 AND row_number() OVER (PARTITION BY s, title, day, k = 0 AND z <> 0 ORDER BY page) > 1 END AS bad FROM r WHERE NOT (k = 2 AND z = 0)),
+t AS (SELECT *, CASE WHEN bad THEN NULL WHEN day < DATE '1998-01-01' THEN 'past' WHEN day > DATE '1998-01-01' + 400 THEN 'beyond_horizon' WHEN status <> 'scheduled' THEN status ELSE 'fine' END AS fate FROM q),
+o AS (SELECT s, day, title, any_value(s_name) AS s_name, any_value(n_name) AS n_name, any_value(s_acctbal) AS s_acctbal, any_value(k) AS k, count(*) - 1 AS again, arg_min(link, page) AS link,
+    arg_min(link, page) FILTER (k <> 0 AND l_linestatus = 'O') AS ticket, arg_min(link, page) FILTER (k = 1 AND flag = 'N') AS image FROM t WHERE fate = 'fine' GROUP BY 1, 2, 3),
+e AS (SELECT *, count(*) OVER (PARTITION BY s, title) < 5 AS stays FROM o)
+"""
+
 ORACLES = {
+    "corpus_build": _BUILD + """
+SELECT sha256(s || '|' || day || '|' || title)[1:16] AS id, title, title AS artists, day AS start_date, CASE WHEN k = 1 THEN '20:30' END AS start_time, 'scheduled' AS status, CAST(s AS VARCHAR) AS venue_id, s_name AS venue_name, n_name AS city, 'DK' AS country,
+  CASE WHEN floor(s_acctbal) = 0 THEN NULL WHEN s_acctbal >= 8000 THEN 'arena' WHEN s_acctbal >= 2000 THEN 'large' WHEN s_acctbal >= 700 THEN 'mid' ELSE 'club' END AS size_class, ticket AS ticket_url, image,
+  ['html-event', 'jsonld-page', 'next-data', 'wp-rest'][k + 1] AS adapter, link AS source_url FROM e WHERE stays""",
+    "corpus_meta": _BUILD + """
+, c AS (SELECT s, count(*) FILTER (NOT bad) AS raw, count(*) FILTER (bad) AS rejected, count(*) FILTER (fate = 'past') AS past, count(*) FILTER (fate = 'beyond_horizon') AS beyond_horizon, count(*) FILTER (fate = 'cancelled') AS cancelled,
+    count(*) FILTER (fate = 'postponed') AS postponed FROM t GROUP BY 1),
+m AS (SELECT s, CAST(sum(again) AS BIGINT) AS duplicate, count(*) FILTER (NOT stays) AS recurring, count(*) FILTER (stays) AS kept FROM e GROUP BY 1)
+SELECT CAST(s_suppkey AS VARCHAR) AS source_id, s_name AS name, n_name AS city, ['html-event', 'jsonld-page', 'next-data', 'wp-rest'][s_suppkey % 4 + 1] AS adapter, coalesce(raw, 0) AS raw, coalesce(rejected, 0) AS rejected, coalesce(past, 0) AS past,
+  coalesce(beyond_horizon, 0) AS beyond_horizon, coalesce(cancelled, 0) AS cancelled, coalesce(postponed, 0) AS postponed, coalesce(duplicate, 0) AS duplicate, coalesce(recurring, 0) AS recurring, coalesce(kept, 0) AS kept
+FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN c ON c.s = s_suppkey LEFT JOIN m ON m.s = s_suppkey WHERE s_suppkey % 7 <> 6""",
     "direct_evidence_score": """
 WITH p AS (SELECT c_nationkey || '/' || c_mktsegment AS user_id, p_name || ' ' || p_brand AS name, l_quantity * 100000 * CASE WHEN l_shipdate > TIMESTAMP '2001-12-01' THEN 1 ELSE pow(0.5, (epoch_us(TIMESTAMP '2001-12-01') - epoch_us(l_shipdate)) / 86400e6 / 548) END AS ms
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
@@ -218,7 +241,7 @@ for _name in ("jsonld_roundtrip", "jsonld_repair_roundtrip"):
 #: dates come out as ISO text
 _DATES = {
     "dedupe_first_wins_coalesce": ["day"], "keyed_upsert": ["v"], "month_spine": ["month"], "deep_key_roundtrip": ["date"], "hydration_roundtrip": ["start_date"], "wordpress_roundtrip": ["start_date"],
-    "html_event_reasons": ["start_date"], "danish_date_roundtrip": ["found"], "month_partitions": ["from_date", "to_date"], "discovery_roundtrip": ["start_date"], "event_labels": ["later"],
+    "html_event_reasons": ["start_date"], "danish_date_roundtrip": ["found"], "month_partitions": ["from_date", "to_date"], "discovery_roundtrip": ["start_date"], "event_labels": ["later"], "corpus_build": ["start_date"],
 }
 for _name, _columns in _DATES.items():
     ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _columns)}) FROM ({ORACLES[_name]})"

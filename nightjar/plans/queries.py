@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from nightjar.functions import dates, html, scalars, text
 from nightjar.operators import corpus, match, rules, taste, vectors
-from nightjar.plans import recommend as rec
+from nightjar.plans import build, recommend as rec
 from nightjar.sources import listening, structured
 
 NOW = "2024-02-01 00:00:00"
@@ -490,6 +490,44 @@ def list_size_rule(spark, d):
     return p.select("p_partkey", k.alias("k"), scalars.discovery_quota(k).alias("quota"), scalars.js_round(F.col("p_retailprice") / 7, 2).alias("rounded"))
 
 
+# --- corpus build ---------------------------------------------------------------
+
+
+def _build_tables(spark, d):
+    """Suppliers are sources with one of four adapters; each line item is a page that shows its part in the week it shipped."""
+    li, p, s, n = (t(spark, d, x) for x in ("lineitem", "part", "supplier", "nation"))
+    adapter = F.element_at(F.array(*map(F.lit, ("html-event", "jsonld-page", "next-data", "wp-rest"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    registry = s.join(corpus.small(n), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").cast("string").alias("source_id"), F.col("s_suppkey").alias("place"), F.col("s_name").alias("name"), F.col("n_name").alias("city"), F.lit(None).cast("string").alias("country"),
+        F.floor("s_acctbal").cast("long").alias("capacity"), adapter.alias("adapter"), F.when(F.col("s_suppkey") % 7 == 6, False).alias("enabled"), F.lit(False).alias("is_festival"),
+    )
+    kind = F.col("l_suppkey") % 4
+    name = F.concat("p_name", F.when(F.col("p_size") % 10 == 0, " quiz").otherwise(""))
+    titled = F.concat(F.when(F.col("l_returnflag") == "R", "AFLYST: ").when(F.col("l_linenumber") == 7, "Flyttet: ").otherwise(""), name)
+    day = F.date_trunc("week", "l_shipdate")
+    iso = F.date_format(day, "yyyy-MM-dd")
+    link = F.concat(F.lit("https://t/"), F.col("l_orderkey").cast("string"))
+    ticket = F.when(F.col("l_linestatus") == "O", link)
+    node = F.to_json(F.struct(F.lit("MusicEvent").alias("@type"), titled.alias("name"), F.when(F.col("p_size") % 10 == 1, "soon").otherwise(F.concat(iso, F.lit("T20:30"))).alias("startDate"), F.struct(ticket.alias("url")).alias("offers"), F.when(F.col("l_returnflag") == "N", link).alias("image")))
+    show = F.to_json(F.struct(titled.alias("title"), iso.alias("date"), F.struct(F.lit("r").alias("name")).alias("venue"), F.lit(1).alias("price"), ticket.alias("ticketUrl")))
+    post = F.to_json(F.struct(F.struct(titled.alias("rendered")).alias("title"), F.struct(F.when(F.col("p_size") % 10 != 1, iso).alias("start"), ticket.alias("ticket_url")).alias("acf")))
+    months = F.array(*map(F.lit, ("januar", "februar", "marts", "april", "maj", "juni", "juli", "august", "september", "oktober", "november", "december")))
+    prose = F.concat(F.lit("<html><h1>"), name, F.lit("</h1><p>Mandag den "), F.dayofmonth(day).cast("string"), F.lit(". "), F.element_at(months, F.month(day)), F.lit(" "), F.year(day).cast("string"), F.lit("</p></html>"))
+    body = F.when(kind == 0, prose).when(kind == 1, _ld(node)).when(kind == 2, F.concat(F.lit('<script id="__NEXT_DATA__">'), show, F.lit("</script>"))).otherwise(post)
+    pages = li.join(p.select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    return pages.select(F.col("l_suppkey").cast("string").alias("source_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("page_id"), link.alias("url"), body.alias("body")), registry
+
+
+def corpus_build(spark, d):
+    events, _ = build.build_corpus(*_build_tables(spark, d), TODAY)
+    return events.select("id", "title", F.concat_ws("|", "artists").alias("artists"), "start_date", "start_time", "status", "venue_id", "venue_name", "city", "country", "size_class", "ticket_url", "image", "adapter", "source_url")
+
+
+def corpus_meta(spark, d):
+    _, meta = build.build_corpus(*_build_tables(spark, d), TODAY)
+    return meta
+
+
 # --- flagship -------------------------------------------------------------------
 
 
@@ -567,6 +605,6 @@ QUERIES = {
         tag_vector_cosine, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, fold_name_docs, name_keys, split_credits_bills, tribute_flag, edit_distance,
         html_links, html_title, strip_tags, url_host, meta_tags, page_surfaces, ticket_links, title_rules, jsonld_roundtrip, jsonld_repair_roundtrip, deep_key_roundtrip, hydration_roundtrip, wordpress_roundtrip,
         html_event_reasons, danish_date_roundtrip, csv_roundtrip, json_shapes_roundtrip, typed_list_roundtrip, zip_roundtrip, robots_longest_match, sitemap_roundtrip, month_partitions, discovery_roundtrip,
-        tag_lookup_roundtrip, similar_scores, explain_text, event_labels, list_size_rule, windowed_event_counts,
+        tag_lookup_roundtrip, similar_scores, explain_text, event_labels, list_size_rule, corpus_build, corpus_meta, windowed_event_counts,
     )
 }

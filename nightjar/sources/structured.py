@@ -39,7 +39,7 @@ def _string(node: Column, key: str) -> Column:
 
 
 def json_ld_events(pages: DataFrame, key: str, text: str = "html") -> DataFrame:
-    """(key, name, start, url, location, node): Event nodes of all blocks, each once per page.
+    """(key, name, start, url, location, node, seq): Event nodes of all blocks, each once per page; ``seq`` is the place in it.
 
     A block that doesn't parse is repaired once; nodes are found anywhere inside.
     """
@@ -53,7 +53,7 @@ def json_ld_events(pages: DataFrame, key: str, text: str = "html") -> DataFrame:
     found = nodes.filter(F.exists(types, lambda t: t.rlike("(^|/)[A-Za-z]*Event$")))
     out = found.select(key, "block", "visit", _string(F.col("node"), "name").alias("name"), F.get_json_object("node", "$.startDate").alias("start"), F.get_json_object("node", "$.url").alias("url"), _string(F.col("node"), "location").alias("location"), "node")
     w = W.partitionBy(key, F.concat_ws("|", F.coalesce("name", F.lit("")), F.coalesce("start", F.lit("")), F.coalesce("url", F.lit("")))).orderBy("block", "visit")
-    return out.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "block", "visit")
+    return out.withColumn("r", F.row_number().over(w)).filter("r = 1").withColumn("seq", F.array("block", "visit")).drop("r", "block", "visit")
 
 
 def json_ld_stats(c: Column) -> Column:
@@ -130,7 +130,7 @@ def hydration_events(pages: DataFrame, key: str, text: str = "html", venue: Colu
     )
     rest = [c for c in out.columns if c not in (key, "visit", "turn")]
     same = F.concat_ws("|", F.coalesce("venue_name", F.lit("")), F.col("start_date").cast("string"), F.lower("title"))
-    return out.groupBy(key, same.alias("__same")).agg(F.min_by(F.struct(*rest), F.struct("visit", "turn")).alias("__e")).select(key, "__e.*")
+    return out.groupBy(key, same.alias("__same")).agg(F.min_by(F.struct(*rest), F.struct("visit", "turn")).alias("__e"), F.min(F.array("visit", "turn")).alias("seq")).select(key, "__e.*", "seq")
 
 
 def wordpress_events(posts: DataFrame, key: str, text: str, today: dt.date, linked: DataFrame | None = None) -> DataFrame:
@@ -140,7 +140,7 @@ def wordpress_events(posts: DataFrame, key: str, text: str, today: dt.date, link
     """
     p = posts.select(key, F.col(text).alias("json"))
     rendered = lambda k: html.strip_tags(F.coalesce(F.get_json_object("json", f"$.{k}.rendered"), F.get_json_object("json", f"$.{k}")), chrome=False)
-    rows = p.withColumns({"title": html.clean_title(rendered("title")), "body": rendered("content"), "link": F.get_json_object("json", "$.link")})
+    rows = p.withColumns({"raw": rendered("title"), "title": html.clean_title(rendered("title")), "body": rendered("content"), "link": F.get_json_object("json", "$.link")})
     dug, tick = dig_date(p, key, "json"), dig_ticket(p, key, "json")
     rows = rows.join(dug, key, "left").join(tick, key, "left").withColumn("prose", F.to_date(dates.best_event_date(F.col("body"), today, F.col("title"))["date"]))
     if linked is not None:
@@ -151,11 +151,14 @@ def wordpress_events(posts: DataFrame, key: str, text: str, today: dt.date, link
     else:
         day = F.coalesce("date", "prose")
     names = F.slice(F.array_distinct(F.filter(split_credits(F.col("title")), lambda a: F.length(a) >= 2)), 1, 6)
-    return rows.select(key, "title", names.alias("artists"), day.alias("start_date"), "ticket_url", F.when(F.coalesce("title", F.lit("")) == "", "no-title").when(day.isNull(), "no-event-date").alias("reason"))
+    return rows.select(key, "title", names.alias("artists"), day.alias("start_date"), html.detect_status(F.col("raw")).alias("status"), F.col("link").alias("url"), "ticket_url", F.when(F.coalesce("title", F.lit("")) == "", "no-title").when(day.isNull(), "no-event-date").alias("reason"))
 
 
-def html_events(pages: DataFrame, key: str, today: dt.date, text: str = "html", url: str = "url", venue: Column | None = None) -> DataFrame:
-    """Events read off plain pages, with the reason of each rejected page (null if kept)."""
+def html_events(pages: DataFrame, key: str, today: dt.date, text: str = "html", url: str = "url", venue: Column | None = None, within: Column | None = None) -> DataFrame:
+    """Events read off plain pages, with the reason of each rejected page (null if kept).
+
+    ``within`` names the site of a page, made of ``key``: equal title and day are duplicates in one site only.
+    """
     t, body = html.title_of(F.col(text), venue), html.strip_tags(F.col(text))
     rows = pages.select(key, url, t.alias("title"), body.alias("body"), html.ticket_of(F.col(text)).alias("ticket_url"), html.meta_of(F.col(text), ["og:image", "twitter:image"]).alias("image"))
     rows = rows.withColumn("d", dates.best_event_date(F.substring("body", 1, 6000), today, F.col("title")))
@@ -168,7 +171,7 @@ def html_events(pages: DataFrame, key: str, today: dt.date, text: str = "html",
         .when(F.col("d.confidence") < SURE, "date-not-confident")
     )
     rows = rows.withColumn("reason", reason)
-    again = F.row_number().over(W.partitionBy(F.when(F.col("reason").isNull(), F.concat_ws("|", F.lower("title"), "d.date")).otherwise(F.col(key).cast("string"))).orderBy(key))
+    again = F.row_number().over(W.partitionBy(F.when(F.col("reason").isNull(), F.concat_ws("|", *([within.cast("string")] if within is not None else []), F.lower("title"), "d.date")).otherwise(F.col(key).cast("string"))).orderBy(key))
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(again > 1, "duplicate")))
     return rows.select(key, url, "title", F.to_date("d.date").alias("start_date"), F.col("d.time").alias("start_time"), html.detect_status(F.col("title")).alias("status"), split_credits(F.col("title")).alias("artists"), looks_like_tribute(F.col("title")).alias("is_tribute"), "ticket_url", "image", "reason")
 
