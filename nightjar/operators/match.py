@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from nightjar.functions.text import fold_name, keys_for, nearly_equal
+from nightjar.functions.text import fold_name, keys_for, nearly_equal, tribute_stem
 
 # fixed values: shortest probe and key of the fuzzy fallback
 FUZZY_PROBE, FUZZY_KEY = 8, 7
@@ -68,3 +68,11 @@ def one_hop(names: DataFrame, index: DataFrame, taste: DataFrame, name: str, def
     first = hit.withColumn("strength", F.col("weight") * F.col("similarity") * weight)
     best = first.groupBy("user_id", *own).agg(F.max_by(F.struct("via", "weight", "similarity", "strength"), F.struct("strength", (-F.col("__place")).alias("p"))).alias("b"))
     return best.select("user_id", *own, "b.via", "b.weight", "b.similarity", "b.strength")
+
+
+def known_tributes(rows: DataFrame, names: DataFrame, title: str, name: str) -> DataFrame:
+    """``rows`` with ``of_known``: whether the title is a known name and a tribute suffix. Equal titles are looked up once."""
+    stems = rows.select(title).distinct().select(title, F.explode(keys_for(tribute_stem(F.col(title)))).alias("__key"))
+    known = names.select(F.explode(keys_for(F.col(name))).alias("__key")).distinct()
+    hits = stems.join(known, "__key", "left_semi").select(title).distinct().withColumn("__hit", F.lit(True))
+    return rows.join(hits, title, "left").withColumn("of_known", F.coalesce("__hit", F.lit(False))).drop("__hit")

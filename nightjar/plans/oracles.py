@@ -172,6 +172,9 @@ WITH s AS (SELECT p_partkey, p_name, p_brand, [' + ', ' feat. ', ' & ', ' x ', '
 SELECT p_partkey, p_name || sep || p_brand || '|' || p_name || '|' || p_brand AS names, p_name AS "primary" FROM s""",
     "tribute_flag": """
 SELECT p_partkey, p_partkey % 7 IN (0, 2, 3, 5) AS is_tribute, CASE WHEN p_size > 25 THEN p_name END AS stem FROM part""",
+    "tributes_of_known": """
+SELECT p_partkey, p_name || CASE WHEN p_size > 25 THEN ' Mania' ELSE ' live' END AS title, p_size > 25 AND p_name IN (SELECT p_name FROM part WHERE p_size <= 3) AS of_known FROM part""",
+    "served_events": r"""SELECT '{"id":"' || p_partkey || '","title":"\u003cb>' || p_name || '","venue_name":"' || p_brand || '"}' AS json FROM part""",
     "edit_distance": """
 WITH n AS (SELECT lower(n_name) AS x FROM nation), s AS (SELECT DISTINCT lower(p_name) AS y FROM part)
 SELECT x, y, least(levenshtein(x, y), 7) AS d, x = y OR (length(x) >= 7 AND length(y) >= 7 AND levenshtein(x, y) <= 1) AS near FROM n, s""",

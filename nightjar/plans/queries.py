@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from nightjar.functions import dates, html, scalars, text
 from nightjar.operators import corpus, match, rules, taste, vectors
 from nightjar.plans import build, recommend as rec
-from nightjar.sources import listening, structured
+from nightjar.sources import listening, sinks, structured
 
 NOW = "2024-02-01 00:00:00"
 TODAY = dt.date(1998, 1, 1)
@@ -249,6 +249,13 @@ def tribute_flag(spark, d):
     return p.select("p_partkey", text.looks_like_tribute(title).alias("is_tribute"), text.tribute_stem(F.concat("p_name", F.when(F.col("p_size") > 25, " Mania").otherwise(" Band"))).alias("stem"))
 
 
+def tributes_of_known(spark, d):
+    """Titles with a tribute suffix after the name of a small part."""
+    p = t(spark, d, "part")
+    rows = p.select("p_partkey", F.concat("p_name", F.when(F.col("p_size") > 25, " Mania").otherwise(" live")).alias("title"))
+    return match.known_tributes(rows, p.filter("p_size <= 3"), "title", "p_name")
+
+
 def edit_distance(spark, d):
     n = t(spark, d, "nation").select(F.lower("n_name").alias("x"))
     s = t(spark, d, "part").select(F.lower("p_name").alias("y")).distinct()
@@ -484,6 +491,11 @@ def event_labels(spark, d):
     )
 
 
+def served_events(spark, d):
+    p = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("<b>"), "p_name").alias("title"), F.col("p_brand").alias("venue_name"), "p_size")
+    return sinks.slim(p)
+
+
 def list_size_rule(spark, d):
     p = t(spark, d, "part")
     k = scalars.effective_count(F.col("p_size"), F.col("p_partkey").cast("int") % 11)
@@ -602,9 +614,9 @@ QUERIES = {
     for f in (
         recommend_flagship, recommend_diagnostics, direct_evidence_score, filter_cascade_counts, corpus_filter_counts, reason_samples, listening_decay_agg, noisy_or_score, taste_weights,
         dedupe_first_wins_coalesce, recurring_filter, size_class_join, billing_frequency, source_summary, keyed_upsert, artist_index_last_wins, stale_names, top_k_per_group, corpus_sort, month_spine, validate_rows,
-        tag_vector_cosine, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, fold_name_docs, name_keys, split_credits_bills, tribute_flag, edit_distance,
+        tag_vector_cosine, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, fold_name_docs, name_keys, split_credits_bills, tribute_flag, tributes_of_known, edit_distance,
         html_links, html_title, strip_tags, url_host, meta_tags, page_surfaces, ticket_links, title_rules, jsonld_roundtrip, jsonld_repair_roundtrip, deep_key_roundtrip, hydration_roundtrip, wordpress_roundtrip,
         html_event_reasons, danish_date_roundtrip, csv_roundtrip, json_shapes_roundtrip, typed_list_roundtrip, zip_roundtrip, robots_longest_match, sitemap_roundtrip, month_partitions, discovery_roundtrip,
-        tag_lookup_roundtrip, similar_scores, explain_text, event_labels, list_size_rule, corpus_build, corpus_meta, windowed_event_counts,
+        tag_lookup_roundtrip, similar_scores, explain_text, event_labels, served_events, list_size_rule, corpus_build, corpus_meta, windowed_event_counts,
     )
 }
