@@ -20,6 +20,9 @@ TICKET_HOSTS = (
 SECTIONS = ("program", "kalender", "calendar", "events?", "koncerter", r"alle\s", "forside", "home", "nyheder", "news", "billetter", "tickets", r"om\s", "about", "kontakt", "contact", "praktisk", "faq", "privatliv", "cookie")
 
 
+# fixed values: words that say that a show is over
+HAPPENED = ("event er afholdt", "afholdt", "har fundet sted", "this event has passed")
+
 _REFERENCES = re.compile(r"(?:&#(?:[xX][0-9A-Fa-f]{1,8}|[0-9]{1,10});)+")
 
 
@@ -42,13 +45,21 @@ def _numeric_entities(s):
 
 def strip_tags(c: Column, chrome: bool = True, numeric: bool = True) -> Column:
     """Text of a page: without scripts, styles (navigation and footers if ``chrome``), tags and entities."""
+    s = bare_text(c, chrome)
+    return plain_entities(s, numeric) if chrome else squeeze(F.replace(s, F.lit("&#8211;"), F.lit("-")))
+
+
+def bare_text(c: Column, chrome: bool = True) -> Column:
+    """First half of ``strip_tags``: what is left still has entities."""
     s = F.coalesce(c, F.lit(""))
     for tag in ("script", "style", *(("nav", "footer") if chrome else ())):
         s = F.regexp_replace(s, rf"(?is)<{tag}.*?</{tag}>", " ")
     s = F.regexp_replace(s, r"<[^>]+>", " ")
-    s = F.replace(F.replace(s, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
-    if not chrome:
-        return squeeze(F.replace(s, F.lit("&#8211;"), F.lit("-")))
+    return F.replace(F.replace(s, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
+
+
+def plain_entities(s: Column, numeric: bool = True) -> Column:
+    """Second half of ``strip_tags``. It reads ``s`` several times, so make that a column of its own first."""
     s = F.when(s.contains("&#"), _numeric_entities(s)).otherwise(s) if numeric else s
     s = F.regexp_replace(s, r"(?i)&(?:quot|apos|#39);", "'")
     return squeeze(F.regexp_replace(s, r"(?i)&[a-z]+;", " "))
@@ -69,10 +80,18 @@ def meta_of(c: Column, names: list[str]) -> Column:
     return F.coalesce(*tries)
 
 
+def title_source(c: Column) -> Column:
+    """Social title, else first heading, else title, as written."""
+    return F.coalesce(meta_of(c, ["og:title", "twitter:title"]), F.nullif(_found(c, r"(?is)<h1[^>]*>(.{1,200}?)</h1>"), F.lit("")), _found(c, r"(?is)<title[^>]*>(.{1,200}?)</title>"))
+
+
 def title_of(c: Column, venue: Column | None = None, numeric: bool = True) -> Column:
     """Social title, else first heading, else title; a trailing venue name goes."""
-    raw = F.coalesce(meta_of(c, ["og:title", "twitter:title"]), F.nullif(_found(c, r"(?is)<h1[^>]*>(.{1,200}?)</h1>"), F.lit("")), _found(c, r"(?is)<title[^>]*>(.{1,200}?)</title>"))
-    t = strip_tags(raw, numeric=numeric)
+    return without_venue(strip_tags(title_source(c), numeric=numeric), venue)
+
+
+def without_venue(t: Column, venue: Column | None = None) -> Column:
+    """A cleaned title without a trailing venue name; null if nothing is left."""
     if venue is not None:
         parts = F.split(t, r"\s+[|·»–—-]\s+")
         last, room = F.lower(F.element_at(parts, -1)), F.lower(F.coalesce(venue, F.lit("")))
@@ -107,7 +126,7 @@ def is_section(c: Column) -> Column:
 
 
 def already_happened(c: Column) -> Column:
-    return F.coalesce(F.substring(c, 1, 1200), F.lit("")).rlike(r"(?iu)afholdt")
+    return F.coalesce(F.substring(c, 1, 1200), F.lit("")).rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(HAPPENED)})(?![A-Za-z0-9_])")
 
 
 def ticket_of(c: Column) -> Column:

@@ -17,10 +17,10 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *by: str) -> DataFrame:
     """``df`` written as Parquet to the folder that driver and executors share, and read back.
 
-    Cuts the plan's lineage, and readers take only the columns they need.  Only a session in
+    In folders by the columns ``by``, so that a filter on them reads its own files only.  Cuts the plan's lineage, and readers take only the columns they need.  Only a session in
     one process that names no folder gets one of our own.
     """
     spark = df.sparkSession
@@ -31,8 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nightjar-"))
         root = spark.sparkContext.getCheckpointDir()
     path = f"{root.rstrip('/')}/nightjar-cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def merge_key(venue: str = "venue_id", day: str = "start_date", title: str = "title") -> Column:
@@ -41,14 +41,15 @@ def merge_key(venue: str = "venue_id", day: str = "start_date", title: str = "ti
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column], late: list[str]) -> DataFrame:
-    """The first row of each key; its null ``late`` columns come from the first later row that has them.
+    """The first row of each key; its null or empty ``late`` columns come from the first later row that has them.
 
     One aggregate with map-side minima instead of a window, so hot keys don't meet in a task.
     """
     rest = [c for c in df.columns if c not in keys and c not in late]
     at = F.struct(*order)
     first = F.min_by(F.struct(*rest), at) if rest else None
-    fills = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in late]
+    has = {c: F.nullif(F.col(c), F.lit("")) if df.schema[c].dataType.typeName() == "string" else F.col(c) for c in late}
+    fills = [F.min_by(v, F.when(v.isNotNull(), at)).alias(c) for c, v in has.items()]
     out = df.groupBy(*keys).agg(*([first.alias("__first")] if first is not None else []), *fills, F.count(F.lit(1)).alias("__n"))
     return out.select(*keys, *(["__first.*"] if first is not None else []), *late, (F.col("__n") - 1).alias("duplicates"))
 

@@ -42,22 +42,28 @@ _BEST_LAST = "arg_max({c}, (CAST(l_shipdate AS DATE), l_orderkey, l_linenumber))
 _ROUND = "floor({x} * 100 + 0.5) / 100"
 
 _BUILD = """
-WITH r AS (SELECT s_suppkey AS s, s_name, n_name, s_acctbal, s_suppkey % 4 AS k, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS page, 'https://t/' || l_orderkey AS link, l_linestatus, l_returnflag AS flag, l_linenumber AS line,
-    p_name || CASE WHEN p_size % 10 = 0 THEN ' quiz' ELSE '' END AS title, p_size % 10 AS z, CAST(date_trunc('week', l_shipdate) AS DATE) AS day
+WITH r AS (SELECT s_suppkey AS s, s_name, n_name, s_acctbal, s_suppkey % 4 AS k, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS page, 'https://t/' || l_orderkey AS link, l_orderkey, l_linestatus = 'O' AS sold, l_returnflag AS flag, l_linenumber AS line,
+    p_name || CASE WHEN p_size % 10 = 0 THEN ' quiz' ELSE '' END AS title, p_size, p_type, p_size % 10 AS z, CAST(date_trunc('week', l_shipdate) AS DATE) AS day
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 <> 6),
-q AS (SELECT *, CASE WHEN k <> 0 AND flag = 'R' THEN 'cancelled' WHEN k <> 0 AND line = 7 THEN 'postponed' ELSE 'scheduled' END AS status,
-    CASE WHEN k IN (1, 3) AND z = 1 THEN true WHEN z = 0 THEN k <> 3 ELSE k = 0 AND row_number() OVER (PARTITION BY s, title, day, k = 0 AND z <> 0 ORDER BY page) > 1 END AS bad FROM r WHERE NOT (k = 2 AND z = 0)),
-t AS (SELECT *, CASE WHEN bad THEN NULL WHEN day < DATE '1998-01-01' THEN 'past' WHEN day > DATE '1998-01-01' + 400 THEN 'beyond_horizon' WHEN status <> 'scheduled' THEN status ELSE 'fine' END AS fate FROM q),
-o AS (SELECT s, day, title, any_value(s_name) AS s_name, any_value(n_name) AS n_name, any_value(s_acctbal) AS s_acctbal, any_value(k) AS k, count(*) - 1 AS again, arg_min(link, page) AS link,
-    arg_min(link, page) FILTER (k <> 0 AND l_linestatus = 'O') AS ticket, arg_min(link, page) FILTER (k = 1 AND flag = 'N') AS image FROM t WHERE fate = 'fine' GROUP BY 1, 2, 3),
+-- what isn't music goes, silently from payloads; so does what has no date: prose beyond 8,000 characters, a node that says "soon", a post without one in field, excerpt or linked page
+v AS (SELECT *, z = 0 OR CASE k WHEN 0 THEN line = 4 WHEN 1 THEN z = 1 WHEN 3 THEN z = 1 AND line NOT IN (1, 2) ELSE false END AS unfit FROM r WHERE NOT (k = 2 AND z = 0)),
+-- on plain pages the first of a title and day stays; a later node vanishes, a later page counts as rejected
+w AS (SELECT *, k = 0 AND NOT unfit AND row_number() OVER (PARTITION BY s, title, day, k = 0, unfit ORDER BY page) > 1 AS again FROM v),
+q AS (SELECT *, unfit OR again AS bad, CASE WHEN k <> 0 AND flag = 'R' THEN 'cancelled' WHEN k <> 0 AND line = 7 THEN 'postponed' ELSE 'scheduled' END AS status, k = 3 AND line = 2 AND (z = 1 OR NOT sold) AS looked_up FROM w WHERE NOT (again AND line = 5)),
+t AS (SELECT *, CASE WHEN bad THEN NULL WHEN day < DATE '1998-01-01' THEN 'past' WHEN day > DATE '1998-01-01' + 400 THEN 'beyond_horizon' WHEN status <> 'scheduled' THEN status ELSE 'fine' END AS fate,
+    CASE WHEN k = 0 THEN NULL WHEN sold THEN link WHEN looked_up THEN link || '/t' END AS ticket, CASE WHEN k = 1 AND flag = 'N' THEN link WHEN looked_up THEN link || '/i' END AS image,
+    {'link': link, 'url': CASE WHEN k = 2 AND line = 1 THEN 'https://t/event/show-' || l_orderkey WHEN k = 3 THEN link || '/p' || page ELSE link END, 'hour': CASE WHEN k = 1 THEN '20:30' WHEN k = 0 AND line = 5 THEN '19:00' WHEN k = 3 AND z = 1 AND line = 2 THEN '21:00' END,
+      'price': CAST(CASE WHEN k = 1 AND line = 2 THEN p_size WHEN k = 2 AND line <> 2 THEN 1 END AS DOUBLE), 'tags': CASE WHEN k = 2 THEN p_type ELSE '' END} AS own FROM q),
+o AS (SELECT s, day, title, any_value(s_name) AS s_name, any_value(n_name) AS n_name, any_value(s_acctbal) AS s_acctbal, any_value(k) AS k, count(*) - 1 AS again, arg_min(own, page) AS own,
+    arg_min(ticket, page) FILTER (ticket IS NOT NULL) AS ticket, arg_min(image, page) FILTER (image IS NOT NULL) AS image FROM t WHERE fate = 'fine' GROUP BY 1, 2, 3),
 e AS (SELECT *, count(*) OVER (PARTITION BY s, title) < 5 AS stays FROM o)
 """
 
 ORACLES = {
     "corpus_build": _BUILD + """
-SELECT sha256(s || '|' || day || '|' || title)[1:16] AS id, title, title AS artists, day AS start_date, CASE WHEN k = 1 THEN '20:30' END AS start_time, 'scheduled' AS status, CAST(s AS VARCHAR) AS venue_id, s_name AS venue_name, n_name AS city, 'DK' AS country,
-  CASE WHEN floor(s_acctbal) = 0 THEN NULL WHEN s_acctbal >= 8000 THEN 'arena' WHEN s_acctbal >= 2000 THEN 'large' WHEN s_acctbal >= 700 THEN 'mid' ELSE 'club' END AS size_class, ticket AS ticket_url, image,
-  ['html-event', 'jsonld-page', 'next-data', 'wp-rest'][k + 1] AS adapter, link AS source_url FROM e WHERE stays""",
+SELECT sha256(s || '|' || day || '|' || title)[1:16] AS id, title, title AS artists, day AS start_date, own.hour AS start_time, 'scheduled' AS status, CAST(s AS VARCHAR) AS venue_id, s_name AS venue_name, n_name AS city, 'DK' AS country,
+  CASE WHEN floor(s_acctbal) = 0 THEN NULL WHEN s_acctbal >= 8000 THEN 'arena' WHEN s_acctbal >= 2000 THEN 'large' WHEN s_acctbal >= 700 THEN 'mid' ELSE 'club' END AS size_class, own.url AS url, ticket AS ticket_url, image,
+  own.price AS price, CASE WHEN own.price IS NOT NULL THEN 'DKK' END AS currency, own.tags AS tags, ['html-event', 'jsonld-page', 'next-data', 'wp-rest'][k + 1] AS adapter, own.link AS source_url FROM e WHERE stays""",
     "corpus_meta": _BUILD + """
 , c AS (SELECT s, count(*) FILTER (NOT bad) AS raw, count(*) FILTER (bad) AS rejected, count(*) FILTER (fate = 'past') AS past, count(*) FILTER (fate = 'beyond_horizon') AS beyond_horizon, count(*) FILTER (fate = 'cancelled') AS cancelled,
     count(*) FILTER (fate = 'postponed') AS postponed FROM t GROUP BY 1),
@@ -192,7 +198,7 @@ SELECT page_id, nullif({_entities("regexp_replace(regexp_extract(regexp_replace(
     "ticket_links": "SELECT page_id, 'https://www.BILLETTO.dk/e/' || page_id AS ticket FROM pages",
     "title_rules": """
 SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN 'musikquiz' ELSE ' live' END AS title, CASE p_partkey % 5 WHEN 1 THEN 'cancelled' WHEN 2 THEN 'postponed' ELSE 'scheduled' END AS status, p_partkey % 3 = 0 AS non_musical FROM part""",
-    "deep_key_roundtrip": "SELECT p_partkey, CAST(DATE '2026-01-01' + p_size AS DATE) AS date, 'https://t/' || p_brand AS ticket_url FROM part",
+    "deep_key_roundtrip": "SELECT p_partkey, CAST(DATE '2026-01-01' + p_size AS DATE) AS date, CAST(NULL AS VARCHAR) AS time, 'https://t/' || p_brand AS ticket_url FROM part",
     "hydration_roundtrip": """
 WITH p AS (SELECT *, p_partkey % 2 = 1 AS listed FROM part), d AS (SELECT *, unnest(CASE WHEN listed THEN [0, 1] ELSE [0] END) AS k FROM p)
 SELECT p_partkey, p_name AS title, CASE k WHEN 0 THEN DATE '2026-03-01' + p_size % 28 ELSE DATE '2026-04-01' END AS start_date, CASE k WHEN 0 THEN '20:00' END AS start_time,

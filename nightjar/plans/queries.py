@@ -506,33 +506,54 @@ def list_size_rule(spark, d):
 
 
 def _build_tables(spark, d):
-    """Suppliers are sources with one of four adapters; each line item is a page that shows its part in the week it shipped."""
+    """Suppliers are sources with one of four adapters; each line item is a page that shows its part in the week it shipped.
+
+    Plain pages have their date near the top, after 7,000 or after 8,000 characters, or have JSON-LD that goes before prose;
+    posts have it in a field, in the excerpt, on the page they link to, or nowhere.
+    """
     li, p, s, n = (t(spark, d, x) for x in ("lineitem", "part", "supplier", "nation"))
     adapter = F.element_at(F.array(*map(F.lit, ("html-event", "jsonld-page", "next-data", "wp-rest"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
     registry = s.join(corpus.small(n), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").cast("string").alias("source_id"), F.col("s_suppkey").alias("place"), F.col("s_name").alias("name"), F.col("n_name").alias("city"), F.lit(None).cast("string").alias("country"),
         F.floor("s_acctbal").cast("long").alias("capacity"), adapter.alias("adapter"), F.when(F.col("s_suppkey") % 7 == 6, False).alias("enabled"), F.lit(False).alias("is_festival"),
     )
-    kind = F.col("l_suppkey") % 4
-    name = F.concat("p_name", F.when(F.col("p_size") % 10 == 0, " quiz").otherwise(""))
-    titled = F.concat(F.when(F.col("l_returnflag") == "R", "AFLYST: ").when(F.col("l_linenumber") == 7, "Flyttet: ").otherwise(""), name)
+    kind, line, z = F.col("l_suppkey") % 4, F.col("l_linenumber"), F.col("p_size") % 10
+    name = F.concat("p_name", F.when(z == 0, " quiz").otherwise(""))
+    titled = F.concat(F.when(F.col("l_returnflag") == "R", "AFLYST: ").when(line == 7, "Flyttet: ").otherwise(""), name)
     day = F.date_trunc("week", "l_shipdate")
     iso = F.date_format(day, "yyyy-MM-dd")
     link = F.concat(F.lit("https://t/"), F.col("l_orderkey").cast("string"))
+    page = (F.col("l_orderkey") * 10 + line) * 1_000_000 + F.col("l_partkey")
+    own_page = F.concat(link, F.lit("/p"), page.cast("string"))
     ticket = F.when(F.col("l_linestatus") == "O", link)
-    node = F.to_json(F.struct(F.lit("MusicEvent").alias("@type"), titled.alias("name"), F.when(F.col("p_size") % 10 == 1, "soon").otherwise(F.concat(iso, F.lit("T20:30"))).alias("startDate"), F.struct(ticket.alias("url")).alias("offers"), F.when(F.col("l_returnflag") == "N", link).alias("image")))
-    show = F.to_json(F.struct(titled.alias("title"), iso.alias("date"), F.struct(F.lit("r").alias("name")).alias("venue"), F.lit(1).alias("price"), ticket.alias("ticketUrl")))
-    post = F.to_json(F.struct(F.struct(titled.alias("rendered")).alias("title"), F.struct(F.when(F.col("p_size") % 10 != 1, iso).alias("start"), ticket.alias("ticket_url")).alias("acf")))
+    offer = F.struct(ticket.alias("url"), F.when(line == 2, F.col("p_size")).alias("price"), F.lit("DKK").alias("priceCurrency"))
+    node = F.to_json(F.struct(F.lit("MusicEvent").alias("@type"), titled.alias("name"), F.when(z == 1, "soon").otherwise(F.concat(iso, F.lit("T20:30"))).alias("startDate"), offer.alias("offers"), F.when(F.col("l_returnflag") == "N", link).alias("image")))
+    # page properties go before the rest of the payload; of prices only numbers count
+    show = F.to_json(F.struct(titled.alias("title"), iso.alias("date"), F.struct(F.lit("r").alias("name")).alias("venue"), F.col("p_type").alias("genre"), F.when(line == 1, F.concat(F.lit("show-"), F.col("l_orderkey").cast("string"))).alias("slug"), ticket.alias("ticketUrl")))
+    show = F.concat(F.lit('<script id="__NEXT_DATA__">{"props":{"pageProps":'), F.regexp_replace(show, r"\}$", ',"price":'), F.when(line == 2, '"1"').otherwise("1"), F.lit('},"nav":{"title":"Old show","date":"1998-02-02","venue":"x","price":2}}}</script>'))
     months = F.array(*map(F.lit, ("januar", "februar", "marts", "april", "maj", "juni", "juli", "august", "september", "oktober", "november", "december")))
-    prose = F.concat(F.lit("<html><h1>"), name, F.lit("</h1><p>Mandag den "), F.dayofmonth(day).cast("string"), F.lit(". "), F.element_at(months, F.month(day)), F.lit(" "), F.year(day).cast("string"), F.lit("</p></html>"))
-    body = F.when(kind == 0, prose).when(kind == 1, _ld(node)).when(kind == 2, F.concat(F.lit('<script id="__NEXT_DATA__">'), show, F.lit("</script>"))).otherwise(post)
-    pages = li.join(p.select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    return pages.select(F.col("l_suppkey").cast("string").alias("source_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("page_id"), link.alias("url"), body.alias("body")), registry
+    said = F.concat(F.lit("<p>Mandag den "), F.dayofmonth(day).cast("string"), F.lit(". "), F.element_at(months, F.month(day)), F.lit(" "), F.year(day).cast("string"), F.lit("</p>"))
+    text_ = lambda c: F.struct(c.alias("rendered"))
+    post = F.to_json(F.struct(text_(titled).alias("title"), text_(F.when((z == 1) & (line == 1), said)).alias("excerpt"), F.struct(F.when(z != 1, iso).alias("start"), ticket.alias("ticket_url")).alias("acf"), own_page.alias("link")))
+    far = F.to_json(F.struct(F.lit("MusicEvent").alias("@type"), name.alias("name"), F.concat(iso, F.lit("T21:00")).alias("startDate"), F.struct(F.concat(link, F.lit("/t")).alias("url")).alias("offers"), F.concat(link, F.lit("/i")).alias("image")))
+    # prose after 7,000 characters is read, after 8,000 it isn't; where a page has a node, its prose isn't read
+    filler = F.when(line == 3, F.repeat(F.lit("tekst "), 1180)).when(line == 4, F.repeat(F.lit("tekst "), 1400)).otherwise("")
+    plain = F.concat(F.lit("<html><h1>"), name, F.lit("</h1>"), filler, said, F.lit("</html>"))
+    own = F.to_json(F.struct(F.lit("Event").alias("@type"), name.alias("name"), F.concat(iso, F.lit("T19:00")).alias("startDate")))
+    prose = F.when(line == 5, F.concat(_ld(own), F.lit("<h1>Other</h1><p>Mandag den 2. februar 1998</p>"))).otherwise(plain)
+    body = F.when(kind == 0, prose).when(kind == 1, _ld(node)).when(kind == 2, show).otherwise(post)
+    rows = li.join(p.select("p_partkey", "p_name", "p_size", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    pages = rows.select(F.col("l_suppkey").cast("string").alias("source_id"), page.alias("page_id"), link.alias("url"), body.alias("body"))
+    behind = rows.filter((kind == 3) & (line == 2)).select(F.col("l_suppkey").cast("string").alias("source_id"), (-page).alias("page_id"), own_page.alias("url"), _ld(far).alias("body"))
+    return pages.unionByName(behind), registry
 
 
 def corpus_build(spark, d):
     events, _ = build.build_corpus(*_build_tables(spark, d), TODAY)
-    return events.select("id", "title", F.concat_ws("|", "artists").alias("artists"), "start_date", "start_time", "status", "venue_id", "venue_name", "city", "country", "size_class", "ticket_url", "image", "adapter", "source_url")
+    return events.select(
+        "id", "title", F.concat_ws("|", "artists").alias("artists"), "start_date", "start_time", "status", "venue_id", "venue_name", "city", "country", "size_class", "url", "ticket_url", "image",
+        F.col("price.amount").alias("price"), F.col("price.currency").alias("currency"), F.concat_ws(",", "tags").alias("tags"), "adapter", "source_url",
+    )
 
 
 def corpus_meta(spark, d):

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from nightjar.functions import dates, html
 from nightjar.functions.html import WalkJson
-from nightjar.functions.text import looks_like_tribute, split_credits
+from nightjar.functions.text import looks_like_tribute, split_credits, squeeze
+from nightjar.operators.corpus import cut
 
 # fixed values: keys that name dates and tickets, in their order
 DATE_KEYS = ("event_date", "eventDate", "date_start", "start_date", "startDate", "dato", "koncert_dato", "event_start", "start", "spilledato", "showtime", "show_date")
@@ -19,6 +20,8 @@ PAYLOAD_DATES = ("date", "startDate", "firstDate", "start", "startsAt", "eventDa
 PAYLOAD_TICKETS = ("purchaseAtHref", "ticketUrl", "ticketLink", "buyUrl", "href", "url", "link")
 # fixed values: bounds of the walks, and how sure a date in prose must be
 DIG_DEPTH, PAYLOAD_DEPTH, LD_DEPTH, SURE = 4, 14, 100, 0.85
+# fixed values: characters of a page, and of a page that a post links to, in which a date is sought
+NEAR_TEXT, FAR_TEXT = 8000, 6000
 CHILD_HINT = "event|koncert|show|program|arrangement|kalender"
 
 
@@ -76,12 +79,14 @@ def dig(df: DataFrame, key: str, text: str, keys: tuple[str, ...], usable: Calla
 
 
 def dig_date(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, date, time): the day, and the time of day where the value has one."""
     stamp = lambda v: F.coalesce(F.try_to_timestamp(v), F.try_to_timestamp(v, F.lit("yyyyMMdd")))
     found = dig(df, key, text, DATE_KEYS, lambda v: F.coalesce(v.try_cast("double") > 1e9, F.lit(False)) | ((F.length(v) >= 8) & stamp(v).isNotNull()))
     n = F.col("value").try_cast("double")
     epoch = F.timestamp_seconds(F.when(n > 1e12, n / 1000).otherwise(n))
     at = F.when(n > 1e9, epoch).otherwise(stamp(F.col("value")))
-    return found.select(key, F.to_date(at).alias("date"))
+    said = F.nullif(F.regexp_extract("value", r"^\d{4}-\d{2}-\d{2}[T ](\d{2}:\d{2})", 1), F.lit(""))
+    return found.select(key, F.to_date(at).alias("date"), F.when(n > 1e9, F.date_format(epoch, "HH:mm")).otherwise(said).alias("time"))
 
 
 def dig_ticket(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -98,15 +103,26 @@ def _first(node: Column, keys: tuple[str, ...], rx: str | None = None) -> Column
     return F.coalesce(*tries)
 
 
-def hydration_events(pages: DataFrame, key: str, text: str = "html", venue: Column | None = None) -> DataFrame:
+def _is_number(node: Column, key: str) -> Column:
+    """Whether a member of a JSON object is a number, not the text of one."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(node), f"$.{key}", "variant"))
+    return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False))
+
+
+def hydration_events(pages: DataFrame, key: str, text: str = "html", venue: Column | None = None, page_url: Column | None = None, event_path: Column | None = None) -> DataFrame:
     """Events of a page's hydration payload: one row for each date of an object that has a title and two signs of a show.
 
-    Dates are days as written; a list of ``dates`` with its own states and tickets goes before the
-    object's own.  Of equal room, day and title the first in document order stays.
-    ``venue`` names the room where the payload doesn't.
+    The payload's page properties are read, if it has some, else all of it.  Dates are days as
+    written; a list of ``dates`` with its own states and tickets goes before the
+    object's own.  Of equal room, day and title the first in document order stays.  Only numbers are prices.
+    ``venue`` names the room where the payload doesn't.  An event's ``url`` is its slug below
+    ``event_path``, or else ``page_url``.
     """
-    rows = walk(pages.select("*", html.hydration_payload(F.col(text)).alias("__json")).filter("__json IS NOT NULL"), "__json", PAYLOAD_DEPTH, PAYLOAD_TITLES, (*PAYLOAD_DATES, "dates"))
+    payload = html.hydration_payload(F.col(text))
+    payload = F.coalesce(F.get_json_object(payload, "$.props.pageProps"), payload)
+    rows = walk(pages.select("*", payload.alias("__json")).filter("__json IS NOT NULL"), "__json", PAYLOAD_DEPTH, PAYLOAD_TITLES, (*PAYLOAD_DATES, "dates"))
     n, iso = F.col("node"), r"^\d{4}-\d{2}-\d{2}"
+    none = F.lit(None).cast("string")
     at = lambda node, path: F.get_json_object(node, f"$.{path}")
     true = lambda k: F.coalesce(~at(n, k).isin("", "0", "false"), F.lit(False))
     listed = F.filter(F.transform(F.from_json(at(n, "dates"), "array<string>"), lambda d: F.struct(_first(d, PAYLOAD_DATES, iso).alias("day"), d.alias("own"))), lambda d: d["day"].isNotNull())
@@ -125,55 +141,109 @@ def hydration_events(pages: DataFrame, key: str, text: str = "html", venue: Colu
     out = d.select(
         key, "visit", "turn", "title", F.array_distinct(F.filter(bill, lambda a: F.length(a) >= 2)).alias("artists"), F.to_date(F.substring("d.day", 1, 10)).alias("start_date"),
         F.when(F.col("d.day").rlike(r"T\d{2}:\d{2}"), F.substring("d.day", 12, 5)).alias("start_time"), status.alias("status"), F.coalesce(at(n, "venue.name"), *([venue] if venue is not None else [])).alias("venue_name"),
-        at(n, "slug").alias("slug"), F.coalesce(_first(F.col("d.own"), PAYLOAD_TICKETS, "^https?://"), _first(n, PAYLOAD_TICKETS, "^https?://")).alias("ticket_url"),
-        at(n, "price").try_cast("double").alias("price"), genres.alias("tags"), looks_like_tribute(F.col("title")).alias("is_tribute"),
+        at(n, "slug").alias("slug"), F.coalesce(F.concat(event_path if event_path is not None else none, F.lit("/"), F.nullif(at(n, "slug"), F.lit(""))), page_url if page_url is not None else none).alias("url"),
+        F.coalesce(_first(F.col("d.own"), PAYLOAD_TICKETS, "^https?://"), _first(n, PAYLOAD_TICKETS, "^https?://")).alias("ticket_url"),
+        F.when(_is_number(n, "price"), at(n, "price").try_cast("double")).alias("price"), genres.alias("tags"), looks_like_tribute(F.col("title")).alias("is_tribute"),
     )
     rest = [c for c in out.columns if c not in (key, "visit", "turn")]
     same = F.concat_ws("|", F.coalesce("venue_name", F.lit("")), F.col("start_date").cast("string"), F.lower("title"))
     return out.groupBy(key, same.alias("__same")).agg(F.min_by(F.struct(*rest), F.struct("visit", "turn")).alias("__e"), F.min(F.array("visit", "turn")).alias("seq")).select(key, "__e.*", "seq")
 
 
-def wordpress_events(posts: DataFrame, key: str, text: str, today: dt.date, linked: DataFrame | None = None) -> DataFrame:
-    """Posts with an event date: a date key, else prose, else the linked page; undated posts are rejected.
-
-    ``posts`` hold JSON objects; ``linked`` has (link, page).  Publishing dates are never used.
+def wordpress_events(
+    posts: DataFrame,
+    key: str,
+    text: str,
+    today: dt.date,
+    linked: DataFrame | None = None,
+    link_of: Callable[[Column], Column] = lambda link: link,
+    normalise: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Posts with an event date, or the reason why a post gives no event.
+
+    ``posts`` hold JSON objects.  The date is that of a date key, else of the text and its excerpt.  A post that lacks
+    date or ticket is looked up in ``linked`` (link, page) by ``link_of`` its link: the first event of
+    the page's JSON-LD, if ``normalise`` takes it, gives date, time, ticket and image; then its prose may give a date.
+    Publishing dates are never used.
     """
     p = posts.select(key, F.col(text).alias("json"))
-    rendered = lambda k: html.strip_tags(F.coalesce(F.get_json_object("json", f"$.{k}.rendered"), F.get_json_object("json", f"$.{k}")), chrome=False)
-    rows = p.withColumns({"raw": rendered("title"), "title": html.clean_title(rendered("title")), "body": rendered("content"), "link": F.get_json_object("json", "$.link")})
-    dug, tick = dig_date(p, key, "json"), dig_ticket(p, key, "json")
-    rows = rows.join(dug, key, "left").join(tick, key, "left").withColumn("prose", F.to_date(dates.best_event_date(F.col("body"), today, F.col("title"))["date"]))
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    bare = lambda c: html.strip_tags(c, chrome=False)
+    raw = F.coalesce(at("title.rendered"), at("title"), F.lit(""))
+    rows = p.withColumns({"raw": raw, "title": html.clean_title(bare(raw)), "body": F.concat_ws(" ", bare(at("content.rendered")), bare(at("excerpt.rendered"))), "link": F.nullif(at("link"), F.lit("")), "picture": at("_embedded['wp:featuredmedia'][0].source_url")})
+    dug, tick = dig_date(p, key, "json").withColumnRenamed("time", "clock"), dig_ticket(p, key, "json")
+    said = dates.best_event_date(F.col("body"), today, F.col("title"))
+    rows = rows.join(dug, key, "left").join(tick, key, "left").withColumn("said", F.when(F.col("date").isNull(), said))
+    rows = rows.withColumns({"day": F.coalesce("date", F.to_date("said.date")), "clock": F.coalesce("clock", "said.time")}).drop("date", "said")
     if linked is not None:
-        ld = json_ld_events(linked, "link", "page").groupBy("link").agg(F.min(F.to_date(F.substring("start", 1, 10))).alias("ld"))
-        far = linked.select("link", F.to_date(dates.best_event_date(F.substring(html.strip_tags(F.col("page")), 1, 6000), today)["date"]).alias("far"))
-        rows = rows.join(ld, "link", "left").join(far, "link", "left")
-        day = F.coalesce("date", "prose", "ld", "far")
-    else:
-        day = F.coalesce("date", "prose")
+        linked = linked.groupBy("link").agg(F.min("page").alias("page"))
+        first = F.min_by(F.struct("start_date", "start_time", F.col("ticket_url").alias("ticket"), "image", "reason"), "seq").alias("ld")
+        nodes = normalise(json_ld_events(linked, "link", "page")).groupBy("link").agg(first).filter("ld.reason IS NULL") if normalise else None
+        prose = linked.select("link", html.bare_text(F.col("page"), chrome=False).alias("far"))
+        prose = prose.select("link", F.substring(squeeze(F.replace("far", F.lit("&#8211;"), F.lit("-"))), 1, FAR_TEXT).alias("far"))
+        prose = prose.select("link", dates.best_event_date(F.col("far"), today).alias("far"))
+        found = prose.join(nodes, "link", "left") if nodes is not None else prose.withColumn("ld", F.lit(None).cast("struct<start_date:date,start_time:string,ticket:string,image:string>"))
+        wanted = F.when(F.col("day").isNull() | F.col("ticket_url").isNull(), link_of(F.col("link")))
+        rows = rows.withColumn("wanted", wanted).join(found.withColumnRenamed("link", "wanted"), "wanted", "left")
+        rows = rows.withColumns(
+            {
+                "clock": F.when(F.col("day").isNotNull(), F.col("clock")).when(F.col("ld").isNotNull(), F.col("ld.start_time")).otherwise(F.col("far.time")),
+                "day": F.coalesce("day", "ld.start_date", F.to_date("far.date")), "ticket_url": F.coalesce("ticket_url", "ld.ticket"), "picture": F.coalesce("picture", "ld.image"),
+            }
+        )
     names = F.slice(F.array_distinct(F.filter(split_credits(F.col("title")), lambda a: F.length(a) >= 2)), 1, 6)
-    return rows.select(key, "title", names.alias("artists"), day.alias("start_date"), html.detect_status(F.col("raw")).alias("status"), F.col("link").alias("url"), "ticket_url", F.when(F.coalesce("title", F.lit("")) == "", "no-title").when(day.isNull(), "no-event-date").alias("reason"))
-
-
-def html_events(pages: DataFrame, key: str, today: dt.date, text: str = "html", url: str = "url", venue: Column | None = None, within: Column | None = None) -> DataFrame:
+    reason = F.when(F.coalesce("title", F.lit("")) == "", "no-title").when(html.looks_non_musical(F.col("title")), "non-musical").when(F.col("day").isNull(), "no-event-date")
+    return rows.select(key, "title", names.alias("artists"), F.col("day").alias("start_date"), F.col("clock").alias("start_time"), html.detect_status(F.col("raw")).alias("status"), F.col("link").alias("url"), "ticket_url", F.col("picture").alias("image"), reason.alias("reason"))
+
+
+def html_events(
+    pages: DataFrame,
+    key: str,
+    today: dt.date,
+    text: str = "html",
+    url: str = "url",
+    venue: Column | None = None,
+    within: Column | None = None,
+    normalise: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Events read off plain pages, with the reason of each rejected page (null if kept).
 
-    ``within`` names the site of a page, made of ``key``: equal title and day are duplicates in one site only.
+    A page with event nodes in JSON-LD is read by these alone, as ``normalise`` makes events of them.  ``within`` names the
+    site of a page, made of ``key``: equal title and day are duplicates in one site only, of which the first page's
+    stays; a later page is rejected for it, a later node isn't told of.
     """
-    t, body = html.title_of(F.col(text), venue), html.strip_tags(F.col(text))
-    rows = pages.select(key, url, t.alias("title"), body.alias("body"), html.ticket_of(F.col(text)).alias("ticket_url"), html.meta_of(F.col(text), ["og:image", "twitter:image"]).alias("image"))
-    rows = rows.withColumn("d", dates.best_event_date(F.substring("body", 1, 6000), today, F.col("title")))
+    nodes = None
+    if normalise is not None:
+        tagged = html.json_ld_blocks(F.col(text))
+        marked = pages.filter(F.size(tagged) > 0)  # only these pages can have nodes
+        nodes = cut(normalise(json_ld_events(marked, key, text)))  # read twice
+        pages = pages.filter(~F.coalesce(F.size(tagged) > 0, F.lit(False))).unionByName(marked.join(nodes.select(key).distinct(), key, "left_anti").select(*pages.columns))
+    # column by column, so that each is computed once however often the next reads it
+    room = venue if venue is not None else F.lit(None).cast("string")
+    rows = pages.select(key, url, room.alias("room"), html.title_source(F.col(text)).alias("title"), F.col(text).alias("whole"), html.ticket_of(F.col(text)).alias("ticket_url"), html.meta_of(F.col(text), ["og:image"]).alias("image"))
+    rows = rows.withColumns({"title": html.bare_text(F.col("title")), "body": html.bare_text(F.col("whole"))}).drop("whole")
+    rows = rows.withColumns({"title": html.plain_entities(F.col("title")), "body": F.substring(html.plain_entities(F.col("body")), 1, NEAR_TEXT)})
+    rows = rows.withColumn("title", html.without_venue(F.col("title"), F.col("room")))
+    rows = rows.withColumn("d", dates.best_event_date(F.col("body"), today, F.col("title")))
     reason = (
-        F.when(F.col("title").isNull(), "no-title")
+        F.when(F.coalesce(F.length("title"), F.lit(0)) < 2, "no-title")
         .when(html.is_section(F.col("title")), "section-page")
         .when(html.looks_non_musical(F.col("title")), "non-musical")
         .when(html.already_happened(F.col("body")), "already-happened")
         .when(F.col("d.date").isNull(), "no-date")
         .when(F.col("d.confidence") < SURE, "date-not-confident")
     )
-    rows = rows.withColumn("reason", reason)
-    again = F.row_number().over(W.partitionBy(F.when(F.col("reason").isNull(), F.concat_ws("|", *([within.cast("string")] if within is not None else []), F.lower("title"), "d.date")).otherwise(F.col(key).cast("string"))).orderBy(key))
-    rows = rows.withColumn("reason", F.coalesce("reason", F.when(again > 1, "duplicate")))
-    return rows.select(key, url, "title", F.to_date("d.date").alias("start_date"), F.col("d.time").alias("start_time"), html.detect_status(F.col("title")).alias("status"), split_credits(F.col("title")).alias("artists"), looks_like_tribute(F.col("title")).alias("is_tribute"), "ticket_url", "image", "reason")
+    names = F.slice(F.array_distinct(F.filter(split_credits(F.col("title")), lambda a: F.length(a) >= 2)), 1, 6)
+    rows = rows.select(
+        key, url, "title", F.to_date("d.date").alias("start_date"), F.col("d.time").alias("start_time"), html.detect_status(F.col("title")).alias("status"), names.alias("artists"),
+        looks_like_tribute(F.col("title")).alias("is_tribute"), "ticket_url", "image", reason.alias("reason"), F.array().cast("array<int>").alias("seq"), F.lit(False).alias("node_made"),
+    )
+    if nodes is not None:
+        rows = rows.unionByName(nodes.withColumn("node_made", F.lit(True)).select(*(c for c in nodes.columns if c in rows.columns), *(c for c in ("price", "tags") if c in nodes.columns), "node_made"), allowMissingColumns=True)
+    same = F.concat_ws("|", *([within.cast("string")] if within is not None else []), F.lower("title"), F.col("start_date").cast("string"))
+    again = F.row_number().over(W.partitionBy(F.when(F.col("reason").isNull(), same).otherwise(F.xxhash64(key, "seq").cast("string"))).orderBy(key, "seq"))
+    rows = rows.withColumn("again", F.when(F.col("reason").isNull(), again > 1).otherwise(False)).filter("NOT (again AND node_made)")
+    return rows.withColumn("reason", F.coalesce("reason", F.when(F.col("again"), "duplicate"))).drop("again", "node_made")
 
 
 def stable_id(*parts: Column) -> Column:
