@@ -6,8 +6,9 @@ by itself.  The rest is bin packing over a histogram of at most ``capacity - 1``
 lengths, solved on the driver: large lengths are rounded up within groups of equal
 cardinality (linear grouping), the rounded problem is solved over configurations
 by column generation, actual lengths are put in for the rounded ones, and what is
-left goes best-fit, longest first.  This is planned with several bounds of what is
-large, and the plan with the fewest sequences is taken.  The plan is runs of equal
+left, small lengths and the odd large one, goes best-fit, longest first.  This is planned with
+several bounds of what is large, until a plan is proven to be near the least there can be; the
+one with the fewest sequences is taken.  Plain best fit only serves as a check.  The plan is runs of equal
 sequences, and each piece finds its place by the rank it has among the pieces of its length.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import warnings
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,23 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from . import tokens
 from .shared import Scratch
 
-#: shares of the capacity over which a length is large (1: none, plain best fit), and how near to the sum of lengths is good enough
-BOUNDS, NEAR = (1.0, 0.48, 0.32, 0.19, 0.09), 0.004
+#: shares of the capacity over which a length is large, with the number of groups: the more pieces a sequence
+#: may hold, the fewer groups, as their configurations are many
+BOUNDS = ((0.48, 640), (0.32, 400), (0.19, 240), (0.09, 115))
+#: how near to the proven bound ends the search
+GAP = 5e-4
+
+
+class Plan(NamedTuple):
+    """Runs (how many, lengths) of equal sequences, how many hold a configuration's pieces, and how few sequences there must be."""
+
+    runs: list[tuple[int, list[int]]]
+    grouped: int
+    least: int
+
+    @property
+    def made(self) -> int:
+        return sum(n for n, _ in self.runs)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -79,7 +96,12 @@ def best_configuration(sizes: np.ndarray, value: np.ndarray, capacity: int) -> t
 
 
 def configurations(sizes: list[int], needs: list[int], capacity: int, gap: float = 5e-4, rounds: int | None = None) -> list[tuple[float, np.ndarray]]:
-    """A basic solution of the fractional cutting-stock problem, by column generation.
+    """``solve`` without its bound."""
+    return solve(sizes, needs, capacity, gap, rounds)[0]
+
+
+def solve(sizes: list[int], needs: list[int], capacity: int, gap: float = 5e-4, rounds: int | None = None) -> tuple[list[tuple[float, np.ndarray]], float]:
+    """A basic solution of the fractional cutting-stock problem, by column generation, and a lower bound of all solutions.
 
     It ends at the optimum, or when the bound that the duals give shows that it is within ``gap``
     of it or can't save a whole sequence; if it has to end after ``rounds`` (by default 16 for each
@@ -108,38 +130,52 @@ def configurations(sizes: list[int], needs: list[int], capacity: int, gap: float
         x = np.maximum(inverse @ need, 0)
     else:
         warnings.warn(f"column generation ended after {rounds} rounds, {x.sum() / bound - 1:.2%} from its bound", stacklevel=2)
-    return [(float(v), basis[:, j].astype(int)) for j, v in enumerate(x)]
+    return [(float(v), basis[:, j].astype(int)) for j, v in enumerate(x)], float(bound)
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, groups: int = 256, bounds: tuple[float, ...] = BOUNDS) -> list[tuple[int, list[int]]]:
-    """Runs (how many, lengths) of equal sequences that hold every piece of the histogram once.
+def pack_histogram(counts: dict[int, int], capacity: int, bounds: tuple[tuple[float, int], ...] = BOUNDS) -> list[tuple[int, list[int]]]:
+    """Runs (how many, lengths) of equal sequences that hold every piece of the histogram once."""
+    return best_plan(counts, capacity, bounds).runs
 
-    Planned with each of ``bounds`` in turn, the fewest sequences win; a plan within
-    ``NEAR`` of the sum of lengths ends the search, as no other can save more than that.
+
+def best_plan(counts: dict[int, int], capacity: int, bounds: tuple[tuple[float, int], ...] = BOUNDS) -> Plan:
+    """The plan with the fewest sequences over ``bounds``, by linear grouping each.
+
+    A plan within ``GAP`` of what the configurations and the sum of lengths prove to be needed ends the
+    search.  Plain best fit is planned too, as a check: it is taken only if it needs fewer than all of them.
     """
-    least = -(-sum(s * n for s, n in counts.items()) // capacity)
-    best, fewest = [], np.inf
-    for small in bounds:
-        # the more pieces a sequence may hold, the fewer sizes: their configurations are many
-        runs = plan_histogram(counts, capacity, max(1, int(groups * min(1.0, 5 * small))), small)
-        if (made := sum(n for n, _ in runs)) < fewest:
-            best, fewest = runs, made
-        if fewest <= (1 + NEAR) * least:
+    least, best = -(-sum(s * n for s, n in counts.items()) // capacity), None
+    for small, groups in bounds:
+        plan = grouped_plan(counts, capacity, groups, small)
+        least = max(least, plan.least)
+        if best is None or plan.made < best.made:
+            best = plan
+        if best.made <= (1 + GAP) * least:
             break
-    return best
+    plain = grouped_plan(counts, capacity, 1, 1.0)
+    return (plain if best is None or plain.made < best.made else best)._replace(least=least)
 
 
 def plan_histogram(counts: dict[int, int], capacity: int, groups: int, small: float) -> list[tuple[int, list[int]]]:
-    """As ``pack_histogram``, with lengths over ``small`` of the capacity in the grouping; with 1 all is best fit."""
+    """Runs of ``grouped_plan``."""
+    return grouped_plan(counts, capacity, groups, small).runs
+
+
+def grouped_plan(counts: dict[int, int], capacity: int, groups: int, small: float) -> Plan:
+    """A plan with lengths over ``small`` of the capacity in the grouping; with 1 all is best fit.
+
+    Rounding up costs no more than one group's pieces, so all plans need the configurations' bound less one group.
+    """
     left = {s: n for s, n in counts.items() if n > 0}
     large = sorted((s for s in left if s > capacity * small), reverse=True)
     total = sum(left[s] for s in large)
     runs: list[tuple[int, list[int]]] = []
+    least = 0
     if total:
         # groups of equal cardinality, longest first; the longest length of each stands for it
         step, pools, at = max(1, -(-total // groups)), [], 0
         if len(large) <= groups:  # few lengths need no rounding
-            pools, large = [[[s, left[s]]] for s in large], []
+            pools, large, step = [[[s, left[s]]] for s in large], [], 0
         for s in large:
             n = left[s]
             while n:
@@ -154,7 +190,9 @@ def plan_histogram(counts: dict[int, int], capacity: int, groups: int, small: fl
             merged.setdefault(s, []).append(i)
         pools = [[x for i in g for x in pools[i]] for g in merged.values()]
         needs = [sum(needs[i] for i in g) for g in merged.values()]
-        for amount, column in configurations(list(merged), needs, capacity):
+        found, bound = solve(list(merged), needs, capacity)
+        least = max(0, int(np.ceil(bound - step - 0.01)))  # the needs are a little larger than they are
+        for amount, column in found:
             todo = int(amount + 1e-9)
             slots = [g for g, c in enumerate(column) for _ in range(c)]
             while todo and slots:
@@ -198,6 +236,7 @@ def plan_histogram(counts: dict[int, int], capacity: int, groups: int, small: fl
             room[free].append((n, held))
             mask |= 1 << free
 
+    grouped = sum(n for n, _ in runs)
     for n, held in runs:
         put(n, held, capacity - sum(held))
     for s in sorted((s for s in left if left[s]), reverse=True):
@@ -216,7 +255,7 @@ def plan_histogram(counts: dict[int, int], capacity: int, groups: int, small: fl
             put(m - full, held, free) if above else None
             put(full, [*held, *[s] * each], free - each * s)
             n -= full * each
-    return [r for free in room for r in free]
+    return Plan([r for free in room for r in free], grouped, least)
 
 
 def plan_intervals(runs: list[tuple[int, list[int]]]) -> np.ndarray:
@@ -233,7 +272,7 @@ def plan_intervals(runs: list[tuple[int, list[int]]]) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 4)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", end_id: int = tokens.END_ID, groups: int = 256) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", end_id: int = tokens.END_ID) -> DataFrame:
     """Place every document: (id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Null text counts as empty: one piece with the end id.  A document with more
@@ -246,7 +285,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, id_col: str = "doc_id
     rest = cut.filter(F.col("length") < capacity)
     by_part = rest.groupBy("part", "length").count()
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # below capacity rows
-    plan = plan_intervals(pack_histogram(histogram, capacity, groups))
+    plan = plan_intervals(best_plan(histogram, capacity).runs)
     keys = (plan[:, 0] << 44) + plan[:, 1]
     ahead = by_part.select(
         F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead")

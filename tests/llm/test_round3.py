@@ -5,12 +5,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from nightjar.llm import divergence, manifest, substrings
+from nightjar.llm import divergence, kernels, manifest, packing, substrings, tokens
 
 from .test_operators import ASCII, D, EDGE, SCHEMA, docs, edge, words  # noqa: F401
 
@@ -211,3 +213,31 @@ def test_share_is_exact(spark):
     n, total, v = 10**12 + 7, 9 * 10**13 + 1, 10**7
     got = spark.sql(f"SELECT {divergence.share(f'{n}L', f'{total}L', f'{v}L')} AS p").first()["p"]
     assert got == 1 + 10**9 * (n + 2) // (total + 2 * v)
+
+
+def rest_lengths(sf):
+    """How many pieces under 1,024 tokens of each length the documents have."""
+    counts = Counter()
+    for (text,) in duckdb.sql(f"SELECT list(coalesce(text, '')) FROM '/root/testdata/{sf}/documents.parquet' GROUP BY doc_id // 500").fetchall():
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])
+        for _, _, at in tokens.encoded(batch, "text", tokens.tokenizer_path("byte_bpe_50k.json"), tokens.END_ID):
+            n = np.diff(at)
+            counts.update((n - (-(-n // 1024) - 1) * 1024).tolist())
+    return {s: n for s, n in counts.items() if s < 1024}
+
+
+@pytest.mark.parametrize("name", ["sf0.01", "sf0.1", "uniform", "narrow", "long tail"])
+def test_pack_by_grouping(name):
+    """Configurations make the plan, which needs no more sequences than best fit and little more than the proven least."""
+    rng = np.random.default_rng(1)
+    made = {"uniform": lambda: rng.integers(1, 1024, 1_000_000), "narrow": lambda: rng.integers(300, 400, 20_000), "long tail": lambda: np.clip(rng.exponential(250, 200_000), 1, 1023).astype(int)}
+    counts = dict(Counter(made[name]().tolist())) if name in made else rest_lengths(name)
+    plan, plain = packing.best_plan(counts, 1024), packing.grouped_plan(counts, 1024, 1, 1.0)
+    large = sum(n for s, n in counts.items() if s > 0.48 * 1024)
+    held = Counter()
+    for n, own in plan.runs:
+        assert sum(own) <= 1024
+        for s in own:
+            held[s] += n
+    assert held == counts and plan.made <= plain.made and plan.made <= plan.least + max(2, 1e-3 * plan.least)
+    assert plan.grouped >= 0.9 * min(plan.made, large)  # configurations carry the large pieces
