@@ -1,12 +1,13 @@
 """Line dedup over levelled sorted runs (operator 9).
 
 Every text is split and hashed once, into a narrow table of lines.  Batches of documents
-come in descending order of id.  A run is a table of 128-bit line keys, bucketed and sorted by
-them.  Each batch's distinct keys are merge-anti-joined with the runs: what is left are
-lines that no larger batch has, and it becomes a run of level 0 together with the
-largest id of the batch that holds it.  Once a level holds ``fanout`` runs they are
-merged into one run of the next level, as in a log-structured merge tree; runs never
-share a key, so merging them is a union.
+come in descending order of id.  A run is a table of 128-bit line keys with one file for each bucket
+of keys, sorted by them.  A batch's distinct keys are combined and written like a run first, so that a frequent line
+is one row from then on.  They are merge-anti-joined with the runs, bucket by bucket in the order the files
+have: no shuffle and no sort of what came before.  What is left are lines that no larger batch has, and it
+becomes a run of level 0 together with the largest id of the batch that holds it.  Once a level
+holds ``fanout`` runs they are merged bucket by bucket into one run of the next level, as in a log-structured
+merge tree; runs never share a key.
 
 Because larger ids come first, a new key's holder is the largest document that has the
 line.  All its other lines are repeats, found by an anti join on key and id, which no
@@ -16,9 +17,11 @@ documents hold the line.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shared import Scratch, require_integral
 
@@ -41,6 +44,18 @@ def line_table(docs: DataFrame, min_chars: int, batch: Column) -> DataFrame:
     return lines.filter(F.char_length("k") >= min_chars).select("batch", "id", "tid", "at", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2"))
 
 
+@contextmanager
+def files_in_order(spark: SparkSession) -> Iterator[None]:
+    """Inside, scans of a bucket that is one file know that it is sorted; what is planned here is run here."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @dataclass
 class LineRuns:
     """Levelled runs of (h1, h2, id): each key once, with the id that held it first."""
@@ -49,21 +64,29 @@ class LineRuns:
     fanout: int = 4
     levels: list[list[tuple[str, DataFrame]]] = field(default_factory=list)
 
-    def _write(self, run: DataFrame, level: int, dealt: bool) -> DataFrame:
+    def _keep(self, run: tuple[str, DataFrame], level: int) -> DataFrame:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(self.scratch.buckets(run, f"lines-l{level}", KEY, dealt))
-        return self.levels[level][-1][1]
+        self.levels[level].append(run)
+        return run[1]
 
     def live(self) -> list[DataFrame]:
         return [run for level in self.levels for _, run in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Merge-anti-join a batch's keys with all runs and add the rest as a run; returns that run."""
-        new = lines.groupBy(*KEY).agg(F.max("id").alias("id"))
-        for run in self.live():  # few: at most ``fanout`` - 1 of each level
-            new = new.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
-        return self._write(new, 0, True)  # the aggregate has dealt the rows by key
+        # written before the joins, else the optimiser would join each line first and combine equal ones after;
+        # the aggregate has dealt the rows by key, so a bucket is one file
+        path, new = self.scratch.buckets(lines.groupBy(*KEY).agg(F.max("id").alias("id")), "lines-new", KEY, dealt=True)
+        runs = self.live()
+        if not runs:
+            return self._keep((path, new), 0)
+        with files_in_order(self.scratch.spark):
+            for run in runs:  # few: at most ``fanout`` - 1 of each level
+                new = new.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+            fresh = self.scratch.buckets(new, "lines-l0", KEY, dealt=True)
+        self.scratch.drop(path)
+        return self._keep(fresh, 0)
 
     def compact(self) -> None:
         """Merge the runs of full levels; no run of them may be in use."""
@@ -71,14 +94,24 @@ class LineRuns:
         while level < len(self.levels):
             full = self.levels[level]
             if len(full) >= self.fanout:
-                merged = full[0][1]
-                for _, run in full[1:]:
-                    merged = merged.unionByName(run)
-                self._write(merged, level + 1, False)
+                merged = full[0]
+                for k, other in enumerate(full[1:]):
+                    both = self._merge(merged[1], other[1], level + 1)
+                    self.scratch.drop(other[0], *([merged[0]] if k else []))
+                    merged = both
+                self.scratch.drop(full[0][0])
                 self.levels[level] = []
-                self.scratch.drop(*(path for path, _ in full))
+                self._keep(merged, level + 1)
             level += 1
 
+    def _merge(self, left: DataFrame, right: DataFrame, level: int) -> tuple[str, DataFrame]:
+        """A run of both: as they share no key, a full outer merge join walks through each pair of buckets once."""
+        a, b = left.select(*KEY, "id"), right.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("id").alias("other"))
+        with files_in_order(self.scratch.spark):
+            both = a.hint("merge").join(b, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "full")
+            rows = both.select(F.coalesce("h1", "g1").alias("h1"), F.coalesce("h2", "g2").alias("h2"), F.coalesce("id", "other").alias("id"))
+            return self.scratch.buckets(rows, f"lines-l{level}", KEY, dealt=True)
+
 
 def repeated_lines(scratch: Scratch, docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
     """(id, tid, gone): the places of the lines to drop from each (id, text hash)."""

@@ -69,7 +69,7 @@ class Scratch:
         """Write ``df`` in buckets of ``keys``, sorted by them: joins and groups on them need no shuffle.
 
         There are as many buckets as shuffle partitions, each one file; ``dealt`` says that
-        the rows are in such partitions already.
+        each bucket's rows are in one partition already.
         """
         n, path, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.path(name), f"nightjar_{uuid.uuid4().hex}"
         rows = df if dealt else df.repartition(n, *keys)

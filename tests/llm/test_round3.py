@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from nightjar.llm import divergence, kernels, manifest, packing, substrings, tokens
+from nightjar.llm import divergence, linededup, manifest, packing, shared, substrings, tokens
 
 from .test_operators import ASCII, D, EDGE, SCHEMA, docs, edge, words  # noqa: F401
 
@@ -241,3 +241,52 @@ def test_pack_by_grouping(name):
             held[s] += n
     assert held == counts and plan.made <= plain.made and plan.made <= plan.least + max(2, 1e-3 * plan.least)
     assert plan.grouped >= 0.9 * min(plan.made, large)  # configurations carry the large pieces
+
+
+def explained(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_runs(spark, capsys):
+    """Runs have one file a bucket, are joined without a shuffle or sort, and hold each key once with its largest id; hot keys too."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = lambda df: Counter(int(re.search(r"_(\d+)\.", r["f"].rsplit("/", 1)[1])[1]) for r in df.select(F.input_file_name().alias("f")).distinct().collect())
+    with shared.Scratch(spark, "test") as scratch:
+        runs, seen = linededup.LineRuns(scratch, fanout=2), {}
+        for batch in range(5):
+            # a key that half of all rows have, keys of this batch and of the one before
+            rows = spark.range(2_000).select(F.when(F.col("id") % 2 == 0, -1).otherwise((F.col("id") / 4).cast("long") + batch * 250).alias("h1"), F.lit(7).cast("long").alias("h2"), (100_000 - batch * 10_000 + F.col("id")).alias("id"))
+            if runs.live():
+                with linededup.files_in_order(spark):
+                    one = runs.live()[0]
+                    plan = explained(one.join(runs.live()[-1].select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"))
+                    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+            for r in rows.groupBy("h1").agg(F.max("id").alias("id")).collect():
+                seen.setdefault(r["h1"], r["id"])
+            fresh = runs.add(rows)
+            assert {r["h1"] for r in fresh.collect()} <= set(seen)
+            runs.compact()
+        assert [len(level) for level in runs.levels] == [1, 0, 1]
+        got = [(r["h1"], r["id"]) for run in runs.live() for r in run.collect()]
+        assert sorted(got) == sorted(seen.items())
+        for run in runs.live():
+            assert max(files(run).values()) == 1 and len(files(run)) <= n
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+
+
+def test_line_keys_are_combined_first(spark):
+    """The plan that makes a batch's keys combines equal lines before the shuffle, and no join is below it."""
+    lines = spark.range(1_000).select(F.lit(1).cast("long").alias("h1"), (F.col("id") % 3).alias("h2"), "id")
+    made = []
+
+    class Told(shared.Scratch):
+        def buckets(self, df, name, keys, dealt=False):
+            made.append((name, explained(df)))
+            return super().buckets(df, name, keys, dealt)
+
+    with Told(spark, "test") as scratch:
+        runs = linededup.LineRuns(scratch, fanout=3)
+        runs.add(lines), runs.add(lines)
+    assert [name for name, _ in made] == ["lines-new", "lines-new", "lines-l0"]
+    assert all("Join" not in plan and plan.count("HashAggregate") == 2 for name, plan in made if name == "lines-new")
+    assert "Aggregate" not in made[2][1] and "Exchange" not in made[2][1]
