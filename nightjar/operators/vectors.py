@@ -24,6 +24,48 @@ def cosine_pairs(a: DataFrame, b: DataFrame, left: str, right: str, tag: str = "
     return both.groupBy("l", "r").agg(F.sum(F.col("wl") * F.col("wr")).alias("cosine"))
 
 
+#: rows of a tag on the right side that one task should meet
+SALT_ROWS = 10_000
+
+
+def _prefix(rows: DataFrame, ids: list[str], tags: DataFrame, top: str, gate: float) -> DataFrame:
+    """(ids, tag, heat, salts): each vector's tags but its hottest ones that can't make a pair pass the gate alone.
+
+    The product over a set of tags is at most the sum of weights times the largest weight on the other side, and at
+    most the length of what the vector has on them, as the other side's vectors have length 1.
+    """
+    hottest_first = W.partitionBy(*ids).orderBy(F.desc("heat"), F.desc("tag")).rowsBetween(W.unboundedPreceding, 0)
+    bound = F.least(F.sum(F.col("w") * F.col(top)).over(hottest_first), F.sqrt(F.sum(F.col("w") * F.col("w")).over(hottest_first)))
+    return rows.join(tags, "tag").withColumn("bound", bound).filter(F.col("bound") > gate * (1 - 1e-9)).select(*ids, "tag", "salts")
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, left_ids: list[str], right_ids: list[str], gate: float, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """(left_ids, right_ids), distinct: a superset of the pairs of unit vectors (ids, tag, w > 0) whose product passes ``gate``.
+
+    Tags are put in one order for both sides, the one with the fewest possible pairs first.  The first tag that a
+    passing pair shares is in the prefix of both, so only prefixes are indexed and meet.  A tag with
+    many rows on the right is split by salt; its left rows go to each part.
+    """
+    a = left.groupBy("tag").agg(F.count(F.lit(1)).alias("na"), F.max("w").alias("top_left"))
+    b = right.groupBy("tag").agg(F.count(F.lit(1)).alias("nb"), F.max("w").alias("top_right"))
+    tags = a.join(b, "tag").select("tag", (F.col("na") * F.col("nb")).alias("heat"), "top_left", "top_right", F.ceil(F.col("nb") / salt_rows).cast("int").alias("salts"))
+    x = _prefix(left, left_ids, tags, "top_right", gate).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    y = _prefix(right, right_ids, tags, "top_left", gate).withColumn("salt", F.pmod(F.xxhash64(*right_ids), F.col("salts")).cast("int"))
+    return x.drop("salts").join(y.drop("salts"), ["tag", "salt"]).select(*left_ids, *right_ids).distinct()
+
+
+def pairs_above(left: DataFrame, right: DataFrame, left_ids: list[str], right_ids: list[str], gate: float) -> DataFrame:
+    """(left_ids, right_ids, cosine): all pairs of unit vectors (ids, tag, w) whose product is above ``gate``, which is 0 or more.
+
+    Only candidates of the prefix index are multiplied out.  Zero weights count as absent; negative ones aren't allowed; a vector
+    names a tag once.  Null ids and tags match nothing.
+    """
+    x, y = (v.filter("w > 0 AND tag IS NOT NULL") for v in (left, right))
+    found = candidate_pairs(x, y, left_ids, right_ids, gate)
+    both = found.join(x.select(*left_ids, "tag", F.col("w").alias("wl")), left_ids).join(y.select(*right_ids, "tag", F.col("w").alias("wr")), [*right_ids, "tag"])
+    return both.groupBy(*left_ids, *right_ids).agg(F.sum(F.col("wl") * F.col("wr")).alias("cosine")).filter(F.col("cosine") > gate)
+
+
 def dense_cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

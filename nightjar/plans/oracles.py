@@ -140,6 +140,11 @@ SELECT message, count(*) AS n FROM b WHERE message IS NOT NULL GROUP BY 1""",
 WITH u AS (SELECT user_id, event_type AS t, sum(value) AS w FROM events GROUP BY 1, 2), h AS (SELECT hour(ts) AS hour, event_type AS t, sum(value) AS w FROM events GROUP BY 1, 2),
 un AS (SELECT user_id, sqrt(sum(w * w)) AS n FROM u GROUP BY 1), hn AS (SELECT hour, sqrt(sum(w * w)) AS n FROM h GROUP BY 1)
 SELECT u.user_id, h.hour, round(sum(u.w * h.w) / any_value(un.n) / any_value(hn.n), 6) AS cosine FROM u JOIN h USING (t) JOIN un ON un.user_id = u.user_id JOIN hn ON hn.hour = h.hour GROUP BY 1, 2""",
+    "tag_threshold_pairs": """
+WITH b AS (SELECT o_custkey AS customer, l_partkey AS t, sum(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), s AS (SELECT l_suppkey AS supplier, l_partkey AS t, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
+bn AS (SELECT customer, sqrt(sum(w * w)) AS n FROM b GROUP BY 1), sn AS (SELECT supplier, sqrt(sum(w * w)) AS n FROM s GROUP BY 1),
+c AS (SELECT customer, supplier, sum(b.w * s.w) AS dot FROM b JOIN s USING (t) GROUP BY 1, 2)
+SELECT customer, supplier, round(dot / bn.n / sn.n, 6) AS cosine FROM c JOIN bn USING (customer) JOIN sn USING (supplier) WHERE dot / bn.n / sn.n > 0.12""",
     "dense_cosine_topk": """
 WITH x AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
 m AS (SELECT label, list(m ORDER BY i) AS mean FROM x GROUP BY 1),

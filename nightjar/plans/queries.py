@@ -166,6 +166,15 @@ def tag_vector_cosine(spark, d):
     return vectors.cosine_pairs(users, corpus.small(hours), "user_id", "hour").select(F.col("l").alias("user_id"), F.col("r").alias("hour"), r6("cosine").alias("cosine"))
 
 
+def tag_threshold_pairs(spark, d):
+    """Customers and suppliers whose quantities by part are alike beyond the tag gate."""
+    li, o = t(spark, d, "lineitem"), t(spark, d, "orders")
+    bought = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_partkey").alias("tag"), F.col("l_quantity").alias("w"))
+    sold = li.select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("tag"), F.col("l_quantity").alias("w"))
+    near = vectors.pairs_above(corpus.cut(vectors.tag_vector(bought, ["customer"])), corpus.cut(vectors.tag_vector(sold, ["supplier"])), ["customer"], ["supplier"], rec.TAG_GATE)
+    return near.select("customer", "supplier", r6("cosine").alias("cosine"))
+
+
 def dense_cosine_topk(spark, d):
     """The three labels whose mean vector is nearest to each vector."""
     e = t(spark, d, "embeddings")
@@ -635,7 +644,7 @@ QUERIES = {
     for f in (
         recommend_flagship, recommend_diagnostics, direct_evidence_score, filter_cascade_counts, corpus_filter_counts, reason_samples, listening_decay_agg, noisy_or_score, taste_weights,
         dedupe_first_wins_coalesce, recurring_filter, size_class_join, billing_frequency, source_summary, keyed_upsert, artist_index_last_wins, stale_names, top_k_per_group, corpus_sort, month_spine, validate_rows,
-        tag_vector_cosine, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, fold_name_docs, name_keys, split_credits_bills, tribute_flag, tributes_of_known, edit_distance,
+        tag_vector_cosine, tag_threshold_pairs, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, fold_name_docs, name_keys, split_credits_bills, tribute_flag, tributes_of_known, edit_distance,
         html_links, html_title, strip_tags, url_host, meta_tags, page_surfaces, ticket_links, title_rules, jsonld_roundtrip, jsonld_repair_roundtrip, deep_key_roundtrip, hydration_roundtrip, wordpress_roundtrip,
         html_event_reasons, danish_date_roundtrip, csv_roundtrip, json_shapes_roundtrip, typed_list_roundtrip, zip_roundtrip, robots_longest_match, sitemap_roundtrip, month_partitions, discovery_roundtrip,
         tag_lookup_roundtrip, similar_scores, explain_text, event_labels, served_events, list_size_rule, corpus_build, corpus_meta, windowed_event_counts,

@@ -71,8 +71,8 @@ def bills(events: DataFrame) -> DataFrame:
 def evidence(events: DataFrame, taste: DataFrame, index: DataFrame) -> DataFrame:
     """(user_id, event_id, pos, kind, artist, via, tags, similarity, strength): one row per billed artist that matters.
 
-    Tiers are joins, each only over what the tiers before left: direct keys, one edit,
-    similar artists, tag vectors.
+    Tiers are joins: direct keys and one edit, similar artists, tag vectors.  What a stronger tier has found is taken
+    away from the weaker ones, from tag vectors before their products are taken.
     """
     billed = events.select("event_id", F.posexplode(F.slice(F.when(F.size("artists") > 0, F.col("artists")).otherwise(F.array("title")), 1, BILLED)).alias("pos", "artist"))
     keys, billed = cut(taste_keys(taste)), cut(billed)
@@ -84,15 +84,19 @@ def evidence(events: DataFrame, taste: DataFrame, index: DataFrame) -> DataFrame
     hop = match.one_hop(billed, index, keys, "artist", weight=SIMILAR).join(direct.select(*place), place, "left_anti")
     similar = hop.select(*place, F.lit("similar").alias("kind"), "artist", "via", none.cast("array<string>").alias("tags"), "similarity", "strength")
 
+    direct, similar = cut(direct), cut(similar)  # read by the tiers below, too
     done = direct.select(*place).unionByName(similar.select(*place))
     user_tags = user_vectors(taste, index)
     tagged = match.probe(billed, index.select("key", "tags"), "artist").select("event_id", "pos", "artist", F.posexplode("tags").alias("at", "t"))
     tagged = tagged.select("event_id", "pos", "artist", "at", usable_tag(F.col("t.name")).alias("tag"), tag_weight(F.col("t.count")).alias("w")).filter("tag IS NOT NULL AND w > 0")
     # a tag repeated within an artist: the last weight at the first place
     tagged = tagged.groupBy("event_id", "pos", "artist", "tag").agg(F.min("at").alias("at"), F.max_by("w", "at").alias("w"))
-    shared = vectors.unit(tagged, ["event_id", "pos"]).join(user_tags.select("user_id", "tag", F.col("w").alias("uw")), "tag")
+    tagged, user_tags = cut(vectors.unit(tagged, ["event_id", "pos"])), cut(user_tags)
+    # a prefix index leaves only pairs that can pass the gate; those with stronger evidence go before any product is taken
+    likely = vectors.candidate_pairs(tagged, user_tags, ["event_id", "pos"], ["user_id"], TAG_GATE).join(done, place, "left_anti")
+    shared = likely.join(tagged, ["event_id", "pos"]).join(user_tags.select("user_id", "tag", F.col("w").alias("uw")), ["user_id", "tag"])
     cos = shared.groupBy("user_id", "event_id", "pos", "artist").agg(F.sum(F.col("w") * F.col("uw")).alias("similarity"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]), 1, 3).alias("tags"))
-    tag = cos.filter(F.col("similarity") > TAG_GATE).join(done, place, "left_anti").select(*place, F.lit("tag").alias("kind"), "artist", none.cast("string").alias("via"), "tags", "similarity", (F.col("similarity") * TAG).alias("strength"))
+    tag = cos.filter(F.col("similarity") > TAG_GATE).select(*place, F.lit("tag").alias("kind"), "artist", none.cast("string").alias("via"), "tags", "similarity", (F.col("similarity") * TAG).alias("strength"))
     return direct.unionByName(similar).unionByName(tag)
 
 

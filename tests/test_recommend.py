@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nightjar.operators import taste
+from nightjar.operators import taste, vectors
 from nightjar.plans import recommend as rec
 
 EVENT = "event_id string, title string, artists array<string>, start_date date, status string, venue_id string, venue_name string, country string, city string, size_class string, is_tribute boolean, ord string"
@@ -105,3 +106,34 @@ def test_decay_and_skips(spark):
     p = spark.createDataFrame(rows, "user_id string, artist string, ms double, at string").withColumns({"at": F.col("at").cast("timestamp"), "plays": F.lit(None).cast("double"), "from": F.lit("csv")})
     got = {r["name"]: r["plays"] for r in taste.listening(taste.valid_plays(p), F.lit("2026-08-12").cast("timestamp")).collect()}
     assert set(got) == {"New", "Old"} and got["New"] > got["Old"]
+
+
+@pytest.mark.parametrize(("seed", "gate", "salt_rows"), [(0, 0.12, 10_000), (1, 0.3, 5), (2, 0.6, 7), (3, 0.0, 3)])
+def test_pairs_above(spark, seed, gate, salt_rows, monkeypatch):
+    """All pairs above the gate, and no more, with hot tags, one-tag vectors and zero weights; the index leaves fewer pairs than share a tag."""
+    monkeypatch.setattr(vectors, "SALT_ROWS", salt_rows)
+    rng = np.random.default_rng(seed)
+
+    def made(n):
+        rows = []
+        for i in range(n):
+            own = {"hot": float(rng.random() * 0.3)} if rng.random() < 0.9 else {}
+            own |= {f"t{int(x)}": float(rng.random()) for x in rng.zipf(1.3, rng.integers(0, 7)) if x < 60}
+            rows += [(i, k, w) for k, w in own.items()]
+        return [*rows, (n, "alone", 1.0), (n + 1, "hot", 0.0), (n + 2, None, 1.0)]
+
+    x, y = made(70), made(50)
+    norm = lambda rows: {i: sum(w * w for j, _, w in rows if j == i) ** 0.5 or 1.0 for i, _, _ in rows}
+    nx, ny, want, shared = norm(x), norm(y), {}, set()
+    for i, t, w in x:
+        for j, u, v in y:
+            if t == u and t is not None and w * v > 0:
+                want[i, j] = want.get((i, j), 0.0) + w / nx[i] * v / ny[j]
+                shared.add((i, j))
+    want = {k: c for k, c in want.items() if c > gate}
+    left, right = (vectors.unit(spark.createDataFrame(r, f"{c} int, tag string, w double"), [c]) for r, c in ((x, "a"), (y, "b")))
+    got = {(r["a"], r["b"]): r["cosine"] for r in vectors.pairs_above(left, right, ["a"], ["b"], gate).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    positive = [v.filter("w > 0 AND tag IS NOT NULL") for v in (left, right)]
+    tried = {tuple(r) for r in vectors.candidate_pairs(*positive, ["a"], ["b"], gate, salt_rows).collect()}
+    assert want.keys() <= tried <= shared and (gate < 0.3 or len(tried) < 0.8 * len(shared))
