@@ -11,12 +11,20 @@ group holds one row for each of its sources, as the result holds one for each pa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .linededup import LOWER, UPPER
+from . import kernels as K
 from .shared import Scratch
+from .substrings import word_hashes
 
-NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: bytes between terms: those of ASCII that are no letters
+_GAP = np.zeros(256, bool)
+_GAP[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
+SLICE_BYTES = 8 << 20
 SCALE, LEAST_DOCS, TOP_TERMS = 1_000_000_000, 10, 10
 BROADCAST_GROUPS = 100_000
 
@@ -33,12 +41,41 @@ def gap(p: str, q: str) -> str:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, held): occurrences of each term and how many documents of the source hold it."""
-    words = F.sort_array(F.filter(F.split(F.translate("text", UPPER, LOWER), NOT_TERM), lambda w: w != ""))
-    each = docs.select("lang", "source", words.alias("words")).select("lang", "source", "words", F.posexplode("words").alias("at", "term"))
-    # sorted, so that a term's first place in a document differs from the place before
-    new = F.coalesce(F.get("words", F.col("at") - 1) != F.col("term"), F.lit(True)).cast("long")
-    return each.select("lang", "source", "term", new.alias("new")).groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("held"))
+    """(lang, source, term, n, held): occurrences of each term and how many documents of the source hold it.
+
+    Tasks count some megabytes of text at a time by hashes of the terms, so that the aggregate and the shuffle get a row for each
+    distinct term of these only.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch, "text", SLICE_BYTES):
+                data, offsets = K.buffers(part.column(0))
+                data = K.LOWER[data]
+                start, end, doc = K.words(data, offsets, _GAP)
+                pairs = pa.StructArray.from_arrays(part.columns[1:3], ["lang", "source"])
+                named = [c.dictionary_encode() for c in part.columns[1:3]]
+                own = named[0].indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(named[1].dictionary) + named[1].indices.to_numpy(zero_copy_only=False)
+                key = K.mix(word_hashes(data, start, end) ^ K.mix(own[doc].astype(K.U64) + K.U64(1)))
+                order = np.argsort(key, kind="stable")  # documents stay in their order
+                key, at = key[order], doc[order]
+                new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                first = np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]))[: len(key)]
+                n = np.diff(np.append(new, len(key)))
+                held = np.add.reduceat(first.astype(np.int64), new) if len(new) else n
+                some = order[new]
+                rows = pairs.take(pa.array(at[new]))
+                yield pa.RecordBatch.from_arrays([*rows.flatten(), _strings(data, start[some], end[some]), pa.array(n), pa.array(held)], ["lang", "source", "term", "n", "held"])
+
+    counted = docs.select("text", "lang", "source").mapInArrow(count, "lang string, source string, term string, n long, held long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+
+
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte ranges as an Arrow column."""
+    ends = np.append(0, np.cumsum(end - start))
+    body = data[np.repeat(start - ends[:-1], end - start) + np.arange(ends[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(body)]).cast(pa.string())
 
 
 def divergence(
