@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 BROADCAST_BYTES = 32 << 20
 
@@ -17,22 +17,25 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def cut(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` written as Parquet to the folder that driver and executors share, and read back.
-
-    In folders by the columns ``by``, so that a filter on them reads its own files only.  Cuts the plan's lineage, and readers take only the columns they need.  Only a session in
-    one process that names no folder gets one of our own.
-    """
-    spark = df.sparkSession
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share.  Only a session in one process that names none gets one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nightjar-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/nightjar-cut-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written as Parquet to the folder that driver and executors share, and read back.
+
+    In folders by the columns ``by``, so that a filter on them reads its own files only.  Cuts the plan's lineage, and readers take only the columns they need.
+    """
+    path = f"{scratch_root(df.sparkSession)}/nightjar-cut-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def merge_key(venue: str = "venue_id", day: str = "start_date", title: str = "title") -> Column:

@@ -248,13 +248,44 @@ SELECT o_orderkey, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHE
 WITH k AS (SELECT p_partkey, p_retailprice, CAST(least(least(greatest(p_size, 5), 20), greatest(5, 2 * (p_partkey % 11))) AS INT) AS k FROM part)
 SELECT p_partkey, k, CAST(least(2, k // 3) AS INT) AS quota, floor(p_retailprice / 7 * 100 + 0.5) / 100 AS rounded FROM k""",
     "windowed_event_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS from_ts, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
+    "sitemap_source": """
+WITH s AS (SELECT s_suppkey AS id, 'https://s' || s_suppkey || '/' AS site FROM supplier WHERE s_suppkey % 3 <> 0),
+u AS (SELECT id, site || 'p?o=' || l_orderkey || '&l=' || l_linenumber || '&p=' || l_partkey AS page, CAST(l_shipdate AS DATE) AS day, l_linenumber AS l, l_returnflag AS f, p_name FROM lineitem JOIN s ON l_suppkey = id JOIN part ON l_partkey = p_partkey
+  QUALIFY row_number() OVER (PARTITION BY id, page ORDER BY day, f = 'R') = 1),
+-- the walk: root, 1996, below it the unopened map of 1998 and the months, then 2000 with its months, then 1995 as the thirtieth map
+o AS (SELECT *, CASE year(day) WHEN 1996 THEN 100 + month(day) WHEN 2000 THEN 200 + month(day) ELSE 300 END AS walk FROM u WHERE year(day) IN (1995, 1996, 2000)
+  UNION ALL SELECT id, site || '1998-0' || m, NULL, NULL, NULL, NULL, m FROM s, generate_series(1, 9) g(m)),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY walk, page) AS place FROM o QUALIFY place <= 250)
+SELECT id AS source_id, place, page, CASE WHEN l NOT IN (3, 5, 6) THEN p_name END AS title, CASE WHEN l NOT IN (3, 5, 6) AND f <> 'R' THEN day END AS start_date,
+  CASE WHEN l IS NULL OR l = 6 THEN 'robots-disallow' WHEN l = 5 THEN 'http-404' WHEN l = 3 THEN 'no-jsonld-event' WHEN f = 'R' THEN 'no-date' END AS reason FROM n
+UNION ALL SELECT s_suppkey, NULL, NULL, NULL, NULL, 'sitemap-empty' FROM supplier WHERE s_suppkey % 3 = 0""",
+    "robots_by_host": f"""
+WITH p AS (SELECT page_id, {_HOST} AS host, nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT host, page_id AS line, page_id % 4 AS k, path, CASE page_id % 4 WHEN 0 THEN path[1:5] WHEN 1 THEN path WHEN 2 THEN '/*' || right(path, 1) || '$' ELSE '/e*/9' END AS rule FROM p WHERE path IS NOT NULL),
+m AS (SELECT page_id, arg_min(k = 1, (-length(rule), line)) AS allowed FROM p JOIN r USING (host)
+  WHERE CASE k WHEN 2 THEN length(p.path) >= 2 AND ends_with(p.path, right(r.path, 1)) WHEN 3 THEN regexp_matches(p.path, '^/e.*/9') ELSE starts_with(p.path, rule) END GROUP BY 1)
+SELECT page_id, host, coalesce(allowed, true) AS allowed FROM p LEFT JOIN m USING (page_id)""",
+    "polite_schedule": f"""
+WITH r AS (SELECT page_id, {_HOST} AS host, page_id // 3 AS a, CASE WHEN page_id % 10 = 0 THEN 2 * length(html) + 2000 WHEN page_id % 7 = 0 THEN 3 * length(html) + 4500 ELSE length(html) END AS d,
+  greatest(700, CASE WHEN page_id % 2 = 0 THEN page_id % 1500 ELSE 0 END) AS g FROM pages),
+c AS (SELECT *, sum(g + d) OVER (PARTITION BY host ORDER BY a, page_id) AS c FROM r),
+e AS (SELECT *, c + max(a + d - c) OVER (PARTITION BY host ORDER BY a, page_id) AS e FROM c)
+SELECT page_id, host, CAST(e - d AS BIGINT) AS starts, CAST(e AS BIGINT) AS ends FROM e""",
+    "enrich_resume": f"""
+WITH p AS (SELECT p_partkey, p_name || ' ' || p_brand AS name, p_size, {_fold(_ARTIST)} AS key FROM part),
+k AS (SELECT key, max(p_size) AS size, max(p_partkey) AS id, min(name) AS name FROM p GROUP BY 1),
+b AS (SELECT key, arg_min(name, (-n, name)) AS billed FROM (SELECT key, name, count(*) AS n FROM lineitem JOIN p ON l_partkey = p_partkey GROUP BY 1, 2) GROUP BY 1),
+a AS (SELECT *, billed IS NOT NULL AND (size < 10 OR size >= 20) AS looked FROM k LEFT JOIN b USING (key))
+SELECT key, CASE WHEN looked THEN billed ELSE name END AS name, looked AND size % 5 = 0 AS not_found, CASE WHEN looked THEN '2024-02-01' WHEN size < 10 THEN '2023-01-01' ELSE '2024-01-01' END AS checked,
+  CASE WHEN NOT looked THEN 'old' WHEN size % 5 <> 0 THEN CAST(id AS VARCHAR) END AS mbid, CASE WHEN NOT looked OR size % 5 <> 0 THEN size END AS votes FROM a WHERE looked OR size < 20""",
 }
+ORACLES["listening_incremental"] = ORACLES["listening_decay_agg"]
 for _name in ("jsonld_roundtrip", "jsonld_repair_roundtrip"):
     ORACLES[_name] = "SELECT p_partkey, p_name AS name, '2026-01-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') AS start, p_brand AS url, p_type AS location FROM part"
 
 #: dates come out as ISO text
 _DATES = {
-    "dedupe_first_wins_coalesce": ["day"], "keyed_upsert": ["v"], "month_spine": ["month"], "deep_key_roundtrip": ["date"], "hydration_roundtrip": ["start_date"], "wordpress_roundtrip": ["start_date"],
+    "dedupe_first_wins_coalesce": ["day"], "sitemap_source": ["start_date"], "keyed_upsert": ["v"], "month_spine": ["month"], "deep_key_roundtrip": ["date"], "hydration_roundtrip": ["start_date"], "wordpress_roundtrip": ["start_date"],
     "html_event_reasons": ["start_date"], "danish_date_roundtrip": ["found"], "month_partitions": ["from_date", "to_date"], "discovery_roundtrip": ["start_date"], "event_labels": ["later"], "corpus_build": ["start_date"],
 }
 for _name, _columns in _DATES.items():

@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from nightjar.functions import dates, html, scalars, text
-from nightjar.operators import corpus, match, rules, taste, vectors
+from nightjar.operators import corpus, log, match, rules, taste, vectors
 from nightjar.plans import build, recommend as rec
-from nightjar.sources import listening, sinks, structured
+from nightjar.sources import listening, schedule, sinks, sitemaps, structured
 
 NOW = "2024-02-01 00:00:00"
 TODAY = dt.date(1998, 1, 1)
@@ -67,6 +67,25 @@ def listening_decay_agg(spark, d):
     return out.select("user_id", "name", r6("plays").alias("plays"), F.col("raw_plays").cast("long").alias("raw_plays"), F.col("minutes").cast("long").alias("minutes"), F.date_format("last_at", "yyyy-MM-dd HH:mm:ss").alias("last_at"), "rank")
 
 
+def listening_incremental(spark, d):
+    """Plays come in four batches by their time, each settled at its own day; the kept sums then give what a recount gives.
+
+    Plays dated after their batch's day wait; a batch that is sent twice counts once.
+    """
+    plays = taste.valid_plays(_plays(spark, d).withColumn("ts", F.coalesce("at", F.lit("2024-01-10").cast("timestamp"))))
+    kept = taste.sums_log(spark, user=dict(plays.dtypes)["user_id"])
+    edges = ["2024-01-08", "2024-01-15", "2024-01-22"]
+    for n, (low, high) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+        now = F.lit(f"2024-01-{6 + 7 * n:02d}").cast("timestamp")
+        batch = plays.filter((F.lit(True) if low is None else F.col("ts") >= low) & (F.lit(True) if high is None else F.col("ts") < high))
+        kept.add(taste.listening_sums(batch, now), n)
+        if n == 1:
+            kept.add(taste.listening_sums(batch, now), n)
+            kept.compact(lambda rows, now=now: taste.ripen_sums(rows, now))
+    out = taste.settle_sums(kept.read(), F.lit(NOW).cast("timestamp"))
+    return out.select("user_id", "name", r6("plays").alias("plays"), F.col("raw_plays").cast("long").alias("raw_plays"), F.col("minutes").cast("long").alias("minutes"), F.date_format("last_at", "yyyy-MM-dd HH:mm:ss").alias("last_at"), "rank")
+
+
 def noisy_or_score(spark, d):
     e = t(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.col("value") / 2000).alias("s"), F.sum(F.col("value") / 2000).alias("depth"))
     score = scalars.noisy_or(F.col("s"))
@@ -124,6 +143,30 @@ def stale_names(spark, d):
     return corpus.stale(names, cache, "c_custkey", "checked", F.lit("2001-08-02").cast("timestamp"))
 
 
+def enrich_resume(spark, d):
+    """Names on suppliers' bills are looked up, the most billed first; the run is cut in its third batch and taken up again.
+
+    The cache starts with fresh, stale and unknown names.  What the cut batch had written without a commit isn't read.
+    """
+    p, now = t(spark, d, "part"), F.lit(NOW).cast("timestamp")
+    parts = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("name"), "p_size")
+    bills = t(spark, d, "lineitem").select("l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    about = parts.groupBy(text.fold_name(F.col("name")).alias("key")).agg(F.max("p_size").alias("size"), F.max("p_partkey").alias("id"), F.min("name").alias("name"))
+    tags = F.array(F.struct(F.lit("rock").alias("name"), F.col("size").cast("int").alias("count")))
+    row = about.select("key", "name", F.col("id").cast("string").alias("mbid"), F.lit("DK").alias("country"), tags.alias("tags"), F.array().cast("array<struct<name:string,score:double>>").alias("similar"), "size")
+    answers = row.filter("size % 5 <> 0").drop("size")
+    old = row.filter("size < 20").select("key", "name", F.when(F.col("size") < 10, F.lit("2023-01-01")).otherwise(F.lit("2024-01-01")).cast("timestamp").alias("checked_at"), F.lit(False).alias("not_found"), F.lit("old").alias("mbid"), "country", "tags", "similar")
+    cache = log.artist_cache(spark)
+    cache.add(old, "old")
+    look_up = lambda todo: todo.join(answers.drop("name"), "key")
+    per = about.count() // 5 + 1
+    log.enrich(cache, bills, look_up, now, per, most_batches=2)
+    cache.write(old.withColumn("mbid", F.lit("lost")).withColumn("checked_at", now))  # the batch that was cut
+    again = log.BatchLog(spark, cache.path, cache.schema, cache.merge)
+    log.enrich(again, bills, look_up, now, per, every=2)
+    return again.read().select("key", "name", "not_found", F.date_format("checked_at", "yyyy-MM-dd").alias("checked"), "mbid", F.get("tags", 0)["count"].alias("votes"))
+
+
 def top_k_per_group(spark, d):
     li = t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
     return corpus.top_k(li, ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], 3)
@@ -448,7 +491,56 @@ def sitemap_roundtrip(spark, d):
     leaf = p.groupBy((F.col("page_id") % 4).alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), "\n").alias("body"))
     leaf = leaf.select(F.concat(F.lit("https://x/map-"), F.col("g").cast("string")).alias("url"), "body").select("url", F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")).alias("xml"))
     root = leaf.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml")).select(F.lit("https://x/root").alias("url"), "xml")
-    return structured.sitemap_urls(leaf.unionByName(root), ["example"], most=10**9).select("page")
+    roots = root.select(F.lit("x").alias("source_id"), F.col("url").alias("sitemap"), F.array(F.lit("example")).alias("patterns"), F.lit(2**31 - 1).alias("most"))
+    return sitemaps.sitemap_pages(leaf.unionByName(root), roots).select("page")
+
+
+def _xml(entries, tag="urlset"):
+    return F.concat(F.lit(f"<{tag}>"), F.array_join(F.transform(entries, lambda u: F.concat(F.lit("<loc> "), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(" </loc>"))), "\n"), F.lit(f"</{tag}>"))
+
+
+def sitemap_source(spark, d):
+    """Each supplier's site has a page for each line item, listed by year in odd years and by month in even ones.
+
+    The maps of even years also name the root, so they are circular, and that of the next even year, which is so met two levels
+    down and isn't opened again.  The walk's bound on sitemaps leaves the last odd years unread.  A third of the suppliers give no sitemap.
+    """
+    s = t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit("/")).alias("site"))
+    li = t(spark, d, "lineitem").withColumn("day", F.to_date("l_shipdate")).join(t(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    page = F.concat("site", F.lit("p?o="), F.col("l_orderkey").cast("string"), F.lit("&l="), F.col("l_linenumber").cast("string"), F.lit("&p="), F.col("l_partkey").cast("string"))
+    node = F.to_json(F.struct(F.lit("MusicEvent").alias("@type"), F.col("p_name").alias("name"), F.when(F.col("l_returnflag") != "R", F.col("day").cast("string")).alias("startDate")))
+    pages = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("site", "day", page.alias("url"), F.when(F.col("l_linenumber") == 5, 404).otherwise(200).alias("status"), F.when(F.col("l_linenumber") == 3, "<p>nothing</p>").otherwise(_ld(node)).alias("body"), "l_linenumber")
+    pages = pages.groupBy("site", "url").agg(F.min(F.struct("day", "status", "body", "l_linenumber")).alias("p")).select("site", "url", "p.*")
+    year = F.year("day").cast("string")
+    name = F.when(F.year("day") % 2 == 0, F.date_format("day", "yyyy-MM")).otherwise(year)
+    leaves = pages.groupBy("site", name.alias("map")).agg(F.array_sort(F.collect_list("url")).alias("urls")).select(F.concat("site", "map").alias("url"), _xml(F.col("urls")).alias("xml"))
+    map_of = lambda y: F.concat("site", F.when(y % 2 == 0, "event-").otherwise(""), y.cast("string"))
+    years = s.withColumn("y", F.explode(F.sequence(F.lit(1995), F.lit(2001))))
+    roots = s.select(F.concat("site", F.lit("root")).alias("url"), _xml(F.transform(F.sequence(F.lit(1995), F.lit(2001)), map_of), "SitemapIndex").alias("xml"))
+    months = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.concat("site", F.col("y").cast("string"), F.lit("-"), F.lpad(m.cast("string"), 2, "0")))
+    indexes = years.filter("y % 2 = 0").select(map_of(F.col("y")).alias("url"), _xml(F.concat(F.array(F.concat("site", F.lit("root")), map_of(F.col("y") + 2)), months), "sitemapindex").alias("xml"))
+    sources = s.select(F.col("s_suppkey").alias("source_id"), F.when(F.col("s_suppkey") % 3 != 0, F.concat("site", F.lit("root"))).alias("sitemap"), F.array(F.lit("/p?"), F.lit("98-0")).alias("patterns"), F.lit(250).alias("most"))
+    out = build.sitemap_source(leaves.unionByName(roots).unionByName(indexes), sources, pages.filter("l_linenumber <> 6").select("url", "status", "body"))
+    return out.select("source_id", "place", "page", "title", "start_date", "reason")
+
+
+def robots_by_host(spark, d):
+    """Each host's rules are made from its own pages: starts and ends of paths to leave out, whole paths to let in."""
+    p = t(spark, d, "pages").select("page_id", html.host_of(F.col("url")).alias("host"), F.try_parse_url("url", F.lit("PATH")).alias("path"))
+    rule = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("Disallow: "), F.substring("path", 1, 5))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("Allow: "), "path")).when(F.col("page_id") % 4 == 2, F.concat(F.lit("Disallow: /*"), F.right("path", F.lit(1)), F.lit("$"))).otherwise(F.lit("Disallow: /e*/9"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("page_id", rule.alias("rule")))), lambda x: x["rule"])
+    files = p.filter("path <> ''").groupBy("host").agg(F.concat(F.lit("User-agent: *\n"), F.array_join(lines, "\n")).alias("text"))
+    return rules.robots_allowed(p, rules.robots_groups(files), "page_id").select("page_id", "host", "allowed")
+
+
+def polite_schedule(spark, d):
+    """Pages in the order that they become known; busy and lost answers are tried again."""
+    p = t(spark, d, "pages")
+    ms = F.coalesce(F.length("html"), F.lit(0)).cast("long")
+    answer = lambda status: F.struct(F.lit(status).cast("int").alias("status"), ms.alias("ms"))
+    answers = F.when(F.col("page_id") % 10 == 0, F.array(answer(503), answer(200), answer(200))).when(F.col("page_id") % 7 == 0, F.array(*[answer(None)] * 4)).otherwise(F.array(answer(404), answer(200)))
+    r = p.select("page_id", html.host_of(F.col("url")).alias("host"), F.floor(F.col("page_id") / 3).alias("arrives"), schedule.request_ms(answers).alias("takes"), F.when(F.col("page_id") % 2 == 0, F.col("page_id") % 1500).alias("gap"))
+    return schedule.polite_schedule(r, ["page_id"]).select("page_id", "host", "starts", "ends")
 
 
 def month_partitions(spark, d):
@@ -642,11 +734,11 @@ def _plain(f):
 QUERIES = {
     f.__name__: _plain(f)
     for f in (
-        recommend_flagship, recommend_diagnostics, direct_evidence_score, filter_cascade_counts, corpus_filter_counts, reason_samples, listening_decay_agg, noisy_or_score, taste_weights,
-        dedupe_first_wins_coalesce, recurring_filter, size_class_join, billing_frequency, source_summary, keyed_upsert, artist_index_last_wins, stale_names, top_k_per_group, corpus_sort, month_spine, validate_rows,
+        recommend_flagship, recommend_diagnostics, direct_evidence_score, filter_cascade_counts, corpus_filter_counts, reason_samples, listening_decay_agg, listening_incremental, noisy_or_score, taste_weights,
+        dedupe_first_wins_coalesce, recurring_filter, size_class_join, billing_frequency, source_summary, keyed_upsert, artist_index_last_wins, stale_names, enrich_resume, top_k_per_group, corpus_sort, month_spine, validate_rows,
         tag_vector_cosine, tag_threshold_pairs, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, fold_name_docs, name_keys, split_credits_bills, tribute_flag, tributes_of_known, edit_distance,
         html_links, html_title, strip_tags, url_host, meta_tags, page_surfaces, ticket_links, title_rules, jsonld_roundtrip, jsonld_repair_roundtrip, deep_key_roundtrip, hydration_roundtrip, wordpress_roundtrip,
-        html_event_reasons, danish_date_roundtrip, csv_roundtrip, json_shapes_roundtrip, typed_list_roundtrip, zip_roundtrip, robots_longest_match, sitemap_roundtrip, month_partitions, discovery_roundtrip,
+        html_event_reasons, danish_date_roundtrip, csv_roundtrip, json_shapes_roundtrip, typed_list_roundtrip, zip_roundtrip, robots_longest_match, robots_by_host, polite_schedule, sitemap_roundtrip, sitemap_source, month_partitions, discovery_roundtrip,
         tag_lookup_roundtrip, similar_scores, explain_text, event_labels, served_events, list_size_rule, corpus_build, corpus_meta, windowed_event_counts,
     )
 }

@@ -22,7 +22,6 @@ PAYLOAD_TICKETS = ("purchaseAtHref", "ticketUrl", "ticketLink", "buyUrl", "href"
 DIG_DEPTH, PAYLOAD_DEPTH, LD_DEPTH, SURE = 4, 14, 100, 0.85
 # fixed values: characters of a page, and of a page that a post links to, in which a date is sought
 NEAR_TEXT, FAR_TEXT = 8000, 6000
-CHILD_HINT = "event|koncert|show|program|arrangement|kalender"
 
 
 def register(spark: SparkSession) -> None:
@@ -250,30 +249,6 @@ def stable_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
 
-def sitemap_locations(xml: Column) -> Column:
-    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), html.decode_xml)
-
-
-def sitemap_urls(files: DataFrame, patterns: list[str] | None = None, children: int = 25, most: int = 2000, url: str = "url", xml: str = "xml") -> DataFrame:
-    """Page urls below each root sitemap: roots list pages or, two levels deep, other sitemaps.
-
-    Likely children come first and at most ``children`` are read; urls are made distinct
-    before the patterns; at most ``most`` stay per root.
-    """
-    maps = files.select(F.col(url).alias("map"), F.col(xml).contains("<sitemapindex").alias("is_index"), sitemap_locations(F.col(xml)).alias("locs"))
-    listed = maps.filter("is_index").select("map", F.posexplode("locs").alias("pos", "child"))
-    w = W.partitionBy("map").orderBy((~F.lower("child").rlike(CHILD_HINT)).cast("int"), "pos")
-    listed = listed.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= children)
-    roots = maps.join(listed.select(F.col("child").alias("map")), "map", "left_anti").select(F.col("map").alias("root"), "map", F.lit(0).cast("long").alias("place"))
-    below = listed.select("map", "child", F.col("place").alias("p2"))
-    one = roots.join(below, "map").select("root", F.col("child").alias("map"), F.col("p2").cast("long").alias("place"))
-    two = one.join(below, "map").select("root", F.col("child").alias("map"), (F.col("place") * 1000 + F.col("p2")).cast("long").alias("place"))
-    every = roots.unionByName(one).unionByName(two)
-    urls = every.join(maps.filter("NOT is_index"), "map").select("root", "place", F.posexplode("locs").alias("pos", "page"))
-    first = urls.groupBy("root", "page").agg(F.min(F.struct("place", "pos")).alias("at")).filter(html.url_matches(F.col("page"), patterns or []))
-    return first.withColumn("n", F.row_number().over(W.partitionBy("root").orderBy("at"))).filter(F.col("n") <= most).select("root", "page", F.col("n").alias("place"))
-
-
 # fixed values: page size and cap of the discovery API, statuses that stay on sale
 PAGE_SIZE, PARTITION_CAP, ON_SALE = 199, 1000, ("onsale", "offsale")
 

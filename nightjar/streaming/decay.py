@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from nightjar.operators import taste
+from nightjar.operators.log import BatchLog
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type", size: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -16,6 +20,14 @@ def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type"
     )
 
 
-def running_plays(plays: DataFrame, late: str = "1 day", size: str = "1 day") -> DataFrame:
-    """Plays and milliseconds per user, artist and day: the input of the decayed aggregate."""
-    return plays.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late).groupBy("user_id", "artist", F.window("at", size).alias("w")).agg(F.sum("ms").alias("ms"), F.count(F.lit(1)).alias("plays")).select("user_id", "artist", F.col("w.start").alias("at"), "ms", "plays")
+def keep_listening(plays: DataFrame, log: BatchLog, checkpoint: str, now: Column, every: int = 16, **trigger) -> StreamingQuery:
+    """Start a stream of plays that adds each batch's sums to ``log`` (of ``taste.sums_log``) once, and compacts after each ``every`` batches.
+
+    The log knows a batch by its number, so a batch that is sent again after a failure counts once.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        if log.add(taste.listening_sums(taste.valid_plays(batch), now), f"stream-{number}") and number % every == every - 1:
+            log.compact(lambda rows: taste.ripen_sums(rows, now))
+
+    return plays.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
