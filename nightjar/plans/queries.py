@@ -275,6 +275,13 @@ def persona_overlap(spark, d):
     return rec.pair_overlap(corpus.top_k(n, ["user_id"], [F.desc("q"), F.col("event_id")], 12)).select("a", "b", r6("overlap").alias("overlap"))
 
 
+def similar_persona_lists(spark, d):
+    """Suppliers whose twelve foremost brands are mostly the same; all suppliers, by prefixes of their lists."""
+    e = t(spark, d, "lineitem").join(t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    n = e.groupBy(F.col("l_suppkey").alias("user_id"), F.col("p_brand").alias("event_id")).agg(F.sum("l_quantity").alias("q"))
+    return rec.similar_lists(corpus.top_k(n, ["user_id"], [F.desc("q"), F.col("event_id")], 12), 0.75).select("a", "b", r6("overlap").alias("overlap"))
+
+
 # --- text ----------------------------------------------------------------------
 
 
@@ -736,7 +743,7 @@ QUERIES = {
     for f in (
         recommend_flagship, recommend_diagnostics, direct_evidence_score, filter_cascade_counts, corpus_filter_counts, reason_samples, listening_decay_agg, listening_incremental, noisy_or_score, taste_weights,
         dedupe_first_wins_coalesce, recurring_filter, size_class_join, billing_frequency, source_summary, keyed_upsert, artist_index_last_wins, stale_names, enrich_resume, top_k_per_group, corpus_sort, month_spine, validate_rows,
-        tag_vector_cosine, tag_threshold_pairs, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, fold_name_docs, name_keys, split_credits_bills, tribute_flag, tributes_of_known, edit_distance,
+        tag_vector_cosine, tag_threshold_pairs, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, similar_persona_lists, fold_name_docs, name_keys, split_credits_bills, tribute_flag, tributes_of_known, edit_distance,
         html_links, html_title, strip_tags, url_host, meta_tags, page_surfaces, ticket_links, title_rules, jsonld_roundtrip, jsonld_repair_roundtrip, deep_key_roundtrip, hydration_roundtrip, wordpress_roundtrip,
         html_event_reasons, danish_date_roundtrip, csv_roundtrip, json_shapes_roundtrip, typed_list_roundtrip, zip_roundtrip, robots_longest_match, robots_by_host, polite_schedule, sitemap_roundtrip, sitemap_source, month_partitions, discovery_roundtrip,
         tag_lookup_roundtrip, similar_scores, explain_text, event_labels, served_events, list_size_rule, corpus_build, corpus_meta, windowed_event_counts,

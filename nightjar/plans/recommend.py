@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from nightjar.functions.scalars import discovery_quota, effective_count, noisy_or, rank_score, tag_weight, usable_tag
 from nightjar.functions.text import fold_name, looks_like_tribute
-from nightjar.operators import match, rules, vectors
+from nightjar.operators import corpus, match, rules, vectors
 from nightjar.operators.corpus import cut
 from nightjar.operators.taste import taste_keys
 
@@ -19,6 +21,8 @@ DIRECT, SIMILAR, TAG, TAG_GATE = 1.0, 0.62, 0.34, 0.12
 OVERLAP, TAGS, SAME_VENUE, SAME_MONTH = 0.55, 0.25, 0.12, 0.08
 ROOM_ORDER = {"club": 0, "mid": 1, "large": 2, "arena": 3}
 UNKNOWN_ROOM, CLOSE_ENOUGH, BILLED = 9, 0.9, 8
+#: candidates of a user that selection looks at first
+FIRST = 256
 
 
 @dataclass(frozen=True)
@@ -146,11 +150,14 @@ def list_sizes(scored: DataFrame, o: RecommendOptions) -> DataFrame:
     return out.withColumn("quota", discovery_quota(F.col("k"), o.discovery_slots))
 
 
-def greedy(frame: pd.DataFrame, k: int, quota: int, o: RecommendOptions) -> list[int]:
+def greedy(frame: pd.DataFrame, k: int, quota: int, o: RecommendOptions, beyond: float | None = None) -> list[int] | None:
     """Row numbers of the picks, in the order they were made.
 
-    Every candidate carries its largest similarity to a pick so far, so a round costs one pass.
+    Every candidate carries its largest similarity to a pick so far, so a round costs one pass.  ``beyond`` is the best rank
+    among candidates that the frame leaves out, all of which come later in order: as similarity only lowers a value, none of them wins a round
+    whose winner has the value of that rank or more.  The result is None if a round has no such winner.
     """
+    floor = None if beyond is None else o.lam * beyond
     n = len(frame)
     acts: dict[str, list[int]] = {}  # candidates that bill an act
     rooms: dict[str, list[int]] = {}
@@ -182,10 +189,15 @@ def greedy(frame: pd.DataFrame, k: int, quota: int, o: RecommendOptions) -> list
         able = np.flatnonzero(open_ & fit & (discovery if only else True))
         if not len(able):
             if only and quota:
+                if floor is not None:
+                    return None
                 quota = 0
                 continue
             break
-        p = int(able[(o.lam * rank[able] - (1 - o.lam) * near[able]).argmax()])  # the first of equals
+        value = o.lam * rank[able] - (1 - o.lam) * near[able]
+        if floor is not None and value.max() < floor:
+            return None
+        p = int(able[value.argmax()])  # the first of equals
         picks.append(p)
         open_[p] = False
         shared = np.zeros(n)
@@ -199,14 +211,14 @@ def greedy(frame: pd.DataFrame, k: int, quota: int, o: RecommendOptions) -> list
             spend("act", a, o.max_per_artist, acts[a])
         if venue in rooms:
             spend("room", venue, o.max_per_venue, rooms[venue])
-    return picks
+    return picks if floor is None or len(picks) >= k else None
 
 
-def select(candidates: DataFrame, sizes: DataFrame, index: DataFrame, o: RecommendOptions) -> DataFrame:
+def select(candidates: DataFrame, sizes: DataFrame, index: DataFrame, o: RecommendOptions, first: int = FIRST) -> DataFrame:
     """(user_id, event_id, pick_order) by constrained greedy selection, one group per user.
 
-    A group holds a user's candidates: one per act playing in the window, so it is
-    bounded by the corpus, not by the number of users.
+    A group holds a user's ``first`` candidates by rank, and what is left out can be proven not to be picked by its best rank. Users for
+    whom the proof fails come again with eight times as many, so only a user whose picks need it has a large group.
     """
     billed = candidates.select("bill", "artists").dropDuplicates(["bill"]).select("bill", F.explode("artists").alias("artist"))
     tags = match.probe(billed, index.select("key", "tags"), "artist").select("bill", F.explode("tags").alias("t")).select("bill", usable_tag(F.col("t.name")).alias("tag")).filter("tag IS NOT NULL")
@@ -217,15 +229,30 @@ def select(candidates: DataFrame, sizes: DataFrame, index: DataFrame, o: Recomme
         F.coalesce(F.transform("vec", lambda v: v["tag"]), F.array().cast("array<string>")).alias("tags"), F.coalesce(F.transform("vec", lambda v: v["w"]), F.array().cast("array<double>")).alias("ws"),
     )
 
+    left, most, picks = cut(rows), first, []
+    schema = f"user_id {candidates.schema['user_id'].dataType.simpleString()}, event_id {candidates.schema['event_id'].dataType.simpleString()}, pick_order int"
+    while True:
+        top = corpus.top_k(left, ["user_id"], [F.desc("rank"), F.col("ord"), F.col("event_id")], most + 1, "place")
+        out = cut(top.groupBy("user_id").applyInPandas(_picker(most, o), schema))
+        picks.append(out.filter("pick_order >= 0"))
+        unproven = out.filter("pick_order < 0").select("user_id")
+        if unproven.isEmpty():
+            return reduce(DataFrame.unionByName, picks)
+        left, most = left.join(unproven, "user_id", "left_semi"), 8 * most
+
+
+def _picker(most: int, o: RecommendOptions) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A group's picks from its first ``most`` candidates, or one row with ``pick_order`` -1 if they don't suffice."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["rank", "ord"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        picks = greedy(frame, int(frame["k"].iloc[0]), int(frame["quota"].iloc[0]), o)
-        out = frame.iloc[picks][["user_id", "event_id"]].copy()
-        out["pick_order"] = np.arange(len(picks), dtype=np.int32)
+        frame = frame.sort_values(["rank", "ord", "event_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        beyond = float(frame["rank"].iloc[most]) if len(frame) > most else None
+        picks = greedy(frame.iloc[:most], int(frame["k"].iloc[0]), int(frame["quota"].iloc[0]), o, beyond)
+        out = frame.iloc[[0] if picks is None else picks][["user_id", "event_id"]].copy()
+        out["pick_order"] = np.int32(-1) if picks is None else np.arange(len(picks), dtype=np.int32)
         return out
 
-    schema = f"user_id {candidates.schema['user_id'].dataType.simpleString()}, event_id {candidates.schema['event_id'].dataType.simpleString()}, pick_order int"
-    return rows.groupBy("user_id").applyInPandas(run, schema)
+    return run
 
 
 def explain(best: Column, lang: str = "en") -> Column:
@@ -287,6 +314,29 @@ def pair_overlap(picks: DataFrame, user: str = "user_id", item: str = "event_id"
     return common.join(n.select(F.col(user).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(user).alias("b"), F.col("n").alias("nb")), "b").select("a", "b", (F.col("c") / F.least("na", "nb")).alias("overlap"))
 
 
+def similar_lists(picks: DataFrame, least: float, user: str = "user_id", item: str = "event_id") -> DataFrame:
+    """(a, b, overlap): all pairs of users with an ``overlap`` (see ``pair_overlap``) of ``least`` or more; 0 < ``least`` <= 1.
+
+    Items stand in one order, rarest first.  A list of n needs c = ceil(least * n) items in common with a longer one, so one of them
+    is among the first n - c + 1 of both orders' heads: the shorter list offers that head, the longer one a head for each power of two that
+    a shorter list may begin at.  They meet by size class and item, so items that all lists share, last in the order,
+    rarely bring a pair together; pairs are then counted on whole lists.  Repeated and null items count once and never.
+    """
+    lists = cut(picks.select(F.col(user).alias("u"), F.col(item).alias("i")).filter("u IS NOT NULL AND i IS NOT NULL").distinct())
+    often = lists.groupBy("i").agg(F.count(F.lit(1)).alias("often"))
+    ordered = lists.join(often, "i").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("often", "i"))).alias("s"))  # one list each
+    ordered = cut(ordered.select("u", F.transform("s", lambda x: x["i"]).alias("s"), F.size("s").alias("n"), F.floor(F.log2(F.size("s"))).cast("int").alias("c")))
+    needed = lambda n: F.ceil(F.lit(least) * n - 1e-9).cast("int")
+    short = ordered.select("u", "n", "c", F.explode(F.slice("s", 1, F.col("n") - needed(F.col("n")) + 1)).alias("i"))
+    each = ordered.select("u", "n", "s", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("c"))
+    long = each.select("u", "n", "c", F.explode(F.slice("s", 1, F.col("n") - needed(F.pow(F.lit(2.0), F.col("c"))) + 1)).alias("i"))
+    x, y = short.select("c", "i", F.col("u").alias("x"), F.col("n").alias("nx")), long.select("c", "i", F.col("u").alias("y"), F.col("n").alias("ny"))
+    met = x.join(y, ["c", "i"]).filter("nx < ny OR (nx = ny AND x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sets = [ordered.select(F.col("u").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab"]
+    counted = met.join(sets[0], "a").join(sets[1], "b").select("a", "b", (F.size(F.array_intersect("sa", "sb")) / F.least("na", "nb")).alias("overlap"))
+    return counted.filter(F.col("overlap") >= least - 1e-9)
+
+
 def calendar(picks: DataFrame, low: Column, high: Column, spark, most: int = 36) -> DataFrame:
     """Months of the window with their number of picks, empty ones too."""
     months = spark.range(1).select(F.explode(F.slice(F.sequence(F.trunc(low, "month"), F.trunc(high, "month"), F.expr("interval 1 month")), 1, most)).alias("month"))

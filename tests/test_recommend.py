@@ -101,6 +101,43 @@ def test_greedy_matches_plain():
         assert rec.greedy(frame, 12, 2, o) == slow(frame, 12, 2, o)
 
 
+def test_first_candidates_suffice_or_say_so():
+    """With the best rank beyond them, the first candidates give the whole list's picks or none."""
+    rng = np.random.default_rng(8)
+    o, proven = rec.RecommendOptions(from_date="2026-01-01"), 0
+    for _ in range(60):
+        n = 60
+        folds = [[f"a{rng.integers(40)}"] for _ in range(n)]
+        frame = pd.DataFrame({"rank": np.sort(rng.random(n).round(2) * rng.choice([0.2, 1, 3]))[::-1], "kind": rng.choice(["direct", "tag"], n, p=[0.8, 0.2]), "venue_id": rng.choice(["v1", "v2", "v3", "v4", ""], n), "month": rng.choice(["2026-01", "2026-02"], n)})
+        frame["folds"], frame["bill"], frame["tags"], frame["ws"] = folds, folds, [["x"]] * n, [[1.0]] * n
+        got = rec.greedy(frame.iloc[:35], 8, 2, o, frame["rank"].iloc[35])
+        assert got is None or got == rec.greedy(frame, 8, 2, o)
+        proven += got is not None
+    assert 10 < proven < 60
+
+
+def test_selection_is_the_same_from_any_start(spark):
+    n, rng = 90, np.random.default_rng(4)
+    rows = [(u, f"e{i}", float(rng.random()), i, f"v{rng.integers(9)}", dt.date(2026, 1 + i % 9, 1), [f"Act {rng.integers(25)}"], str(rng.choice(["direct", "tag"]))) for u in range(5) for i in range(n - 20 * u)]
+    c = spark.createDataFrame(rows, "user_id int, event_id string, rank double, ord int, venue_id string, start_date date, artists array<string>, kind string").withColumns({"bill": F.col("artists")[0], "best": F.struct("kind")}).drop("kind")
+    sizes = spark.createDataFrame([(u, 12, 2) for u in range(5)], "user_id int, k int, quota int")
+    index = spark.createDataFrame([(f"act {i}", [(f"t{i % 4}", 3)]) for i in range(25)], "key string, tags array<struct<name:string,count:int>>")
+    o = rec.RecommendOptions(from_date="2026-01-01")
+    tell = lambda first: sorted(tuple(r) for r in rec.select(c, sizes, index, o, first).collect())
+    want = tell(10_000)
+    assert len(want) > 40 and tell(2) == want and tell(30) == want
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.75, 1.0])
+def test_similar_lists_are_all_pairs_above(spark, least):
+    rng = np.random.default_rng(int(least * 100))
+    lists = {u: {f"i{int(x)}" for x in rng.zipf(1.4, rng.integers(1, 20)) if x < 50} | ({"hot"} if u % 2 else set()) for u in range(60)}
+    rows = [(u, i) for u, s in lists.items() for i in s] * 2 + [(1, None), (None, "hot")]
+    got = {(r["a"], r["b"]): r["overlap"] for r in rec.similar_lists(spark.createDataFrame(rows, "user_id int, event_id string"), least).collect()}
+    want = {(a, b): v for a in lists for b in lists if a < b and lists[a] and lists[b] and (v := len(lists[a] & lists[b]) / min(len(lists[a]), len(lists[b]))) >= least}
+    assert got == want
+
+
 def test_decay_and_skips(spark):
     rows = [("u", "New", 200000.0, "2026-08-01"), ("u", "Old", 200000.0, "2022-08-01"), ("u", "Skip", 5000.0, "2026-08-01"), ("u", " ", 90000.0, None), ("u", None, 1.0, None)]
     p = spark.createDataFrame(rows, "user_id string, artist string, ms double, at string").withColumns({"at": F.col("at").cast("timestamp"), "plays": F.lit(None).cast("double"), "from": F.lit("csv")})
