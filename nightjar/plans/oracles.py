@@ -172,6 +172,9 @@ WITH o AS (SELECT o_custkey AS user_id, o_orderkey AS event_id, o_totalprice / 1
 l AS (SELECT user_id, list({'e': event_id, 'r': r, 'c': CASE WHEN c = 5 THEN 9 ELSE c - 1 END} ORDER BY r DESC, event_id) AS xs FROM o GROUP BY 1),
 h AS (SELECT user_id, list_reduce(xs, lambda a, b: CASE WHEN b.r > a.r OR (b.r >= a.r * 0.9 AND b.c < a.c) THEN b ELSE a END) AS x FROM l)
 SELECT user_id, x.e AS event_id, CASE x.c WHEN 0 THEN 'club' WHEN 1 THEN 'mid' WHEN 2 THEN 'large' WHEN 3 THEN 'arena' END AS size_class FROM h""",
+    "zip_source": """
+WITH e AS (SELECT l_suppkey, year(l_shipdate) AS y, string_agg(line, chr(10) ORDER BY line) AS text FROM (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS line FROM lineitem) GROUP BY 1, 2)
+SELECT l_suppkey, 'plays/' || y || '.csv' AS entry, strlen(text) AS size, sha256(text) AS sha FROM e WHERE y < 2000""",
     "similar_persona_lists": """
 WITH q AS (SELECT l_suppkey AS u, p_brand AS i, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 t AS (SELECT u, i FROM q QUALIFY row_number() OVER (PARTITION BY u ORDER BY q DESC, i) <= 12), n AS (SELECT u, count(*) AS n FROM t GROUP BY 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from nightjar.functions import dates, html, scalars, text
 from nightjar.operators import corpus, log, match, rules, taste, vectors
 from nightjar.plans import build, recommend as rec
-from nightjar.sources import listening, schedule, sinks, sitemaps, structured
+from nightjar.sources import archives, listening, schedule, sinks, sitemaps, structured
 
 NOW = "2024-02-01 00:00:00"
 TODAY = dt.date(1998, 1, 1)
@@ -485,6 +486,33 @@ def zip_roundtrip(spark, d):
     return plays.select(F.col("user_id").cast("int").alias("nation"), "artist", "plays", "ms")
 
 
+def zip_source(spark, d):
+    """Each supplier's line items by year as entries of an archive of its own, odd years stored; read by ranges, with years chosen by name."""
+    li = t(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("y"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("line"))
+    per = li.groupBy("l_suppkey", "y").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+    per = per.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("y", "text"))).alias("years"))
+    folder = f"{corpus.scratch_root(spark)}/nightjar-zips-{uuid.uuid4().hex}"
+
+    def write(frames):
+        for f in frames:
+            for k, years in zip(f["l_suppkey"], f["years"], strict=True):
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("Technical/log.csv", "never read")
+                    for y in years:
+                        z.writestr(f"plays/{y['y']}.csv", y["text"], zipfile.ZIP_STORED if y["y"] % 2 else zipfile.ZIP_DEFLATED)
+                system, place = archives.file_of(folder)
+                system.create_dir(place)
+                with system.open_output_stream(f"{place}/{k}.zip") as out:
+                    out.write(raw.getvalue())
+            yield pd.DataFrame({"n": [len(f)]})
+
+    per.mapInPandas(write, "n long").agg(F.sum("n")).collect()  # one row: all archives are there
+    listening.register(spark)
+    got = spark.read.format("zip_entries").option("path", folder).load().filter(F.col("entry").startswith("plays/199"))
+    return got.select(F.regexp_extract("archive", r"(\d+)\.zip$", 1).cast("long").alias("l_suppkey"), "entry", "size", F.sha2("text", 256).alias("sha"))
+
+
 def robots_longest_match(spark, d):
     robots = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en # no\nAllow: /en/1\nDisallow: /*7$\nCrawl-delay: 30\n"
     p = t(spark, d, "pages").select("page_id", F.lit("h").alias("host"), F.try_parse_url("url", F.lit("PATH")).alias("path"))
@@ -745,7 +773,7 @@ QUERIES = {
         dedupe_first_wins_coalesce, recurring_filter, size_class_join, billing_frequency, source_summary, keyed_upsert, artist_index_last_wins, stale_names, enrich_resume, top_k_per_group, corpus_sort, month_spine, validate_rows,
         tag_vector_cosine, tag_threshold_pairs, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, similar_persona_lists, fold_name_docs, name_keys, split_credits_bills, tribute_flag, tributes_of_known, edit_distance,
         html_links, html_title, strip_tags, url_host, meta_tags, page_surfaces, ticket_links, title_rules, jsonld_roundtrip, jsonld_repair_roundtrip, deep_key_roundtrip, hydration_roundtrip, wordpress_roundtrip,
-        html_event_reasons, danish_date_roundtrip, csv_roundtrip, json_shapes_roundtrip, typed_list_roundtrip, zip_roundtrip, robots_longest_match, robots_by_host, polite_schedule, sitemap_roundtrip, sitemap_source, month_partitions, discovery_roundtrip,
+        html_event_reasons, danish_date_roundtrip, csv_roundtrip, json_shapes_roundtrip, typed_list_roundtrip, zip_roundtrip, zip_source, robots_longest_match, robots_by_host, polite_schedule, sitemap_roundtrip, sitemap_source, month_partitions, discovery_roundtrip,
         tag_lookup_roundtrip, similar_scores, explain_text, event_labels, served_events, list_size_rule, corpus_build, corpus_meta, windowed_event_counts,
     )
 }

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PLAY = "artist string, track string, ms double, at string, plays double, `from` string"
 PLAYS = f"array<struct<{PLAY.replace(' ', ':').replace(',:', ',')}>>"
@@ -175,39 +174,6 @@ def plays_of(files: DataFrame, text: str = "text", user: str = "user_id") -> tup
     return parsed.select(user, F.explode("p.plays").alias("x")).select(user, "x.*"), parsed.filter("p.problem IS NOT NULL").select(user, "p.problem")
 
 
-class _Archive(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
-
-
-class ZipReader(DataSourceReader):
-    """Entries of zip files on a file system that all executors mount; one partition per archive."""
-
-    def __init__(self, options: dict) -> None:
-        self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Archive(p) for p in self.paths]
-
-    def read(self, part: InputPartition) -> Iterator[tuple]:
-        with open(part.value, "rb") as f:
-            yield from entries(f.read(), part.value)
-
-
-class ZipSource(DataSource):
-    """``spark.read.format("zip_entries").option("paths", "a.zip,b.zip")``"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "zip_entries"
-
-    def schema(self) -> str:
-        return "archive string, entry string, size long, text string"
-
-    def reader(self, schema) -> ZipReader:
-        return ZipReader(self.options)
-
-
 def entries(raw: bytes, archive: str) -> Iterator[tuple]:
     """(archive, entry, size, text) of an archive's listening files; others are never inflated."""
     import re
@@ -245,4 +211,8 @@ def listening_stats(payload: DataFrame, text: str = "text") -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
+    """Make ``zip_entries`` known, with filters on names taken at planning."""
+    from nightjar.sources.archives import ZipSource
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     spark.dataSource.register(ZipSource)
