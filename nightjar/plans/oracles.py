@@ -172,6 +172,18 @@ WITH o AS (SELECT o_custkey AS user_id, o_orderkey AS event_id, o_totalprice / 1
 l AS (SELECT user_id, list({'e': event_id, 'r': r, 'c': CASE WHEN c = 5 THEN 9 ELSE c - 1 END} ORDER BY r DESC, event_id) AS xs FROM o GROUP BY 1),
 h AS (SELECT user_id, list_reduce(xs, lambda a, b: CASE WHEN b.r > a.r OR (b.r >= a.r * 0.9 AND b.c < a.c) THEN b ELSE a END) AS x FROM l)
 SELECT user_id, x.e AS event_id, CASE x.c WHEN 0 THEN 'club' WHEN 1 THEN 'mid' WHEN 2 THEN 'large' WHEN 3 THEN 'arena' END AS size_class FROM h""",
+    "eval_labels": """
+WITH i AS (SELECT o_custkey AS u, p_name || ' ' || p_brand AS act, l_suppkey % 10 AS v, CAST(l_shipdate AS DATE) AS day, l_linenumber AS line, l_returnflag AS flag
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey % 2 = 0 OR l_quantity <= 40
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) <= 15),
+w AS (SELECT u, count(*) AS n, count(DISTINCT act) AS acts, count(*) FILTER (line = 7) AS silent, count(*) FILTER (flag = 'R') AS tributes, count(*) FILTER (day < DATE '1995-03-01') AS past, count(DISTINCT strftime(day, '%Y-%m')) AS months FROM i GROUP BY 1),
+v AS (SELECT u, max(n) AS most FROM (SELECT u, v, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT c_custkey AS u, coalesce(n, 0) AS n, coalesce(acts, 0) AS acts, coalesce(silent, 0) AS silent, coalesce(tributes, 0) AS tributes, coalesce(past, 0) AS past, coalesce(months, 0) AS months, coalesce(most, 0) AS most FROM customer LEFT JOIN w ON c_custkey = w.u LEFT JOIN v ON c_custkey = v.u),
+l AS (SELECT c_custkey AS u, p_partkey - c_custkey AS k, p_name || ' ' || p_brand AS act FROM customer JOIN part ON p_partkey IN (c_custkey, c_custkey + 1)),
+h AS (SELECT l.*, EXISTS (SELECT 1 FROM i WHERE i.u = l.u AND i.act = l.act) AS picked, act IN (SELECT p_name || ' ' || p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45) AS plays FROM l)
+SELECT u AS user_id, unnest(['cap', 'artist-twice', 'venue', 'says-why', 'no-tributes', 'not-past', 'at-least']) AS check, NULL AS name, unnest([n <= 12, acts >= n, most <= 3, silent = 0, tributes = 0, past = 0, n >= 5]) AS passed FROM c
+UNION ALL SELECT u, 'at-most', NULL, n <= 14 FROM c WHERE u % 2 = 0 UNION ALL SELECT u, 'short', NULL, n < 12 FROM c WHERE u % 3 = 0 UNION ALL SELECT u, 'months', NULL, months >= 4 FROM c WHERE n >= 4
+UNION ALL SELECT u, CASE k WHEN 0 THEN 'must-appear' ELSE 'must-not-appear' END, unnest([upper(act), 'Nobody']), unnest([CASE k WHEN 0 THEN picked OR NOT plays ELSE NOT picked END, true]) FROM h""",
     "zip_source": """
 WITH e AS (SELECT l_suppkey, year(l_shipdate) AS y, string_agg(line, chr(10) ORDER BY line) AS text FROM (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS line FROM lineitem) GROUP BY 1, 2)
 SELECT l_suppkey, 'plays/' || y || '.csv' AS entry, strlen(text) AS size, sha256(text) AS sha FROM e WHERE y < 2000""",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from nightjar.functions import dates, html, scalars, text
 from nightjar.operators import corpus, log, match, rules, taste, vectors
-from nightjar.plans import build, recommend as rec
+from nightjar.plans import build, evaluate, recommend as rec
 from nightjar.sources import archives, listening, schedule, sinks, sitemaps, structured
 
 NOW = "2024-02-01 00:00:00"
@@ -283,6 +283,22 @@ def similar_persona_lists(spark, d):
     return rec.similar_lists(corpus.top_k(n, ["user_id"], [F.desc("q"), F.col("event_id")], 12), 0.75).select("a", "b", r6("overlap").alias("overlap"))
 
 
+def eval_labels(spark, d):
+    """Each customer's fifteen dearest line items, or those of at most 40 units, as picks; labels are the parts of the customer's own number and the next."""
+    p, c = t(spark, d, "part").select("p_partkey", "p_name", "p_brand"), t(spark, d, "customer").select("c_custkey")
+    act = lambda key: F.coalesce(F.concat_ws(" ", *key), F.lit(""))
+    items = t(spark, d, "lineitem").join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    items = items.filter((F.col("o_custkey") % 2 == 0) | (F.col("l_quantity") <= 40))
+    items = corpus.top_k(items, ["o_custkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], 15)
+    picks = items.select(F.col("o_custkey").alias("user_id"), F.col("p_name").alias("title"), F.array(act(["p_name", "p_brand"])).alias("artists"), (F.col("l_suppkey") % 10).alias("venue_id"), F.to_date("l_shipdate").alias("start_date"), F.when(F.col("l_linenumber") != 7, F.col("p_brand")).alias("why"), (F.col("l_returnflag") == "R").alias("is_tribute"))
+    names = p.select("p_partkey", act(["p_name", "p_brand"]).alias("name"))
+    own = lambda n, name: names.select((F.col("p_partkey") - n).alias("c_custkey"), F.array(F.upper("name"), F.lit("Nobody"), F.lit(None)).alias(name))
+    labels = c.join(own(0, "must_appear"), "c_custkey", "left").join(own(1, "must_not_appear"), "c_custkey", "left")
+    labels = labels.select(F.col("c_custkey").alias("user_id"), "must_appear", "must_not_appear", F.lit(5).alias("min_picks"), F.when(F.col("c_custkey") % 2 == 0, 14).alias("max_picks"), (F.col("c_custkey") % 3 == 0).alias("should_be_short"))
+    playing = t(spark, d, "lineitem").filter("l_quantity > 45").join(p, F.col("l_partkey") == F.col("p_partkey")).select(act(["p_name", "p_brand"]).alias("artist"))
+    return evaluate.judge(picks, labels, playing, F.to_date(F.lit("1995-03-01")))
+
+
 # --- text ----------------------------------------------------------------------
 
 
@@ -771,7 +787,7 @@ QUERIES = {
     for f in (
         recommend_flagship, recommend_diagnostics, direct_evidence_score, filter_cascade_counts, corpus_filter_counts, reason_samples, listening_decay_agg, listening_incremental, noisy_or_score, taste_weights,
         dedupe_first_wins_coalesce, recurring_filter, size_class_join, billing_frequency, source_summary, keyed_upsert, artist_index_last_wins, stale_names, enrich_resume, top_k_per_group, corpus_sort, month_spine, validate_rows,
-        tag_vector_cosine, tag_threshold_pairs, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, similar_persona_lists, fold_name_docs, name_keys, split_credits_bills, tribute_flag, tributes_of_known, edit_distance,
+        tag_vector_cosine, tag_threshold_pairs, dense_cosine_topk, priority_key_lookup, fuzzy_name_join, similar_one_hop, artist_fold_sequential, persona_overlap, similar_persona_lists, eval_labels, fold_name_docs, name_keys, split_credits_bills, tribute_flag, tributes_of_known, edit_distance,
         html_links, html_title, strip_tags, url_host, meta_tags, page_surfaces, ticket_links, title_rules, jsonld_roundtrip, jsonld_repair_roundtrip, deep_key_roundtrip, hydration_roundtrip, wordpress_roundtrip,
         html_event_reasons, danish_date_roundtrip, csv_roundtrip, json_shapes_roundtrip, typed_list_roundtrip, zip_roundtrip, zip_source, robots_longest_match, robots_by_host, polite_schedule, sitemap_roundtrip, sitemap_source, month_partitions, discovery_roundtrip,
         tag_lookup_roundtrip, similar_scores, explain_text, event_labels, served_events, list_size_rule, corpus_build, corpus_meta, windowed_event_counts,

@@ -21,6 +21,9 @@ DIRECT, SIMILAR, TAG, TAG_GATE = 1.0, 0.62, 0.34, 0.12
 OVERLAP, TAGS, SAME_VENUE, SAME_MONTH = 0.55, 0.25, 0.12, 0.08
 ROOM_ORDER = {"club": 0, "mid": 1, "large": 2, "arena": 3}
 UNKNOWN_ROOM, CLOSE_ENOUGH, BILLED = 9, 0.9, 8
+# fixed values: countries of the regions
+NORDIC = ("DK", "SE", "NO", "FI", "IS")
+REGIONS = {"nordic": NORDIC, "europe": (*NORDIC, "DE", "NL", "BE", "FR", "GB", "PL", "ES", "IT", "AT", "CH", "CZ", "IE", "PT")}
 #: candidates of a user that selection looks at first
 FIRST = 256
 
@@ -42,8 +45,16 @@ class RecommendOptions:
     cities: tuple[str, ...] = ()
     include_tributes: bool = False
     room_preference: str | None = None
+    region: str | None = None
     lang: str = "en"
 
+    @property
+    def wanted_countries(self) -> tuple[str, ...]:
+        """``countries``, else those of the region: a name of REGIONS, "all", or a country of its own."""
+        if self.countries or self.region in (None, "all"):
+            return self.countries
+        return REGIONS.get(self.region, (self.region,))
+
     @property
     def asked(self) -> int:
         return max(self.min_count, min(self.max_count, self.count))
@@ -54,7 +65,7 @@ def filtered_events(events: DataFrame, o: RecommendOptions) -> DataFrame:
     low = F.to_date(F.lit(o.from_date))
     high = F.to_date(F.lit(o.to_date)) if o.to_date else F.date_add(low, o.horizon_days)
     tribute = None if o.include_tributes else F.coalesce("is_tribute", F.lit(False)) | looks_like_tribute(F.col("title"))
-    return rules.cascade(events, rules.engine_rules(low, high, list(o.countries), list(o.cities), tribute))
+    return rules.cascade(events, rules.engine_rules(low, high, list(o.wanted_countries), list(o.cities), tribute))
 
 
 def bills(events: DataFrame) -> DataFrame:
@@ -342,11 +353,3 @@ def calendar(picks: DataFrame, low: Column, high: Column, spark, most: int = 36)
     months = spark.range(1).select(F.explode(F.slice(F.sequence(F.trunc(low, "month"), F.trunc(high, "month"), F.expr("interval 1 month")), 1, most)).alias("month"))
     counts = picks.groupBy(F.trunc("start_date", "month").cast("date").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     return months.join(counts, "month", "left").fillna(0, ["n"])
-
-
-def eval_summary(picks: DataFrame) -> DataFrame:
-    """Per user: picks, most at one venue, distinct months."""
-    per = picks.groupBy("user_id", "venue_name").agg(F.count(F.lit(1)).alias("v"))
-    most = per.groupBy("user_id").agg(F.max("v").alias("most_at_venue"), F.sum("v").alias("picks"))
-    return most.join(picks.groupBy("user_id").agg(F.countDistinct(F.date_format("start_date", "yyyy-MM")).alias("months")), "user_id")
-

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightjar.operators import taste, vectors
-from nightjar.plans import recommend as rec
+from nightjar.plans import evaluate, recommend as rec
 
 EVENT = "event_id string, title string, artists array<string>, start_date date, status string, venue_id string, venue_name string, country string, city string, size_class string, is_tribute boolean, ord string"
 INDEX = "key string, tags array<struct<name:string,count:int>>, similar array<struct<name:string,score:double>>"
@@ -138,6 +138,26 @@ def test_similar_lists_are_all_pairs_above(spark, least):
     assert got == want
 
 
+def test_labels_and_promises(spark):
+    pick = "user_id string, title string, artists array<string>, venue_id string, start_date date, why string, is_tribute boolean"
+    months = [dt.date(2026, m, 1) for m in (1, 2, 3, 3)]
+    rows = [("good", f"t{i}", [f"Act {i}"], f"v{i}", d, "You listen", None) for i, d in enumerate([*months[:3], dt.date(2026, 4, 1)])]
+    rows += [("bad", "x tribute", ["Same"], "v", d, None, False) for d in months] + [("bad", "old", None, None, dt.date(2025, 1, 1), "abc", True)]
+    labels = [("good", ["ACT 1", "Act 1", "Not playing"], ["Same"], 4, 4, True), ("bad", ["Act 1"], ["SAME", None], 6, 4, False), ("none", ["Act 1"], ["Same"], 1, None, True), ("quiet", None, None, None, None, None)]
+    kind = "user_id string, must_appear array<string>, must_not_appear array<string>, min_picks int, max_picks int, should_be_short boolean"
+    playing = spark.createDataFrame([("act 1",), (None,), ("same",)], "artist string")
+    out = evaluate.judge(spark.createDataFrame(rows, pick), spark.createDataFrame(labels, kind), playing, F.to_date(F.lit("2026-01-01"))).collect()
+    assert all(r["passed"] for r in out if r["user_id"] in ("good", "quiet"))
+    assert {(r["check"], r["name"]) for r in out if r["user_id"] == "none" and not r["passed"]} == {("at-least", None), ("must-appear", "Act 1")}
+    assert {(r["check"], r["name"]) for r in out if r["user_id"] == "bad" and not r["passed"]} == {(c, None) for c in ("artist-twice", "venue", "says-why", "no-tributes", "not-past", "at-least", "at-most")} | {("must-appear", "Act 1"), ("must-not-appear", "SAME")}
+
+
+def test_regions_name_countries():
+    of = lambda **k: rec.RecommendOptions(from_date="2026-01-01", **k).wanted_countries
+    assert of() == () and of(region="all") == () and of(region="DE") == ("DE",) and of(region="nordic", countries=("DK",)) == ("DK",)
+    assert len(of(region="nordic")) == 5 and set(of(region="nordic")) < set(of(region="europe"))
+
+
 def test_decay_and_skips(spark):
     rows = [("u", "New", 200000.0, "2026-08-01"), ("u", "Old", 200000.0, "2022-08-01"), ("u", "Skip", 5000.0, "2026-08-01"), ("u", " ", 90000.0, None), ("u", None, 1.0, None)]
     p = spark.createDataFrame(rows, "user_id string, artist string, ms double, at string").withColumns({"at": F.col("at").cast("timestamp"), "plays": F.lit(None).cast("double"), "from": F.lit("csv")})
