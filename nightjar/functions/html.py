@@ -60,7 +60,7 @@ def bare_text(c: Column, chrome: bool = True) -> Column:
 
 def plain_entities(s: Column, numeric: bool = True) -> Column:
     """Second half of ``strip_tags``. It reads ``s`` several times, so make that a column of its own first."""
-    s = F.when(s.contains("&#"), _numeric_entities(s)).otherwise(s) if numeric else s
+    s = F.coalesce(_numeric_entities(F.when(s.contains("&#"), s)), s) if numeric else s  # Python gets only texts that need it
     s = F.regexp_replace(s, r"(?i)&(?:quot|apos|#39);", "'")
     return squeeze(F.regexp_replace(s, r"(?i)&[a-z]+;", " "))
 

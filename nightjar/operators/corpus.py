@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 BROADCAST_BYTES = 32 << 20
+_MADE: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("made", default=None)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -28,12 +32,32 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def cut(df: DataFrame, *by: str) -> DataFrame:
+@contextmanager
+def cuts() -> Iterator[None]:
+    """Removes the tables that ``cut`` writes within the block when it ends, also by an error.
+
+    What is read after the block must not read them: write it with ``keep`` within the block.
+    """
+    made: list[tuple[SparkSession, str]] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for spark, path in made:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df: DataFrame, *by: str, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet to the folder that driver and executors share, and read back.
 
     In folders by the columns ``by``, so that a filter on them reads its own files only.  Cuts the plan's lineage, and readers take only the columns they need.
+    Within ``cuts`` the table goes when that ends, unless ``keep``.
     """
-    path = f"{scratch_root(df.sparkSession)}/nightjar-cut-{uuid.uuid4().hex}"
+    path, made = f"{scratch_root(df.sparkSession)}/nightjar-cut-{uuid.uuid4().hex}", _MADE.get()
+    if made is not None and not keep:
+        made.append((df.sparkSession, path))
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 

@@ -240,16 +240,17 @@ def select(candidates: DataFrame, sizes: DataFrame, index: DataFrame, o: Recomme
         F.coalesce(F.transform("vec", lambda v: v["tag"]), F.array().cast("array<string>")).alias("tags"), F.coalesce(F.transform("vec", lambda v: v["w"]), F.array().cast("array<double>")).alias("ws"),
     )
 
-    left, most, picks = cut(rows), first, []
     schema = f"user_id {candidates.schema['user_id'].dataType.simpleString()}, event_id {candidates.schema['event_id'].dataType.simpleString()}, pick_order int"
-    while True:
-        top = corpus.top_k(left, ["user_id"], [F.desc("rank"), F.col("ord"), F.col("event_id")], most + 1, "place")
-        out = cut(top.groupBy("user_id").applyInPandas(_picker(most, o), schema))
-        picks.append(out.filter("pick_order >= 0"))
-        unproven = out.filter("pick_order < 0").select("user_id")
-        if unproven.isEmpty():
-            return reduce(DataFrame.unionByName, picks)
-        left, most = left.join(unproven, "user_id", "left_semi"), 8 * most
+    with corpus.cuts():
+        left, most, picks = cut(rows), first, []
+        while True:
+            top = corpus.top_k(left, ["user_id"], [F.desc("rank"), F.col("ord"), F.col("event_id")], most + 1, "place")
+            out = cut(top.groupBy("user_id").applyInPandas(_picker(most, o), schema), keep=True)
+            picks.append(out.filter("pick_order >= 0"))
+            unproven = out.filter("pick_order < 0").select("user_id")
+            if unproven.isEmpty():
+                return reduce(DataFrame.unionByName, picks)
+            left, most = left.join(unproven, "user_id", "left_semi"), 8 * most
 
 
 def _picker(most: int, o: RecommendOptions) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -287,7 +288,8 @@ def recommend(taste: DataFrame, events: DataFrame, index: DataFrame, o: Recommen
     considered = ruled.filter(F.col("reason").isNull())
     dates = cut(bills(considered))
     shown = dates.groupBy(F.col("bill").alias("event_id")).agg(F.any_value("artists").alias("artists"), F.any_value("title").alias("title"))
-    scored = cut(score(evidence(shown, taste, index), o))
+    with corpus.cuts():  # the tiers' own tables
+        scored = cut(score(evidence(shown, taste, index), o), keep=True)
     sizes = list_sizes(scored, o)
     rows = cut(dated(scored, dates, o))
     chosen = select(one_date_per_artist(rows), sizes, index, o)
