@@ -664,6 +664,7 @@ def _build_tables(spark, d):
     posts have it in a field, in the excerpt, on the page they link to, or nowhere.
     """
     li, p, s, n = (t(spark, d, x) for x in ("lineitem", "part", "supplier", "nation"))
+    li = li.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")  # a line becomes a page: narrow rows are dealt before they grow
     adapter = F.element_at(F.array(*map(F.lit, ("html-event", "jsonld-page", "next-data", "wp-rest"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
     registry = s.join(corpus.small(n), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").cast("string").alias("source_id"), F.col("s_suppkey").alias("place"), F.col("s_name").alias("name"), F.col("n_name").alias("city"), F.lit(None).cast("string").alias("country"),
