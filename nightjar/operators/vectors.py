@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from nightjar.operators.corpus import cut
+
 
 def unit(rows: DataFrame, entity: list[str], weight: str = "w") -> DataFrame:
     """Rows scaled to unit length per entity; an all-zero entity keeps its rows."""
@@ -54,16 +61,68 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_ids: list[str], righ
     return x.drop("salts").join(y.drop("salts"), ["tag", "salt"]).select(*left_ids, *right_ids).distinct()
 
 
-def pairs_above(left: DataFrame, right: DataFrame, left_ids: list[str], right_ids: list[str], gate: float) -> DataFrame:
+#: rows of one side that a block holds, and products that a task makes at once
+BLOCK_ROWS, AT_ONCE = 500_000, 4_000_000
+
+
+def _blocks(rows: DataFrame, ids: list[str], block: str, block_rows: int) -> DataFrame:
+    """``rows`` with the number of their block: about ``block_rows`` rows of neighbouring vectors, none of which is split."""
+    n = max(1, -(-rows.count() // block_rows))
+    return cut(rows.repartitionByRange(n, *ids).withColumn(block, F.spark_partition_id()))
+
+
+def _product(left_ids: list[str], right_ids: list[str], gate: float, at_once: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The pairs of two blocks of vectors whose product is above ``gate``, by numpy."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        l, r = left.to_pandas(), right.to_pandas()
+        tags = pd.factorize(pd.concat([l["tag"], r["tag"]], ignore_index=True))[0]
+        a, b = (f.groupby(ids, sort=False).ngroup().to_numpy() for f, ids in ((l, left_ids), (r, right_ids)))
+        by_vector, by_tag = np.argsort(a, kind="stable"), np.argsort(tags[len(l) :], kind="stable")
+        a, lt, lw = a[by_vector], tags[: len(l)][by_vector], l["w"].to_numpy()[by_vector]
+        b, rt, rw = b[by_tag], tags[len(l) :][by_tag], r["w"].to_numpy()[by_tag]
+        low = np.searchsorted(rt, lt)
+        fan = np.searchsorted(rt, lt, "right") - low
+        begins = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a))  # of the left vectors
+        made = np.append(0, np.cumsum(fan))[begins]
+        width, i, hits = int(b.max(initial=-1)) + 1, 0, []
+        while i < len(begins) - 1:  # some whole vectors at a time; one has no more products than the right side has rows
+            j = max(i + 1, int(np.searchsorted(made, made[i] + at_once, "right")) - 1)
+            rows = np.arange(begins[i], begins[j])
+            one = np.repeat(rows, fan[rows])
+            other = low[one] + np.arange(len(one)) - np.repeat(np.cumsum(fan[rows]) - fan[rows], fan[rows])
+            pair, part = (a[one] - i) * width + b[other], lw[one] * rw[other]
+            if (j - i) * width <= 4 * len(pair):
+                total = np.bincount(pair, part, (j - i) * width)
+                pair = np.arange(len(total))
+            else:
+                pair, which = np.unique(pair, return_inverse=True)
+                total = np.bincount(which, part, len(pair))
+            keep = total > gate
+            hits.append((pair[keep] // width + i, pair[keep] % width, total[keep]))
+            i = j
+        x, y, cosine = (np.concatenate([h[k] for h in hits]) if hits else np.zeros(0, int) for k in range(3))
+        first_left, first_right = by_vector[begins[:-1]], by_tag[np.unique(b, return_index=True)[1]]
+        columns = [left[c].take(pa.array(first_left[x])) for c in left_ids] + [right[c].take(pa.array(first_right[y])) for c in right_ids]
+        return pa.table([*columns, pa.array(cosine, pa.float64())], [*left_ids, *right_ids, "cosine"])
+
+    return run
+
+
+def pairs_above(left: DataFrame, right: DataFrame, left_ids: list[str], right_ids: list[str], gate: float, block_rows: int = BLOCK_ROWS, at_once: int = AT_ONCE) -> DataFrame:
     """(left_ids, right_ids, cosine): all pairs of unit vectors (ids, tag, w) whose product is above ``gate``, which is 0 or more.
 
-    Only candidates of the prefix index are multiplied out.  Zero weights count as absent; negative ones aren't allowed; a vector
-    names a tag once.  Null ids and tags match nothing.
+    Neighbouring vectors of a side form blocks.  A row goes to the blocks of the other side that have its tag, so at most to as many as there
+    are rows to meet; two blocks meet in one group, which sums products where they arise: only pairs that pass leave it.
+    Zero weights count as absent; negative ones aren't allowed; a vector names a tag once.  Null ids and tags match nothing.
     """
-    x, y = (v.filter("w > 0 AND tag IS NOT NULL") for v in (left, right))
-    found = candidate_pairs(x, y, left_ids, right_ids, gate)
-    both = found.join(x.select(*left_ids, "tag", F.col("w").alias("wl")), left_ids).join(y.select(*right_ids, "tag", F.col("w").alias("wr")), [*right_ids, "tag"])
-    return both.groupBy(*left_ids, *right_ids).agg(F.sum(F.col("wl") * F.col("wr")).alias("cosine")).filter(F.col("cosine") > gate)
+    x, y = (v.select(*ids, "tag", "w").filter("w > 0").dropna(subset=[*ids, "tag"]) for v, ids in ((left, left_ids), (right, right_ids)))
+    x, y = _blocks(x, left_ids, "bx", block_rows), _blocks(y, right_ids, "by", block_rows)
+    of_x, of_y = x.select("tag", "bx").distinct(), y.select("tag", "by").distinct()
+    cells = [v.select(*ids, "tag", "w", F.col("bx").alias(f"{k}x"), F.col("by").alias(f"{k}y")).groupBy(f"{k}x", f"{k}y") for v, ids, k in ((x.join(of_y, "tag"), left_ids, "l"), (y.join(of_x, "tag"), right_ids, "r"))]
+    kind = lambda v, c: f"`{c}` {v.schema[c].dataType.simpleString()}"
+    schema = ", ".join([*(kind(x, c) for c in left_ids), *(kind(y, c) for c in right_ids), "cosine double"])
+    return cells[0].cogroup(cells[1]).applyInArrow(_product(left_ids, right_ids, gate, at_once), schema)
 
 
 def dense_cosine(a: Column, b: Column) -> Column:

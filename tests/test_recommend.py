@@ -194,3 +194,14 @@ def test_pairs_above(spark, seed, gate, salt_rows, monkeypatch):
     positive = [v.filter("w > 0 AND tag IS NOT NULL") for v in (left, right)]
     tried = {tuple(r) for r in vectors.candidate_pairs(*positive, ["a"], ["b"], gate, salt_rows).collect()}
     assert want.keys() <= tried <= shared and (gate < 0.3 or len(tried) < 0.8 * len(shared))
+
+
+def test_pairs_above_meets_by_blocks(spark):
+    """Blocks and parts of any size give the same pairs, and no pair of blocks without a passing pair leaves a row behind."""
+    rng = np.random.default_rng(5)
+    rows = lambda n: [(i, int(t), float(w)) for i in range(n) for t, w in zip(rng.choice(40, 9, replace=False), rng.random(9), strict=True)]
+    left, right = (vectors.unit(spark.createDataFrame(rows(n), f"{c} long, tag long, w double"), [c]) for n, c in ((60, "a"), (45, "b")))
+    found = lambda **k: {(r["a"], r["b"]): round(r["cosine"], 9) for r in vectors.pairs_above(left, right, ["a"], ["b"], 0.35, **k).collect()}
+    plain = left.alias("x").join(right.alias("y"), F.col("x.tag") == F.col("y.tag")).groupBy("a", "b").agg(F.sum(F.col("x.w") * F.col("y.w")).alias("c")).filter("c > 0.35")
+    want = {(r["a"], r["b"]): round(r["c"], 9) for r in plain.collect()}
+    assert want and found() == want == found(block_rows=70, at_once=1) == found(block_rows=200, at_once=50)
