@@ -32,6 +32,11 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once a row: a generator stands between them and later filters, which would copy them into each of their terms."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 @contextmanager
 def cuts() -> Iterator[None]:
     """Removes the tables that ``cut`` writes within the block when it ends, also by an error.
