@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nightjar.functions.scalars import discovery_quota, effective_count, noisy_or, rank_score, tag_weight, usable_tag
 from nightjar.functions.text import fold_name, looks_like_tribute
@@ -333,12 +333,14 @@ def similar_lists(picks: DataFrame, least: float, user: str = "user_id", item: s
     Items stand in one order, rarest first.  A list of n needs c = ceil(least * n) items in common with a longer one, so one of them
     is among the first n - c + 1 of both orders' heads: the shorter list offers that head, the longer one a head for each power of two that
     a shorter list may begin at.  They meet by size class and item, so items that all lists share, last in the order,
-    rarely bring a pair together; pairs are then counted on whole lists.  Repeated and null items count once and never.
+    rarely bring a pair together; pairs are then counted on whole lists.  Users with one and the same list are a class that is compared once,
+    under its least user.  Repeated and null items count once and never.
     """
     lists = cut(picks.select(F.col(user).alias("u"), F.col(item).alias("i")).filter("u IS NOT NULL AND i IS NOT NULL").distinct())
     often = lists.groupBy("i").agg(F.count(F.lit(1)).alias("often"))
-    ordered = lists.join(often, "i").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("often", "i"))).alias("s"))  # one list each
-    ordered = cut(ordered.select("u", F.transform("s", lambda x: x["i"]).alias("s"), F.size("s").alias("n"), F.floor(F.log2(F.size("s"))).cast("int").alias("c")))
+    whole = lists.join(often, "i").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("often", "i"))).alias("s"))  # one list each
+    members = cut(whole.select(F.col("u").alias("user"), F.transform("s", lambda x: x["i"]).alias("s")).withColumn("u", F.min("user").over(W.partitionBy("s"))))
+    ordered = cut(members.filter("user = u").select("u", "s", F.size("s").alias("n"), F.floor(F.log2(F.size("s"))).cast("int").alias("c")))
     needed = lambda n: F.ceil(F.lit(least) * n - 1e-9).cast("int")
     short = ordered.select("u", "n", "c", F.explode(F.slice("s", 1, F.col("n") - needed(F.col("n")) + 1)).alias("i"))
     each = ordered.select("u", "n", "s", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("c"))
@@ -347,7 +349,11 @@ def similar_lists(picks: DataFrame, least: float, user: str = "user_id", item: s
     met = x.join(y, ["c", "i"]).filter("nx < ny OR (nx = ny AND x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     sets = [ordered.select(F.col("u").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab"]
     counted = met.join(sets[0], "a").join(sets[1], "b").select("a", "b", (F.size(F.array_intersect("sa", "sb")) / F.least("na", "nb")).alias("overlap"))
-    return counted.filter(F.col("overlap") >= least - 1e-9)
+    near = cut(counted.filter(F.col("overlap") >= least - 1e-9))  # of classes; their members are paired from here on
+    of = lambda c: members.select(F.col("u").alias(f"u{c}"), F.col("user").alias(c))
+    across = near.select(F.col("a").alias("ux"), F.col("b").alias("uy"), "overlap").join(of("x"), "ux").join(of("y"), "uy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap")
+    within = of("x").join(of("y"), F.col("ux") == F.col("uy")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("overlap"))
+    return across.unionByName(within)
 
 
 def calendar(picks: DataFrame, low: Column, high: Column, spark, most: int = 36) -> DataFrame:
