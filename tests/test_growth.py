@@ -1,8 +1,13 @@
 """Steps whose cost must not grow beyond their input: what is computed once, and where rows meet."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from nightjar.plans import queries
+from nightjar.functions import text
+from nightjar.operators import rules
+from nightjar.plans import queries, recommend as rec
 
 D = "/root/testdata/sf0.001"
 
@@ -14,12 +19,50 @@ def plan(df):
 @pytest.mark.parametrize("name", ["hydration_roundtrip", "jsonld_repair_roundtrip", "jsonld_roundtrip"])
 def test_pages_of_a_small_file_are_made_on_all_cores(spark, name):
     """Narrow rows are dealt before pages are made of them, and no filter brings the making back before that."""
-    text = plan(queries.QUERIES[name](spark, D))
-    assert "RepartitionByExpression" in text
-    before = text[text.index("RepartitionByExpression") :]
+    told = plan(queries.QUERIES[name](spark, D))
+    assert "RepartitionByExpression" in told
+    before = told[told.index("RepartitionByExpression") :]
     assert "script" not in before and "to_json" not in before
 
 
 def test_payload_members_are_parsed_once(spark):
-    text = plan(queries.QUERIES["hydration_roundtrip"](spark, D))
-    assert text.count("get_json_object(node") + text.count("from_json(") < 60
+    told = plan(queries.QUERIES["hydration_roundtrip"](spark, D))
+    assert told.count("get_json_object(node") + told.count("from_json(") < 60
+
+
+def test_folding_is_the_plain_rule(spark):
+    """Letters that are left out before the lower case fold as by the plain rule; lower() sees ASCII only, which is fast."""
+    texts = ["a  b", " x&y+z ", "`q\u00b4 r", "Åse Ærø ßtraße", "e\u0301\u0308", "ǻǽ ệ Ǿ", "tab\t\n. . end..", "naïve — Ünï 漢", "İI \u212a \u212bx", "", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(text.fold_name(F.col("t"))).collect()]
+
+    def rule(x):
+        x = "".join(text._PLAIN[text._ACCENTED.index(c)] if c in text._ACCENTED else c for c in x or "")
+        x = "".join(c for c in x if not 0x300 <= ord(c) <= 0x36F)
+        for a, b in zip("øØæÆß`\u00b4", ("o", "o", "ae", "ae", "ss", "'", "'"), strict=True):
+            x = x.replace(a, b)
+        x = x.lower().replace("&", " and ").replace("+", " and ")
+        return re.sub(" +", " ", re.sub("[^a-z0-9' ]+", " ", x)).strip(" ")
+
+    assert got == [rule(x) for x in texts]
+    told = plan(spark.range(1).select(text.fold_name(F.col("id").cast("string"))))
+    assert "ELSE regexp_replace" in told and "[^\\x00-\\x7f]+" in told
+
+
+def test_robots_lines_in_blocks(spark):
+    """Groups are the same whatever the blocks, and equal rules of a host are one."""
+    file = "User-agent: a\nUser-agent: *\nDisallow: /x\nUser-agent: nightjar\n\nUser-agent: b\nDisallow: /y\nAllow: /y\nUser-agent: *\nDisallow: /z"
+    lines = spark.createDataFrame([(h, i, raw) for h in "pq" for i, raw in enumerate(file.split("\n")) if h == "p" or i < 4], "host string, line int, raw string")
+    found = lambda n: sorted(tuple(r) for r in rules.robots_rules(lines, block_lines=n).collect())
+    want = found(1000)
+    assert [r[0] + r[3] for r in want] == ["p/y", "p/y"] and found(1) == want == found(2) == found(3)
+    paths = spark.createDataFrame([(1, "p", "/y1"), (2, "p", "/z")], "k int, host string, path string")
+    many = spark.createDataFrame([("p", i, i % 2 == 1, "/y*1") for i in range(50)], "host string, line int, allow boolean, path string")
+    assert {r["k"]: r["allowed"] for r in rules.robots_allowed(paths, many, "k").collect()} == {1: False, 2: True}
+
+
+def test_equal_lists_are_compared_once(spark):
+    """Users with one list are a class: their number doesn't grow what is compared."""
+    rows = [(u, i) for u in range(60) for i in ("abcd" if u % 3 else "abce")]
+    out = rec.similar_lists(spark.createDataFrame(rows, "user_id int, event_id string"), 0.75)
+    got = {(r["a"], r["b"]): r["overlap"] for r in out.collect()}
+    assert len(got) == 60 * 59 // 2 and all(got[a, b] == (1.0 if (a % 3 == 0) == (b % 3 == 0) else 0.75) for a, b in got)
