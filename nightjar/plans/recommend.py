@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -68,19 +68,38 @@ def filtered_events(events: DataFrame, o: RecommendOptions) -> DataFrame:
     return rules.cascade(events, rules.engine_rules(low, high, list(o.wanted_countries), list(o.cities), tribute))
 
 
-def bills(events: DataFrame) -> DataFrame:
-    """(bill, artists, title, size_class, n, ord, event_id, venue_id, venue_name, start_date): events by who plays and in what room.
+def grouped_events(events: DataFrame, o: RecommendOptions) -> DataFrame:
+    """(reason, artists, alone, size_class, n, first): events by why they are left out (null for those that pass) and, of these, by who plays and in what room.
+
+    One pass that nothing but groups leaves, with the least event of each by ``ord``.  The tribute rule, the last of the cascade,
+    reads the title only, so it is judged once a title and not once an event.  Events are sorted by their keys here: a hash before
+    them tells most groups apart, and the array stays out where it says what the title says.
+    """
+    ruled = filtered_events(events, replace(o, include_tributes=True))
+    passes = F.col("reason").isNull()
+    artists, titled = F.coalesce("artists", F.array().cast("array<string>")), F.array("title")
+    who = {"artists": F.when(artists != titled, artists), "title": F.col("title"), "is_tribute": F.col("is_tribute"), "size_class": F.col("size_class")}
+    rows = ruled.select("reason", *(F.when(passes, c).alias(name) for name, c in who.items()), *(F.when(passes, F.col(c)).alias(c) for c in ("ord", "event_id", "venue_id", "venue_name", "start_date")))
+    first = F.min(F.struct("ord", "event_id", "venue_id", "venue_name", "start_date")).alias("first")
+    titles = rows.groupBy(F.xxhash64("reason", *who).alias("hash"), "reason", *who).agg(first, F.count(F.lit(1)).alias("n"))
+    if not o.include_tributes:
+        tribute = F.coalesce("is_tribute", F.lit(False)) | looks_like_tribute(F.col("title"))
+        titles = titles.withColumn("reason", F.when(passes & tribute, "tribute").otherwise(F.col("reason")))
+    alone = F.when(F.size("artists") == 0, F.col("title"))  # a title stands for the act it doesn't name
+    titles = titles.withColumn("artists", F.coalesce("artists", titled))
+    first = F.min(F.struct("first.ord", "first.event_id", "title", "first.venue_id", "first.venue_name", "first.start_date")).alias("first")
+    return titles.groupBy("reason", *(F.when(passes, c).alias(name) for name, c in (("artists", F.col("artists")), ("alone", alone), ("size_class", F.col("size_class"))))).agg(first, F.sum("n").alias("n"))
+
+
+def bills(grouped: DataFrame) -> DataFrame:
+    """(bill, artists, size_class, n, ord, event_id, title, venue_id, venue_name, start_date): events that pass, by who plays and in what room.
 
     Events with one bill get the same evidence, so it is gathered once for all of a bill's
     dates.  Rank depends on the bill and the room's size only; of equal ranks the corpus order
     decides, and a room of the same size never replaces an earlier one.  So the first
     event of each bill and room size stands for the ``n`` that there are.
     """
-    artists = F.coalesce("artists", F.array().cast("array<string>"))
-    alone = F.when(F.size(artists) == 0, F.col("title"))  # a title stands for the act it doesn't name
-    first = F.min(F.struct("ord", "event_id", "title", "venue_id", "venue_name", "start_date")).alias("first")
-    rooms = events.groupBy(artists.alias("artists"), alone.alias("alone"), "size_class").agg(first, F.count(F.lit(1)).alias("n"))
-    return rooms.select(F.sha2(F.to_json(F.struct("artists", "alone")), 256).alias("bill"), "artists", "size_class", "n", "first.*")
+    return grouped.filter(F.col("reason").isNull()).select(F.sha2(F.to_json(F.struct("artists", "alone")), 256).alias("bill"), "artists", "size_class", "n", "first.*")
 
 
 def evidence(events: DataFrame, taste: DataFrame, index: DataFrame) -> DataFrame:
@@ -284,9 +303,8 @@ def recommend(taste: DataFrame, events: DataFrame, index: DataFrame, o: Recommen
     """
     # read by several branches below: written once to the shared folder, which also keeps the plans short
     taste, index = cut(taste), cut(index)
-    ruled = cut(filtered_events(events, o))
-    considered = ruled.filter(F.col("reason").isNull())
-    dates = cut(bills(considered))
+    grouped = cut(grouped_events(events, o))
+    dates = cut(bills(grouped))
     shown = dates.groupBy(F.col("bill").alias("event_id")).agg(F.any_value("artists").alias("artists"), F.any_value("title").alias("title"))
     with corpus.cuts():  # the tiers' own tables
         scored = cut(score(evidence(shown, taste, index), o), keep=True)
@@ -297,15 +315,16 @@ def recommend(taste: DataFrame, events: DataFrame, index: DataFrame, o: Recommen
         "user_id", "event_id", "title", "start_date", "venue_name", "score", "rank", F.col("best.kind").alias("kind"), F.col("best.via").alias("via"), "pick_order",
         explain(F.col("best"), o.lang).alias("why"), explain(F.col("best"), "da").alias("why_da"), (F.col("best.kind") != "direct").alias("discovery"),
     )
-    return picks, diagnostics(taste, ruled, scored, rows, sizes, picks, o)
+    return picks, diagnostics(taste, grouped, scored, rows, sizes, picks, o)
 
 
-def diagnostics(taste: DataFrame, ruled: DataFrame, scored: DataFrame, rows: DataFrame, sizes: DataFrame, picks: DataFrame, o: RecommendOptions) -> DataFrame:
+def diagnostics(taste: DataFrame, grouped: DataFrame, scored: DataFrame, rows: DataFrame, sizes: DataFrame, picks: DataFrame, o: RecommendOptions) -> DataFrame:
     per_user = taste.groupBy("user_id").agg(F.countDistinct("name").alias("taste_size"))
     matched = scored.select("user_id", F.explode("evidence").alias("e")).filter("e.via IS NOT NULL").groupBy("user_id").agg(F.countDistinct("e.via").alias("taste_artists_matched"))
     best = rows.groupBy("user_id").agg(F.sum("n").alias("events_scored"), F.min_by("score", F.struct((-F.col("rank")).alias("less"), "ord")).alias("top_score"))
     got = picks.groupBy("user_id").agg(F.count(F.lit(1)).alias("returned"), F.count_if("discovery").alias("discovery_picks"))
-    reasons = ruled.agg(F.count(F.lit(1)).alias("corpus_size"), F.count_if(F.col("reason").isNull()).alias("events_considered"), *(F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(f"filtered_{r}") for r in ("past", "beyond_window", "cancelled", "country", "city", "tribute")))
+    number = lambda which, name: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0).cast("long")).alias(name)
+    reasons = grouped.agg(number(F.lit(True), "corpus_size"), number(F.col("reason").isNull(), "events_considered"), *(number(F.col("reason") == r, f"filtered_{r}") for r in ("past", "beyond_window", "cancelled", "country", "city", "tribute")))
     out = per_user.join(matched, "user_id", "left").join(best, "user_id", "left").join(got, "user_id", "left").join(sizes, "user_id", "left").crossJoin(F.broadcast(reasons))  # one row
     out = out.fillna(0, ["taste_artists_matched", "events_scored", "returned", "discovery_picks", "matched"]).withColumn("k", F.coalesce("k", F.lit(o.min_count)))
     capped = F.col("k") < o.asked

@@ -1,5 +1,6 @@
 """Steps whose cost must not grow beyond their input: what is computed once, and where rows meet."""
 
+import datetime as dt
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from nightjar.functions import text
 from nightjar.operators import rules
 from nightjar.plans import queries, recommend as rec
+from tests.test_recommend import EVENT, event, run
 
 D = "/root/testdata/sf0.001"
 
@@ -66,3 +68,38 @@ def test_equal_lists_are_compared_once(spark):
     out = rec.similar_lists(spark.createDataFrame(rows, "user_id int, event_id string"), 0.75)
     got = {(r["a"], r["b"]): r["overlap"] for r in out.collect()}
     assert len(got) == 60 * 59 // 2 and all(got[a, b] == (1.0 if (a % 3 == 0) == (b % 3 == 0) else 0.75) for a, b in got)
+
+
+def test_no_table_of_all_events_is_written(spark, monkeypatch):
+    """Events leave their one pass as groups: dates of a bill in rooms of one size, and a row for each reason."""
+    sizes, real = [], rec.cut
+
+    def counted(df, *by, **k):
+        out = real(df, *by, **k)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(rec, "cut", counted)
+    events = [event(i, "Iceage", dt.date(2026, 9, 1) + dt.timedelta(days=i % 50)) for i in range(300)] + [event(i, "Iceage", dt.date(2025, 9, 1)) for i in range(300, 400)]
+    picks, (d,) = run(spark, ["Iceage"], events)
+    assert [p["event_id"] for p in picks] == ["e0"] and (d["corpus_size"], d["events_considered"], d["filtered_past"], d["events_scored"]) == (400, 300, 100, 300)
+    assert max(sizes) < 10
+
+
+@pytest.mark.parametrize("tributes", [False, True])
+def test_groups_are_those_of_each_event(spark, tributes):
+    """Groups of titles give what judging each event gives, also without artists, title or room, and where titles of one bill are judged apart."""
+    day, rows = dt.date(2026, 9, 1), []
+    acts = [(["A"], "A"), (["A"], "A Tribute"), (["A"], "B"), (None, "A"), ([], "A"), ([], None), (None, None), ([None], None), (["A", "B"], "A"), (["A"], None), ([], "A Tribute")]
+    for i in range(220):
+        artists, title = acts[i % len(acts)]
+        when = None if i % 13 == 0 else day if i % 7 else dt.date(2025, 1, 1)
+        rows.append((f"e{i}", title, artists, when, "cancelled" if i % 17 == 0 else None, f"v{i}", "V", "DK", "X", ("club", None)[i % 2], (None, False, True)[i % 3], f"{i * 37 % 220:04d}"))
+    want = {}
+    for r in rows:
+        reason = "past" if r[3] is None or r[3] < day else "cancelled" if r[4] else "tribute" if not tributes and (r[10] or "Tribute" in (r[1] or "")) else None
+        key = (reason, *((None,) * 3 if reason else (tuple(r[2] or ()), None if r[2] else r[1], r[9])))
+        want.setdefault(key, []).append((r[11], r[0], r[1]))
+    out = rec.grouped_events(spark.createDataFrame(rows, EVENT), rec.RecommendOptions(from_date="2026-09-01", include_tributes=tributes)).collect()
+    got = {(g["reason"], None if g["artists"] is None else tuple(g["artists"]), g["alone"], g["size_class"]): (g["n"], None if g["reason"] else (g["first"]["ord"], g["first"]["event_id"], g["first"]["title"])) for g in out}
+    assert len(out) == len(want) > 10 and got == {k: (len(v), None if k[0] else min(v)) for k, v in want.items()}
