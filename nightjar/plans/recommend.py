@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from nightjar.functions.scalars import discovery_quota, effective_count, noisy_or, rank_score, tag_weight, usable_tag
 from nightjar.functions.text import fold_name, looks_like_tribute
@@ -346,6 +349,63 @@ def pair_overlap(picks: DataFrame, user: str = "user_id", item: str = "event_id"
     return common.join(n.select(F.col(user).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(user).alias("b"), F.col("n").alias("nb")), "b").select("a", "b", (F.col("c") / F.least("na", "nb")).alias("overlap"))
 
 
+#: lists of a block, pairs that a task judges at once, rows that leave it at once
+LIST_BLOCK, JUDGED, LEAVE = 8192, 1 << 17, 1 << 17
+#: 64-bit words that lists' items may fill to be compared as bits, and how many such comparisons cost as much as bringing a pair together by a join
+MOST_WORDS, BITS_A_PAIR = 16, 300
+
+
+def _alike(least: float, kind: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs (x, y, overlap) of two blocks of lists, by the bits of their items; of a block with itself each pair once."""
+
+    def side(lists: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        n, bits = lists.field("n").to_numpy(zero_copy_only=False), lists.field("bits").flatten().to_numpy().view(np.uint64)
+        return lists.field("u"), n, np.ceil((least - 1e-9) * n).astype(np.uint16), bits.reshape(len(n), -1)
+
+    def hits(nx, lx, bx, ny, ly, by, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        at_once, even = max(1, JUDGED // max(1, len(ny))), len(np.unique(np.append(lx, ly))) == 1
+        for i in range(0, len(nx), at_once):
+            some = slice(i, i + at_once)
+            common = np.bitwise_count(bx[some, 0, None] & by[None, :, 0])
+            for w in range(1, bx.shape[1]):
+                common = common + np.bitwise_count(bx[some, w, None] & by[None, :, w]).astype(np.uint16)
+            near = common >= (lx[0].astype(common.dtype) if even else np.minimum(lx[some, None], ly))
+            if same:
+                near &= np.arange(len(ny)) > np.arange(len(nx))[some, None]
+            x, y = np.divmod(np.flatnonzero(near), len(ny))
+            yield x + i, y, common[x, y] / np.minimum(nx[x + i], ny[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ux, *x), (uy, *y) = side(batch.column("lx")[k].values), side(batch.column("ly")[k].values)
+                held, size = [], 0
+                for found in itertools.chain(hits(*x, *y, batch.column("bx")[k] == batch.column("by")[k]), [None]):
+                    if found is not None:
+                        held, size = [*held, found], size + len(found[0])
+                    if size >= LEAVE or found is None and size:
+                        i, j, overlap = (np.concatenate(c) for c in zip(*held, strict=True))
+                        yield pa.RecordBatch.from_arrays([ux.take(pa.array(i)), uy.take(pa.array(j)), pa.array(overlap)], schema=kind)
+                        held, size = [], 0
+
+    return run
+
+
+def _lists_by_bits(lists: DataFrame, items: DataFrame, words: int, n: int, least: float) -> DataFrame:
+    """All pairs (a, b, overlap) of the ``n`` lists (u, i): each list is a row of bits, blocks of lists are rows that meet each other once."""
+    blocks = -(-n // LIST_BLOCK)
+    coded = lists.join(corpus.small(items.withColumn("code", F.row_number().over(W.orderBy("i")) - 1)), "i")  # items fill a few words
+    bit = F.expr("shiftleft(1L, cast(code % 64 AS int))")
+    word = lambda w: F.coalesce(F.bit_or(F.when(F.floor(F.col("code") / 64) == w, bit)), F.lit(0).cast("long"))
+    rows = coded.groupBy("u").agg(F.count(F.lit(1)).cast("int").alias("n"), F.array(*(word(w) for w in range(words))).alias("bits"))
+    block = F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int")
+    held = cut(rows.groupBy(block.alias("b")).agg(F.collect_list(F.struct("u", "n", "bits")).alias("l")))
+    x = held.select(F.col("b").alias("bx"), F.col("l").alias("lx"), F.explode(F.sequence("b", F.lit(blocks - 1))).alias("by"))
+    met = x.join(held.select(F.col("b").alias("by"), F.col("l").alias("ly")), "by").select("bx", "by", "lx", "ly").repartitionByRange(blocks * (blocks + 1) // 2, "bx", "by")
+    kind = T.StructType([T.StructField("x", lists.schema["u"].dataType), T.StructField("y", lists.schema["u"].dataType), T.StructField("overlap", T.DoubleType())])
+    return met.mapInArrow(_alike(least, to_arrow_schema(kind)), kind).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap")
+
+
 def similar_lists(picks: DataFrame, least: float, user: str = "user_id", item: str = "event_id") -> DataFrame:
     """(a, b, overlap): all pairs of users with an ``overlap`` (see ``pair_overlap``) of ``least`` or more; 0 < ``least`` <= 1.
 
@@ -353,7 +413,8 @@ def similar_lists(picks: DataFrame, least: float, user: str = "user_id", item: s
     is among the first n - c + 1 of both orders' heads: the shorter list offers that head, the longer one a head for each power of two that
     a shorter list may begin at.  They meet by size class and item, so items that all lists share, last in the order,
     rarely bring a pair together; pairs are then counted on whole lists.  Users with one and the same list are a class that is compared once,
-    under its least user.  Repeated and null items count once and never.
+    under its least user.  Where items are so few that most heads meet, all lists are compared as bits instead, block by block; the
+    pairs that would meet are counted to tell.  Repeated and null items count once and never.
     """
     lists = cut(picks.select(F.col(user).alias("u"), F.col(item).alias("i")).filter("u IS NOT NULL AND i IS NOT NULL").distinct())
     often = lists.groupBy("i").agg(F.count(F.lit(1)).alias("often"))
@@ -365,6 +426,12 @@ def similar_lists(picks: DataFrame, least: float, user: str = "user_id", item: s
     each = ordered.select("u", "n", "s", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("c"))
     long = each.select("u", "n", "c", F.explode(F.slice("s", 1, F.col("n") - needed(F.pow(F.lit(2.0), F.col("c"))) + 1)).alias("i"))
     x, y = short.select("c", "i", F.col("u").alias("x"), F.col("n").alias("nx")), long.select("c", "i", F.col("u").alias("y"), F.col("n").alias("ny"))
+    words, n = -(-often.count() // 64), members.count()
+    if 0 < words <= MOST_WORDS:
+        heads = [h.groupBy("c", "i").agg(F.count(F.lit(1)).cast("double").alias(k)) for h, k in ((short, "h"), (long, "k"))]
+        meet = heads[0].join(heads[1], ["c", "i"]).agg(F.sum(F.col("h") * F.col("k"))).first()[0] or 0.0
+        if float(n) * n * words <= BITS_A_PAIR * meet:
+            return _lists_by_bits(lists, often.select("i"), words, n, least)
     met = x.join(y, ["c", "i"]).filter("nx < ny OR (nx = ny AND x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     sets = [ordered.select(F.col("u").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab"]
     counted = met.join(sets[0], "a").join(sets[1], "b").select("a", "b", (F.size(F.array_intersect("sa", "sb")) / F.least("na", "nb")).alias("overlap"))

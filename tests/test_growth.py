@@ -1,6 +1,7 @@
 """Steps whose cost must not grow beyond their input: what is computed once, and where rows meet."""
 
 import datetime as dt
+import random
 import re
 
 import pytest
@@ -70,6 +71,25 @@ def test_equal_lists_are_compared_once(spark):
     assert len(got) == 60 * 59 // 2 and all(got[a, b] == (1.0 if (a % 3 == 0) == (b % 3 == 0) else 0.75) for a, b in got)
 
 
+@pytest.mark.parametrize("block", [7, 40, 8192])
+@pytest.mark.parametrize("items", [20, 150])
+def test_lists_of_few_items_are_compared_as_bits(spark, monkeypatch, items, block):
+    """Lists of few items meet nearly all of each other by any head: no pair is brought together by a join, and blocks of any size give the same pairs."""
+    monkeypatch.setattr(rec, "LIST_BLOCK", block)
+    monkeypatch.setattr(rec, "JUDGED", 100)
+    monkeypatch.setattr(rec, "LEAVE", 30)
+    rng = random.Random(items)
+    lists = {f"u{u}": set(rng.sample(range(items), rng.randint(1, 12) if u % 3 else items // 2)) for u in range(50)}
+    rows = spark.createDataFrame([(u, i) for u, s in lists.items() for i in s], "user_id string, event_id int")
+    out = rec.similar_lists(rows, 0.6)
+    told = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in told and "array_intersect" not in told
+    want = {(a, b): v for a in lists for b in lists if a < b and (v := len(lists[a] & lists[b]) / min(len(lists[a]), len(lists[b]))) >= 0.6}
+    assert {(r["a"], r["b"]): r["overlap"] for r in out.collect()} == want and len(want) > 50
+    monkeypatch.setattr(rec, "MOST_WORDS", 0)
+    assert {(r["a"], r["b"]): r["overlap"] for r in rec.similar_lists(rows, 0.6).collect()} == want
+
+
 def test_no_table_of_all_events_is_written(spark, monkeypatch):
     """Events leave their one pass as groups: dates of a bill in rooms of one size, and a row for each reason."""
     sizes, real = [], rec.cut
