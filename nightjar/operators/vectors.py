@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nightjar.operators.corpus import cut
@@ -62,49 +62,122 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_ids: list[str], righ
 
 
 #: rows of one side that a block holds, and products that a task makes at once
-BLOCK_ROWS, AT_ONCE = 500_000, 4_000_000
+BLOCK_ROWS, AT_ONCE = 1 << 21, 4_000_000
+
+
+def _written(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _read(held: pa.Scalar, kind: type | None = None) -> np.ndarray | pa.Table:
+    return pa.ipc.open_stream(held.as_buffer()).read_all() if kind is None else np.frombuffer(held.as_buffer(), kind)
+
+
+def _packed(ids: list[str], by_tag: bool, block_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of whole vectors, one row each: ``ids`` and ``tags`` once each, and the block's rows in the order of vectors, or of tags, as
+    ``begins`` (where each vector, or tag, has its rows), ``other`` (their tags, or vectors, by number) and ``w``."""
+
+    def block(rows: pa.Table, vector: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.diff(vector, prepend=-1))
+        coded = pc.dictionary_encode(rows["tag"].combine_chunks())
+        code, w = coded.indices.to_numpy(), rows["w"].to_numpy()
+        begins, other = np.append(first, len(vector)), code
+        vector = np.repeat(np.arange(len(first)), np.diff(begins))
+        if by_tag:
+            order = np.argsort(code, kind="stable")
+            begins, other, w = np.append(0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))), vector[order], w[order]
+        held = [_written(rows.select(ids).take(pa.array(first))), _written(pa.table([coded.dictionary], ["tag"])), *(x.astype(k).tobytes() for x, k in ((begins, "<i4"), (other, "<i4"), (w, "<f8")))]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in held], PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            rows = pa.Table.from_batches(held)
+            keys = rows.select(ids).to_pandas()
+            begins = (keys != keys.shift()).any(axis=1).to_numpy()
+            begins[:1] = True
+            vector, starts = np.cumsum(begins) - 1, np.append(np.flatnonzero(begins), size if last else [])
+            i = 0  # a block ends before the first vector that would make it too large; the last vector may go on in the next batch
+            while i < starts[-1] and (last or starts[-1] - i >= block_rows):
+                j = int(starts[max(np.searchsorted(starts, i, "right"), np.searchsorted(starts, i + block_rows, "right") - 1)])
+                yield block(rows.slice(i, j - i), vector[i:j])
+                i = j
+            held, size = rows.slice(i).to_batches(), size - i
+
+        asked = block_rows
+        for batch in batches:
+            if batch.num_rows:
+                held, size = [*held, batch], size + batch.num_rows
+            if size > asked:
+                yield from blocks(False)
+                asked = max(block_rows, 2 * size)  # one vector that is larger isn't looked at anew with each batch
+        if size:
+            yield from blocks(True)
 
+    return run
+
+
+#: columns of a block
+PACKED = ["ids", "tags", "begins", "other", "w"]
 
-def _blocks(rows: DataFrame, ids: list[str], block: str, block_rows: int) -> DataFrame:
-    """``rows`` with the number of their block: about ``block_rows`` rows of neighbouring vectors, none of which is split."""
-    n = max(1, -(-rows.count() // block_rows))
-    return cut(rows.repartitionByRange(n, *ids).withColumn(block, F.spark_partition_id()))
 
+def _blocks(rows: DataFrame, ids: list[str], by_tag: bool, block_rows: int) -> DataFrame:
+    """``rows`` as blocks (see ``_packed``).  The window brings a vector's rows together; vectors that come together already aren't dealt or sorted anew."""
+    whole = rows.withColumn("__whole", F.count(F.lit(1)).over(W.partitionBy(*ids)))  # stays in the rows, or Spark drops the window
+    return cut(whole.mapInArrow(_packed(ids, by_tag, block_rows), ", ".join(f"{c} binary" for c in PACKED)))
 
-def _product(left_ids: list[str], right_ids: list[str], gate: float, at_once: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+
+def _product(gate: float, at_once: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The pairs of two blocks of vectors whose product is above ``gate``, by numpy."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        l, r = left.to_pandas(), right.to_pandas()
-        tags = pd.factorize(pd.concat([l["tag"], r["tag"]], ignore_index=True))[0]
-        a, b = (f.groupby(ids, sort=False).ngroup().to_numpy() for f, ids in ((l, left_ids), (r, right_ids)))
-        by_vector, by_tag = np.argsort(a, kind="stable"), np.argsort(tags[len(l) :], kind="stable")
-        a, lt, lw = a[by_vector], tags[: len(l)][by_vector], l["w"].to_numpy()[by_vector]
-        b, rt, rw = b[by_tag], tags[len(l) :][by_tag], r["w"].to_numpy()[by_tag]
-        low = np.searchsorted(rt, lt)
-        fan = np.searchsorted(rt, lt, "right") - low
-        begins = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a))  # of the left vectors
-        made = np.append(0, np.cumsum(fan))[begins]
-        width, i, hits = int(b.max(initial=-1)) + 1, 0, []
-        while i < len(begins) - 1:  # some whole vectors at a time; one has no more products than the right side has rows
+    def pair(held: dict[str, pa.Scalar]) -> Iterator[pa.RecordBatch]:
+        where = pc.fill_null(pc.index_in(_read(held["xtags"])["tag"].combine_chunks(), value_set=_read(held["ytags"])["tag"].combine_chunks()), -1).to_numpy()
+        if where.max(initial=-1) < 0:
+            return
+        begins, lt, lw = (_read(held[f"x{c}"], k) for c, k in (("begins", "<i4"), ("other", "<i4"), ("w", "<f8")))
+        tags, rv, rw = (_read(held[f"y{c}"], k) for c, k in (("begins", "<i4"), ("other", "<i4"), ("w", "<f8")))
+        left, right = _read(held["xids"]), _read(held["yids"])
+        low, fan = tags[where][lt], np.where(where < 0, 0, np.diff(tags)[where])[lt]
+        sums = np.append(0, np.cumsum(fan, dtype=np.int64))
+        made, width, i = sums[begins], len(right), 0
+        vector, most = np.repeat(np.arange(len(left)), np.diff(begins)), float(rw.max(initial=0.0))
+        while i < len(left):  # some whole vectors at a time; one has no more products than the right side has rows
             j = max(i + 1, int(np.searchsorted(made, made[i] + at_once, "right")) - 1)
-            rows = np.arange(begins[i], begins[j])
-            one = np.repeat(rows, fan[rows])
-            other = low[one] + np.arange(len(one)) - np.repeat(np.cumsum(fan[rows]) - fan[rows], fan[rows])
-            pair, part = (a[one] - i) * width + b[other], lw[one] * rw[other]
-            if (j - i) * width <= 4 * len(pair):
-                total = np.bincount(pair, part, (j - i) * width)
-                pair = np.arange(len(total))
+            at = slice(begins[i], begins[j])
+            one = np.repeat(np.arange(at.start, at.stop), fan[at])
+            other = low[one] + np.arange(len(one)) - np.repeat(sums[at] - sums[at.start], fan[at])
+            pairs = (vector[one] - i) * width + rv[other]
+            if (j - i) * width <= 4 * len(pairs):
+                total = np.bincount(pairs, lw[one] * rw[other], (j - i) * width)
+                pairs = np.arange(len(total))
             else:
-                pair, which = np.unique(pair, return_inverse=True)
-                total = np.bincount(which, part, len(pair))
+                # so many tags must a pair share at least, as no product of two weights is larger
+                least = int(gate * (1 - 1e-9) / (float(lw[at].max()) * most)) + 1 if len(pairs) else 1
+                if least > 1:
+                    ordered = np.sort(pairs)
+                    likely = ordered[least - 1 :]
+                    likely = likely[likely == ordered[: len(likely)]]
+                    at_last = np.minimum(np.searchsorted(likely, pairs), max(0, len(likely) - 1)) if len(likely) else None
+                    some = np.flatnonzero(likely[at_last] == pairs) if len(likely) else np.zeros(0, int)
+                    one, other, pairs = one[some], other[some], pairs[some]
+                pairs, which = np.unique(pairs, return_inverse=True)
+                total = np.bincount(which, lw[one] * rw[other], len(pairs))
             keep = total > gate
-            hits.append((pair[keep] // width + i, pair[keep] % width, total[keep]))
+            if keep.any():
+                x, y = np.divmod(pairs[keep], width)
+                found = [c.combine_chunks() for t, n in ((left, x + i), (right, y)) for c in t.take(pa.array(n)).columns]
+                yield pa.RecordBatch.from_arrays([*found, pa.array(total[keep])], [*left.column_names, *right.column_names, "cosine"])
             i = j
-        x, y, cosine = (np.concatenate([h[k] for h in hits]) if hits else np.zeros(0, int) for k in range(3))
-        first_left, first_right = by_vector[begins[:-1]], by_tag[np.unique(b, return_index=True)[1]]
-        columns = [left[c].take(pa.array(first_left[x])) for c in left_ids] + [right[c].take(pa.array(first_right[y])) for c in right_ids]
-        return pa.table([*columns, pa.array(cosine, pa.float64())], [*left_ids, *right_ids, "cosine"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from pair({c: batch.column(c)[k] for c in batch.schema.names})
 
     return run
 
@@ -112,17 +185,14 @@ def _product(left_ids: list[str], right_ids: list[str], gate: float, at_once: in
 def pairs_above(left: DataFrame, right: DataFrame, left_ids: list[str], right_ids: list[str], gate: float, block_rows: int = BLOCK_ROWS, at_once: int = AT_ONCE) -> DataFrame:
     """(left_ids, right_ids, cosine): all pairs of unit vectors (ids, tag, w) whose product is above ``gate``, which is 0 or more.
 
-    Neighbouring vectors of a side form blocks.  A row goes to the blocks of the other side that have its tag, so at most to as many as there
-    are rows to meet; two blocks meet in one group, which sums products where they arise: only pairs that pass leave it.
+    Each side is written once as blocks of whole vectors, one row each.  A cross join brings two blocks together by reading them,
+    without a shuffle, and products are summed there: only pairs that pass leave it.  So what is written grows with the rows, not with the blocks.
     Zero weights count as absent; negative ones aren't allowed; a vector names a tag once.  Null ids and tags match nothing.
     """
     x, y = (v.select(*ids, "tag", "w").filter("w > 0").dropna(subset=[*ids, "tag"]) for v, ids in ((left, left_ids), (right, right_ids)))
-    x, y = _blocks(x, left_ids, "bx", block_rows), _blocks(y, right_ids, "by", block_rows)
-    of_x, of_y = x.select("tag", "bx").distinct(), y.select("tag", "by").distinct()
-    cells = [v.select(*ids, "tag", "w", F.col("bx").alias(f"{k}x"), F.col("by").alias(f"{k}y")).groupBy(f"{k}x", f"{k}y") for v, ids, k in ((x.join(of_y, "tag"), left_ids, "l"), (y.join(of_x, "tag"), right_ids, "r"))]
-    kind = lambda v, c: f"`{c}` {v.schema[c].dataType.simpleString()}"
-    schema = ", ".join([*(kind(x, c) for c in left_ids), *(kind(y, c) for c in right_ids), "cosine double"])
-    return cells[0].cogroup(cells[1]).applyInArrow(_product(left_ids, right_ids, gate, at_once), schema)
+    kind = ", ".join(f"`{c}` {v.schema[c].dataType.simpleString()}" for v, ids in ((x, left_ids), (y, right_ids)) for c in ids)
+    x, y = (_blocks(v, ids, by_tag, block_rows).select(*(F.col(c).alias(f"{k}{c}") for c in PACKED)) for v, ids, by_tag, k in ((x, left_ids, False, "x"), (y, right_ids, True, "y")))
+    return x.crossJoin(y).mapInArrow(_product(gate, at_once), f"{kind}, cosine double")
 
 
 def dense_cosine(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightjar.functions import text
-from nightjar.operators import rules
+from nightjar.operators import rules, vectors
 from nightjar.plans import queries, recommend as rec
 from tests.test_recommend import EVENT, event, run
 
@@ -90,6 +90,23 @@ def test_lists_of_few_items_are_compared_as_bits(spark, monkeypatch, items, bloc
     assert {(r["a"], r["b"]): r["overlap"] for r in rec.similar_lists(rows, 0.6).collect()} == want
 
 
+def test_pairs_meet_without_a_shuffle(spark):
+    """Blocks of vectors meet by reading them, whatever partitions their rows come from, and vectors that are dealt by their ids aren't dealt anew."""
+    rng = random.Random(3)
+    rows = [(f"v{i}", t, float(rng.random()), i % 3) for i in range(40) for t in rng.sample(range(30), 8)] + [("big", t, 1.0, 0) for t in range(30)]
+    rng.shuffle(rows)
+    left = vectors.unit(spark.createDataFrame(rows, "a string, tag int, w double, k int").repartition("a"), ["a", "k"])
+    right = left.withColumnsRenamed({"a": "b", "k": "m"}).repartition(7)
+    found = lambda **k: {(r["a"], r["b"]): round(r["cosine"], 9) for r in vectors.pairs_above(left, right, ["a", "k"], ["b", "m"], 0.4, **k).collect()}
+    weight = {}
+    for r in left.collect():
+        weight.setdefault(r["a"], {})[r["tag"]] = r["w"]
+    want = {(a, b): v for a in weight for b in weight if (v := round(sum(w * weight[b].get(t, 0) for t, w in weight[a].items()), 9)) > 0.4}
+    assert found() == want == found(block_rows=1) == found(block_rows=50, at_once=60) and 41 < len(want) < 41 * 41
+    told = vectors.pairs_above(left, right, ["a", "k"], ["b", "m"], 0.4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in told and "CoGroup" not in told
+
+
 def test_no_table_of_all_events_is_written(spark, monkeypatch):
     """Events leave their one pass as groups: dates of a bill in rooms of one size, and a row for each reason."""
     sizes, real = [], rec.cut
