@@ -1,15 +1,17 @@
 """Steps whose cost must not grow beyond their input: what is computed once, and where rows meet."""
 
 import datetime as dt
+import json
 import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from nightjar.functions import text
-from nightjar.operators import rules, vectors
-from nightjar.plans import queries, recommend as rec
+from nightjar.operators import corpus, rules, vectors
+from nightjar.plans import build, queries, recommend as rec
+from nightjar.sources import structured
 from tests.test_recommend import EVENT, event, run
 
 D = "/root/testdata/sf0.001"
@@ -107,6 +109,81 @@ def test_pairs_meet_without_a_shuffle(spark):
     assert "Exchange hashpartitioning" not in told and "CoGroup" not in told
 
 
+@pytest.mark.parametrize("made", [lambda p: structured.json_ld_events(p, "k"), lambda p: structured.hydration_events(p, "k")])
+def test_events_of_a_page_are_told_apart_without_a_shuffle(spark, made):
+    """Of equal events the first in the page stays, also over blocks and batches; equal events of two pages are two."""
+    node = lambda n, **x: {"@type": "Event", "name": n, "startDate": "2026-01-01", **x}
+    show = lambda n, **x: {"title": n, "date": "2026-01-01", "venue": "V", "price": 2, **x}
+    ld = lambda *b: "".join(f'<script type="application/ld+json">{json.dumps(x)}</script>' for x in b)
+    payload = lambda *b: f'<script id="__NEXT_DATA__">{json.dumps({"shows": b})}</script>'
+    pages = []
+    for k in range(30):
+        pages.append((k, ld([node("Act A", image="1"), node("Act B")], node("Act A"), [node("Act C"), node("Act B", image="2")]) + payload(show("Act A", slug="1"), show("Act B"), show("Act A"), show("Act C"), show("Act B", slug="2"))))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        out = made(spark.createDataFrame(pages, "k int, html string").repartition(3))
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    title = "name" if "name" in out.columns else "title"
+    assert sorted((r["k"], r[title]) for r in rows) == [(k, x) for k in range(30) for x in ("Act A", "Act B", "Act C")]
+    first = {r[title]: (r["seq"], '"1"' in r["node"] if title == "name" else r["slug"]) for r in rows}
+    assert first["Act A"][1] in (True, "1") and first["Act B"][1] in (False, None) and first["Act A"][0] < first["Act B"][0] < first["Act C"][0]
+
+
+def test_pages_are_dealt_to_folders_unsorted_and_meet_small_sources(spark, monkeypatch):
+    """Bodies are neither sorted for their folders nor shuffled to meet the table of sources; rows that go are written without their event."""
+    told, sizes, real = [], [], corpus.cut
+
+    def seen(df, *by, **k):
+        told.append((by, df._jdf.queryExecution().optimizedPlan().toString()))
+        out = real(df, *by, **k)
+        sizes.append((out.columns, out))
+        return out
+
+    monkeypatch.setattr(corpus, "cut", seen)
+    pages, registry = queries._build_tables(spark, D)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    events, meta = build.build_corpus(pages, registry, queries.TODAY)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    (plan_of_pages,) = (p for by, p in told if by)
+    joins = [x for x in plan_of_pages.split("\n") if "Join" in x and "source_id" in x]
+    assert joins and all("rightHint=(strategy=broadcast)" in x for x in joins)
+    (ruled,) = (df for columns, df in sizes if "dropped" in columns)
+    assert ruled.filter("reason IS NOT NULL OR dropped IS NOT NULL").count() > ruled.filter("event IS NOT NULL").count() > 0
+    assert ruled.filter("(reason IS NULL AND dropped IS NULL) != (event IS NOT NULL)").count() == 0
+    total = meta.agg(F.sum("kept"), F.sum(F.col("raw") + F.col("rejected"))).first()
+    assert (events.count(), ruled.count()) == tuple(total)
+
+
+def test_folders_are_written_without_a_sort(spark, monkeypatch):
+    """Folders are written side by side, with the session's setting as it was before and after."""
+    key, held = "spark.sql.maxConcurrentOutputFileWriters", []
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (held.append(spark.conf.get(key)), real(self, *a, **k))[1])
+    rows = spark.range(1000).selectExpr("id", "CAST(id % 3 AS string) AS k").repartition(2)
+    before = spark.conf.get(key)
+    files = corpus.cut(rows, "k")
+    corpus.cut(rows)
+    assert int(held[0]) > 3 and held[1] == before == spark.conf.get(key)
+    assert {r["k"]: r["n"] for r in files.groupBy("k").agg(F.countDistinct("id").alias("n")).collect()} == {"0": 334, "1": 333, "2": 333}
+    assert all(p.endswith(".zstd.parquet") for p in files.inputFiles())
+
+
+def test_posts_that_are_not_looked_up_meet_no_page_and_no_task(spark):
+    """A post without a link to look up is dealt by its own key."""
+    posts = spark.createDataFrame([(i, json.dumps({"title": f"Act {i}", "event_date": "2026-09-01", "ticket_url": "https://t/1", "link": f"https://p/{i}"})) for i in range(40)], "k int, j string")
+    linked = spark.createDataFrame([("https://p/1", "<p>x</p>")], "link string, page string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = structured.wordpress_events(posts, "k", "j", dt.date(2026, 1, 1), linked)
+        assert "alone" in [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin" in x][-1]
+        assert {r["k"] for r in out.filter("reason IS NULL AND ticket_url = 'https://t/1'").collect()} == set(range(40))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_table_of_all_events_is_written(spark, monkeypatch):
     """Events leave their one pass as groups: dates of a bill in rooms of one size, and a row for each reason."""
     sizes, real = [], rec.cut
